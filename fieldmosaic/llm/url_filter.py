@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -50,6 +50,19 @@ class BlockedBloom:
         for r in rows:
             self.words[r[0]] = [x for x in r[1:]]
 
+    def column(self, h: Column) -> Column:
+        """Whether a hash may be among the keys, as a column."""
+        sent = SparkSession.getActiveSession().sparkContext.broadcast((self.words, self.blocks))
+
+        @F.pandas_udf("boolean")
+        def possible(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            mine = BlockedBloom.__new__(BlockedBloom)
+            mine.words, mine.blocks = sent.value
+            for x in batches:
+                yield pd.Series(mine.might_have(x.to_numpy()))
+
+        return possible(h)
+
     def might_have(self, h: np.ndarray) -> np.ndarray:
         h = h.astype(np.int64).view(np.uint64)
         block = self.words[((h >> np.uint64(32)) % np.uint64(self.blocks)).astype(np.int64)]
@@ -69,20 +82,10 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     url's possible keys are its host's suffixes with the prefixes of its path whose lengths some
     rule has; those that the Bloom filter passes are joined exactly with the rules.
     """
-    spark = urls.sparkSession
     listed = rules.select(F.col("verdict"), F.col("host").alias("rule_host"), F.col("path").alias("rule_path")).where("rule_host IS NOT NULL AND rule_path IS NOT NULL")
     listed = listed.groupBy("rule_host", "rule_path").agg(F.min("verdict").alias("verdict"))
     bloom = BlockedBloom(listed.select(F.xxhash64("rule_host", "rule_path").alias("h")))
     lengths = sorted(r[0] for r in listed.select(F.length("rule_path")).distinct().collect())  # at most the longest path
-    filter_ = spark.sparkContext.broadcast((bloom.words, bloom.blocks))
-
-    @F.pandas_udf("boolean")
-    def possible(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        mine = BlockedBloom.__new__(BlockedBloom)
-        mine.words, mine.blocks = filter_.value
-        for h in batches:
-            yield pd.Series(mine.might_have(h.to_numpy()))
-
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     prefix_lengths = F.filter(F.array(*[F.lit(x) for x in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
@@ -91,7 +94,7 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
         .withColumn("rule_host", F.explode(suffixes))
         .withColumn("__n", F.explode(prefix_lengths))
         .withColumn("rule_path", F.substring(F.col("path"), F.lit(1), F.col("__n")))
-        .where(possible(F.xxhash64("rule_host", "rule_path")))
+        .where(bloom.column(F.xxhash64("rule_host", "rule_path")))
     )
     weight = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"))
     return (
