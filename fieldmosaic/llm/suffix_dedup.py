@@ -267,21 +267,20 @@ def _sort_anchors(length: int, most: int = 1 << 20):
     return run
 
 
-def _with_ids(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """rid, id, text. The id itself orders the documents if it is an integer and no two rows share it; otherwise rows are numbered by id (nulls first) and text."""
-    held = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+def _with_ids(docs: DataFrame, id_col: str, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """rid, id, text, and other columns in one struct. The id itself orders the documents if it is an integer and no two rows share it; otherwise rows are numbered by id (nulls first) and text."""
+    held = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.struct(F.lit(0).alias("__none"), *[F.col(c) for c in keep]).alias("keep"))
     if held.schema["id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
         n = held.agg(F.count(F.lit(1)), F.count("id")).first()
         if n[0] == n[1] == held.select("id").distinct().count():
-            return held.select(F.col("id").cast("long").alias("rid"), "id", "text")
-    return cut(_ranked(held), "numbered")
+            return held.select(F.col("id").cast("long").alias("rid"), "id", "text", "keep")
+    return _ranked(held)
 
 
 def _ranked(held: DataFrame) -> DataFrame:
     """Numbers that follow the order of (id, text): rows are dealt by ranges of ids, so ties with one id stand together."""
     parts = partitions_for(held)
-    sorted_ = cut(held.repartitionByRange(parts, F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"), "text").withColumn("rid", F.monotonically_increasing_id()), "sorted")
-    return sorted_.select("rid", "id", "text")
+    return cut(held.repartitionByRange(parts, F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"), "text").withColumn("rid", F.monotonically_increasing_id()), "sorted")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -298,21 +297,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return whole.unionByName(part)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """One row for each row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, and with_text also kept (binary).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, the columns `keep`, and with_text also kept.
+
+    kept is the text that remains; characters of which a removed span took only some bytes are left out of it (not of the digest).
 
     Windows never cross documents; the earliest occurrence (smaller id, then smaller start) stays.
     Null texts count as empty: nothing is removed. Texts under `length` bytes stay whole. Equal rows are documents of their own.
     """
-    held = _with_ids(docs, id_col, text)
+    held = _with_ids(docs, id_col, text, keep)
     per_doc = cut(repeated_spans(held, length).groupBy("rid").agg(F.collect_list(F.struct("start", "size")).alias("gone")), "spans")
     bloom = BlockedBloom(per_doc.select(F.xxhash64("rid").alias("h")), bits_per_key=12)
     flagged = held.withColumn("__flag", bloom.column(F.xxhash64("rid")))
-    touched = flagged.where("__flag").drop("__flag").join(per_doc, "rid", "left").select("id", "text", "gone")
-    rest = flagged.where("NOT __flag").select("id", "text", F.lit(None).cast("array<struct<start:bigint,size:int>>").alias("gone"))
-    schema = docs.select(F.col(id_col)).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
+    touched = flagged.where("__flag").drop("__flag").join(per_doc, "rid", "left").select("id", "text", "keep", "gone")
+    rest = flagged.where("NOT __flag").select("id", "text", "keep", F.lit(None).cast("array<struct<start:bigint,size:int>>").alias("gone"))
+    schema = held.select(F.col("id").alias(id_col), "keep").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
     if with_text:
-        schema = schema.add("kept", "binary")
+        schema = schema.add("kept", "string")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -330,12 +331,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                     whole = len(raw)
                     raw = b"".join([*parts, raw[at:]])
                     removed = whole - len(raw)
-                rows.append((len(raw) + removed, removed, n, sha256(raw).hexdigest(), raw))
+                rows.append((len(raw) + removed, removed, n, sha256(raw).hexdigest(), raw.decode("utf-8", "ignore") if with_text else None))
             cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.record_batch([b.column("id"), *[pa.array(c, k) for c, k in list(zip(cols, kinds, strict=True))[: 5 if with_text else 4]]], names=[f.name for f in schema.fields])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.record_batch([b.column("id"), b.column("keep"), *[pa.array(c, k) for c, k in list(zip(cols, kinds, strict=True))[: 5 if with_text else 4]]], names=[f.name for f in schema.fields])
 
-    return touched.unionByName(rest).mapInArrow(finish, schema)
+    done = touched.unionByName(rest).mapInArrow(finish, schema)
+    return done.select(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *[F.col("keep")[c].alias(c) for c in keep], *["kept"] * with_text)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:

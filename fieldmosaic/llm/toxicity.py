@@ -160,7 +160,7 @@ def score(docs: DataFrame, chain: Chain | None, keep: tuple[str, ...] = ("doc_id
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in batches:
-            data, at = utf8(b.column("__text"))
+            data, at = utf8(b.column(text))
             p = np.zeros((b.num_rows, len(categories)))
             for i, j in spans(at) if model else ():
                 part, here = data[at[i] : at[j]], at[i : j + 1] - at[i]
@@ -169,7 +169,8 @@ def score(docs: DataFrame, chain: Chain | None, keep: tuple[str, ...] = ("doc_id
             hit = [pa.array((p[:, k] > model.thresholds[k]) if model else np.zeros(b.num_rows, bool)) for k in range(len(categories))]
             yield pa.record_batch([*[b.column(c) for c in keep], *[pa.array(p[:, k]) for k in range(len(categories))], *hit], schema=None, names=[*keep, *[f"p_{c}" for c in categories], *categories])
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(predict, schema)
+    held = docs.select(*keep) if text in keep else docs.select(*keep, text)
+    return held.mapInArrow(predict, schema)
 
 
 def op5_toxicity_chain(spark, sf_dir: str) -> DataFrame:
