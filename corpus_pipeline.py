@@ -2,12 +2,59 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldmosaic.llm.common import cut, table
+from fieldmosaic.llm.jaccard_join import jaccard_components
+from fieldmosaic.llm.mixing import mix_sources, word_count
+from fieldmosaic.llm.packing import pack
+from fieldmosaic.llm.suffix_dedup import remove_repeats
+from fieldmosaic.llm.toxicity import score, train
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: No SQL expresses the learned models, the sort or the packing; the tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the chain's last model calls toxic; junk stays."""
+    chain = train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return score(docs.select(*COLUMNS), chain, COLUMNS).where(~F.col("toxic")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles, the document with the smallest id stays. Rows without id stay."""
+    groups = jaccard_components(docs.select("doc_id", "text"), width=5, num=80, den=100)
+    gone = groups.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated strings of 100 bytes out of the texts; documents of which nothing but blanks is left go."""
+    done = remove_repeats(docs.select(*COLUMNS), with_text=True, keep=("lang", "source"))
+    left = done.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    return left.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources, a row for each time a document is taken. Where a source's last pass ends within a document, it is taken whole if at least half of it is in."""
+    held = docs.select(*COLUMNS, word_count().alias("size"))
+    mixed = mix_sources(held, ["doc_id", "source"])
+    times = F.size(F.filter("parts", lambda p: p["words"] * 2 >= F.col("size")))
+    return mixed.withColumn("__time", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix in windows of 2048 tokens: a row for each piece."""
+    return pack(docs.select("doc_id", "text"))
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mixture", mixture), ("packing", packing)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
