@@ -63,7 +63,7 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[at[0] : at[-1]], at - at[0]
 
 
-def spans(at: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def spans(at: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs [i, j) of rows with about `most` bytes together; a longer row stands alone."""
     i, n = 0, len(at) - 1
     while i < n:

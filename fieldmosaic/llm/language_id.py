@@ -182,7 +182,7 @@ def identify(docs: DataFrame, model: Field | None, keep: tuple[str, ...] = ("doc
             letters = b.column("__letter").to_numpy(zero_copy_only=False).astype(bool)
             score, pick = np.zeros(b.num_rows), np.full(b.num_rows, -1)
             data, at = utf8(b.column("__text"))
-            for i, j in spans(at, 2 << 20) if field else ():
+            for i, j in spans(at) if field else ():
                 part = data[at[i] : at[j]]
                 begin, end, row, post = field.label(part, at[i : j + 1] - at[i])
                 solid = np.concatenate(([0], np.cumsum((part >= 128) | ((part | 32) >= 97) & ((part | 32) <= 122))))

@@ -85,7 +85,7 @@ def _span_batch(rid, start, size) -> pa.RecordBatch:
     return _batch(mix(rid.astype(np.uint64) * np.uint64(1 << 20) + start.astype(np.uint64)).view(np.int64), zero, zero, rid, start, size, zero - 1)
 
 
-def _find_runs(length: int, gram: int, most: int = 1 << 20):
+def _find_runs(length: int, gram: int, most: int = 300_000):
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         rid, start, size, lead, anchor, body = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((start, rid, size, body, anchor))
@@ -103,7 +103,7 @@ def _find_runs(length: int, gram: int, most: int = 1 << 20):
         for b in batches:
             rids = b.column("rid").to_numpy(zero_copy_only=False)
             data, at = utf8(b.column("text"))
-            for i, j in spans(at, 2 << 20):
+            for i, j in spans(at):
                 row, start, size, lead, anchor, body = runs(data[at[i] : at[j]], at[i : j + 1] - at[i], length, gram)
                 held.append((rids[i:j][row], start, size, lead, anchor, body))
                 n += len(row)
@@ -232,7 +232,7 @@ def _first_difference(text: np.ndarray, a: np.ndarray, b: np.ndarray, guess: np.
     return guess
 
 
-def _sort_anchors(length: int, most: int = 1 << 20):
+def _sort_anchors(length: int, most: int = 1 << 18):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
