@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, cut, table
 
 #: Weights of the sources in code point order, repeating; nulls come last.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -89,7 +89,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.select(F.col("node").alias("shard"), "q")
 
 
-def mix_sources(df: DataFrame, id_cols: list[str], size: str = "size", source: str = "source", shards: int = 16, blocks: int = 2048, seed: int = 7, rows_per_bucket: int = 20_000, **targets) -> DataFrame:
+def mix_sources(df: DataFrame, id_cols: list[str], size: str = "size", source: str = "source", shards: int = 16, blocks: int = 2048, seed: int = 7, rows_per_bucket: int = 2_000, **targets) -> DataFrame:
     """Adds source_size, target, taken, and parts: what of the row goes where, an array of (shard, from, words, place).
 
     Each source's rows are put in a hashed order, in which a row covers a range of words. A target
@@ -109,11 +109,12 @@ def mix_sources(df: DataFrame, id_cols: list[str], size: str = "size", source: s
     per = per.withColumn("want", F.round("target").cast("long")).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("want") / F.col("source_size"))).otherwise(0).cast("long"))
     per = per.withColumn("block", F.greatest(F.lit(1).cast("long"), F.ceil(F.sum("want").over(Window.partitionBy()) / F.lit(blocks)).cast("long")))
     per = per.withColumn("n_blocks", F.ceil(F.col("want") / F.col("block")).cast("long")).withColumn("buckets", F.ceil(F.col("rows_") / F.lit(rows_per_bucket)).cast("long"))
+    per = cut(per, "targets")
     quotas = per.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "n_blocks"))), lambda x: x["n_blocks"]).alias("q"))
     leaves = split_quotas(quotas, shards, seed)
     ends = leaves.select("shard", F.posexplode("q").alias("rank", "n")).withColumn("end", F.sum("n").over(Window.partitionBy("rank").orderBy("shard")))
     ends = ends.groupBy("rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "end"))), lambda x: x["end"]).alias("ends"))
-    per = per.join(ends, "rank").withColumnRenamed("source", "__source")
+    per = cut(per.join(ends, "rank").withColumnRenamed("source", "__source"), "sources")  # a row for each source
 
     held = kept.join(per, F.col(source).eqNullSafe(F.col("__source"))).withColumn("__bucket", F.floor(unit(F.lit(0), "__h") * F.col("buckets")).cast("long"))
     sums = held.groupBy("rank", "__bucket").agg(F.sum("__size").alias("__words"))
