@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldmosaic.functions.scalar import ratio
 
@@ -49,3 +50,10 @@ def threshold_by_share(df: DataFrame, area: str, value: str, share: str) -> Data
     w = Window.partitionBy(area).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     held = df.withColumn("__c", F.sum(value).over(w)).withColumn("__t", F.sum(value).over(Window.partitionBy(area)))
     return held.groupBy(area).agg(F.min(F.when(F.col("__c") >= F.col("__t") * (1 - F.col(share)), F.col(value))).alias("threshold"))
+
+
+def mixed(df: DataFrame, key: str, sums: tuple[str, ...]) -> DataFrame:
+    """Per key: sums of the columns named, means of the other numbers, and the smallest of all else."""
+    numbers = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
+    of = lambda c: F.sum(c) if c in sums else F.avg(c) if c in numbers else F.min(c)
+    return df.groupBy(key).agg(*[of(c).alias(c) for c in df.columns if c != key])

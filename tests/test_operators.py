@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldmosaic.functions import scalar
 from fieldmosaic.operators import aggregate, clean, integration, scores, survey
-from fieldmosaic.plans import catalog
+from fieldmosaic.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "embeddings")
@@ -61,6 +61,6 @@ def _rows(df):
     return sorted((tuple(round(v, 5) + 0.0 if isinstance(v, float) else v for v in r) for r in df.itertuples(index=False)), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.SQL))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_equals_sql(spark, duck, name):
-    assert _rows(catalog.QUERIES[name](spark, SF).toPandas()) == _rows(duck.execute(catalog.SQL[name]).df())
+    assert _rows(registry.QUERIES[name](spark, SF).toPandas()) == _rows(duck.execute(registry.SQL[name]).df())
