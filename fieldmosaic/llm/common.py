@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Fixed value: multiplier for polynomial hashes (odd, so that it has an inverse modulo 2**64).
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes that Spark hands to Python at once; a longer row stands alone.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,15 +28,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what tasks hand to Python at once by bytes as well as rows, as texts and sets of shingles can be long. A smaller bound of the session's stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key)
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: later steps don't depend on executors that may be lost."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
