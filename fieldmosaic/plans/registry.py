@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldmosaic.plans import catalog, population
+from fieldmosaic.plans import catalog, estimation, population
 
-MODULES = (catalog, population)
+MODULES = (catalog, population, estimation)
 QUERIES, SQL = catalog.QUERIES, catalog.SQL

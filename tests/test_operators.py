@@ -1,12 +1,14 @@
 """Operators on small tables with answers worked out by hand, and every query against SQL."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fieldmosaic.functions import scalar
-from fieldmosaic.operators import aggregate, clean, integration, scores, survey
+from fieldmosaic.operators import aggregate, clean, estimates, integration, scores, survey
 from fieldmosaic.plans import registry
+from fieldmosaic.sources import tables
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "embeddings")
@@ -64,3 +66,27 @@ def _rows(df):
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_equals_sql(spark, duck, name):
     assert _rows(registry.QUERIES[name](spark, SF).toPandas()) == _rows(duck.execute(registry.SQL[name]).df())
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name;share\nKano;0,25\nLagos;none\n")
+    assert [tuple(r) for r in tables.read_csv2(spark, str(tmp_path / "a.csv"), "name string, share double").orderBy("name").collect()] == [("Kano", 0.25), ("Lagos", None)]
+    np.arange(-6, 6, dtype="<i2").tofile(tmp_path / "g.bin")
+    got = [tuple(r) for r in tables.read_int16_grid(spark, str(tmp_path / "g.bin"), 4).orderBy("r", "c").collect()]
+    assert got == [(k // 4, k % 4, k - 6) for k in range(12)]
+    made = []
+    for _ in range(2):
+        kept = tables.cache_or_compute(spark, str(tmp_path / "kept"), lambda: made.append(1) or spark.range(3))
+        assert kept.count() == 3
+    assert len(made) == 1
+
+
+def test_running_sum_and_sample(spark):
+    rows = [("a", k, (k * 7 % 10) / 10, float(k + 1)) for k in range(10)]
+    df = spark.createDataFrame(rows, "g string, id int, place double, size double")
+    got = {r.id: r.running for r in estimates.running_sum(df, ["g"], F.col("place"), [F.col("id")], "size", buckets=3).collect()}
+    total = 0.0
+    for _, k, _, size in sorted(rows, key=lambda r: r[2]):
+        total += size
+        assert got[k] == pytest.approx(total)
+    assert sum(r.times for r in estimates.pps_sample(df, ["g"], F.col("place"), [F.col("id")], "size", 4).collect()) == 4
