@@ -25,7 +25,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles, the document with the smallest id stays. Rows without id stay."""
-    groups = jaccard_components(docs.select("doc_id", "text"), width=5, num=80, den=100)
+    groups = jaccard_components(docs.select("doc_id", "text"), width=5, num=80, den=100, count_links=False)
     gone = groups.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 

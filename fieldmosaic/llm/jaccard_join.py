@@ -9,6 +9,8 @@
    the OR of their bitmaps and the range of sizes, and pairs of nodes are followed down only while the largest
    possible overlap can still reach the threshold.
 5. Pairs from 3 and 4 are checked exactly on the whole sets.
+6. Links lie within components. To count them, each component's sets are dealt to tiles, and each pair of tiles
+   is a row of its own, in which all overlaps are counted exactly; only sums for each class leave a task.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SIG, COUNTERS = 16, 1 << 24
 HUBS, LEAF, FAN = 4, 16, 8
 #: Shingles in more documents than this come last in the order; it keeps buckets small whatever the input.
 FREQUENT = 50
+#: Classes and shingles of a tile when links are counted, on average; shingles multiplied at once.
+TILE, TILE_SHINGLES, WIDE = 1024, 1 << 17, 4096
 PREFIX = "token long, key long, n int, pos int"
 
 
@@ -246,13 +250,103 @@ def _exact(num: int, den: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of class keys whose sets link; sets are made again from one text of each class concerned."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "__rep"), "key")
+def overlaps(x: np.ndarray, at_x: np.ndarray, y: np.ndarray, at_y: np.ndarray) -> np.ndarray:
+    """How many shingles each set of x shares with each of y."""
+    out = np.zeros((len(at_x) - 1, len(at_y) - 1), np.int64)
+    common = np.intersect1d(x, y)
+    side = []
+    for value, at in ((x, at_x), (y, at_y)):
+        row, slot = np.repeat(np.arange(len(at) - 1), np.diff(at)), np.searchsorted(common, value)
+        ok = slot < len(common)
+        ok[ok] = common[slot[ok]] == value[ok]
+        order = np.argsort(slot[ok], kind="stable")
+        side.append((row[ok][order], slot[ok][order], len(at) - 1))
+    for k in range(0, len(common), WIDE):
+        m = []
+        for row, slot, n in side:
+            i, j = np.searchsorted(slot, (k, k + WIDE))
+            dense = np.zeros((n, min(WIDE, len(common) - k)), np.float32)
+            dense[row[i:j], slot[i:j] - k] = 1
+            m.append(dense)
+        out += (m[0] @ m[1].T).astype(np.int64)
+    return out
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each tile from sets sorted by root and tile."""
+    now, keys, sets = None, [], []
+
+    def row() -> pa.RecordBatch:
+        sizes = np.array([len(s) // 8 for s in sets], np.int64)
+        return pa.record_batch({"root": [now[0]], "tile": pa.array([now[1]], pa.int32()), "tiles": pa.array([now[2]], pa.int32()), "keys": pa.array([np.array(keys, np.int64).tobytes()], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary()), "sets": pa.array([b"".join(sets)], pa.binary())})
+
+    for b in batches:
+        for root, tile, tiles, key, held in zip(*(b.column(c).to_pylist() for c in ("root", "tile", "tiles", "key", "set")), strict=True):
+            if now != (root, tile, tiles):
+                if keys:
+                    yield row()
+                now, keys, sets = (root, tile, tiles), [], []
+            keys.append(key)
+            sets.append(held)
+    if keys:
+        yield row()
+
+
+def _tile_links(num: int, den: int):
+    """Links of each class in the pairs of tiles of a task; a pair's rows follow each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, mate = {}, None
+        for b in batches:
+            for root, lo, hi, *held in zip(*(b.column(c).to_pylist() for c in ("root", "lo", "hi", "keys", "sizes", "sets")), strict=True):
+                key, n, value = (np.frombuffer(x, t) for x, t in zip(held, (np.int64, np.int64, np.uint64), strict=True))
+                here = (key, n, value, np.concatenate(([0], np.cumsum(n))))
+                if lo != hi and (mate is None or mate[0] != (root, lo, hi)):
+                    mate = ((root, lo, hi), here)
+                    continue
+                key_b, n_b, value_b, at_b = here if lo == hi else mate[1]
+                both = overlaps(value, here[3], value_b, at_b)
+                ok = both * den >= num * (n[:, None] + n_b - both)
+                if lo == hi:
+                    np.fill_diagonal(ok, False)
+                for keys, links in ((key, ok.sum(1)), (key_b, ok.sum(0)))[: 1 + (lo != hi)]:
+                    for k, c in zip(keys.tolist(), links.tolist(), strict=True):
+                        total[k] = total.get(k, 0) + c
+                mate = None
+                if len(total) > 1 << 16:
+                    yield pa.record_batch({"key": pa.array(list(total), pa.int64()), "links": pa.array(list(total.values()), pa.int64())})
+                    total = {}
+        yield pa.record_batch({"key": pa.array(list(total), pa.int64()), "links": pa.array(list(total.values()), pa.int64())})
+
+    return run
+
+
+def _link_counts(root: DataFrame, docs: DataFrame, classes: DataFrame, width: int, num: int, den: int, parts: int) -> DataFrame:
+    """(key, class_links) of every class in root (node, root): all pairs of each component, tile by tile."""
+    held = cut(root.select(F.col("node").alias("key"), "root").join(classes.select("key", "n"), "key"), "linked-classes")
+    most = lambda x, y: F.ceil(x / F.lit(y))
+    tiles = held.groupBy("root").agg(F.greatest(most(F.count(F.lit(1)), TILE), most(F.sum("n"), TILE_SHINGLES)).cast("int").alias("tiles"))
+    where = held.join(tiles, "root").select("key", "root", "tiles", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int").alias("tile"))
+    sets = _sets(held.select("key"), docs, classes, width).join(where, "key").select("root", "tile", "tiles", "key", "set")
+    made = sets.repartition(parts, "root", "tile").sortWithinPartitions("root", "tile").mapInArrow(_tiles, "root long, tile int, tiles int, keys binary, sizes binary, sets binary")
+    pairs = cut(made, "tiles").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    pairs = pairs.select("root", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "keys", "sizes", "sets")
+    counted = pairs.repartition(parts, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(_tile_links(num, den), "key long, links long")
+    return cut(counted.groupBy("key").agg(F.sum("links").alias("class_links")), "link-counts")
+
+
+def _sets(keys: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(key, set) of the classes named, made again from one text of each."""
+    wanted = keys.join(classes.select("key", "__rep"), "key")
     wanted = cut(wanted.select("key", "__rep"), "wanted")
     bloom = BlockedBloom(wanted.select(F.xxhash64("__rep").alias("h")), bits_per_key=12)
     texts = docs.where(bloom.column(F.xxhash64("__id"))).join(wanted.select(F.col("__rep").alias("__id")).distinct(), "__id", "left_semi")
-    sets = cut(texts.select("__text").mapInArrow(_set_rows(width), "key long, set binary").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
+    return cut(texts.select("__text").mapInArrow(_set_rows(width), "key long, set binary").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of class keys whose sets link."""
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), docs, classes, width)
     first = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a")
     both = first.join(sets.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b")
     return cut(both.select("a", "b", "set_a", "set_b").mapInArrow(_exact(num, den), "a long, b long"), "linked")
@@ -264,9 +358,12 @@ def _sent_slots(slots: DataFrame):
     return slots.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, num: int = 85, den: int = 100, count_links: bool = True) -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id, class_links (links of its class with other classes).
 
+    Without count_links only components are sought, and there is no class_links: pairs already in one component
+    are never compared. Counting compares all classes of a component, which grows with the square of their number.
+
     Sets link when den * intersection >= num * union. component_id is the smallest id that links reach.
     Null and empty texts and texts without words have no shingles, no links and their own id. Equal sets are one
     class; rows with null ids take part, and a component of null ids only has a null id. Shingles are held as
@@ -302,10 +399,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
     grouped = classes.join(root.withColumnRenamed("node", "key"), "key", "left").select("key", "__rep", F.coalesce("root", "key").alias("root"))
     least = grouped.groupBy("root").agg(F.min("__rep").alias("component_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("class_links"))
-    per_class = grouped.join(least, "root").join(degree, "key", "left").select("key", "component_id", F.coalesce("class_links", F.lit(0)).alias("class_links"))
-    out = members.join(per_class, "key", "left")
-    return out.select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("key") < 0, F.col("__id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("class_links", F.lit(0)).alias("class_links"))
+    per_class = grouped.join(least, "root").drop("root", "__rep")
+    named = [F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("key") < 0, F.col("__id")).otherwise(F.col("component_id")).alias("component_id")]
+    if count_links:
+        per_class = per_class.join(_link_counts(root, held, classes, width, num, den, parts), "key", "left")
+        named.append(F.coalesce("class_links", F.lit(0)).alias("class_links"))
+    return members.join(per_class, "key", "left").select(*named)
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -103,6 +103,17 @@ def test_jaccard(docs, empty, width, num):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("tile", [1024, 7])
+def test_jaccard_links(docs, monkeypatch, tile):
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    sets = [frozenset(shingles(t, 4)) for t in texts()]
+    want = {a: sum(1 for b in set(sets) if a != b and a and b and 100 * len(a & b) >= 60 * len(a | b)) for a in set(sets)}
+    assert max(want.values()) > 10
+    got = {r.doc_id: r.class_links for r in jaccard_join.jaccard_components(docs, num=60).collect()}
+    assert got == {k: want[s] for k, s in enumerate(sets)}
+    assert "class_links" not in jaccard_join.jaccard_components(docs, num=60, count_links=False).columns
+
+
 def test_signature_tree_loses_nothing():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, rng.integers(5, 40))) for _ in range(150)]
