@@ -1,4 +1,9 @@
-"""Packing by lexical retrieval: a sharded BM25 index gives each seed document's unused neighbours, which fill its window."""
+"""Packing by lexical retrieval: a sharded BM25 index gives each seed document's unused neighbours, which fill its window.
+
+Counts, document frequencies and the mean length are those of all documents. Documents are placed in shards by shared
+terms: a weighted minimum of term hashes, by BM25 weight, that two documents have in common the more often the more
+weight they share. Retrieval doesn't leave a shard.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import cut, mix, table
 
 WINDOW, END = 2048, 1
 K1, B = 1.2, 0.75
@@ -29,10 +34,39 @@ def encoder(ranks_path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+class Stats:
+    """Number of documents, mean length and the document frequency of each term, over the whole corpus."""
+
+    def __init__(self, n: int, mean: float, df: np.ndarray) -> None:
+        self.n, self.mean, self.df = n, max(mean, 1), df
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Stats:
+        df = np.zeros(int(max(d.max() for d in docs)) + 1 if docs else 0, np.int64)
+        for d in docs:
+            df[np.unique(d)] += 1
+        return cls(len(docs), sum(map(len, docs)) / max(len(docs), 1), df)
+
+    def weight(self, term: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / self.mean))
+
+    def places(self, doc: np.ndarray) -> tuple[int, int]:
+        """Two terms, each the first in a race in which a term's chance is its weight."""
+        term, tf = np.unique(doc.astype(np.int64), return_counts=True)
+        shared = self.df[term] > 1
+        if shared.any():
+            term, tf = term[shared], tf[shared]
+        weight = self.weight(term, tf, np.int64(len(doc)))
+        at = [np.argmin(-np.log(((mix(term.astype(np.uint64) * np.uint64(2) + np.uint64(k + 1)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)) / weight) for k in range(2)]
+        return int(term[at[0]]), int(term[at[1]])
+
+
 class Index:
     """An inverted index of one shard: the documents and BM25 weights of each term."""
 
-    def __init__(self, docs: list[np.ndarray]) -> None:
+    def __init__(self, docs: list[np.ndarray], stats: Stats | None = None) -> None:
+        stats = stats or Stats.of(docs)
         n, sizes = len(docs), np.array([len(d) for d in docs], np.int64)
         doc = np.repeat(np.arange(n), sizes)
         flat = np.concatenate(docs).astype(np.int64) if n else np.zeros(0, np.int64)
@@ -40,8 +74,8 @@ class Index:
         term, self.docs = pairs // max(n, 1), pairs % max(n, 1)
         self.terms, self.begin, df = np.unique(term, return_index=True, return_counts=True)
         self.end = self.begin + df
-        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        self.weights = np.repeat(self.idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.docs] / max(sizes.mean(), 1) if n else 1))
+        self.idf = stats.idf[self.terms]
+        self.weights = stats.weight(term, tf, sizes[self.docs])
         slot = np.repeat(np.arange(len(self.terms)), df)
         order = np.lexsort((-self.idf[slot], self.docs))  # each document's terms, the rarest first
         self.by_doc, self.first = slot[order], np.searchsorted(self.docs[order], np.arange(n + 1))
@@ -63,13 +97,13 @@ class Index:
         return which[np.lexsort((which, -np.bincount(where, w)))]
 
 
-def fill_windows(docs: list[np.ndarray], window: int = WINDOW, terms: int = 12) -> list[tuple[int, int, int, int, int]]:
+def fill_windows(docs: list[np.ndarray], window: int = WINDOW, terms: int = 12, stats: Stats | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) that hold each token once. Only the last window can be short.
 
     A seed fills its window; its neighbours follow, the best first, and the one that doesn't fit
     is cut there, its rest beginning the next window as seed. Without a neighbour the first unused document follows.
     """
-    index, unused = Index(docs), np.ones(len(docs), bool)
+    index, unused = Index(docs, stats), np.ones(len(docs), bool)
     out, sequence, room, first = [], 0, window, 0
     queue: list[int] = []
     while True:
@@ -96,40 +130,127 @@ def fill_windows(docs: list[np.ndarray], window: int = WINDOW, terms: int = 12)
             queue = index.neighbours(doc, unused, terms)[: 64][::-1].tolist()
 
 
+def _tokens(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for b in batches:
+            tokens = [np.append(enc.encode_to_numpy(t.as_py() or "", disallowed_special=()), np.uint32(END)).astype("<u4").tobytes() for t in b.column("__text")]
+            yield pa.record_batch([b.column("__id"), b.column("__salt"), pa.array(tokens, pa.binary())], names=["__id", "__salt", "__tokens"])
+
+    return run
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's documents (term -1), tokens (term -2) and documents of each term."""
+    df, rows, total = np.zeros(1, np.int64), 0, 0
+    for b in batches:
+        for t in b.column("__tokens"):
+            ids = np.frombuffer(t.as_buffer(), "<u4")
+            rows, total = rows + 1, total + len(ids)
+            own = np.unique(ids)
+            if own[-1] >= len(df):
+                df = np.concatenate((df, np.zeros(max(len(df), int(own[-1]) + 1 - len(df)), np.int64)))
+            df[own] += 1
+    some = np.flatnonzero(df)
+    yield pa.record_batch({"term": pa.array(np.concatenate(([-1, -2], some))), "c": pa.array(np.concatenate(([rows, total], df[some])))})
+
+
+def corpus_stats(tokens: DataFrame) -> Stats:
+    got = tokens.select("__tokens").mapInArrow(_term_counts, "term long, c long").groupBy("term").agg(F.sum("c").alias("c")).toArrow()
+    term, c = (got.column(x).to_numpy() for x in ("term", "c"))
+    n, total = int(c[term == -1].sum()), int(c[term == -2].sum())
+    df = np.zeros(max(int(term.max(initial=0)) + 1, END + 1), np.int64)
+    df[term[term >= 0]] = c[term >= 0]
+    return Stats(n, total / max(n, 1), df)
+
+
+def _place_rows(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [sent.value.places(np.frombuffer(t.as_buffer(), "<u4")) for t in b.column("__tokens")]
+            yield pa.record_batch({"x": pa.array([p[0] for p in at], pa.int64()), "y": pa.array([p[1] for p in at], pa.int64())})
+
+    return run
+
+
+def shard_map(tokens: DataFrame, sent, per: int) -> tuple[dict[tuple[int, int], tuple[int, int]], int]:
+    """The first shard and the number of shards of each place, and how many shards there are.
+
+    Places with one first term stand together, a second term counts where more than `per` documents share
+    the first, and only places that still have more are dealt to several shards.
+    """
+    places = tokens.select("__tokens").mapInArrow(_place_rows(sent), "x long, y long")
+    cells = {(r["x"], -1): r["c"] for r in places.groupBy("x").agg(F.count(F.lit(1)).alias("c")).toArrow().to_pylist()}
+    hot = [x for (x, _), c in cells.items() if c > per]
+    if hot:
+        for r in places.where(F.col("x").isin(hot)).groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).toArrow().to_pylist():
+            cells[r["x"], r["y"]] = r["c"]
+        for x in hot:
+            del cells[x, -1]
+    out, shard, room = {}, -1, 0
+    for cell, c in sorted(cells.items()):
+        if c > per:
+            n = -(-c // per)
+            out[cell], shard, room = (shard + 1, n), shard + n, 0
+        else:
+            if c > room:
+                shard, room = shard + 1, per
+            out[cell], room = (shard, 1), room - c
+    return out, max(shard + 1, 1)
+
+
+def _sharded(sent, where):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shards = []
+            for t, salt in zip(b.column("__tokens"), b.column("__salt").to_pylist(), strict=True):
+                x, y = sent.value.places(np.frombuffer(t.as_buffer(), "<u4"))
+                first, n = where.value.get((x, -1)) or where.value[x, y]
+                shards.append(first + salt % n)
+            yield pa.record_batch([b.column("__id"), b.column("__tokens"), pa.array(shards, pa.int64())], names=["__id", "__tokens", "__shard"])
+
+    return run
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ranks: str | None = None, docs_per_shard: int = 2000, window: int = WINDOW) -> DataFrame:
     """Packs all documents, whole, into windows of tokens: one row for each piece.
 
-    Documents are hashed to shards of about docs_per_shard; each shard has its own index, and its last
-    window may be short. A null text counts as empty: its only token is the end mark. Equal rows are
-    documents of their own. An empty table gives an empty result.
+    Documents are placed by shared terms in shards of at most about docs_per_shard; each shard has its own index with the
+    corpus's statistics, and its last window may be short. A null text counts as empty: its only token is the end mark.
+    Equal rows are documents of their own. An empty table gives an empty result.
     """
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    shards = max(1, -(-docs.count() // docs_per_shard))
     kinds = [T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
     schema = T.StructType([*docs.select(id_col).schema.fields, *kinds])
     names = [f.name for f in schema.fields]
+    id_type = schema.fields[0].dataType.simpleString()
+    held = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).withColumn("__salt", F.xxhash64("__id", F.crc32(F.coalesce("__text", F.lit("")).cast("binary"))))
+    tokens = cut(held.mapInArrow(_tokens(path), f"__id {id_type}, __salt long, __tokens binary"), "tokens")
+    context = docs.sparkSession.sparkContext
+    sent = context.broadcast(corpus_stats(tokens))
+    cells, shards = shard_map(tokens, sent, docs_per_shard)
+    where = context.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
         held: dict[int, tuple[list, list]] = {}
         for b in batches:
-            for shard, i, t in zip(b.column("__shard").to_pylist(), b.column("__id"), b.column("__text"), strict=True):
+            for shard, i, t in zip(b.column("__shard").to_pylist(), b.column("__id"), b.column("__tokens"), strict=True):
                 ids, tokens = held.setdefault(shard, ([], []))
                 ids.append(i.as_py())
-                tokens.append(np.append(enc.encode_to_numpy(t.as_py() or "", disallowed_special=()), np.uint32(END)).astype("<u4"))
+                tokens.append(np.frombuffer(t.as_py(), "<u4"))
         for shard in sorted(held):
             ids, tokens = held.pop(shard)
             order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k], len(tokens[k]), tokens[k].tobytes() if ids[k] is None else b""))
             ids, tokens = [ids[k] for k in order], [tokens[k] for k in order]
-            rows = fill_windows(tokens, window)
+            rows = fill_windows(tokens, window, stats=sent.value)
             doc, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*rows, strict=True))
             crc = [zlib.crc32(tokens[d][s : s + n].tobytes()) for d, s, n in zip(doc, start, length, strict=True)]
             sizes = np.array([len(t) for t in tokens], np.int64)
             cols = [pa.array([ids[d] for d in doc], b.column("__id").type), *[pa.array(c, pa.int64()) for c in (start, length, crc, sizes[doc], sequence + (shard << 32), offset)]]
             yield pa.record_batch(cols, names=names)
 
-    held = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).withColumn("__shard", F.pmod(F.xxhash64("__id", F.crc32(F.coalesce("__text", F.lit("")).cast("binary"))), F.lit(shards)))
-    return held.repartition(shards, "__shard").mapInArrow(run, schema)
+    placed = tokens.mapInArrow(_sharded(sent, where), f"__id {id_type}, __tokens binary, __shard long")
+    return placed.repartition(shards, "__shard").mapInArrow(run, schema)
 
 
 def op6_bm25_packing(spark, sf_dir: str) -> DataFrame:

@@ -161,6 +161,23 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_places_by_shared_terms(spark):
+    rng = random.Random(6)
+    groups = [["".join(rng.choices("abcdefghij", k=6)) for _ in range(60)] for _ in range(10)]
+    rows = [(k, " ".join(rng.sample(groups[k % 10], 55))) for k in range(200)]
+    held = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.sequence_id >> 32 for r in packing.pack(held, docs_per_shard=40).collect()}
+    together = [got[a] == got[b] for a in got for b in got if a < b and a % 10 == b % 10]
+    assert len(set(got.values())) >= 5 and sum(together) > 0.4 * len(together)
+    enc = packing.encoder(packing.public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    want = packing.Stats.of([np.append(enc.encode_ordinary(t), 1) for _, t in rows])
+    tokens = held.select(F.col("doc_id").alias("__id"), F.lit(0).cast("long").alias("__salt"), F.col("text").alias("__text"))
+    stats = packing.corpus_stats(tokens.mapInArrow(packing._tokens(packing.public_tokenizers.path("byte_bpe_50k.tiktoken")), "__id long, __salt long, __tokens binary"))
+    assert (stats.n, stats.mean) == (want.n, want.mean) and (stats.df == want.df).all()
+    some = packing.Index([np.append(enc.encode_ordinary(t), 1) for _, t in rows[:30]], stats)
+    assert (some.idf == want.idf[some.terms]).all()
+
+
 def test_tokens_equal_the_vocabulary_file():
     from tokenizers import Tokenizer
 
