@@ -77,27 +77,25 @@ class Index:
         self.idf = stats.idf[self.terms]
         self.weights = stats.weight(term, tf, sizes[self.docs])
         slot = np.repeat(np.arange(len(self.terms)), df)
-        order = np.lexsort((-self.idf[slot], self.docs))  # each document's terms, the rarest first
+        order = np.argsort(self.docs, kind="stable")  # each document's terms
         self.by_doc, self.first = slot[order], np.searchsorted(self.docs[order], np.arange(n + 1))
         self.n, self.df = n, df
 
-    def neighbours(self, seed: int, unused: np.ndarray, terms: int) -> np.ndarray:
-        """Unused documents that share some of the seed's rarest shared terms, the best BM25 score first, ties in order."""
+    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """Unused documents that share a term with the seed, the best BM25 score over all its terms first, ties in order."""
         own = self.by_doc[self.first[seed] : self.first[seed + 1]]
-        own = own[self.df[own] > 1][:terms]
+        own = own[self.df[own] > 1]
         if not len(own):
             return own
-        at = np.concatenate([np.arange(self.begin[t], self.end[t]) for t in own])
+        size = self.df[own]
+        at = np.arange(size.sum()) + np.repeat(self.begin[own] - np.cumsum(size) + size, size)
         found = self.docs[at]
-        live = unused[found]
-        found, w = found[live], self.weights[at[live]]
-        if not len(found):
-            return found
-        which, where = np.unique(found, return_inverse=True)
-        return which[np.lexsort((which, -np.bincount(where, w)))]
+        score = np.bincount(found, self.weights[at], self.n)
+        which = np.flatnonzero(unused & (np.bincount(found, minlength=self.n) > 0))
+        return which[np.argsort(-score[which], kind="stable")]
 
 
-def fill_windows(docs: list[np.ndarray], window: int = WINDOW, terms: int = 12, stats: Stats | None = None) -> list[tuple[int, int, int, int, int]]:
+def fill_windows(docs: list[np.ndarray], window: int = WINDOW, stats: Stats | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) that hold each token once. Only the last window can be short.
 
     A seed fills its window; its neighbours follow, the best first, and the one that doesn't fit
@@ -127,7 +125,7 @@ def fill_windows(docs: list[np.ndarray], window: int = WINDOW, terms: int = 12,
             if not room:
                 sequence, room, seeds = sequence + 1, window, start < size
         if seeds or not queue:
-            queue = index.neighbours(doc, unused, terms)[: 64][::-1].tolist()
+            queue = index.neighbours(doc, unused)[::-1].tolist()
 
 
 def _tokens(path: str):

@@ -178,6 +178,31 @@ def test_packing_places_by_shared_terms(spark):
     assert (some.idf == want.idf[some.terms]).all()
 
 
+def test_neighbours_are_those_of_full_bm25():
+    rng = np.random.default_rng(5)
+    held = [np.append(rng.zipf(1.3, rng.integers(20, 400)) % 300 + 2, 1) for _ in range(120)]
+    index, unused = packing.Index(held), rng.random(120) < 0.9
+    mean = sum(map(len, held)) / 120
+    df = {int(t): sum(t in d for d in held) for t in np.unique(np.concatenate(held))}
+    for seed in range(0, 120, 7):
+        unused[seed] = False
+        want = {}
+        for k in np.flatnonzero(unused):
+            both = np.intersect1d(held[seed], held[k])
+            tf = np.array([(held[k] == t).sum() for t in both])
+            idf = np.array([np.log(1 + (120 - df[int(t)] + 0.5) / (df[int(t)] + 0.5)) for t in both])
+            want[int(k)] = float((idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(held[k]) / mean))).sum())
+        got = index.neighbours(seed, unused).tolist()
+        assert sorted(got) == sorted(want) and len(got) > 64
+        assert np.allclose([want[k] for k in got], sorted(want.values(), reverse=True))
+
+
+def test_small_documents_fill_a_window_by_score():
+    held = [np.array([5, 6, 1])] + [np.array([5, 9, 1])] * 40 + [np.array([7, 8, 1])] * 40 + [np.array([5, 6, 1])] * 90
+    first = [r[0] for r in packing.fill_windows(held, window=3 * 91) if r[3] == 0]
+    assert first == [0, *range(81, 171)]
+
+
 def test_tokens_equal_the_vocabulary_file():
     from tokenizers import Tokenizer
 
