@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+SALTS = 16
+
 
 def _state(edges: DataFrame) -> tuple[int, int]:
     r = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))), F.lit(0))).first()
@@ -21,14 +23,15 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u, v); root is the component's smallest node.
 
     Each round hangs a node's larger neighbours on the smallest node it knows, then its smaller ones. Minima are
-    combined before they are shuffled, so a hub with very many links is no problem; each
+    combined before they are shuffled, and a hub's links are joined in SALTS tasks; each
     round is written to the shared folder. Loops and repeated links are ignored; no links, no rows.
     """
     e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = _state(e)
     while before[0]:
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = sym.join(_nearest(sym), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        near = _nearest(sym).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a hub's links are dealt to several tasks
+        large = sym.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(near, ["u", "salt"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         near = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(near, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
         e = cut(small, "links")

@@ -1,16 +1,20 @@
 """Exact Jaccard self-join of word n-gram sets with signature trees, and the components of its links.
 
-1. Documents with the same set are one class. A pass gives each class a key, its size and a bitmap
-   (signature) of its shingles, and finds which shingles are frequent.
+1. Documents with the same set are one class: sets are told apart by 128 bits of hashes and the size. A pass gives
+   each class a bitmap (signature) of its shingles, and finds which shingles are frequent.
 2. Two sets that link share one of their first size - ceil(threshold * size) + 1 shingles in any order that
-   is the same for all; here frequent shingles come last. Classes meet in the buckets of these shingles.
-3. In each bucket every class is compared with a hub; links found so already join most copies.
-4. Then each bucket's classes that aren't in one component yet are put in a signature tree: nodes hold
+   is the same for all; here frequent shingles come last. Classes meet in the buckets of these shingles; buckets
+   of shingles known to be very frequent are dealt to several tasks.
+3. In each bucket every class is compared with the one after it in a hashed order: few comparisons for any class, which
+   join most copies.
+4. Then the classes of each bucket that aren't in one component yet are put in a signature tree: nodes hold
    the OR of their bitmaps and the range of sizes, and pairs of nodes are followed down only while the largest
-   possible overlap can still reach the threshold.
-5. Pairs from 3 and 4 are checked exactly on the whole sets.
-6. Links lie within components. To count them, each component's sets are dealt to tiles, and each pair of tiles
-   is a row of its own, in which all overlaps are counted exactly; only sums for each class leave a task.
+   possible overlap can still reach the threshold. Pairs from 3 and 4 are checked on the whole sets.
+5. Where a tree would give more than a few pairs for each class, or a bucket is very large, no pairs leave the task. The
+   bucket's sets are dealt to tiles, each pair of tiles is a row of its own, in which all overlaps are counted
+   exactly, and only links that join two components (fewer than there are sets) leave it.
+6. Links lie within components. To count them, each component's sets are dealt to tiles in the same way; only sums for
+   each class leave a task.
 """
 
 from __future__ import annotations
@@ -27,23 +31,28 @@ from .components import components
 from .shingles import shingle_sets
 from .url_filter import BlockedBloom
 
-#: Signature words of 64 bits; buckets of the counts of frequent shingles.
-SIG, COUNTERS = 16, 1 << 24
-HUBS, LEAF, FAN = 4, 16, 8
-#: Shingles in more documents than this come last in the order; it keeps buckets small whatever the input.
+#: Signature words of 64 bits; slots of the counts of frequent shingles.
+SIG, COUNTERS = 16, 1 << 23
+ORDERS, LEAF, FAN = 4, 16, 8
+#: Shingles in more documents than this (and than slots hold on average) come last in the order.
 FREQUENT = 50
-#: Classes and shingles of a tile when links are counted, on average; shingles multiplied at once.
+#: Rows of a bucket beyond which it is dealt to several tasks; pairs for each class beyond which its sets are compared in tiles.
+SPREAD, PAIRS = 2048, 4
+#: Classes and shingles of a tile, on average; shingles multiplied at once.
 TILE, TILE_SHINGLES, WIDE = 1024, 1 << 17, 4096
-PREFIX = "token long, key long, n int, pos int"
+PREFIX = "token long, salt int, salts int, k1 long, k2 long, n int, pos int"
 
 
-def class_keys(value: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A key for each set that doesn't depend on order; -1 for empty sets."""
+def class_keys(value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent keys for each set that don't depend on order; -1 for empty sets."""
     size = np.diff(at)
-    with np.errstate(over="ignore"):
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(value + np.uint64(77)), dtype=np.uint64)))
-        key = mix(total[at[1:]] - total[at[:-1]] + size.astype(np.uint64)) >> np.uint64(1)
-    return np.where(size > 0, key.astype(np.int64), -1)
+    out = []
+    for seed in (77, 1_000_003):
+        with np.errstate(over="ignore"):
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(value + np.uint64(seed)), dtype=np.uint64)))
+            key = mix(total[at[1:]] - total[at[:-1]] + size.astype(np.uint64)) >> np.uint64(1)
+        out.append(np.where(size > 0, key.astype(np.int64), -1))
+    return out[0], out[1]
 
 
 def signatures(value: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -59,85 +68,106 @@ def _needed(a, b, num: int, den: int):
     return -((-num * (a + b)) // (den + num))
 
 
+def _slot(value: np.ndarray) -> np.ndarray:
+    return (value >> np.uint64(41)).astype(np.int64)
+
+
 def _pass_one(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, rows = np.zeros(COUNTERS, np.int32), 0
+        counter, rows, total = np.zeros(COUNTERS, np.int32), 0, 0
+        names = ["id", "h", "n", "k1", "k2", "sig", "slot", "hits"]
         for b in batches:
             data, at = utf8(b.column("__text"))
             for i, j in spans(at):
                 value, where = shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], width)
-                slot, c = np.unique((value >> np.uint64(40)).astype(np.int64), return_counts=True)
+                slot, c = np.unique(_slot(value), return_counts=True)
                 counter[slot] += c.astype(np.int32)
-                rows += j - i
+                rows, total = rows + j - i, total + len(value)
                 sig = signatures(value, where)
                 yield pa.record_batch(
-                    [b.column("__id").slice(i, j - i), pa.array(np.diff(where)), pa.array(class_keys(value, where)), pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * SIG, pa.int32()), pa.array(sig.ravel())), pa.nulls(j - i, pa.int64()), pa.nulls(j - i, pa.int64())],
-                    names=["id", "n", "key", "sig", "slot", "hits"],
+                    [b.column("__id").slice(i, j - i), b.column("__h").slice(i, j - i), pa.array(np.diff(where)), *map(pa.array, class_keys(value, where)), pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * SIG, pa.int32()), pa.array(sig.ravel())), pa.nulls(j - i, pa.int64()), pa.nulls(j - i, pa.int64())],
+                    names=names,
                 )
         often = np.flatnonzero(counter >= max(4, rows // 4000))
-        k = len(often)
-        if k:
-            yield pa.record_batch([pa.nulls(k, b.column("__id").type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.array(often), pa.array(counter[often].astype(np.int64))], names=["id", "n", "key", "sig", "slot", "hits"])
+        if rows:  # slot -1 stands for all shingles
+            slot, hits = np.append(often, -1), np.append(counter[often].astype(np.int64), total)
+            k = len(slot)
+            yield pa.record_batch([pa.nulls(k, b.column("__id").type), *[pa.nulls(k, pa.int64())] * 4, pa.nulls(k, pa.list_(pa.int64())), pa.array(slot), pa.array(hits)], names=names)
 
     return run
 
 
 def _prefix_rows(width: int, num: int, den: int, heavy_sent):
+    """A row for each shingle of each class's prefix. Shingles whose slot counts more than SPREAD are dealt to `salts` parts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, seen = np.unpackbits(heavy_sent.value).view(bool), np.zeros(0, np.int64)
+        slots, hits = heavy_sent.value
+        heavy, seen = np.zeros(COUNTERS, bool), np.zeros((0, 2), np.int64)
+        heavy[slots] = True
         for b in batches:
             data, at = utf8(b.column("__text"))
             for i, j in spans(at):
                 value, where = shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], width)
-                key, size = class_keys(value, where), np.diff(where)
-                _, first = np.unique(key, return_index=True)
-                new = np.zeros(len(key), bool)
-                new[first] = True
-                new &= (key >= 0) & ~np.isin(key, seen)
-                seen = np.union1d(seen, key[new])  # eight bytes for each class of this task
+                (k1, k2), size = class_keys(value, where), np.diff(where)
+                pair, first = np.unique(np.concatenate((seen, np.stack([k1, k2], 1))), axis=0, return_index=True)
+                new = np.zeros(len(k1), bool)
+                new[first[first >= len(seen)] - len(seen)] = True
+                new &= k1 >= 0
+                seen = pair  # sixteen bytes for each class of this task
                 row = np.repeat(np.arange(j - i), size)
                 keep = new[row]
                 value, row = value[keep], row[keep]
-                order = np.lexsort((value, heavy[(value >> np.uint64(40)).astype(np.int64)], row))
-                value, row = value[order], row[order]
+                often = heavy[_slot(value)]
+                order = np.lexsort((value, often, row))
+                value, row, often = value[order], row[order], often[order]
                 pos = np.arange(len(row)) - np.searchsorted(row, row)
                 k = pos <= size[row] + (-num * size[row]) // den
-                value, row, pos = value[k], row[k], pos[k]
-                yield pa.record_batch({"token": pa.array(value.view(np.int64)), "key": pa.array(key[row]), "n": pa.array(size[row].astype(np.int32)), "pos": pa.array(pos.astype(np.int32))})
-
-    return run
-
-
-def _hot_slots(limit: int):
-    """Counter slots of the shingles of a task's buckets that have more than `limit` rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b.column("token").to_numpy() for b in batches if b.num_rows]
-        if got:
-            token, c = np.unique(np.concatenate(got), return_counts=True)
-            yield pa.record_batch({"slot": pa.array(np.unique(token[c > limit].view(np.uint64) >> np.uint64(40)).astype(np.int64))})
+                value, row, pos, often = value[k], row[k], pos[k], often[k]
+                salts = np.ones(len(row), np.int32)
+                salts[often] = -(-hits[np.searchsorted(slots, _slot(value[often]))] // SPREAD)
+                with np.errstate(over="ignore"):
+                    salt = (mix(k1[row].astype(np.uint64) + value) % salts.astype(np.uint64)).astype(np.int32)
+                yield pa.record_batch({"token": pa.array(value.view(np.int64)), "salt": pa.array(salt), "salts": pa.array(salts), "k1": pa.array(k1[row]), "k2": pa.array(k2[row]), "n": pa.array(size[row].astype(np.int32)), "pos": pa.array(pos.astype(np.int32))})
 
     return run
 
 
 def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a task's buckets with two classes or more, each with its bucket's hub."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
-    token, key, n, pos = (t.column(c).to_numpy() for c in ("token", "key", "n", "pos"))
-    lot = mix(key.astype(np.uint64) * np.uint64(2 * HUBS) + (token.astype(np.uint64) % np.uint64(HUBS)))
-    order = np.lexsort((key, lot, token))
-    token, key, n, pos = token[order], key[order], n[order], pos[order]
-    again = np.concatenate(([False], (token[1:] == token[:-1]) & (key[1:] == key[:-1])))
-    token, key, n, pos = token[~again], key[~again], n[~again], pos[~again]
-    new = np.concatenate(([True], token[1:] != token[:-1]))
-    start = np.flatnonzero(new)
-    size = np.diff([*start, len(token)])
-    keep = np.repeat(size > 1, size)
-    hub = np.repeat(key[start], size)
-    yield pa.record_batch({"token": pa.array(token[keep]), "key": pa.array(key[keep]), "n": pa.array(n[keep]), "pos": pa.array(pos[keep]), "hub": pa.array(hub[keep])})
+    """Rows of buckets with two classes or more, each with the class that follows it in the bucket's hashed order. Rows come sorted by token and salt; a part of a spread bucket stays even if it has one class."""
+    held: list[pa.RecordBatch] = []
+
+    def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        token, salt, salts, k1, k2, n, pos = (t.column(c).to_numpy() for c in ("token", "salt", "salts", "k1", "k2", "n", "pos"))
+        with np.errstate(over="ignore"):
+            lot = mix(k1.astype(np.uint64) * np.uint64(2 * ORDERS) + (token.astype(np.uint64) % np.uint64(ORDERS)))
+        order = np.lexsort((k2, k1, lot, salt, token))
+        token, salt, salts, k1, k2, n, pos = (x[order] for x in (token, salt, salts, k1, k2, n, pos))
+        part = np.concatenate(([False], (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])))
+        again = part & np.concatenate(([False], (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])))
+        token, salts, k1, k2, n, pos, part = (x[~again] for x in (token, salts, k1, k2, n, pos, part))
+        start = np.flatnonzero(~part)
+        size = np.diff([*start, len(token)])
+        last = start + size - 1
+        follows = np.minimum(np.arange(len(token)) + 1, len(token) - 1)
+        follows[last] = np.where(size > 2, start, last)  # a ring
+        keep = (np.repeat(size, size) > 1) | (salts > 1)
+        yield pa.record_batch({"token": pa.array(token[keep]), "salts": pa.array(salts[keep]), "k1": pa.array(k1[keep]), "k2": pa.array(k2[keep]), "n": pa.array(n[keep]), "pos": pa.array(pos[keep]), "next1": pa.array(k1[follows][keep]), "next2": pa.array(k2[follows][keep])})
+
+    rows = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        rows += b.num_rows
+        if rows > 1 << 18:  # whole buckets only: what may go on stays
+            t = pa.Table.from_batches(held).combine_chunks()
+            token, salt = t.column("token").to_numpy(), t.column("salt").to_numpy()
+            end = int(np.flatnonzero((token != token[-1]) | (salt != salt[-1])).max(initial=-1)) + 1
+            if end:
+                yield from done(t.slice(0, end))
+            held, rows = t.slice(end).to_batches(), t.num_rows - end
+    if held:
+        yield from done(pa.Table.from_batches(held))
 
 
 class SignatureTree:
@@ -187,41 +217,66 @@ class SignatureTree:
 
 
 def _tree_pairs(num: int, den: int):
+    """Pairs of classes of a task's buckets that may link; for a bucket with more than PAIRS for each class only its token, with a null pair. Rows come sorted by token."""
+
+    def bucket(token: int, t: pa.Table) -> pa.RecordBatch | None:
+        key, n, pos, label = (t.column(c).to_numpy().astype(np.int64) for c in ("key", "n", "pos", "label"))
+        if (label == label[0]).all():
+            return None
+        sig = t.column("sig").combine_chunks()
+        sig = (pa.concat_arrays(sig.chunks) if isinstance(sig, pa.ChunkedArray) else sig).flatten().to_numpy().reshape(-1, SIG).view(np.uint64)
+        at = np.lexsort((key, n))
+        found, many = [], 0
+        for a, b in SignatureTree(sig[at], n[at], label[at]).pairs(num, den):
+            a, b = at[a], at[b]
+            # the first shingle that both have in their prefixes: all before it are in one of them only
+            need = _needed(n[a], n[b], num, den)
+            ok = (pos[a] + need <= n[a]) & (pos[b] + need <= n[b])
+            x, y = key[a[ok]], key[b[ok]]
+            found.append((np.minimum(x, y), np.maximum(x, y)))
+            many += len(x)
+            if many > PAIRS * len(key):
+                return pa.record_batch({"dense": pa.array([token], pa.int64()), "a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64())})
+        if not many:
+            return None
+        return pa.record_batch({"dense": pa.nulls(many, pa.int64()), "a": pa.array(np.concatenate([x for x, _ in found])), "b": pa.array(np.concatenate([y for _, y in found]))})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got).combine_chunks()
-        token, key, n, pos, label = (t.column(c).to_numpy().astype(np.int64) for c in ("token", "key", "n", "pos", "label"))
-        sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, SIG).view(np.uint64)
-        order = np.lexsort((key, n, token))
-        start = np.flatnonzero(np.concatenate(([True], token[order][1:] != token[order][:-1])))
-        found: list[np.ndarray] = []
-        for i, j in zip(start, [*start[1:], len(order)], strict=True):
-            at = order[i:j]
-            if (label[at] == label[at[0]]).all():
+        held: list[pa.RecordBatch] = []
+        for last, b in _with_last(batches):
+            held.append(b)
+            t = pa.Table.from_batches(held).combine_chunks()
+            token = t.column("token").to_numpy()
+            if not len(token):
+                held = []
                 continue
-            for a, b in SignatureTree(sig[at], n[at], label[at]).pairs(num, den):
-                a, b = at[a], at[b]
-                # the first shingle that both have in their prefixes: all before it are in one of them only
-                need = _needed(n[a], n[b], num, den)
-                ok = (pos[a] + need <= n[a]) & (pos[b] + need <= n[b])
-                if ok.any():
-                    x, y = key[a[ok]], key[b[ok]]
-                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-        if found:
-            pairs = np.unique(np.concatenate(found), axis=0)
-            for k in range(0, len(pairs), 1 << 16):
-                yield pa.record_batch({"a": pa.array(pairs[k : k + (1 << 16), 0]), "b": pa.array(pairs[k : k + (1 << 16), 1])})
+            start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            end = [*start[1:], len(token)]
+            out = [bucket(int(token[i]), t.slice(i, j - i)) for i, j in zip(start, end, strict=True) if last or j < len(token)]
+            out = [x for x in out if x is not None]
+            if out:
+                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+            held = t.slice(int(start[-1])).to_batches()
 
     return run
 
 
+def _with_last(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Batches, each with whether it is the last."""
+    before = None
+    for b in batches:
+        if before is not None:
+            yield False, before
+        before = b
+    if before is not None:
+        yield True, before
+
+
 def _could_link(num: int, den: int) -> Column:
-    """The bound of two signatures, as a column over sig_a, sig_b, n_a, n_b."""
+    """The bound of two signatures, as a column over sig_x, sig_y, n_x, n_y."""
     missing = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, c: s + c)
-    most = F.least(F.col("n_a") - missing("sig_a", "sig_b"), F.col("n_b") - missing("sig_b", "sig_a"))
-    return most * F.lit(num + den) >= (F.col("n_a") + F.col("n_b")) * F.lit(num)
+    most = F.least(F.col("n_x") - missing("sig_x", "sig_y"), F.col("n_y") - missing("sig_y", "sig_x"))
+    return most * F.lit(num + den) >= (F.col("n_x") + F.col("n_y")) * F.lit(num)
 
 
 def _set_rows(width: int):
@@ -230,7 +285,7 @@ def _set_rows(width: int):
             data, at = utf8(b.column("__text"))
             for i, j in spans(at):
                 value, where = shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], width)
-                yield pa.record_batch([pa.array(class_keys(value, where)), pa.array([value[p:q].tobytes() for p, q in zip(where[:-1], where[1:], strict=True)], pa.binary())], names=["key", "set"])
+                yield pa.record_batch([*map(pa.array, class_keys(value, where)), pa.array([value[p:q].tobytes() for p, q in zip(where[:-1], where[1:], strict=True)], pa.binary())], names=["k1", "k2", "set"])
 
     return run
 
@@ -274,74 +329,148 @@ def overlaps(x: np.ndarray, at_x: np.ndarray, y: np.ndarray, at_y: np.ndarray) -
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each tile from sets sorted by root and tile."""
-    now, keys, sets = None, [], []
+    now, keys, labels, sets = None, [], [], []
 
     def row() -> pa.RecordBatch:
         sizes = np.array([len(s) // 8 for s in sets], np.int64)
-        return pa.record_batch({"root": [now[0]], "tile": pa.array([now[1]], pa.int32()), "tiles": pa.array([now[2]], pa.int32()), "keys": pa.array([np.array(keys, np.int64).tobytes()], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary()), "sets": pa.array([b"".join(sets)], pa.binary())})
+        packed = [np.array(keys, np.int64).tobytes(), np.array(labels, np.int64).tobytes(), sizes.tobytes(), b"".join(sets)]
+        return pa.record_batch([pa.array([now[0]], pa.int64()), *[pa.array([x], pa.int32()) for x in now[1:]], *[pa.array([x], pa.binary()) for x in packed]], names=["root", "tile", "tiles", "alone", "keys", "labels", "sizes", "sets"])
 
     for b in batches:
-        for root, tile, tiles, key, held in zip(*(b.column(c).to_pylist() for c in ("root", "tile", "tiles", "key", "set")), strict=True):
-            if now != (root, tile, tiles):
+        for root, tile, tiles, alone, key, label, held in zip(*(b.column(c).to_pylist() for c in ("root", "tile", "tiles", "alone", "key", "label", "set")), strict=True):
+            if now != (root, tile, tiles, alone):
                 if keys:
                     yield row()
-                now, keys, sets = (root, tile, tiles), [], []
+                now, keys, labels, sets = (root, tile, tiles, alone), [], [], []
             keys.append(key)
+            labels.append(label)
             sets.append(held)
     if keys:
         yield row()
 
 
-def _tile_links(num: int, den: int):
-    """Links of each class in the pairs of tiles of a task; a pair's rows follow each other."""
+def joining(ok: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links ok (row, column), as pairs of labels, only those that a spanning forest of the labels needs."""
+    name, code = np.unique(np.concatenate((left, right)), return_inverse=True)
+    i, j = np.nonzero(ok & (left[:, None] != right))
+    near = np.zeros((len(name), len(name)), bool)
+    near[code[: len(left)][i], code[len(left) :][j]] = True
+    near |= near.T
+    seen, a, b = np.zeros(len(name), bool), [], []
+    for first in np.flatnonzero(near.any(1)):
+        stack = [] if seen[first] else [first]
+        seen[first] = True
+        while stack:
+            u = stack.pop()
+            new = np.flatnonzero(near[u] & ~seen)
+            seen[new] = True
+            stack.extend(new.tolist())
+            a.append(np.full(len(new), name[u]))
+            b.append(name[new])
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, mate = {}, None
+
+def _tile_pairs(num: int, den: int):
+    """Both tiles of each pair in a task, with the links between their sets; a pair's rows follow each other."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        mate = None
         for b in batches:
-            for root, lo, hi, *held in zip(*(b.column(c).to_pylist() for c in ("root", "lo", "hi", "keys", "sizes", "sets")), strict=True):
-                key, n, value = (np.frombuffer(x, t) for x, t in zip(held, (np.int64, np.int64, np.uint64), strict=True))
-                here = (key, n, value, np.concatenate(([0], np.cumsum(n))))
+            for root, lo, hi, *held in zip(*(b.column(c).to_pylist() for c in ("root", "lo", "hi", "keys", "labels", "sizes", "sets")), strict=True):
+                key, label, n, value = (np.frombuffer(x, t) for x, t in zip(held, (np.int64, np.int64, np.int64, np.uint64), strict=True))
+                here = (key, label, n, value, np.concatenate(([0], np.cumsum(n))))
                 if lo != hi and (mate is None or mate[0] != (root, lo, hi)):
                     mate = ((root, lo, hi), here)
                     continue
-                key_b, n_b, value_b, at_b = here if lo == hi else mate[1]
-                both = overlaps(value, here[3], value_b, at_b)
-                ok = both * den >= num * (n[:, None] + n_b - both)
+                other = here if lo == hi else mate[1]
+                both = overlaps(value, here[4], other[3], other[4])
+                ok = both * den >= num * (n[:, None] + other[2] - both)
                 if lo == hi:
                     np.fill_diagonal(ok, False)
-                for keys, links in ((key, ok.sum(1)), (key_b, ok.sum(0)))[: 1 + (lo != hi)]:
-                    for k, c in zip(keys.tolist(), links.tolist(), strict=True):
-                        total[k] = total.get(k, 0) + c
+                yield ok, here, other, lo == hi
                 mate = None
-                if len(total) > 1 << 16:
-                    yield pa.record_batch({"key": pa.array(list(total), pa.int64()), "links": pa.array(list(total.values()), pa.int64())})
-                    total = {}
+
+    return each
+
+
+def _tile_links(num: int, den: int):
+    """Links of each class in the pairs of tiles of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, int] = {}
+        for ok, here, other, same in _tile_pairs(num, den)(batches):
+            for keys, links in ((here[0], ok.sum(1)), (other[0], ok.sum(0)))[: 2 - same]:
+                for k, c in zip(keys.tolist(), links.tolist(), strict=True):
+                    total[k] = total.get(k, 0) + c
+            if len(total) > 1 << 16:
+                yield pa.record_batch({"key": pa.array(list(total), pa.int64()), "links": pa.array(list(total.values()), pa.int64())})
+                total = {}
         yield pa.record_batch({"key": pa.array(list(total), pa.int64()), "links": pa.array(list(total.values()), pa.int64())})
 
     return run
 
 
+def _tile_joins(num: int, den: int):
+    """Links of a task's pairs of tiles that join two labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ok, here, other, _ in _tile_pairs(num, den)(batches):
+            a, b = joining(ok, here[1], other[1])
+            if len(a):
+                yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
+
+    return run
+
+
+def _in_tiles(rows: DataFrame, docs: DataFrame, classes: DataFrame, width: int, parts: int, run, out: str, name: str) -> DataFrame:
+    """run over all pairs of tiles of each root of rows (root, tile, tiles, alone, key, label); tiles under `alone` aren't compared with each other."""
+    where = rows.select("root", "tile", "tiles", "alone", "key", "label")
+    sets = _sets(rows.select("key").distinct(), docs, classes, width).join(where, "key").select("root", "tile", "tiles", "alone", "key", "label", "set")
+    made = sets.repartition(parts, "root", "tile").sortWithinPartitions("root", "tile").mapInArrow(_tiles, "root long, tile int, tiles int, alone int, keys binary, labels binary, sizes binary, sets binary")
+    pairs = cut(made, name).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("tile >= alone OR other >= alone")
+    pairs = pairs.select("root", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "keys", "labels", "sizes", "sets")
+    return pairs.repartition(parts, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(run, out)
+
+
+def _tile_count(rows: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(rows / F.lit(TILE)), F.ceil(shingles / F.lit(TILE_SHINGLES))).cast("int")
+
+
+def _spread_join(rows: DataFrame, small: DataFrame, on: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """A join with a table of one row for each `on`, in which the rows of one `on` are dealt to several tasks."""
+    dealt = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(dealt, [on, "__salt"], how).drop("__salt")
+
+
 def _link_counts(root: DataFrame, docs: DataFrame, classes: DataFrame, width: int, num: int, den: int, parts: int) -> DataFrame:
     """(key, class_links) of every class in root (node, root): all pairs of each component, tile by tile."""
     held = cut(root.select(F.col("node").alias("key"), "root").join(classes.select("key", "n"), "key"), "linked-classes")
-    most = lambda x, y: F.ceil(x / F.lit(y))
-    tiles = held.groupBy("root").agg(F.greatest(most(F.count(F.lit(1)), TILE), most(F.sum("n"), TILE_SHINGLES)).cast("int").alias("tiles"))
-    where = held.join(tiles, "root").select("key", "root", "tiles", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int").alias("tile"))
-    sets = _sets(held.select("key"), docs, classes, width).join(where, "key").select("root", "tile", "tiles", "key", "set")
-    made = sets.repartition(parts, "root", "tile").sortWithinPartitions("root", "tile").mapInArrow(_tiles, "root long, tile int, tiles int, keys binary, sizes binary, sets binary")
-    pairs = cut(made, "tiles").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    pairs = pairs.select("root", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "keys", "sizes", "sets")
-    counted = pairs.repartition(parts, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(_tile_links(num, den), "key long, links long")
+    tiles = held.groupBy("root").agg(_tile_count(F.count(F.lit(1)), F.sum("n")).alias("tiles"))
+    where = _spread_join(held, tiles, "root").select("key", F.col("key").alias("label"), "root", "tiles", F.lit(0).alias("alone"), F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int").alias("tile"))
+    counted = _in_tiles(where, docs, classes, width, parts, _tile_links(num, den), "key long, links long", "tiles")
     return cut(counted.groupBy("key").agg(F.sum("links").alias("class_links")), "link-counts")
 
 
+def _dense_links(rest: DataFrame, tokens: DataFrame, docs: DataFrame, classes: DataFrame, width: int, num: int, den: int, parts: int) -> DataFrame:
+    """Links (a, b) of labels in the buckets named, tile by tile. The label with most classes of a bucket has tiles of its own, which aren't compared with each other."""
+    rows = cut(_spread_join(rest, tokens, "token", "left_semi").select(F.col("token").alias("root"), "key", "label", "n"), "dense")
+    by = rows.groupBy("root", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    most = F.max_by(F.struct("label", "c", "n"), F.struct("c", "label"))
+    by = by.groupBy("root").agg(most.alias("m"), F.sum("c").alias("c"), F.sum("n").alias("n"))
+    by = by.select("root", F.col("m.label").alias("main"), _tile_count(F.col("m.c"), F.col("m.n")).alias("alone"), _tile_count(F.col("c") - F.col("m.c"), F.col("n") - F.col("m.n")).alias("rest"))
+    h = F.xxhash64("key")
+    tile = F.when(F.col("label") == F.col("main"), F.pmod(h, F.col("alone"))).otherwise(F.col("alone") + F.pmod(h, F.greatest("rest", F.lit(1))))
+    where = _spread_join(rows, by, "root").select("key", "label", "root", (F.col("alone") + F.col("rest")).alias("tiles"), "alone", tile.cast("int").alias("tile"))
+    return cut(_in_tiles(where, docs, classes, width, parts, _tile_joins(num, den), "a long, b long", "dense-tiles"), "dense-links")
+
+
 def _sets(keys: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """(key, set) of the classes named, made again from one text of each."""
-    wanted = keys.join(classes.select("key", "__rep"), "key")
-    wanted = cut(wanted.select("key", "__rep"), "wanted")
-    bloom = BlockedBloom(wanted.select(F.xxhash64("__rep").alias("h")), bits_per_key=12)
-    texts = docs.where(bloom.column(F.xxhash64("__id"))).join(wanted.select(F.col("__rep").alias("__id")).distinct(), "__id", "left_semi")
-    return cut(texts.select("__text").mapInArrow(_set_rows(width), "key long, set binary").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
+    wanted = cut(keys.join(classes.select("key", "k1", "k2", "__rep"), "key"), "wanted")
+    bloom = BlockedBloom(wanted.select(F.col("__rep").alias("h")), bits_per_key=12)
+    texts = docs.where(bloom.column(F.col("__h"))).join(wanted.select(F.col("__rep").alias("__h")).distinct(), "__h", "left_semi")
+    made = texts.select("__text").mapInArrow(_set_rows(width), "k1 long, k2 long, set binary").join(wanted.select("key", "k1", "k2"), ["k1", "k2"])
+    return cut(made.select("key", "set").dropDuplicates(["key"]), "sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -353,9 +482,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
 
 
 def _sent_slots(slots: DataFrame):
-    bits = np.zeros(COUNTERS, bool)
-    bits[slots.toArrow().column("slot").to_numpy()] = True
-    return slots.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    """Frequent slots and their counts, at most COUNTERS of them, as two sorted arrays."""
+    t = slots.toArrow().sort_by("slot")
+    return slots.sparkSession.sparkContext.broadcast((t.column("slot").to_numpy().astype(np.int32), np.minimum(t.column("h").to_numpy(), 2**31 - 1).astype(np.int32)))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, num: int = 85, den: int = 100, count_links: bool = True) -> DataFrame:
@@ -365,48 +494,56 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     are never compared. Counting compares all classes of a component, which grows with the square of their number.
 
     Sets link when den * intersection >= num * union. component_id is the smallest id that links reach.
-    Null and empty texts and texts without words have no shingles, no links and their own id. Equal sets are one
-    class; rows with null ids take part, and a component of null ids only has a null id. Shingles are held as
-    64-bit hashes. An empty table gives an empty result.
+    Null and empty texts and texts without words have no shingles, no links and their own id. Equal sets (repeated rows,
+    ties) are one class; rows with null ids take part, and a component of null ids only has a null id. Shingles are held
+    as 64-bit hashes, sets are equal when 126 bits of hashes and their sizes are. Very long texts are single rows of
+    their own, of which a task holds one at a time. Other columns, whatever their names, are not read. An empty table gives an empty result.
     """
     parts = partitions_for(docs)
-    held = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text"))
+    held = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).withColumn("__h", F.xxhash64("__id", "__text"))
     id_type = held.schema["__id"].dataType.simpleString()
-    one = cut(held.mapInArrow(_pass_one(width), f"id {id_type}, n long, key long, sig array<long>, slot long, hits long"), "sets-seen")
-    # the list of frequent shingles is one of counter slots, of which there are COUNTERS, and is sent as that many bits
-    often = one.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("hits").alias("h")).where(F.col("h") > FREQUENT).select("slot")
+    one = cut(held.mapInArrow(_pass_one(width), f"id {id_type}, h long, n long, k1 long, k2 long, sig array<long>, slot long, hits long"), "sets-seen")
+    counts = cut(one.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("hits").alias("h")), "slots")
+    total = counts.where("slot < 0").agg(F.max("h")).first()[0] or 0
+    often = counts.where((F.col("slot") >= 0) & (F.col("h") > FREQUENT + 2 * total // COUNTERS))
     first = held.select("__text").mapInArrow(_prefix_rows(width, num, den, _sent_slots(often)), PREFIX)
-    hot = first.select("token").repartition(parts, "token").mapInArrow(_hot_slots(FREQUENT), "slot long")
-    sent = _sent_slots(cut(often.unionByName(hot).distinct(), "frequent"))
-    members = one.where("slot IS NULL").select(F.col("id").alias("__id"), "n", "key")
-    classes = cut(one.where("key >= 0").groupBy("key").agg(F.min("id").alias("__rep"), F.max("n").cast("int").alias("n"), F.any_value("sig").alias("sig")), "classes")
+    hot = first.groupBy("token").agg(F.count(F.lit(1)).alias("h")).where(F.col("h") > FREQUENT).select(F.shiftrightunsigned("token", 41).alias("slot"), "h")
+    sent = _sent_slots(cut(often.unionByName(hot).groupBy("slot").agg(F.max("h").alias("h")), "frequent"))
+    members = one.where("slot IS NULL").select(F.col("id").alias("__id"), "n", "k1", "k2")
+    classes = one.where("k1 >= 0").groupBy("k1", "k2", "n").agg(F.min("h").alias("__rep"), F.min("id").alias("__least"), F.any_value("sig").alias("sig"))
+    classes = cut(classes.withColumn("n", F.col("n").cast("int")).withColumn("key", F.monotonically_increasing_id()), "classes")
     rows = held.select("__text").mapInArrow(_prefix_rows(width, num, den, sent), PREFIX)
-    shared = cut(rows.repartition(parts, "token").mapInArrow(_shared_rows, "token long, key long, n int, pos int, hub long"), "shared")
+    shared = rows.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt").mapInArrow(_shared_rows, "token long, salts int, k1 long, k2 long, n int, pos int, next1 long, next2 long")
+    shared = cut(shared, "shared")
 
-    side = lambda s: classes.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
-    near = shared.where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
-    near = cut(near.join(side("a"), "a").join(side("b"), "b").where(_could_link(num, den)).select("a", "b"), "near")
+    side = lambda s, x, y: classes.select(F.col("k1").alias(x), F.col("k2").alias(y), F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
+    near = shared.where("(k1, k2) <> (next1, next2)").select("k1", "k2", "next1", "next2").distinct()
+    near = near.join(side("x", "k1", "k2"), ["k1", "k2"]).join(side("y", "next1", "next2"), ["next1", "next2"])
+    near = cut(near.where(_could_link(num, den)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near")
     links = _verified(near, held, classes, width, num, den)
     label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    rest = shared.join(label.select(F.col("node").alias("key"), F.col("root").alias("label")), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    mixed = rest.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-    rest = rest.join(mixed, "token", "left_semi").join(classes.select("key", "sig"), "key")
-    more = rest.select("token", "key", "n", "pos", "label", "sig").repartition(parts, "token").mapInArrow(_tree_pairs(num, den), "a long, b long").distinct()
-    more = cut(more.join(near, ["a", "b"], "left_anti"), "tree-pairs")
+    named = classes.select("k1", "k2", "key").join(label.select(F.col("node").alias("key"), F.col("root").alias("label")), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    rest = cut(shared.select("token", "salts", "k1", "k2", "n", "pos").join(named, ["k1", "k2"]).select("token", "salts", "key", "n", "pos", "label"), "labelled")
+    mixed = cut(rest.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("salts").alias("salts")).where("x <> y").select("token", "salts"), "mixed")
+    some = rest.where("salts = 1").join(mixed.where("salts = 1").select("token"), "token", "left_semi").join(classes.select("key", "sig"), "key")
+    found = some.select("token", "key", "n", "pos", "label", "sig").repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_tree_pairs(num, den), "dense long, a long, b long")
+    found = cut(found, "tree-pairs")
+    more = cut(found.where("dense IS NULL").select("a", "b").distinct().join(near, ["a", "b"], "left_anti"), "tree-only")
     links = links.unionByName(_verified(more, held, classes, width, num, den))
+    dense = mixed.where("salts > 1").select("token").unionByName(found.where("dense IS NOT NULL").select(F.col("dense").alias("token")))
+    links = links.unionByName(_dense_links(rest, dense, held, classes, width, num, den, parts))
     root = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    grouped = classes.join(root.withColumnRenamed("node", "key"), "key", "left").select("key", "__rep", F.coalesce("root", "key").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("__rep").alias("component_id"))
-    per_class = grouped.join(least, "root").drop("root", "__rep")
-    named = [F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("key") < 0, F.col("__id")).otherwise(F.col("component_id")).alias("component_id")]
+    grouped = classes.join(root.withColumnRenamed("node", "key"), "key", "left").select("key", "k1", "k2", "__least", F.coalesce("root", "key").alias("root"))
+    least = grouped.groupBy("root").agg(F.min("__least").alias("component_id"))
+    per_class = _spread_join(grouped, least, "root").drop("root", "__least")
+    out = [F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("k1") < 0, F.col("__id")).otherwise(F.col("component_id")).alias("component_id")]
     if count_links:
         per_class = per_class.join(_link_counts(root, held, classes, width, num, den, parts), "key", "left")
-        named.append(F.coalesce("class_links", F.lit(0)).alias("class_links"))
-    return members.join(per_class, "key", "left").select(*named)
+        out.append(F.coalesce("class_links", F.lit(0)).alias("class_links"))
+    return members.join(per_class, ["k1", "k2"], "left").select(*out)
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
-

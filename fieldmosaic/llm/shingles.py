@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import lower_ascii, mix, range_hashes, words
+from .common import lower_ascii, mix, word_hashes, words
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -14,7 +14,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarr
     """
     begin, end, row = words(data, at)
     n = len(at) - 1
-    h = range_hashes(lower_ascii(data), begin, end)
+    h = word_hashes(lower_ascii(data), begin, end)
     count = np.bincount(row, minlength=n)
     first = np.cumsum(count) - count
     short = (count > 0) & (count < width)
