@@ -31,8 +31,8 @@ from .components import components
 from .shingles import shingle_sets
 from .url_filter import BlockedBloom
 
-#: Signature words of 64 bits; slots of the counts of frequent shingles.
-SIG, COUNTERS = 16, 1 << 23
+#: Words of 64 bits of the shortest signatures and how often they may double; slots of the counts of frequent shingles.
+SIG, LEVELS, COUNTERS = 16, 7, 1 << 23
 ORDERS, LEAF, FAN = 4, 16, 8
 #: Shingles in more documents than this (and than slots hold on average) come last in the order.
 FREQUENT = 50
@@ -55,12 +55,52 @@ def class_keys(value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[0], out[1]
 
 
-def signatures(value: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Bitmaps with a bit for the hash of each shingle."""
-    n = len(at) - 1
-    out = np.zeros((n, SIG * 64), bool)
-    out[np.repeat(np.arange(n), np.diff(at)), (mix(value + np.uint64(991)) % np.uint64(SIG * 64)).astype(np.int64)] = True
-    return np.packbits(out, axis=1, bitorder="little").view(np.int64).reshape(n, SIG)
+def _level(n: np.ndarray) -> np.ndarray:
+    """Signatures double in length until they have a bit for each shingle, at most LEVELS times."""
+    return np.clip(np.ceil(np.log2(np.maximum(n, 1) / (SIG * 64))), 0, LEVELS).astype(np.int64)
+
+
+def signatures(value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps with a bit for the hash of each shingle, back to back, and the places where they begin and end, in words of 64 bits."""
+    size = np.diff(at)
+    bits = SIG * 64 << _level(size)
+    begin = np.cumsum(bits) - bits
+    out = np.zeros(int(bits.sum()), bool)
+    row = np.repeat(np.arange(len(size)), size)
+    out[begin[row] + (mix(value + np.uint64(991)) % bits[row].astype(np.uint64)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").view(np.int64), np.append(begin, bits.sum()) // 64
+
+
+class Bitmaps:
+    """Signatures of rows, folded to shorter ones where two of different lengths are compared."""
+
+    def __init__(self, lists: pa.Array) -> None:
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        self.words = lists.flatten().to_numpy().view(np.uint64)
+        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.begin, self.level = np.cumsum(size) - size, np.log2(np.maximum(size, 1) / SIG).astype(np.int64)
+
+    def at(self, rows: np.ndarray, level: int) -> np.ndarray:
+        """One row of SIG << level words for each of rows, all of which have this level or a higher one."""
+        wide = SIG << level
+        out = np.zeros((len(rows), wide), np.uint64)
+        for high in np.unique(self.level[rows]):
+            k = np.flatnonzero(self.level[rows] == high)
+            for part in range(1 << (high - level)):
+                out[k] |= self.words[self.begin[rows[k]][:, None] + part * wide + np.arange(wide)]
+        return out
+
+    def could_link(self, other: Bitmaps, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int, most: int = 1 << 20) -> np.ndarray:
+        """Whether rows a of this and b of the other, of sizes n and m, can link."""
+        out, level = np.zeros(len(a), bool), np.minimum(self.level[a], other.level[b])
+        for x in np.unique(level):
+            k = np.flatnonzero(level == x)
+            step = max(1, most // (SIG << x))
+            for i in range(0, len(k), step):
+                p = k[i : i + step]
+                out[p] = could_link(self.at(a[p], x), other.at(b[p], x), n[p], m[p], num, den)
+        return out
 
 
 def _needed(a, b, num: int, den: int):
@@ -72,6 +112,11 @@ def _slot(value: np.ndarray) -> np.ndarray:
     return (value >> np.uint64(41)).astype(np.int64)
 
 
+def could_link(s: np.ndarray, t: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets with these bitmaps and sizes can link: a bit that only one has is a shingle that only one has."""
+    return np.minimum(n - np.bitwise_count(s & ~t).sum(1), m - np.bitwise_count(t & ~s).sum(1)) >= _needed(n, m, num, den)
+
+
 def _pass_one(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, rows, total = np.zeros(COUNTERS, np.int32), 0, 0
@@ -83,9 +128,9 @@ def _pass_one(width: int):
                 slot, c = np.unique(_slot(value), return_counts=True)
                 counter[slot] += c.astype(np.int32)
                 rows, total = rows + j - i, total + len(value)
-                sig = signatures(value, where)
+                sig, place = signatures(value, where)
                 yield pa.record_batch(
-                    [b.column("__id").slice(i, j - i), b.column("__h").slice(i, j - i), pa.array(np.diff(where)), *map(pa.array, class_keys(value, where)), pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * SIG, pa.int32()), pa.array(sig.ravel())), pa.nulls(j - i, pa.int64()), pa.nulls(j - i, pa.int64())],
+                    [b.column("__id").slice(i, j - i), b.column("__h").slice(i, j - i), pa.array(np.diff(where)), *map(pa.array, class_keys(value, where)), pa.ListArray.from_arrays(pa.array(place, pa.int32()), pa.array(sig)), pa.nulls(j - i, pa.int64()), pa.nulls(j - i, pa.int64())],
                     names=names,
                 )
         often = np.flatnonzero(counter >= max(4, rows // 4000))
@@ -102,25 +147,28 @@ def _prefix_rows(width: int, num: int, den: int, heavy_sent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, hits = heavy_sent.value
-        heavy, seen = np.zeros(COUNTERS, bool), np.zeros((0, 2), np.int64)
+        heavy, seen = np.zeros(COUNTERS, bool), set()  # a pair of keys for each class of this task
         heavy[slots] = True
         for b in batches:
             data, at = utf8(b.column("__text"))
             for i, j in spans(at):
                 value, where = shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], width)
                 (k1, k2), size = class_keys(value, where), np.diff(where)
-                pair, first = np.unique(np.concatenate((seen, np.stack([k1, k2], 1))), axis=0, return_index=True)
                 new = np.zeros(len(k1), bool)
-                new[first[first >= len(seen)] - len(seen)] = True
-                new &= k1 >= 0
-                seen = pair  # sixteen bytes for each class of this task
+                for r, pair in enumerate(zip(k1.tolist(), k2.tolist(), strict=True)):
+                    if pair[0] >= 0 and pair not in seen:
+                        seen.add(pair)
+                        new[r] = True
                 row = np.repeat(np.arange(j - i), size)
                 keep = new[row]
                 value, row = value[keep], row[keep]
                 often = heavy[_slot(value)]
-                order = np.lexsort((value, often, row))
-                value, row, often = value[order], row[order], often[order]
-                pos = np.arange(len(row)) - np.searchsorted(row, row)
+                # values ascend within a row; the rare ones come first
+                rare, before = np.cumsum(~often), np.searchsorted(row, np.arange(j - i + 1))
+                rare = np.concatenate(([0], rare))
+                here, all_rare = np.arange(len(row)) - before[row], rare[before[1:]] - rare[before[:-1]]
+                lower = rare[:-1] - rare[before[row]]  # rare ones before this place
+                pos = np.where(often, all_rare[row] + here - lower, lower)
                 k = pos <= size[row] + (-num * size[row]) // den
                 value, row, pos, often = value[k], row[k], pos[k], often[k]
                 salts = np.ones(len(row), np.int32)
@@ -211,52 +259,82 @@ class SignatureTree:
                 keep = (x < below) & (y < below) & ((x < y) if level == 1 else (x <= y))
                 stack.append((level - 1, x[keep], y[keep]))
             else:
-                only = np.minimum(lo[a] - np.bitwise_count(s[a] & ~s[b]).sum(1), lo[b] - np.bitwise_count(s[b] & ~s[a]).sum(1))
-                ok = only >= _needed(lo[a], lo[b], num, den)
+                ok = could_link(s[a], s[b], lo[a], lo[b], num, den)
                 yield a[ok], b[ok]
 
 
+def _small_pairs(start: np.ndarray, end: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows within each of the small buckets [start, end), about `most` at a time."""
+    row = np.concatenate([np.arange(i, j) for i, j in zip(start, end, strict=True)]) if len(start) else start
+    after = np.repeat(end, end - start) - row - 1
+    total = np.cumsum(after)
+    i = 0
+    while i < len(row):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most)))
+        c = after[i:j]
+        a = np.repeat(row[i:j], c)
+        yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c)
+        i = j
+
+
 def _tree_pairs(num: int, den: int):
-    """Pairs of classes of a task's buckets that may link; for a bucket with more than PAIRS for each class only its token, with a null pair. Rows come sorted by token."""
-
-    def bucket(token: int, t: pa.Table) -> pa.RecordBatch | None:
-        key, n, pos, label = (t.column(c).to_numpy().astype(np.int64) for c in ("key", "n", "pos", "label"))
-        if (label == label[0]).all():
-            return None
-        sig = t.column("sig").combine_chunks()
-        sig = (pa.concat_arrays(sig.chunks) if isinstance(sig, pa.ChunkedArray) else sig).flatten().to_numpy().reshape(-1, SIG).view(np.uint64)
-        at = np.lexsort((key, n))
-        found, many = [], 0
-        for a, b in SignatureTree(sig[at], n[at], label[at]).pairs(num, den):
-            a, b = at[a], at[b]
-            # the first shingle that both have in their prefixes: all before it are in one of them only
-            need = _needed(n[a], n[b], num, den)
-            ok = (pos[a] + need <= n[a]) & (pos[b] + need <= n[b])
-            x, y = key[a[ok]], key[b[ok]]
-            found.append((np.minimum(x, y), np.maximum(x, y)))
-            many += len(x)
-            if many > PAIRS * len(key):
-                return pa.record_batch({"dense": pa.array([token], pa.int64()), "a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64())})
-        if not many:
-            return None
-        return pa.record_batch({"dense": pa.nulls(many, pa.int64()), "a": pa.array(np.concatenate([x for x, _ in found])), "b": pa.array(np.concatenate([y for _, y in found]))})
+    """Pairs of classes of a task's buckets that may link; for a bucket with more than PAIRS for each class only its token, with a null pair. Rows come sorted by token.
+
+    A bucket that fits a leaf is one; the leaves of a batch are gone through together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for last, b in _with_last(batches):
             held.append(b)
             t = pa.Table.from_batches(held).combine_chunks()
-            token = t.column("token").to_numpy()
-            if not len(token):
+            if not t.num_rows:
                 held = []
                 continue
+            token, key, n, pos, label = (t.column(c).to_numpy().astype(np.int64) for c in ("token", "key", "n", "pos", "label"))
+            bits = Bitmaps(t.column("sig"))
+            sig = bits.at(np.arange(len(token)), 0)
             start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-            end = [*start[1:], len(token)]
-            out = [bucket(int(token[i]), t.slice(i, j - i)) for i, j in zip(start, end, strict=True) if last or j < len(token)]
-            out = [x for x in out if x is not None]
-            if out:
-                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+            end = np.append(start[1:], len(token))
             held = t.slice(int(start[-1])).to_batches()
+            if not last:
+                start, end = start[:-1], end[:-1]
+            if not len(start):
+                continue
+            whole = int(end[-1])
+            mixed = np.minimum.reduceat(label[:whole], start) < np.maximum.reduceat(label[:whole], start)
+            start, end = start[mixed], end[mixed]
+            found, dense = [], []
+
+            def checked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                # the first shingle that both have in their prefixes: all before it are in one of them only
+                need = _needed(n[a], n[b], num, den)
+                ok = (pos[a] + need <= n[a]) & (pos[b] + need <= n[b])
+                a, b = a[ok], b[ok]
+                ok = bits.could_link(bits, a, b, n[a], n[b], num, den)
+                return np.minimum(key[a[ok]], key[b[ok]]), np.maximum(key[a[ok]], key[b[ok]])
+
+            small = end - start <= LEAF
+            for a, b in _small_pairs(start[small], end[small]):
+                ok = (label[a] != label[b]) & (n[a] * den >= num * n[b]) & (n[b] * den >= num * n[a])
+                a, b = a[ok], b[ok]
+                found.append(checked(a, b))
+            for i, j in zip(start[~small].tolist(), end[~small].tolist(), strict=True):
+                at, many, own = i + np.lexsort((key[i:j], n[i:j])), 0, []
+                for a, b in SignatureTree(sig[at], n[at], label[at]).pairs(num, den):
+                    own.append(checked(at[a], at[b]))
+                    many += len(own[-1][0])
+                    if many > PAIRS * (j - i):
+                        break
+                if many > PAIRS * (j - i):
+                    dense.append(int(token[i]))
+                else:
+                    found += own
+            if dense:
+                yield pa.record_batch({"dense": pa.array(dense, pa.int64()), "a": pa.nulls(len(dense), pa.int64()), "b": pa.nulls(len(dense), pa.int64())})
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.record_batch({"dense": pa.nulls(len(a), pa.int64()), "a": pa.array(a), "b": pa.array(b)})
 
     return run
 
@@ -272,11 +350,17 @@ def _with_last(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Rec
         yield True, before
 
 
-def _could_link(num: int, den: int) -> Column:
-    """The bound of two signatures, as a column over sig_x, sig_y, n_x, n_y."""
-    missing = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, c: s + c)
-    most = F.least(F.col("n_x") - missing("sig_x", "sig_y"), F.col("n_y") - missing("sig_y", "sig_x"))
-    return most * F.lit(num + den) >= (F.col("n_x") + F.col("n_y")) * F.lit(num)
+def _linkable(num: int, den: int):
+    """Of pairs with sizes and signatures, the keys of those that could link, the smaller key first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, n, m = (b.column(c).to_numpy().astype(np.int64) for c in ("x", "y", "n_x", "n_y"))
+            k = np.flatnonzero((n * den >= num * m) & (m * den >= num * n))
+            k = k[Bitmaps(b.column("sig_x")).could_link(Bitmaps(b.column("sig_y")), k, k, n[k], m[k], num, den)]
+            yield pa.record_batch({"a": pa.array(np.minimum(x[k], y[k])), "b": pa.array(np.maximum(x[k], y[k]))})
+
+    return run
 
 
 def _set_rows(width: int):
@@ -519,7 +603,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     side = lambda s, x, y: classes.select(F.col("k1").alias(x), F.col("k2").alias(y), F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
     near = shared.where("(k1, k2) <> (next1, next2)").select("k1", "k2", "next1", "next2").distinct()
     near = near.join(side("x", "k1", "k2"), ["k1", "k2"]).join(side("y", "next1", "next2"), ["next1", "next2"])
-    near = cut(near.where(_could_link(num, den)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near")
+    near = near.where(F.least("n_x", "n_y") * den >= F.greatest("n_x", "n_y") * num).select("x", "y", "n_x", "n_y", "sig_x", "sig_y")
+    near = cut(near.mapInArrow(_linkable(num, den), "a long, b long").distinct(), "near")
     links = _verified(near, held, classes, width, num, den)
     label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 

@@ -29,11 +29,16 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarr
             for k in range(count[r]):
                 x = mix(x + h[first[r] + k] + np.uint64(k + 1))
             few.append(x)
-    rows = np.concatenate((row[starts], owner))
-    value = np.concatenate((value, np.array(few, np.uint64)))
-    order = np.lexsort((value, rows))
-    rows, value = rows[order], value[order]
+    held = np.zeros(n, np.int64)
+    held[:] = np.where(short, 1, np.maximum(count - width + 1, 0))
+    out, at = np.zeros(int(held.sum()), np.uint64), np.concatenate(([0], np.cumsum(held)))
+    long = np.ones(len(out), bool)
+    long[at[owner]] = False
+    out[long], out[at[owner]] = value, np.array(few, np.uint64)
+    for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if j - i > 1:
+            out[i:j].sort()
+    rows = np.repeat(np.arange(n), held)
     keep = np.ones(len(rows), bool)
-    keep[1:] = (rows[1:] != rows[:-1]) | (value[1:] != value[:-1])
-    rows, value = rows[keep], value[keep]
-    return value, np.searchsorted(rows, np.arange(n + 1))
+    keep[1:] = (rows[1:] != rows[:-1]) | (out[1:] != out[:-1])
+    return out[keep], np.searchsorted(rows[keep], np.arange(n + 1))

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,7 +119,8 @@ def test_signature_tree_loses_nothing():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, rng.integers(5, 40))) for _ in range(150)]
     at = np.cumsum([0, *map(len, sets)])
-    sig = jaccard_join.signatures(np.concatenate(sets).astype(np.uint64), at).view(np.uint64)
+    words, where = jaccard_join.signatures(np.concatenate(sets).astype(np.uint64), at)
+    sig = words.view(np.uint64).reshape(150, -1)
     n = np.diff(at)
     tree = jaccard_join.SignatureTree(sig, n, np.arange(150))
     got = {(int(x), int(y)) for a, b in tree.pairs(60, 100) for x, y in zip(a, b)}
@@ -129,6 +131,55 @@ def test_signature_tree_loses_nothing():
                 assert (j, i) in got
 
 
+def test_words_that_collide_under_polynomial_hashes(spark):
+    tm = lambda x: "".join("ab"[(bin(i).count("1") + x) & 1] for i in range(1024))
+    got = jaccard_join.jaccard_components(spark.createDataFrame([(1, tm(0)), (2, tm(1)), (3, tm(0))], "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_signatures_of_different_lengths():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 6000).astype(np.uint64)
+    sets = [np.unique(np.concatenate((base[: int(k)], rng.integers(0, 2**63, int(extra)).astype(np.uint64)))) for k, extra in zip(rng.integers(900, 6000, 60), rng.integers(0, 400, 60))]
+    at = np.cumsum([0, *map(len, sets)])
+    words, where = jaccard_join.signatures(np.concatenate(sets), at)
+    bits = jaccard_join.Bitmaps(pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(words)))
+    assert len(set(bits.level)) > 2
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60)))
+    ok = bits.could_link(bits, a, b, np.diff(at)[a], np.diff(at)[b], 85, 100)
+    link = np.array([100 * len(c := np.intersect1d(sets[i], sets[j])) >= 85 * (len(sets[i]) + len(sets[j]) - len(c)) for i, j in zip(a, b)])
+    assert (ok | ~link).all() and link.sum() > 100 and ok.sum() < 2 * link.sum()
+
+
+def test_dense_groups_send_few_rows(spark, monkeypatch):
+    """A group of near copies, few of which link to few others: pairs are counted in tiles, and not one row is lost."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for k in range(240):
+        w = list(base)
+        for p in rng.sample(range(100), 2 + k % 3):
+            w[p] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    sets = [shingles(t, 4) for _, t in rows]
+    root = list(range(len(rows)))
+    for _ in range(240):
+        new = [min([root[i]] + [root[j] for j in range(240) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]) for i in range(240)]
+        if new == root:
+            break
+        root = new
+    seen = []
+    joins = jaccard_join._dense_links
+    monkeypatch.setattr(jaccard_join, "PAIRS", 1)
+    monkeypatch.setattr(jaccard_join, "_dense_links", lambda *a: seen.append(joins(*a)) or seen[-1])
+    held = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(held, count_links=False).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) > 20
+    monkeypatch.setattr(jaccard_join, "SPREAD", 40)
+    again = jaccard_join.jaccard_components(held, count_links=False)
+    assert {r.doc_id: r.component_id for r in again.collect()} == got and seen[-1].count() < 240 * 16
+
+
 def test_sharding(docs, empty):
     got = sharding.feistel_shards(docs, [F.col("doc_id"), F.col("text")], 16).collect()
     by = {}
@@ -172,8 +223,8 @@ def test_packing_places_by_shared_terms(spark):
     enc = packing.encoder(packing.public_tokenizers.path("byte_bpe_50k.tiktoken"))
     want = packing.Stats.of([np.append(enc.encode_ordinary(t), 1) for _, t in rows])
     tokens = held.select(F.col("doc_id").alias("__id"), F.lit(0).cast("long").alias("__salt"), F.col("text").alias("__text"))
-    stats = packing.corpus_stats(tokens.mapInArrow(packing._tokens(packing.public_tokenizers.path("byte_bpe_50k.tiktoken")), "__id long, __salt long, __tokens binary"))
-    assert (stats.n, stats.mean) == (want.n, want.mean) and (stats.df == want.df).all()
+    stats, total = packing.corpus_stats(tokens.mapInArrow(packing._tokens(packing.public_tokenizers.path("byte_bpe_50k.tiktoken")), "__id long, __salt long, __tokens binary"))
+    assert total == sum(len(enc.encode_ordinary(t)) + 1 for _, t in rows) and (stats.n, stats.mean) == (want.n, want.mean) and (stats.df == want.df).all()
     some = packing.Index([np.append(enc.encode_ordinary(t), 1) for _, t in rows[:30]], stats)
     assert (some.idf == want.idf[some.terms]).all()
 
@@ -207,10 +258,9 @@ def test_tokens_equal_the_vocabulary_file():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     enc = packing.encoder(packing.public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    for text in [*[x for x in texts() if x], "a\u00a0b\n\n  c <|endoftext|> 12³ ñ 汉字 \U0001f600"]:
-        assert t.encode(text, add_special_tokens=False).ids == enc.encode_ordinary(text)
+    for text in [*[x for x in texts() if x], "a\u00a0b\n\n  c <|endoftext|> 12³ ñ 汉字 \U0001f600", "<|endoftext|><|endoftext|>", "a<|endoftext|>\n"]:
+        assert t.encode(text, add_special_tokens=False).ids == enc.encode_to_numpy(text, allowed_special="all", disallowed_special=()).tolist()
 
 
 def test_media_round_trip(docs):
