@@ -1,4 +1,4 @@
-"""Exact top-k inner products by MaxScore over vector blocks."""
+"""Exact top-k inner products by MaxScore over postings of vector components."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, partitions_for, table
 
 BLOCK = "ids binary, dims int, comps binary"
 
@@ -43,92 +43,141 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 class Shard:
-    """One block of vectors as postings: term d holds component d of every vector, and the range of those components bounds what the term can add."""
+    """One block of vectors as postings. A dimension has two lists, of its positive and its negative components, each with the largest first; zeros have no posting."""
 
     def __init__(self, ids: np.ndarray, comps: np.ndarray) -> None:
         self.ids, self.comps = ids, comps
-        self.low, self.high = (comps.min(0), comps.max(0)) if len(ids) else (None, None)
+        order = np.argsort(comps, axis=0, kind="stable").astype(np.int32)  # ascending: negative ones, zeros, positive ones
+        self.order, self.values = np.ascontiguousarray(order.T), np.ascontiguousarray(np.take_along_axis(comps, order, 0).T)
+        self.below, self.above = (comps < 0).sum(0), (comps > 0).sum(0)
+        self.low, self.high = (comps.min(0), comps.max(0)) if len(ids) else (comps.sum(0), comps.sum(0))
+        # sums of products under 2**53 are exact as floating-point numbers too, which multiply faster
         self.peak = int(np.abs(comps).max(initial=0))
-
-    def top(self, query_id: int, q: np.ndarray, k: int, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
-        """MaxScore. Terms with a large bound are essential: their postings are summed for all vectors.
-        The others, which together can't lift a vector over the k-th best score seen so far, are only
-        looked up for vectors that could still get in."""
-        own = np.flatnonzero(self.ids != query_id)
-        if not len(own):
-            return own, np.zeros(0, np.int64)
-        exact = int(np.abs(q).max(initial=0)) * self.peak * max(1, len(q)) < 2**53
-        kind = np.float64 if exact else np.int64
-        x, qk = self.comps.astype(kind) if not hasattr(self, "_x") or self._x.dtype != kind else self._x, q.astype(kind)
-        self._x = x
-        bound = np.maximum(q * self.low, q * self.high)
+        self.by_dim = np.ascontiguousarray(comps.T)
+        self.floats = self.by_dim.astype(np.float64)
+        self.stored = int((self.below + self.above).sum())
+        self.read = 0
+
+    def _gains(self, d: int, weight: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Postings of the list of dimension d that adds to a score, largest first, down to what adds `least` at least."""
+        n = len(self.ids)
+        if weight > 0:
+            at, v = self.order[d, n - self.above[d] :], self.values[d, n - self.above[d] :]
+            k = int(np.searchsorted(v, -(-least // weight)))
+            return at[k:], v[k:] * weight
+        at, v = self.order[d, : self.below[d]], self.values[d, : self.below[d]]
+        k = int(np.searchsorted(v, -least // -weight, side="right"))
+        return at[:k], v[:k] * weight
+
+    def top(self, query_id: int, q: np.ndarray, k: int, least: int | None = None, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
+        """MaxScore: places and scores of the k best vectors, without those that score under `least`, the k-th best score known from other shards.
+
+        A list's bound is the most that it can add. Lists are taken by bound, the largest first; those that together can't
+        lift a vector to the k-th best score aren't essential. Essential postings are traversed, the last list only as
+        far as needed, and give the candidates; the other lists, and those that only take away, are probed for
+        candidates that are still competitive.
+        """
+        bound = np.maximum(np.maximum(q * self.low, q * self.high), 0)
         order = np.argsort(-bound, kind="stable")
-        rest = np.concatenate((np.cumsum(bound[order][::-1])[::-1], [0]))  # what terms from here on add at most
-        probe = own[: max(4 * k, 64)]
-        first = x[probe] @ qk
-        least = np.sort(first)[-k] if len(first) >= k else -np.inf
-        essential = int(np.argmax(rest <= max(least, 0))) if (rest <= max(least, 0)).any() else len(order)
-        only = np.zeros_like(qk)
-        only[order[:essential]] = qk[order[:essential]]
-        live, sums = own, (x @ only)[own]
-        at = essential
-        while True:
-            keep = sums + rest[at] >= least
-            live, sums = live[keep], sums[keep]
-            if at == len(order):
-                break
+        rest = np.concatenate((np.cumsum(bound[order][::-1])[::-1], [0]))  # what lists from here on add at most
+        own = self.ids == query_id
+        if int((~own).sum()) >= k:  # a first k-th best score: of the vectors first in the lists with the largest bounds
+            some = [self._gains(int(d), int(q[d]), 1)[0] for d in order[:4] if bound[d] > 0]
+            some = [x[:: -1 if q[d] > 0 else 1][: 4 * k] for x, d in zip(some, order[:4], strict=False)]
+            first = np.unique(np.concatenate(some)) if some else np.arange(min(len(own), 4 * k))
+            first = first[~own[first]]
+            if len(first) >= k:
+                kth = int(np.sort(self.comps[first] @ q)[-k])
+                least = kth if least is None else max(least, kth)
+        seen, read = np.zeros(len(self.ids), bool), 0
+        if least is None or least <= 0:  # a vector without any gain could win: all are candidates
+            seen[:] = True
+            essential = 0
+        else:
+            essential = int(np.argmax(rest < least))  # lists from here on don't reach the k-th best score
+            for i, d in enumerate(order[:essential]):
+                at, gain = self._gains(int(d), int(q[d]), max(1, least - int(rest[i + 1])))
+                # shorter than the whole list only where no later list makes up for what is left out
+                seen[at] = True
+                read += len(at)
+        self.read += read
+        live = np.flatnonzero(seen & ~own)
+        exact = int(np.abs(q).max(initial=0)) * self.peak * max(1, len(q)) < 2**53
+        by, q = (self.floats, q.astype(np.float64)) if exact else (self.by_dim, q)
+        sums, at = np.zeros(len(live), q.dtype), 0
+        least = -(2**62) if least is None else least
+        while at < len(order) and len(live):
             some = order[at : at + step]
-            sums = sums + x[np.ix_(live, some)] @ qk[some]
-            at = min(at + step, len(order))
+            sums = sums + q[some] @ (by[some] if len(live) == len(self.ids) else by[np.ix_(some, live)])
+            self.read += len(live) * len(some)
+            at += step
+            keep = sums + rest[min(at, len(order))] >= least
+            live, sums = live[keep], sums[keep]
         sums = sums.astype(np.int64)
         won = _best(self.ids[live], sums, k)
         return live[won], sums[won]
 
 
-def _scorer(k: int):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _search(k: int):
+    """Query blocks against a part's shards, which come first; each query's k-th best score so far goes from shard to shard."""
+
+    def read(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.frombuffer(row["ids"], np.int64)
+        return ids, np.frombuffer(row["comps"], np.int64).reshape(len(ids), row["dims"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, shards = None, []
         for b in batches:
-            for r in b.to_pylist():
-                read = lambda p, r=r: (np.frombuffer(r[f"{p}ids"], np.int64), np.frombuffer(r[f"{p}comps"], np.int64).reshape(-1, r[f"{p}dims"]) if r[f"{p}dims"] else np.zeros((len(r[f"{p}ids"]) // 8, 0), np.int64))
-                (qids, q), (ids, x) = read("q_"), read("")
-                wide = max(q.shape[1], x.shape[1])
-                q, x = (np.pad(m, ((0, 0), (0, wide - m.shape[1]))) for m in (q, x))
-                shard, out = Shard(ids, x), ([], [], [])
-                for query_id, one in zip(qids.tolist(), q, strict=True):
-                    at, s = shard.top(query_id, one, k)
-                    out[0].append(np.full(len(at), query_id))
-                    out[1].append(ids[at])
-                    out[2].append(s)
+            for i in range(b.num_rows):
+                row = {c: b.column(c)[i].as_py() for c in ("part", "kind", "ids", "dims", "comps")}
+                if row["part"] != now:
+                    now, shards = row["part"], []
+                ids, m = read(row)
+                if row["kind"] == 0:
+                    shards.append(Shard(ids, m))
+                    continue
+                out: tuple[list, list, list] = ([], [], [])
+                for query_id, q in zip(ids.tolist(), m, strict=True):
+                    vec, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                    for s in shards:
+                        wide = s.comps.shape[1]
+                        one = q[:wide] if len(q) >= wide else np.pad(q, (0, wide - len(q)))  # what one side lacks is zero
+                        at, found = s.top(query_id, one, k, int(score.min()) if len(score) == k else None)
+                        vec, score = np.concatenate((vec, s.ids[at])), np.concatenate((score, found))
+                        best = _best(vec, score, k)
+                        vec, score = vec[best], score[best]
+                    for c, x in zip(out, (np.full(len(vec), query_id), vec, score), strict=True):
+                        c.append(x)
                 if out[0]:
                     yield pa.record_batch({n: pa.array(np.concatenate(c).astype(np.int64), pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), out, strict=True)})
 
-    return score
+    return run
 
 
-def maxscore_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 4096, query_rows: int = 4096) -> DataFrame:
+def maxscore_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 4096, query_rows: int = 256, shards_per_part: int = 16) -> DataFrame:
     """The k best vectors of each query: query_id, rank, vec_id, score.
 
-    Both inputs have vec_id and v (array<long>). Blocks of queries meet blocks of vectors, each pair
-    in a row of its own; each pair gives its k best, which are merged by query. Rows with the
-    query's vec_id are its own row and no candidates. Repeated vectors tie and the smaller ids win.
-    Vectors of other lengths are filled with zeros. Empty tables give an empty result.
+    Both inputs have vec_id and v (array<long>); other columns aren't read. Vectors are packed in shards, which keep their
+    place in a part; blocks of queries go to each part once, and each part gives the k best of each query, which
+    are merged by query. Rows with the query's vec_id are its own row and no candidates. Repeated
+    vectors tie and the smaller ids win. Vectors of other lengths are filled with zeros. Empty tables give an empty result.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // query_rows))
-    q = queries.select("vec_id", "v").repartition(blocks, F.xxhash64("vec_id")).mapInArrow(_packer(query_rows), BLOCK)
-    q = cut(q.select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "dims", "comps")]), "queries")
-    held = q.count()
-    q = q.withColumn("qb", F.pmod(F.xxhash64("q_ids"), F.lit(max(1, held))))
-    shards = cut(vectors.select("vec_id", "v").mapInArrow(_packer(shard_rows), BLOCK), "vectors")
-    pairs = shards.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, held) - 1).cast("long")))).join(q, "qb")
-    parts = pairs.repartition(F.xxhash64("ids"), F.xxhash64("q_ids")).mapInArrow(_scorer(k), "query_id long, vec_id long, score long")
+    blocks = lambda df, rows: df.select("vec_id", "v").mapInArrow(_packer(rows), BLOCK)
+    shards = cut(blocks(vectors, shard_rows), "vectors")
+    parts = max(1, -(-shards.count() // shards_per_part))
+    q = cut(blocks(queries.select("vec_id", "v").coalesce(max(1, partitions_for(queries))), query_rows), "queries")
+    held = shards.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")).withColumn("kind", F.lit(0))
+    sent = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("kind", F.lit(1))
+    met = held.unionByName(sent).repartition(parts, "part").sortWithinPartitions("part", "kind")
+    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return parts.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def scaled(emb: DataFrame) -> DataFrame:
-    """vec_id and v = floor(256 * x) of every whole vector; null vectors and those with null or non-finite components are left out."""
-    good = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    """vec_id and v = floor(256 * x) of every whole vector. Null vectors, those with null or non-finite components, and those with
+    a component of 2**20 or more (256 * x of 2**28), whose products might not fit 64 bits, are left out."""
+    good = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float(1 << 20)))
     return emb.where(good).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("v"))
 
 
@@ -139,7 +188,7 @@ def op7_maxscore_topk(spark, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x) OR abs(x) >= 1048576)) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5

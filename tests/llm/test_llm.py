@@ -297,11 +297,11 @@ def test_mixing(docs, empty):
 def test_maxscore(spark):
     rng = np.random.default_rng(8)
     rows = [(k, [float(x) for x in rng.normal(0, 0.2, 12)]) for k in range(300)]
-    rows += [(400 + k, rows[0][1]) for k in range(9)] + [(600, None), (601, [1.0, None]), (602, [float("nan")]), (650, [0.5]), (700, [0.0] * 12)]
+    rows += [(400 + k, rows[0][1]) for k in range(9)] + [(600, None), (601, [1.0, None]), (602, [float("nan")]), (603, [3e38]), (604, [float("-inf")]), (650, [0.5]), (700, [0.0] * 12)]
     v = vector_search.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     ints = {r.vec_id: np.pad(np.array(r.v), (0, 12 - len(r.v))) for r in v.collect()}
     got = {}
-    for r in vector_search.maxscore_topk(v, v.where("vec_id % 50 = 0"), shard_rows=70, query_rows=3).collect():
+    for r in vector_search.maxscore_topk(v, v.where("vec_id % 50 = 0"), shard_rows=70, query_rows=3, shards_per_part=2).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     assert set(got) == {k for k in ints if k % 50 == 0}
     for q, found in got.items():
@@ -309,6 +309,21 @@ def test_maxscore(spark):
         assert sorted(found) == [(i + 1, k, -s) for i, (s, k) in enumerate(want)]
 
 
+def test_maxscore_reads_few_postings():
+    rng = np.random.default_rng(4)
+    comps = np.where(rng.random((3000, 40)) < 0.1, rng.integers(1, 10, (3000, 40)), 0)
+    comps[:, 0] = np.where(rng.random(3000) < 0.02, rng.integers(500, 900, 3000), 0)
+    shard = vector_search.Shard(np.arange(3000), comps)
+    for trial in range(40):
+        q = comps[np.flatnonzero(comps[:, 0])[trial]] if trial % 2 else rng.integers(-40, 40, 40)
+        at, score = shard.top(trial, q, 5)
+        want = sorted((-int(comps[k] @ q), k) for k in range(3000) if k != trial)[:5]
+        assert [(-s, k) for k, s in zip(at.tolist(), score.tolist())] == want
+    shard.read = 0
+    shard.top(-1, comps[np.flatnonzero(comps[:, 0])[0]], 5)
+    assert 0 < shard.read < shard.stored / 10
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://EXAMPLE.com/en/x?q#f", "https://www.example.com/en/", "ftp://a.b.net/es/1", "http://net", "http://x.net/fr", "http://com/", "x://notcom/", "http://example.com"]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(3, urls[3])], "page_id long, url string")
