@@ -18,14 +18,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes that Spark hands to Python at once; a longer row stands alone.
 BATCH_BYTES = 4 << 20
+#: Folders of local sessions without spark.checkpoint.dir.
+LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of its own only where the session names none (tests)."""
+    """The cluster's shared folder, spark.checkpoint.dir. Where it is unset, a local session (tests, one machine) has a folder of its own; a cluster's session must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="fieldmosaic-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="fieldmosaic-")
+        LOCAL[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
@@ -37,12 +41,12 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: later steps don't depend on executors that may be lost."""
     spark = df.sparkSession
     bounded_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

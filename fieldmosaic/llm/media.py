@@ -10,9 +10,10 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import cut, table
 
 #: Fixed values of the format.
 PACKET, SYNC, PAT_PID, PMT_PID, DATA_PID, NULL_PID, PRIVATE_STREAM, PRIVATE_TYPE, CLOCK = 188, 0x47, 0, 0x100, 0x101, 0x1FFF, 0xBD, 0x06, 90_000
@@ -181,49 +182,61 @@ def feature(s: Stream) -> str:
 
 
 def media_columns(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Every text as a transport stream (column media), with its timestamps and random-access points as arrays.
+    """The columns `keep`, and every text as a transport stream (media) with its bytes (n_bytes, without padding), timestamps (pts) and random-access points (random_access_pts).
 
-    A null text counts as empty; an empty one is a stream with one unit of blanks. No row is dropped.
+    A null text counts as empty; an empty one is a stream with one unit of blanks. Equal texts have equal streams, repeated rows
+    stay, an empty table gives an empty one. A very long text is one value, held in memory a few times over. Columns of
+    `keep` mustn't have the names of the new ones.
     """
-    schema = df.select(*keep).schema.add("media", "binary").add("pts", T.ArrayType(T.LongType())).add("random_access_pts", T.ArrayType(T.LongType())).add("continuity_errors", "integer")
+    schema = df.select(*keep).schema.add("n_bytes", "long").add("media", "binary").add("pts", T.ArrayType(T.LongType())).add("random_access_pts", T.ArrayType(T.LongType()))
+    held = df.select(*keep, F.col(text).alias("__text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(text)
+            texts = b.column("__text")
             for k in range(0, b.num_rows, 256):
-                media = [mux(pad((t.as_py() or "").encode())) for t in texts.slice(k, 256)]
-                read = [demux(x) for x in media]
-                yield pa.record_batch(
-                    [b.column(c).slice(k, 256) for c in keep]
-                    + [pa.array(media, pa.binary()), pa.array([[p for p, _ in s.units[DATA_PID]] for s in read], pa.list_(pa.int64())), pa.array([[p for _, p in s.random_access] for s in read], pa.list_(pa.int64())), pa.array([s.continuity_errors for s in read], pa.int32())],
-                    names=[*keep, "media", "pts", "random_access_pts", "continuity_errors"],
-                )
+                raw = [(t.as_py() or "").encode() for t in texts.slice(k, 256)]
+                made = [mux(pad(x)) for x in raw]
+                stamps = pa.array([unit_stamps(len(x)) for x in raw], pa.list_(pa.int64()))  # each unit has a timestamp and is a random-access point
+                yield pa.record_batch([*[b.column(c).slice(k, 256) for c in keep], pa.array([len(x) for x in raw], pa.int64()), pa.array(made, pa.binary()), stamps, stamps], names=[*keep, "n_bytes", "media", "pts", "random_access_pts"])
 
-    return df.select(*keep, text).mapInArrow(write, schema)
+    return held.mapInArrow(write, schema)
 
 
-def media_digests(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The digest of each text's stored stream, from the bytes that the reader gives back."""
+def unit_stamps(n_bytes: int) -> list[int]:
+    """Timestamps of the units of a text of n_bytes."""
+    return [k * TICKS for k in range(-(-max(192, n_bytes) // UNIT))]
+
+
+def media_digests(media: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep` of a table that media_columns made, and a digest of each stream, read from its bytes.
+
+    The feature says what the reader found; `stamps` tells whether its timestamps and random-access points are those of the columns.
+    A null stream is read as one without packets. An empty table gives an empty result.
+    """
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    schema = df.select(id_col).schema
+    schema = media.select(*keep).schema
     for n, t in zip(names, ["long", "long", "string", "long", "long", "string", "string"], strict=True):
         schema = schema.add(n, t)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for t in b.column(text):
-                raw = (t.as_py() or "").encode()
-                media = mux(pad(raw))
-                s = demux(media)
-                back = b"".join(x for _, x in s.units[DATA_PID])
-                rows.append((len(raw), len(back), sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), sha256(media).hexdigest(), feature(s)))
+            for n, m, pts, access in zip(*(b.column(c) for c in ("n_bytes", "media", "pts", "random_access_pts")), strict=True):
+                m = m.as_py() or b""
+                s = demux(m)
+                units = s.units.get(DATA_PID, [])
+                back = b"".join(x for _, x in units)
+                same = pts.as_py() == [p for p, _ in units] and access.as_py() == [p for _, p in s.random_access]
+                rows.append((n.as_py(), len(back), sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(m), sha256(m).hexdigest(), f"{feature(s)};stamps={'held' if same else 'differ'}"))
             cols = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.record_batch([b.column(id_col), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[id_col, *names])
+            yield pa.record_batch([*[b.column(c) for c in keep], *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[*keep, *names])
 
-    return df.select(id_col, text).mapInArrow(digest, schema)
+    return media.select(*keep, "n_bytes", "media", "pts", "random_access_pts").mapInArrow(digest, schema)
 
 
 def op8_mpeg_ts(spark, sf_dir: str) -> DataFrame:
-    return media_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every text stored as a transport stream and read back. Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names: see media_columns."""
+    stored = cut(media_columns(table(spark, sf_dir, "documents").select("doc_id", "text")), "media", "zstd")
+    return media_digests(stored)

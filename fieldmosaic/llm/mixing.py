@@ -101,10 +101,12 @@ def mix_sources(df: DataFrame, id_cols: list[str], size: str = "size", source: s
 
     The hashed order is kept in buckets, of about rows_per_bucket rows of one source each, whose word counts
     are summed before; no task sorts a whole source. Null ids, equal rows and empty texts have their places in the
-    order; rows without words take none. An empty table gives an empty result.
+    order; rows without words (null or empty texts) take none. A very long text is one row. An empty table gives an empty
+    result. Columns named source_size, target, taken or parts are replaced; others, whatever their names, stay.
+    Sources are a short list: their targets are shared by windows over one row for each, and their quotas stand in one row.
     """
-    kept = df.withColumn("__size", F.coalesce(F.col(size), F.lit(0)).cast("long")).withColumn("__h", F.xxhash64(F.lit(seed), *id_cols))
-    per = kept.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("rows_"), F.sum("__size").alias("source_size"))
+    kept = df.select(F.struct(*df.columns).alias("__row"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("__size"), F.xxhash64(F.lit(seed), *id_cols).alias("__h"), F.struct(*id_cols).alias("__id"), F.col(source).alias("__of"))
+    per = kept.groupBy(F.col("__of").alias("source")).agg(F.count(F.lit(1)).alias("rows_"), F.sum("__size").alias("source_size"))
     per = source_targets(per, **targets)
     per = per.withColumn("want", F.round("target").cast("long")).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("want") / F.col("source_size"))).otherwise(0).cast("long"))
     per = per.withColumn("block", F.greatest(F.lit(1).cast("long"), F.ceil(F.sum("want").over(Window.partitionBy()) / F.lit(blocks)).cast("long")))
@@ -116,11 +118,11 @@ def mix_sources(df: DataFrame, id_cols: list[str], size: str = "size", source: s
     ends = ends.groupBy("rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "end"))), lambda x: x["end"]).alias("ends"))
     per = cut(per.join(ends, "rank").withColumnRenamed("source", "__source"), "sources")  # a row for each source
 
-    held = kept.join(per, F.col(source).eqNullSafe(F.col("__source"))).withColumn("__bucket", F.floor(unit(F.lit(0), "__h") * F.col("buckets")).cast("long"))
+    held = kept.join(per, F.col("__of").eqNullSafe(F.col("__source"))).withColumn("__bucket", F.floor(unit(F.lit(0), "__h") * F.col("buckets")).cast("long"))
     sums = held.groupBy("rank", "__bucket").agg(F.sum("__size").alias("__words"))
     sums = sums.withColumn("__before", F.sum("__words").over(Window.partitionBy("rank").orderBy("__bucket")) - F.col("__words")).drop("__words")
     held = held.join(sums, ["rank", "__bucket"])
-    inside = Window.partitionBy("rank", "__bucket").orderBy("__h", *id_cols, "__size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("rank", "__bucket").orderBy("__h", "__id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     held = held.withColumn("__from", F.col("__before") + F.coalesce(F.sum("__size").over(inside), F.lit(0)))
 
     last = F.col("want") - F.col("passes") * F.col("source_size")  # words of the last pass
@@ -132,7 +134,7 @@ def mix_sources(df: DataFrame, id_cols: list[str], size: str = "size", source: s
     shard = lambda b: F.least(F.lit(shards - 1), F.size(F.filter("ends", lambda e: e <= b)))
     parts = F.transform(F.filter(pieces, lambda p: p["words"] > 0), lambda p: F.struct(shard(p["b"]).cast("int").alias("shard"), p["words"].alias("words"), unit(F.lit(seed + 1), F.col("__h"), p["k"]).alias("place")))
     taken = (F.col("passes") * F.col("__size") + extra).alias("taken")
-    return held.select(*[F.col(c) for c in df.columns], "source_size", "target", taken, parts.alias("parts"))
+    return held.select(*[F.col("__row")[c].alias(c) for c in df.columns if c not in ("source_size", "target", "taken", "parts")], "source_size", "target", taken, parts.alias("parts"))
 
 
 def word_count(text: str = "text") -> Column:
@@ -140,6 +142,7 @@ def word_count(text: str = "text") -> Column:
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document. Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names: see mix_sources."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size"))
     mixed = mix_sources(docs, ["doc_id", "source"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.transform("parts", lambda p: p["shard"]).alias("shards"))

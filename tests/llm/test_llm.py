@@ -263,7 +263,7 @@ def test_tokens_equal_the_vocabulary_file():
         assert t.encode(text, add_special_tokens=False).ids == enc.encode_to_numpy(text, allowed_special="all", disallowed_special=()).tolist()
 
 
-def test_media_round_trip(docs):
+def test_media_round_trip(docs, empty):
     rng = random.Random(4)
     for n in (0, 1, 191, 192, 193, 3072, 3073, 50_000):
         data = media.pad(bytes(rng.randrange(256) for _ in range(n)))
@@ -272,10 +272,33 @@ def test_media_round_trip(docs):
         assert [p for p, _ in s.units[media.DATA_PID]] == [p for _, p in s.random_access] == [k * media.TICKS for k in range(len(s.random_access))]
     lost = media.mux(media.pad(b"y" * 9000))
     assert media.demux(lost[: 188 * 8] + lost[188 * 9 :]).continuity_errors == 1
-    got = {r.doc_id: r for r in media.media_digests(docs).collect()}
+    stored = media.media_columns(docs, keep=("doc_id", "score"))
+    held = {r.doc_id: r for r in stored.collect()}
+    got = {r.doc_id: r for r in media.media_digests(stored).collect()}
     for k, t in enumerate(texts()):
         p = media.pad((t or "").encode())
         assert (got[k].payload_sha256, got[k].tail_crc32) == (hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+        m = bytes(held[k].media)
+        assert (got[k].n_bytes, got[k].payload_bytes, got[k].media_bytes, got[k].media_sha256) == (len((t or "").encode()), len(p), len(m), hashlib.sha256(m).hexdigest())
+        units = -(-len(p) // media.UNIT)
+        assert held[k].pts == held[k].random_access_pts == [i * media.TICKS for i in range(units)]
+        assert got[k].feature == f"programs=1;streams=1;packets={len(m) // 188};units={units};access={units};errors=0;last_pts={(units - 1) * media.TICKS};stamps=held"
+    assert media.media_digests(media.media_columns(empty)).count() == 0
+
+
+def test_media_reads_other_streams():
+    """A stream put together by hand: two programs' tables, a stream with stuffing, a repeated packet and a null packet."""
+    packet = lambda pid, start, counter, body, control=1: bytes([0x47, (0x40 if start else 0) | pid >> 8, pid & 255, control << 4 | counter]) + body
+    pat = media._table_packet(0, media._section(0, 1, b"\x00\x01\xe1\x10" + b"\x00\x02\xe1\x20"))
+    pmt = [media._table_packet(p, media._section(2, n, b"\xe2\x00\xf0\x00" + bytes([kind]) + (0xE000 | pid).to_bytes(2, "big") + b"\xf0\x00")) for p, n, kind, pid in ((0x110, 1, 0x1B, 0x200), (0x120, 2, 0x0F, 0x201))]
+    body = b"\x00\x00\x01\xe0\x00\x00\x80\x80\x05" + media._stamp(123_456_789) + b"A" * 170
+    one = packet(0x200, True, 0, body[:184])
+    stuffed = packet(0x200, False, 1, bytes([183]) + b"\x00" + b"\xff" * 182, 2)  # no payload
+    two = packet(0x201, True, 5, b"\x00\x00\x01\xc0\x00\x08\x80\x00\x00hello" + b"\xff" * 170)
+    null = packet(0x1FFF, False, 0, b"\xff" * 184)
+    s = media.demux(pat + pmt[0] + pmt[1] + one + one + stuffed + null + two + packet(0x201, True, 7, two[4:]))
+    assert s.programs == {1: {0x200: 0x1B}, 2: {0x201: 0x0F}} and s.continuity_errors == 1
+    assert s.units[0x200] == [(123_456_789, b"A" * 170)] and [x for _, x in s.units[0x201]] == [b"hello", b"hello"]
 
 
 def test_mixing(docs, empty):
@@ -332,6 +355,16 @@ def test_url_filter(spark):
     assert got[0] == got[2] == ("", "", None, "allow") and got[3] == ("example.com", "/en/x", "example.com/en/", "block")
     assert got[4][2:] == ("www.example.com/en/", "allow") and got[5][2:] == ("net/es/", "block") and got[8][2:] == ("com/", "allow")
     assert all(got[k][2] is None for k in (6, 7, 9, 10)) and url_filter.filter_urls(pages, rules).count() == 12
+    clash = pages.withColumn("host", F.lit("h")).withColumn("verdict", F.lit(1)).withColumn("rule", F.lit(2)).withColumn("__n", F.lit(3))
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(clash, rules).collect()} == got
+    assert {r.verdict for r in url_filter.filter_urls(clash, rules.where("false")).collect()} == {"allow"} and url_filter.filter_urls(pages.where("false"), rules).count() == 0
+
+
+def test_url_filter_long_hosts(spark):
+    long = [("a." * 50_000) + "example.com/en/x", "b" * 1_000_000 + ".net/fr/" + "y" * 1_000_000]
+    rules = spark.createDataFrame(list(url_filter.RULES), "verdict string, host string, path string")
+    got = url_filter.filter_urls(spark.createDataFrame([(k, "http://" + u) for k, u in enumerate(long)], "page_id long, url string"), rules)
+    assert [(r.rule, r.verdict) for r in got.orderBy("page_id").collect()] == [("example.com/en/", "block"), ("net/fr/", "block")]
 
 
 def test_bloom_has_no_false_negatives(spark):
@@ -350,7 +383,41 @@ def test_language(spark, empty):
     assert got.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.9
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 ... 34")], "doc_id long, text string")
     assert {(r.lang_pred, r.score) for r in language_id.identify(odd, model).collect()} == {("und", 0.0)}
-    assert language_id.train(empty) is None and language_id.identify(odd, None).count() == 3
+    assert language_id.train(empty) is None and language_id.identify(odd, None, stretches=True).count() == 3
+    assert language_id.identify(empty, model).count() == 0
+    two = [docs.where(F.col("lang") == x).where("n_chars > 600").orderBy("doc_id").first().text[:400] for x in ("de", "en")] if {"de", "en"} <= set(model.labels) else None
+    if two:
+        mixed = language_id.identify(spark.createDataFrame([(1, " ".join(two))], "doc_id long, text string"), model, stretches=True).first()
+        said = [r.lang for r in mixed.stretches for _ in range(r.words)]
+        n = len(two[0].split())
+        assert said[: n - 3].count("de") > 0.9 * (n - 3) and said[n + 3 :].count("en") > 0.9 * (len(said) - n - 3)
+
+
+def test_windows_are_those_of_whole_texts(spark):
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(300)), "en" if k % 2 else "fr") for k in range(40)]
+    held = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.training_windows(held, 10_000, 128)
+    want = [(" ".join(t.split()[i : i + 128]), lang) for k, t, lang in rows if zlib.crc32(str(k).encode()) % 4 != 2 for i in (0, 128, 256)]
+    assert sorted(got) == sorted(want)
+    assert len(language_id.training_windows(held, 7, 128)) == 7
+
+
+def test_forward_backward_is_the_sum_over_all_labellings():
+    import itertools
+
+    rng = np.random.default_rng(7)
+    emit, move, begin = rng.normal(size=(1, 5, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+    mask = np.array([[True] * 4 + [False]])
+    post, moves = language_id.forward_backward(emit, mask, move, begin)
+    want, pairs, total = np.zeros((4, 3)), np.zeros((3, 3)), 0.0
+    for y in itertools.product(range(3), repeat=4):
+        p = np.exp(begin[y[0]] + sum(emit[0, i, y[i]] for i in range(4)) + sum(move[y[i], y[i + 1]] for i in range(3)))
+        total += p
+        for i in range(4):
+            want[i, y[i]] += p
+            if i:
+                pairs[y[i - 1], y[i]] += p
+    assert np.allclose(post[0, :4], want / total) and np.allclose(moves, pairs / total)
 
 
 def test_toxicity(spark, docs):
