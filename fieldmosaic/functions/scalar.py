@@ -21,6 +21,30 @@ def expit(x: Column) -> Column:
     return F.when(x > 36, F.lit(1.0)).when(x < -709, F.lit(0.0)).otherwise(1.0 / (1.0 + F.exp(-x)))
 
 
+def expit2(x: Column) -> Column:
+    """The other form of expit, with narrower bounds."""
+    return F.when(x > 100, F.lit(1.0)).when(x < -100, F.lit(0.0)).otherwise(F.exp(F.least(x, F.lit(100.0))) / (1.0 + F.exp(F.least(x, F.lit(100.0)))))
+
+
+def binomial_logit_log(y: Column, n: Column, eta: Column) -> Column:
+    """Log probability of y of n, without the constant that doesn't depend on eta; safe for large |eta|."""
+    soft = lambda x: F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+    return -soft(-eta) * y - soft(eta) * (n - y)
+
+
+def log_choose(n: Column, y: Column) -> Column:
+    """Log of the binomial coefficient, a sum over at most n terms."""
+    k = F.least(y, n - y).cast("int")
+    return F.when(k < 1, F.lit(0.0)).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(0.0), lambda acc, i: acc + F.log((n - k + i) / i)))
+
+
+def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Distance of a point from a segment."""
+    long = (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)
+    t = F.when(long > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / F.when(long > 0, long)))).otherwise(0.0)
+    return F.hypot(x - x1 - t * (x2 - x1), y - y1 - t * (y2 - y1))
+
+
 def logit_normal_mean(mu: Column, sigma: Column) -> Column:
     """Approximate mean of expit(X) for a normal X, by a scaled argument."""
     k = 16 * 3**0.5 / (15 * 3.141592653589793)
@@ -44,4 +68,4 @@ def normal_cdf(x: Column) -> Column:
 def title_case(s: Column) -> Column:
     """Capitals after blanks, slashes and hyphens."""
     pieces = F.regexp_extract_all(F.lower(s), F.lit(r"[^ /\-]+|[ /\-]"), F.lit(0))
-    return F.array_join(F.transform(pieces, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1000))), "")
+    return F.array_join(F.transform(pieces, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))), "")

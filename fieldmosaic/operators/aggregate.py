@@ -17,16 +17,33 @@ def agg_area(df: DataFrame, area: str, num: Column, den: Column, urban: Column)
     return sums.select(area, *[c for k in kinds for c in (f"z{k}", f"n{k}", ratio(F.col(f"z{k}"), F.col(f"n{k}")).alias(f"p{k}"))])
 
 
+def pixel_to_area(df: DataFrame, area: str, families: dict[str, Column], weight: Column, urban: Column) -> DataFrame:
+    """agg_area for several families of results in one pass; each family's columns end in its name."""
+    kinds = {"": F.lit(True), "_urb": urban, "_rur": ~urban}
+    n = F.coalesce(weight, F.lit(0))
+    sums = [F.sum(F.when(c, n).otherwise(0)).alias(f"__n{k}") for k, c in kinds.items()]
+    sums += [F.sum(F.when(c, F.coalesce(n * x, F.lit(0))).otherwise(0)).alias(f"z{k}_{f}") for k, c in kinds.items() for f, x in families.items()]
+    got = df.groupBy(area).agg(*sums)
+    return got.select(area, *[x for f in families for k in kinds for x in (f"z{k}_{f}", ratio(F.col(f"z{k}_{f}"), F.col(f"__n{k}")).alias(f"p{k}_{f}"))])
+
+
 def roll_up(areas: DataFrame, mapping: DataFrame, key: str, to: str) -> DataFrame:
-    """Area sums to coarser areas; the ratio is made anew from the sums, never averaged."""
-    sums = areas.join(mapping, key).groupBy(to).agg(F.sum("z").alias("z"), F.sum("n").alias("n"))
-    return sums.withColumn("p", ratio(F.col("z"), F.col("n")))
+    """Area sums, urban and rural ones too where there are, to coarser areas; ratios are made anew from the sums, never averaged."""
+    kinds = [k for k in ("", "_urb", "_rur") if f"z{k}" in areas.columns]
+    sums = areas.join(mapping, key).groupBy(to).agg(*[F.sum(f"{c}{k}").alias(f"{c}{k}") for k in kinds for c in ("z", "n")])
+    return sums.withColumns({f"p{k}": ratio(F.col(f"z{k}"), F.col(f"n{k}")) for k in kinds})
+
+
+def expectation(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mean of an empirical distribution: each value times its step of the distribution function. Values are counted first."""
+    steps = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    return steps.groupBy(*keys).agg((F.sum(F.col(value) * F.col("__n")) / F.sum("__n")).alias("mean"))
 
 
-def count_complete(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Counts of all pairs of the keys that occur, with 0 for empty cells; only the distinct keys are crossed."""
+def count_complete(df: DataFrame, a: str, b: str, keys: DataFrame | None = None) -> DataFrame:
+    """Counts of all pairs of keys, b being true or false, with 0 for empty cells. keys is the frame's table of a; without it the keys that occur."""
     counts = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    cells = counts.select(a).distinct().withColumn(b, F.explode(F.array(F.lit(True), F.lit(False))))
+    cells = (keys if keys is not None else counts).select(a).distinct().withColumn(b, F.explode(F.array(F.lit(True), F.lit(False))))
     return cells.join(counts, [a, b], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -37,12 +54,13 @@ def calibrate(df: DataFrame, region: list[str], value: str, target: str) -> Data
     return df.join(sums, region).withColumn("calibrated", F.when(t.isNull(), v).when(F.col("__s") == 0, t / F.col("__k")).otherwise(v * t / F.when(F.col("__s") != 0, F.col("__s")))).drop("__s", "__k")
 
 
-def weighted_moments(df: DataFrame, key: str, x: Column, w: Column) -> DataFrame:
-    """Weighted mean and variance with reliability weights."""
-    s = df.where(x.isNotNull() & w.isNotNull()).groupBy(key).agg(F.sum(w).alias("v1"), F.sum(w * w).alias("v2"), F.sum(w * x).alias("s1"), F.sum(w * x * x).alias("s2"))
-    mean = ratio(F.col("s1"), F.col("v1"))
-    bias = F.col("v1") - ratio(F.col("v2"), F.col("v1"))
-    return s.select(key, mean.alias("mean"), ratio(F.col("s2") - F.col("v1") * mean * mean, bias).alias("var"))
+def weighted_moments(df: DataFrame, key: str, x: Column, w: Column, kind: str = "reliability") -> DataFrame:
+    """Weighted mean and variance about it, in two passes. The sum of squares is divided by the sum of weights, less 1 for frequencies, less V2 / V1 for reliability weights, or as it is ("none")."""
+    held = df.where(x.isNotNull() & w.isNotNull()).select(key, x.cast("double").alias("x"), w.cast("double").alias("w"))
+    s = held.groupBy(key).agg(F.sum("w").alias("v1"), F.sum(F.col("w") * F.col("w")).alias("v2"), ratio(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("mean"))
+    squares = held.join(s.select(key, "mean"), key).groupBy(key).agg(F.sum(F.col("w") * (F.col("x") - F.col("mean")) ** 2).alias("s2"))
+    off = {"reliability": ratio(F.col("v2"), F.col("v1")), "frequency": F.lit(1.0), "none": F.lit(0.0)}[kind]
+    return s.join(squares, key).select(key, "mean", ratio(F.col("s2"), F.col("v1") - off).alias("var"))
 
 
 def threshold_by_share(df: DataFrame, area: str, value: str, share: str) -> DataFrame:

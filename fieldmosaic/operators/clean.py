@@ -33,3 +33,26 @@ def gaps_islands(df: DataFrame, part: list[str], x: str) -> DataFrame:
     held = df.select(*part, x).distinct()
     held = held.withColumn("__g", F.col(x) - F.row_number().over(Window.partitionBy(*part).orderBy(x)))
     return held.groupBy(*part, "__g").agg(F.min(x).alias("first"), F.max(x).alias("last"), F.count(F.lit(1)).alias("n")).drop("__g")
+
+
+def natural_join(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that agree in all columns that both have."""
+    return left.join(right, [c for c in left.columns if c in right.columns])
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows in order with their places, from 1, for listings that are read whole."""
+    return df.orderBy(*order).withColumn(name, F.row_number().over(Window.orderBy(*order)))
+
+
+def gaps_text(df: DataFrame, part: list[str], key: str) -> DataFrame:
+    """Stretches of consecutive numbers as text, such as [1-3],7,[9-10], one row for each part."""
+    runs = gaps_islands(df, part, key)
+    text = F.when(F.col("first") < F.col("last"), F.concat(F.lit("["), F.col("first"), F.lit("-"), F.col("last"), F.lit("]"))).otherwise(F.col("first").cast("string"))
+    held = runs.groupBy(*part).agg(F.array_sort(F.collect_list(F.struct(F.col("first").alias("at"), text.alias("t")))).alias("s"))
+    return held.select(*part, F.array_join(F.col("s.t"), ",").alias("stretches"))
+
+
+def draw_columns(draws: str, places: list[int]) -> list[Column]:
+    """Columns of some draws, by place from 0."""
+    return [F.get(draws, p) for p in places]

@@ -41,3 +41,9 @@ def resolution(grid: DataFrame) -> DataFrame:
     north = grid.join(F.broadcast(most), "east").select("east", "north").distinct()
     gap = F.col("north") - F.lag("north").over(Window.partitionBy("east").orderBy("north"))
     return north.select(gap.alias("gap")).agg(F.min("gap").alias("resolution"))
+
+
+def split_by_share(df: DataFrame, total: str, share: str, low: float, high: float) -> DataFrame:
+    """Shares under `low` become 0 and those over `high` 1, and the total is split by them anew: urb and rur."""
+    s = F.when(F.col(share) < low, 0.0).when(F.col(share) > high, 1.0).otherwise(F.col(share))
+    return df.withColumn(share, s).withColumn("urb", F.col(total) * F.col(share)).withColumn("rur", F.col(total) - F.col("urb"))

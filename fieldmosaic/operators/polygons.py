@@ -11,10 +11,11 @@ def _undirected(edges: DataFrame) -> DataFrame:
     return edges.withColumn("a", F.least(p, q)).withColumn("b", F.greatest(p, q))
 
 
-def neighbours(edges: DataFrame) -> DataFrame:
-    """(src, dst) of polygons that share an edge, both ways round."""
-    e = _undirected(edges).select("a", "b", "poly").distinct()
-    pairs = e.join(e.withColumnRenamed("poly", "other"), ["a", "b"]).where("poly <> other")
+def neighbours(edges: DataFrame, queen: bool = True) -> DataFrame:
+    """(src, dst) of polygons that share a corner, both ways round; without `queen`, of those that share an edge."""
+    e = _undirected(edges)
+    e = e.select(F.explode(F.array("a", "b")).alias("a"), "poly").distinct() if queen else e.select("a", "b", "poly").distinct()
+    pairs = e.join(e.withColumnRenamed("poly", "other"), ["a"] if queen else ["a", "b"]).where("poly <> other")
     return pairs.select(F.col("poly").alias("src"), F.col("other").alias("dst")).distinct()
 
 
@@ -32,3 +33,12 @@ def precision(links: DataFrame) -> DataFrame:
     """(i, j, q) of an intrinsic autoregression: the number of neighbours on the diagonal, -1 for each link."""
     diagonal = links.groupBy(F.col("src").alias("i")).agg(F.count(F.lit(1)).alias("q")).select("i", F.col("i").alias("j"), "q")
     return diagonal.unionByName(links.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(-1).cast("long").alias("q")))
+
+
+def shapes(edges: DataFrame) -> DataFrame:
+    """(poly, area, cx, cy, radius) of each polygon's largest ring: its centroid and the radius of a circle of its area. edges has ring."""
+    cross = F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")
+    r = edges.groupBy("poly", "ring").agg(F.sum(cross).alias("s"), F.sum((F.col("x1") + F.col("x2")) * cross).alias("sx"), F.sum((F.col("y1") + F.col("y2")) * cross).alias("sy"))
+    big = r.groupBy("poly").agg(F.max_by(F.struct("s", "sx", "sy"), F.abs("s")).alias("m")).select("poly", "m.*").where("s <> 0")
+    area = F.abs("s") / 2
+    return big.select("poly", area.alias("area"), (F.col("sx") / (3 * F.col("s"))).alias("cx"), (F.col("sy") / (3 * F.col("s"))).alias("cy"), F.sqrt(area / F.lit(3.141592653589793)).alias("radius"))

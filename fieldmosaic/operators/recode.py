@@ -62,3 +62,18 @@ def in_order_of(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def job_pair(job: Column, most: int) -> tuple[Column, Column]:
     """Job number (from 1) to the pair i, j with j in 1..most."""
     return (F.floor((job - 1) / F.lit(most)) + 1).cast("long"), ((job - 1) % most + 1).cast("long")
+
+
+def job_number(i: Column, j: Column, most: int) -> Column:
+    """The pair i, j (j in 1..most) to its job number, from 1."""
+    return ((i - 1) * most + j).cast("long")
+
+
+def ragged_pair(jobs: DataFrame, job: str, most: list[int]) -> DataFrame:
+    """Adds i and j of job numbers where the i-th group has most[i - 1] jobs; other numbers have none."""
+    ends = [sum(most[:k]) for k in range(len(most) + 1)]
+    held = F.array(*[F.lit(e) for e in ends[1:]])
+    i = F.size(F.filter(held, lambda e: e < F.col(job))) + 1
+    start = F.get(F.array(*[F.lit(e) for e in ends]), i - 1)
+    ok = (F.col(job) >= 1) & (F.col(job) <= ends[-1])
+    return jobs.withColumn("i", F.when(ok, i).cast("long")).withColumn("j", F.when(ok, F.col(job) - start).cast("long"))

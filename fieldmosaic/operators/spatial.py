@@ -1,36 +1,141 @@
-"""Points, grid cells and polygons. No operator compares all points with all others."""
+"""Points, grid cells and polygons. Points meet others by the numbers of cells; no operator compares all with all."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from math import ceil, log2
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldmosaic.functions.scalar import segment_distance
+
 
 def cell_join(points: DataFrame, grid: DataFrame, step: float, px: str, py: str, gx: str, gy: str) -> DataFrame:
-    """Points with the grid centres whose cell (half-open, upper edge in) holds them: an equi-join of cell numbers."""
-    cell = lambda c: F.ceil(F.col(c) / F.lit(step) - 0.5)
-    p = points.withColumn("__i", cell(px)).withColumn("__j", cell(py))
-    g = grid.withColumn("__i", cell(gx)).withColumn("__j", cell(gy))
-    return p.join(g, ["__i", "__j"]).drop("__i", "__j")
+    """Points with the grid centres whose cell (half-open, upper edge in) holds them. The centres needn't lie on a lattice: a point looks in its own block of `step` and the eight around it, and the range is checked."""
+    at = lambda c: F.floor(F.col(c) / F.lit(step))
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    p = points.withColumn("__i", F.explode(F.transform(around, lambda d: at(px) + d))).withColumn("__j", F.explode(F.transform(around, lambda d: at(py) + d)))
+    g = grid.withColumn("__i", at(gx)).withColumn("__j", at(gy))
+    held = lambda c, d: (F.col(d) - F.lit(step / 2) < F.col(c)) & (F.col(c) <= F.col(d) + F.lit(step / 2))
+    return p.join(g, ["__i", "__j"]).where(held(px, gx) & held(py, gy)).drop("__i", "__j")
+
+
+def _levels(tables: list[tuple[DataFrame, list[str], list[str]]], cell: float) -> int:
+    """How often cells double until one covers all points; eight numbers pass through the driver."""
+    spread = 0.0
+    lows, highs = [[], []], [[], []]
+    for df, xs, ys in tables:
+        r = df.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate((*xs, *ys)) for k, f in (("lo", F.min), ("hi", F.max))]).first()
+        for axis, at in ((0, range(len(xs))), (1, range(len(xs), len(xs) + len(ys)))):
+            lows[axis] += [r[f"lo{i}"] for i in at if r[f"lo{i}"] is not None]
+            highs[axis] += [r[f"hi{i}"] for i in at if r[f"hi{i}"] is not None]
+    for lo, hi in zip(lows, highs, strict=True):
+        spread = max(spread, max(hi, default=0.0) - min(lo, default=0.0))
+    return max(0, ceil(log2(max(spread, cell) / cell))) + 1
+
+
+def _at(c: Column, cell: float, level: Column) -> Column:
+    return F.floor(c / (F.lit(float(cell)) * F.pow(F.lit(2.0), level)))
 
 
-def nearest_in_area(points: DataFrame, grid: DataFrame, area: str, point_id: str, grid_id: str) -> DataFrame:
-    """The nearest grid point of a point's own area, ties to the smaller id; the minimum is combined before the shuffle."""
+def _around(df: DataFrame, x: str, y: str, cell: float, level: Column) -> DataFrame:
+    """Rows for the nine cells around each point at a level."""
+    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    held = df.withColumn("__l", level).withColumn("__i", F.explode(F.transform(near, lambda d: _at(F.col(x), cell, F.col("__l")) + d)))
+    return held.withColumn("__j", F.explode(F.transform(near, lambda d: _at(F.col(y), cell, F.col("__l")) + d)))
+
+
+def nearest(points: DataFrame, others: DataFrame, cell: float, point_id: str = "pid", other_id: str = "gid", by: tuple[str, ...] = ()) -> DataFrame:
+    """(point_id, other_id, dist): the nearest of the others, ties to the smaller id; with `by`, of those that agree in these columns. Null where there is none.
+
+    points has px, py, the others gx, gy. Cells double in size until one covers all. A point first
+    meets one of the others in each cell around it, at every size, which bounds its distance; then it meets
+    all of the others in the nine cells around it of the smallest size that covers that bound. Most points end at small cells.
+    """
+    levels = _levels([(points, ["px"], ["py"]), (others, ["gx"], ["gy"])], cell)
+    each = others.withColumn("__l", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    each = each.withColumn("__i", _at(F.col("gx"), cell, F.col("__l"))).withColumn("__j", _at(F.col("gy"), cell, F.col("__l")))
+    keys = [*by, "__l", "__i", "__j"]
     d2 = (F.col("px") - F.col("gx")) ** 2 + (F.col("py") - F.col("gy")) ** 2
-    near = points.join(grid, area).groupBy(point_id).agg(F.min(F.struct(d2.alias("d2"), F.col(grid_id).alias("g"))).alias("m"))
-    return near.select(point_id, F.col("m.g").alias(grid_id), F.sqrt("m.d2").alias("dist"))
+    held = points.select(point_id, "px", "py", *by)
+    one = each.groupBy(*keys).agg(F.min(F.struct(F.col(other_id), "gx", "gy")).alias("o")).select(*keys, "o.gx", "o.gy")
+    first = _around(held, "px", "py", cell, F.explode(F.sequence(F.lit(0), F.lit(levels)))).join(one, keys)
+    bound = first.groupBy(point_id, "px", "py", *by).agg(F.min(d2).alias("b"))
+    level = F.least(F.lit(levels), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.sqrt("b") * 1.000001, F.lit(float(cell))) / F.lit(float(cell)))))).cast("int")
+    met = _around(bound, "px", "py", cell, level).join(each, keys)
+    found = met.groupBy(point_id).agg(F.min(F.struct(d2.alias("d2"), F.col(other_id).alias("g"))).alias("m"))
+    return points.select(point_id).join(found, point_id, "left").select(point_id, F.col("m.g").alias(other_id), F.sqrt("m.d2").alias("dist"))
+
+
+def cell_or_nearest(points: DataFrame, grid: DataFrame, step: float, point_id: str = "pid", grid_id: str = "gid") -> DataFrame:
+    """(point_id, grid_id, dist, exact): the one grid centre whose cell holds a point, or, where there isn't exactly one, the nearest centre."""
+    met = cell_join(points, grid, step, "px", "py", "gx", "gy")
+    d = F.hypot(F.col("px") - F.col("gx"), F.col("py") - F.col("gy"))
+    one = met.groupBy(point_id).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col(grid_id).alias("g"), d.alias("d"))).alias("m")).where("n = 1")
+    exact = one.select(point_id, F.col("m.g").alias(grid_id), F.col("m.d").alias("dist"), F.lit(True).alias("exact"))
+    rest = nearest(points.join(one, point_id, "left_anti"), grid, step, point_id, grid_id)
+    return exact.unionByName(rest.withColumn("exact", F.lit(False)))
+
+
+def in_polygons(points: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
+    """(pid, poly) for each polygon one of whose rings holds a point.
+
+    points: pid, x, y. edges: poly, ring, x1, y1, x2, y2. Points meet rings by the cells of the rings' boxes, then only the ring's edges
+    in the point's band of y, and the crossings of a ray along x are counted for each ring.
+    """
+    at = lambda c: F.floor(c / F.lit(float(cell)))
+    box = edges.groupBy("poly", "ring").agg(F.min(F.least("x1", "x2")).alias("a"), F.max(F.greatest("x1", "x2")).alias("b"), F.min(F.least("y1", "y2")).alias("c"), F.max(F.greatest("y1", "y2")).alias("d"))
+    cells = box.withColumn("__i", F.explode(F.sequence(at(F.col("a")), at(F.col("b"))))).withColumn("__j", F.explode(F.sequence(at(F.col("c")), at(F.col("d")))))
+    met = points.withColumn("__i", at(F.col("x"))).withColumn("__j", at(F.col("y"))).join(cells, ["__i", "__j"]).where("x BETWEEN a AND b AND y BETWEEN c AND d")
+    bands = edges.where("y1 <> y2").withColumn("__j", F.explode(F.sequence(at(F.least("y1", "y2")), at(F.greatest("y1", "y2")))))
+    cross = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / F.when(F.col("y1") != F.col("y2"), F.col("y2") - F.col("y1")) + F.col("x1"))
+    hits = met.select("pid", "x", "y", "poly", "ring", "__j").join(bands, ["poly", "ring", "__j"]).where(cross).groupBy("pid", "poly", "ring").agg(F.count(F.lit(1)).alias("n"))
+    return hits.where("n % 2 = 1").select("pid", "poly").distinct()
 
 
 def point_in_polygon(points: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
-    """The smallest polygon id that holds each point (null outside all) and in how many it lies.
+    """The smallest polygon id that holds each point (null outside all) and in how many it lies (n_poly). Edges without a column `ring` are one ring each polygon."""
+    held = edges if "ring" in edges.columns else edges.withColumn("ring", F.lit(0))
+    hits = in_polygons(points, held, cell).groupBy("pid").agg(F.min("poly").alias("poly"), F.count(F.lit(1)).alias("n_poly"))
+    return points.select("pid").join(hits, "pid", "left").withColumn("n_poly", F.coalesce("n_poly", F.lit(0).cast("long")))
+
+
+def within(points: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
+    """The points that some polygon holds."""
+    held = edges if "ring" in edges.columns else edges.withColumn("ring", F.lit(0))
+    return points.join(in_polygons(points, held, cell), "pid", "left_semi")
 
-    points: pid, x, y. edges: poly, x1, y1, x2, y2. Points and polygons meet by the cells of the polygons' boxes; then rays are cast along x.
+
+def nearest_edge(points: DataFrame, edges: DataFrame, cell: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(pid, poly, dist): the polygon, or polyline, whose edge is nearest to each point, ties to the smaller id; with `by`, of those that agree in these columns.
+
+    The nearest corner bounds the distance; then a point meets the edges whose boxes touch the nine cells around it of the smallest
+    size that covers the bound.
     """
-    poly = edges.groupBy("poly").agg(F.min("x1").alias("a"), F.max("x1").alias("b"), F.min("y1").alias("c"), F.max("y1").alias("d"), F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("e"))
-    at = lambda c: F.floor(F.col(c) / F.lit(cell))
-    cells = poly.withColumn("i", F.explode(F.sequence(at("a"), at("b")))).withColumn("j", F.explode(F.sequence(at("c"), at("d"))))
-    met = points.withColumn("i", at("x")).withColumn("j", at("y")).join(cells, ["i", "j"])
-    crosses = lambda s: ((s["y1"] > F.col("y")) != (s["y2"] > F.col("y"))) & (F.col("x") < (s["x2"] - s["x1"]) * (F.col("y") - s["y1"]) / F.when(s["y2"] != s["y1"], s["y2"] - s["y1"]) + s["x1"])
-    inside = F.size(F.filter("e", lambda s: F.coalesce(crosses(s), F.lit(False)))) % 2 == 1
-    hits = met.where(inside).groupBy("pid").agg(F.min("poly").alias("poly"), F.count(F.lit(1)).alias("n_poly"))
-    return points.select("pid").join(hits, "pid", "left").withColumn("n_poly", F.coalesce("n_poly", F.lit(0)))
+    levels = _levels([(points, ["x"], ["y"]), (edges, ["x1", "x2"], ["y1", "y2"])], cell)
+    corners = edges.select("poly", *by, F.col("x1").alias("gx"), F.col("y1").alias("gy")).union(edges.select("poly", *by, F.col("x2"), F.col("y2"))).distinct()
+    p = points.select("pid", F.col("x").alias("px"), F.col("y").alias("py"), *by)
+    bound = nearest(p, corners, cell, "pid", "poly", by).where("dist IS NOT NULL").select("pid", "dist")
+    level = F.least(F.lit(levels), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("dist") * 1.000001, F.lit(float(cell))) / F.lit(float(cell)))))).cast("int")
+    held = _around(p.join(bound, "pid"), "px", "py", cell, level)
+    each = edges.withColumn("__l", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    for name, a, b in (("__i", "x1", "x2"), ("__j", "y1", "y2")):
+        each = each.withColumn(name, F.explode(F.sequence(_at(F.least(a, b), cell, F.col("__l")), _at(F.greatest(a, b), cell, F.col("__l")))))
+    d = segment_distance(*[F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2")])
+    found = held.join(each, [*by, "__l", "__i", "__j"]).groupBy("pid").agg(F.min(F.struct(d.alias("d"), "poly")).alias("m"))
+    return points.select("pid").join(found, "pid", "left").select("pid", "m.poly", F.col("m.d").alias("dist"))
+
+
+def polygon_or_nearest(points: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
+    """(pid, poly, dist): the smallest polygon that holds a point, at distance 0, or the one with the nearest edge."""
+    inside = point_in_polygon(points, edges, cell).where("poly IS NOT NULL").select("pid", "poly", F.lit(0.0).alias("dist"))
+    return inside.unionByName(nearest_edge(points.join(inside, "pid", "left_anti"), edges, cell))
+
+
+def polygon_within_parent(points: DataFrame, edges: DataFrame, cell: float, parent: str, far: float = 0.2) -> DataFrame:
+    """(pid, poly, dist, far): the polygon that holds a point if it belongs to the point's own parent; otherwise the nearest of that parent's polygons, and whether it is further than `far`."""
+    of = edges.select("poly", parent).distinct()
+    hits = in_polygons(points, edges if "ring" in edges.columns else edges.withColumn("ring", F.lit(0)), cell).join(of, "poly")
+    own = points.select("pid", parent).join(hits, ["pid", parent]).groupBy("pid").agg(F.min("poly").alias("poly")).withColumn("dist", F.lit(0.0))
+    rest = nearest_edge(points.join(own, "pid", "left_anti"), edges, cell, (parent,))
+    return own.unionByName(rest).withColumn("far", F.coalesce(F.col("dist") > far, F.lit(False)))

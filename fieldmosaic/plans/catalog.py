@@ -160,17 +160,29 @@ def title_case(spark, sf_dir):
 POINTS = "SELECT s_suppkey AS pid, s_nationkey AS area, ((s_suppkey * 53) % 997) / CAST(10 AS DOUBLE) AS x, ((s_suppkey * 71) % 991) / CAST(10 AS DOUBLE) AS y FROM supplier"
 
 
-@query(f"WITH p AS ({POINTS}), g AS ({GRID}) SELECT pid, pixel FROM p JOIN g ON east - 2.5 < x AND x <= east + 2.5 AND north - 2.5 < y AND y <= north + 2.5 WHERE east % 5 = 0 AND north % 5 = 0")
+D2 = "(x - east) * (x - east) + (y - north) * (y - north)"
+
+
+@query(f"""WITH p AS ({POINTS}), g AS ({GRID}), m AS (SELECT pid, min(pixel) pixel, count(*) n FROM p JOIN g ON east - 2.5 < x AND x <= east + 2.5 AND north - 2.5 < y AND y <= north + 2.5 GROUP BY pid),
+d AS (SELECT pid, pixel, row_number() OVER (PARTITION BY pid ORDER BY {D2}, pixel) k FROM p CROSS JOIN g) SELECT d.pid, CASE WHEN m.n = 1 THEN m.pixel ELSE d.pixel END pixel, coalesce(m.n = 1, FALSE) exact FROM d LEFT JOIN m ON d.pid = m.pid WHERE k = 1""")
 def cell_range_join(spark, sf_dir):
-    g = grid(spark, sf_dir).where("east % 5 = 0 AND north % 5 = 0").select("pixel", "east", "north")
-    return spatial.cell_join(_from(spark, sf_dir, POINTS).select("pid", "x", "y"), g, 5.0, "x", "y", "east", "north").select("pid", "pixel")
+    p = _from(spark, sf_dir, POINTS).select("pid", F.col("x").alias("px"), F.col("y").alias("py"))
+    g = grid(spark, sf_dir).select("pixel", F.col("east").alias("gx"), F.col("north").alias("gy"))
+    return spatial.cell_or_nearest(p, g, 5.0, "pid", "pixel").select("pid", "pixel", "exact")
 
 
-@query(f"WITH p AS ({POINTS}), g AS ({GRID}), d AS (SELECT pid, pixel, (x - east) ** 2 + (y - north) ** 2 d2, row_number() OVER (PARTITION BY pid ORDER BY (x - east) ** 2 + (y - north) ** 2, pixel) k FROM p JOIN g ON p.area = g.area) SELECT pid, pixel, round(sqrt(d2), 6) dist FROM d WHERE k = 1")
+@query(f"WITH p AS ({POINTS}), g AS ({GRID}), d AS (SELECT pid, pixel, {D2} d2, row_number() OVER (PARTITION BY pid ORDER BY {D2}, pixel) k FROM p JOIN g ON p.area = g.area) SELECT p.pid, pixel, round(sqrt(d2), 6) dist FROM p LEFT JOIN d ON p.pid = d.pid AND k = 1")
 def nearest_join(spark, sf_dir):
     p = _from(spark, sf_dir, POINTS).select("pid", "area", F.col("x").alias("px"), F.col("y").alias("py"))
     g = grid(spark, sf_dir).select("pixel", "area", F.col("east").alias("gx"), F.col("north").alias("gy"))
-    return spatial.nearest_in_area(p, g, "area", "pid", "pixel").withColumn("dist", F.round("dist", 6))
+    return spatial.nearest(p, g, 5.0, "pid", "pixel", ("area",)).withColumn("dist", F.round("dist", 6))
+
+
+@query(f"WITH p AS ({POINTS}), g AS ({GRID}) SELECT pid, round(ln(sqrt(min({D2})) + 1), 6) log_dist FROM p CROSS JOIN g GROUP BY pid")
+def nn_distance(spark, sf_dir):
+    p = _from(spark, sf_dir, POINTS).select("pid", F.col("x").alias("px"), F.col("y").alias("py"))
+    g = grid(spark, sf_dir).select("pixel", F.col("east").alias("gx"), F.col("north").alias("gy"))
+    return spatial.nearest(p, g, 5.0, "pid", "pixel").select("pid", F.round(F.log(F.col("dist") + 1), 6).alias("log_dist"))
 
 
 @query(f"WITH p AS ({POINTS}), b(poly, a, c, b, d) AS (VALUES (1, 10, 10, 50, 60), (2, 40, 40, 90, 95)), m AS (SELECT pid, min(poly) poly, CAST(count(*) AS BIGINT) n FROM p JOIN b ON x >= a AND x < b.b AND y >= c AND y < d GROUP BY pid) SELECT p.pid, m.poly, coalesce(m.n, 0) n_poly FROM p LEFT JOIN m ON p.pid = m.pid")
@@ -200,7 +212,7 @@ HASHED = "(c_custkey * 1103515245 + 12345) % 2147483648"
 @query(f"SELECT c_custkey, CAST((row_number() OVER (PARTITION BY c_nationkey, {URBAN} ORDER BY {HASHED}, c_custkey) - 1) % 10 + 1 AS INTEGER) fold FROM customer")
 def strat_kfold(spark, sf_dir):
     c = _from(spark, sf_dir, f"SELECT c_custkey, c_nationkey, {URBAN} AS urban, {HASHED} AS h FROM customer")
-    return survey.stratified_folds(c, ["c_nationkey", "urban"], [F.col("h"), F.col("c_custkey")], 10).select("c_custkey", F.col("fold").cast("int").alias("fold"))
+    return survey.stratified_folds(c, ["c_nationkey", "urban"], F.col("h") / 2147483648, [F.col("c_custkey")], 10).select("c_custkey", F.col("fold").cast("int").alias("fold"))
 
 
 @query(f"WITH r AS (SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY {HASHED}, c_custkey) k, count(*) OVER (PARTITION BY c_nationkey) n FROM customer) SELECT c_custkey, round(n / least(n, 5), 6) weight FROM r WHERE k <= 5")
@@ -217,41 +229,17 @@ def crps_ensemble(spark, sf_dir):
     return draws(spark, sf_dir).select("vec_id", F.round(scores.crps_ensemble("draws", F.col("truth")), 6).alias("crps"))
 
 
-@query(D_SQL + ", q AS (SELECT vec_id, truth, list_aggregate(d, 'quantile_cont', 0.1) lo, list_aggregate(d, 'quantile_cont', 0.9) hi FROM d) SELECT vec_id, round(lo, 6) lower, round(hi, 6) upper, round(hi - lo + 10 * greatest(lo - truth, 0) + 10 * greatest(truth - hi, 0), 6) score, truth BETWEEN lo AND hi covered FROM q")
-def interval_score(spark, sf_dir):
-    q = draws(spark, sf_dir).withColumn("lo", scores.quantile("draws", 0.1)).withColumn("hi", scores.quantile("draws", 0.9))
-    return q.select("vec_id", F.round("lo", 6).alias("lower"), F.round("hi", 6).alias("upper"), F.round(scores.interval_score(F.col("lo"), F.col("hi"), F.col("truth"), 0.8), 6).alias("score"), F.col("truth").between(F.col("lo"), F.col("hi")).alias("covered"))
-
-
 @query(D_SQL + ", e AS (SELECT label, list_avg(d) - truth e FROM d) SELECT label, round(avg(e), 6) bias, round(avg(e * e), 6) mse, round(avg(e * e) - avg(e) ** 2, 6) var FROM e GROUP BY label")
 def mse(spark, sf_dir):
     e = draws(spark, sf_dir).select("label", (scores.mean("draws") - F.col("truth")).alias("e"))
     return rounded(e.groupBy("label").agg(F.avg("e").alias("bias"), F.avg(F.col("e") ** 2).alias("mse")).withColumn("var", F.col("mse") - F.col("bias") ** 2), "label")
 
 
-@query(D_SQL + ", e AS (SELECT label, unnest(d) x, generate_subscripts(d, 1) k FROM d) SELECT label, CAST(k AS INTEGER) draw, round(avg(x), 6) p FROM e GROUP BY 1, 2")
-def predict_area(spark, sf_dir):
-    e = draws(spark, sf_dir).select("label", F.posexplode("draws").alias("k", "x"))
-    return e.groupBy("label", (F.col("k") + 1).alias("draw")).agg(F.round(F.avg("x"), 6).alias("p"))
-
-
-@query("")
-def dhs_rings(spark, sf_dir):
-    return integration.rings(spark)
-
-
-@query("")
-def dhs_points(spark, sf_dir):
-    return integration.around(grid(spark, sf_dir).select("pixel", "urban", "east", "north"), integration.rings(spark)).select("pixel", "k", "px", "py", "w")
-
-
-MIX = "SELECT vec_id, label % 5 AS y, 9 AS n"
-
-
-@query(D_SQL + ", e AS (SELECT vec_id, label % 5 y, unnest(d) eta, 1 / CAST(len(d) AS DOUBLE) w FROM d) SELECT vec_id, round(ln(sum(w * exp(-ln(1 + exp(-eta)) * y - ln(1 + exp(eta)) * (9 - y)))), 6) loglik FROM e GROUP BY vec_id")
+@query(D_SQL + """, e AS (SELECT vec_id, label % 5 y, unnest(d) * 40 eta, 1 / CAST(len(d) AS DOUBLE) w FROM d), t AS (SELECT vec_id, ln(w) - (greatest(-eta, 0) + ln(1 + exp(-abs(eta)))) * y - (greatest(eta, 0) + ln(1 + exp(-abs(eta)))) * (9 - y)
+  + ln([1, 9, 36, 84, 126][y + 1]) t FROM e), m AS (SELECT vec_id, max(t) m FROM t GROUP BY 1) SELECT t.vec_id, round(max(m) + ln(sum(exp(t - m))), 5) loglik FROM t JOIN m ON t.vec_id = m.vec_id GROUP BY t.vec_id""")
 def mix_loglik(spark, sf_dir):
-    e = draws(spark, sf_dir).select("vec_id", (F.col("label") % 5).alias("y"), F.lit(9).alias("n"), (F.lit(1.0) / F.size("draws")).alias("w"), F.explode("draws").alias("eta"))
-    return rounded(integration.mixture_likelihood(e, "vec_id"), "vec_id")
+    e = draws(spark, sf_dir).select("vec_id", (F.col("label") % 5).alias("y"), F.lit(9).alias("n"), (F.lit(1.0) / F.size("draws")).alias("w"), F.explode("draws").alias("x")).withColumn("eta", F.col("x") * 40)
+    return integration.mixture_likelihood(e, "vec_id").select("vec_id", F.round("loglik", 5).alias("loglik"))
 
 
 @query(f"WITH g AS ({GRID}) SELECT pixel, round(1 / (1 + exp(-(prev * 4 - 2))), 6) expit, round(1 / (1 + exp(-((prev * 4 - 2) / sqrt(1 + pow(16 * sqrt(3) / (15 * pi()), 2) * 0.25)))), 6) lnm FROM g")

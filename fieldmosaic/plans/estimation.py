@@ -9,7 +9,7 @@ from fieldmosaic.plans.catalog import D_SQL, GRID, HASHED, POINTS, URBAN, _from,
 
 #: Each nation is a square of a 5 x 5 board; a region is their union.
 CELLS = "SELECT n_nationkey AS poly, n_regionkey AS parent, n_nationkey % 5 AS cx, CAST(floor(n_nationkey / CAST(5 AS DOUBLE)) AS BIGINT) AS cy FROM nation"
-LINKS = f"c AS ({CELLS}), l AS (SELECT a.poly src, b.poly dst, a.parent = b.parent inner_link, a.parent FROM c a JOIN c b ON abs(a.cx - b.cx) + abs(a.cy - b.cy) = 1)"
+LINKS = f"c AS ({CELLS}), l AS (SELECT a.poly src, b.poly dst, a.parent = b.parent inner_link, a.parent FROM c a JOIN c b ON greatest(abs(a.cx - b.cx), abs(a.cy - b.cy)) = 1), r AS (SELECT a.poly src, b.poly dst, a.parent = b.parent inner_link, a.parent FROM c a JOIN c b ON abs(a.cx - b.cx) + abs(a.cy - b.cy) = 1)"
 CORNERS = ((0, 0, 1, 0), (1, 0, 1, 1), (1, 1, 0, 1), (0, 1, 0, 0))
 
 
@@ -24,7 +24,7 @@ def polygon_neighbours(spark, sf_dir):
     return polygons.neighbours(squares(spark, sf_dir))
 
 
-@query(f"WITH {LINKS}, k AS (SELECT parent, count(*) n FROM l WHERE inner_link GROUP BY 1), s AS (SELECT parent, 4 * count(*) n FROM c GROUP BY 1) SELECT s.parent, CAST(s.n - coalesce(k.n, 0) AS BIGINT) edges FROM s LEFT JOIN k ON s.parent = k.parent")
+@query(f"WITH {LINKS}, k AS (SELECT parent, count(*) n FROM r WHERE inner_link GROUP BY 1), s AS (SELECT parent, 4 * count(*) n FROM c GROUP BY 1) SELECT s.parent, CAST(s.n - coalesce(k.n, 0) AS BIGINT) edges FROM s LEFT JOIN k ON s.parent = k.parent")
 def polygon_union(spark, sf_dir):
     return polygons.outline(squares(spark, sf_dir), "parent").groupBy("parent").agg(F.count(F.lit(1)).alias("edges"))
 
@@ -58,39 +58,12 @@ OFFSETS = ", ".join(f"({str(u).lower()}, {k}, {dx!r}::DOUBLE, {dy!r}::DOUBLE, {w
 AROUND = f"o(urban, k, dx, dy, w) AS (VALUES {OFFSETS}), q AS (SELECT pixel, o.k, east + dx px, north + dy py, o.w, floor(east / 25) = floor((east + dx) / 25) AND floor(north / 25) = floor((north + dy) / 25) inside FROM ({GRID}) g JOIN o ON g.urban = o.urban)"
 
 
-@query(f"WITH {AROUND} SELECT pixel, k, round(CASE WHEN inside THEN w ELSE 0 END / nullif(sum(CASE WHEN inside THEN w ELSE 0 END) OVER (PARTITION BY pixel), 0), 6) w FROM q")
-def admin_reweight(spark, sf_dir):
-    block = lambda c: F.floor(F.col(c) / 25)
-    q = integration.around(grid(spark, sf_dir), integration.rings(spark))
-    return rounded(integration.reweight(q, "pixel", (block("east") == block("px")) & (block("north") == block("py"))).select("pixel", "k", "w"), "pixel", "k")
-
-
 @query(f"WITH {AROUND} SELECT pixel, round(sum(w * px), 6) x, round(sum(w * py), 6) y FROM q GROUP BY pixel")
 def weighted_cov_avgs(spark, sf_dir):
     q = integration.around(grid(spark, sf_dir), integration.rings(spark))
     return rounded(q.groupBy("pixel").agg(F.sum(F.col("w") * F.col("px")).alias("x"), F.sum(F.col("w") * F.col("py")).alias("y")), "pixel")
 
 
-EST_C = "SELECT c_nationkey AS area, avg(CAST(c_acctbal AS DOUBLE)) AS est, var_samp(CAST(c_acctbal AS DOUBLE)) / count(*) AS var FROM customer GROUP BY c_nationkey"
-EST_S = "SELECT s_nationkey AS area, avg(CAST(s_acctbal AS DOUBLE)) AS est, var_samp(CAST(s_acctbal AS DOUBLE)) / count(*) AS var FROM supplier GROUP BY s_nationkey"
-
-
-@query(f"SELECT area, round(sum(est / var) / sum(1 / var), 4) est, round(1 / sum(1 / var), 4) var FROM ({EST_C} UNION ALL {EST_S}) x WHERE var > 0 GROUP BY area")
-def combine_surveys(spark, sf_dir):
-    both = estimates.combine([_from(spark, sf_dir, EST_C), _from(spark, sf_dir, EST_S)], "area")
-    return both.select("area", F.round("est", 4).alias("est"), F.round("var", 4).alias("var"))
-
-
-PREV = f"SELECT area, avg(prev) AS p, count(*) AS n FROM ({GRID}) g GROUP BY area"
-
-
-@query(f"WITH e AS (SELECT area, ln(p / (1 - p)) m, sqrt(1 / (n * p * (1 - p))) s FROM ({PREV}) a) SELECT area, round(1 / (1 + exp(-(m - 1.6448536269514722 * s))), 6) lower_90, round(1 / (1 + exp(-(m + 1.6448536269514722 * s))), 6) upper_90, round(1 / (1 + exp(-(m - 1.959963984540054 * s))), 6) lower_95, round(1 / (1 + exp(-(m + 1.959963984540054 * s))), 6) upper_95 FROM e")
-def get_est(spark, sf_dir):
-    a = grid(spark, sf_dir).groupBy("area").agg(F.avg("prev").alias("p"), F.count(F.lit(1)).alias("n")).where("p > 0 AND p < 1")
-    e = a.select("area", F.log(F.col("p") / (1 - F.col("p"))).alias("m"), (1 / (F.col("n") * F.col("p") * (1 - F.col("p")))).alias("v"))
-    return rounded(estimates.intervals(e, "m", "v", (0.9, 0.95)).drop("m", "v"), "area")
-
-
 FOLDS = "SELECT label, vec_id % 5 AS fold, avg(truth - d[1]) AS bias, avg(CASE WHEN vec_id % 5 <> 3 OR label % 2 = 0 THEN abs(truth - d[2]) END) AS mae, CAST(count(*) AS DOUBLE) AS n FROM d GROUP BY 1, 2"
 
 
@@ -123,12 +96,6 @@ def scores_by_distance(spark, sf_dir):
     return rounded(estimates.bin_by_quantiles(g, "dist", 5).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("dist").alias("dist"), F.avg("prev").alias("score")), "bin", "n")
 
 
-@query(f"SELECT c_custkey, CASE WHEN c_nationkey = 3 AND {HASHED} % 10 + 1 > 5 THEN 'out' ELSE 'in' END part FROM customer")
-def fold_split_areal(spark, sf_dir):
-    c = _from(spark, sf_dir, f"SELECT c_custkey, c_nationkey, {HASHED} % 10 + 1 AS fold FROM customer")
-    return c.select("c_custkey", F.when((F.col("c_nationkey") == 3) & (F.col("fold") > 5), "out").otherwise("in").alias("part"))
-
-
 PLACED = f"SELECT g.pixel, g.area, g.pop, ((g.pixel * 1103515245 + 12345) % 2147483648) / CAST(2147483648 AS DOUBLE) AS place FROM ({GRID}) g"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldmosaic.plans import catalog, estimation, population
+from fieldmosaic.plans import catalog, estimation, population, prediction, space
 
-MODULES = (catalog, population, estimation)
+MODULES = (catalog, population, estimation, prediction, space)
 QUERIES, SQL = catalog.QUERIES, catalog.SQL

@@ -45,3 +45,32 @@ def cache_or_compute(spark: SparkSession, path: str, make: Callable[[], DataFram
     df = make()
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def symmetric_links(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """A graph's links (src, dst) both ways round, once each, without loops and nulls."""
+    held = links.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))).select(F.col(src).alias("src"), F.col(dst).alias("dst"))
+    return held.unionByName(held.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+
+
+def read_graph(spark: SparkSession, path: str) -> DataFrame:
+    """A graph kept as links; raises where one lacks its other way round or is a loop."""
+    links = spark.read.parquet(path).select("src", "dst")
+    lone = links.join(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_anti").unionByName(links.where("src = dst"))
+    if lone.limit(1).count():
+        raise ValueError(f"links at {path} aren't symmetric or have loops")
+    return links
+
+
+def write_graph(links: DataFrame, path: str) -> None:
+    symmetric_links(links).write.mode("overwrite").parquet(path)
+
+
+def write_cells(cells: DataFrame, path: str) -> None:
+    """Raster cells (layer, r, c, v), a folder for each layer."""
+    cells.select("layer", "r", "c", "v").write.mode("overwrite").partitionBy("layer").parquet(path)
+
+
+def write_results(results: DataFrame, path: str, keys: tuple[str, ...] = ("model", "fold")) -> None:
+    """Results in a folder for each model and fold, so that one fold's are written and read alone."""
+    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
