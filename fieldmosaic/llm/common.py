@@ -137,6 +137,15 @@ def range_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nda
         return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
+def sequence_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each values[begin:end] of mixed 64-bit values. Hashes of a text's overlapping grams make one of the text that keeps none of the structure of its bytes."""
+    up, down = POWERS.get(len(values) + 1)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(mix(values + BASE) * up[:-1], out=total[1:])
+        return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+
+
 def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each data[begin:end] that mixes eight bytes at a time, so no two strings are known to collide. For strings that are short or few."""
     size = end - begin

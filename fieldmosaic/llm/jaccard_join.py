@@ -137,7 +137,7 @@ def _pass_one(width: int):
         if rows:  # slot -1 stands for all shingles
             slot, hits = np.append(often, -1), np.append(counter[often].astype(np.int64), total)
             k = len(slot)
-            yield pa.record_batch([pa.nulls(k, b.column("__id").type), *[pa.nulls(k, pa.int64())] * 4, pa.nulls(k, pa.list_(pa.int64())), pa.array(slot), pa.array(hits)], names=names)
+            yield pa.record_batch([pa.nulls(k, b.column("__id").type), pa.nulls(k, b.column("__h").type), *[pa.nulls(k, pa.int64())] * 3, pa.nulls(k, pa.list_(pa.int64())), pa.array(slot), pa.array(hits)], names=names)
 
     return run
 
@@ -277,6 +277,54 @@ def _small_pairs(start: np.ndarray, end: np.ndarray, most: int = 1 << 16) -> Ite
         i = j
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
+    """Tables of rows sorted by token, the places [start, end) of whole buckets in them that have two labels or more, and their columns of numbers."""
+    held: list[pa.RecordBatch] = []
+    for last, b in _with_last(batches):
+        held.append(b)
+        t = pa.Table.from_batches(held).combine_chunks()
+        if not t.num_rows:
+            held = []
+            continue
+        cols = {c: t.column(c).to_numpy().astype(np.int64) for c in ("token", "key", "n", "pos", "label")}
+        token, label = cols["token"], cols["label"]
+        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        end = np.append(start[1:], len(token))
+        held = t.slice(int(start[-1])).to_batches()
+        if not last:
+            start, end = start[:-1], end[:-1]
+        if len(start):
+            whole = int(end[-1])
+            mixed = np.minimum.reduceat(label[:whole], start) < np.maximum.reduceat(label[:whole], start)
+            yield t, start[mixed], end[mixed], cols
+
+
+def _may_meet(c: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Rows a and b of one bucket with different labels whose sizes allow a link, if theirs is the first shingle that both have in their prefixes: all before it are in one of them only."""
+    n, pos, label = c["n"], c["pos"], c["label"]
+    ok = (label[a] != label[b]) & (n[a] * den >= num * n[b]) & (n[b] * den >= num * n[a])
+    need = _needed(n[a], n[b], num, den)
+    return ok & (pos[a] + need <= n[a]) & (pos[b] + need <= n[b])
+
+
+def _partnered(num: int, den: int):
+    """The rows that another one of their bucket may link with, by sizes and places; buckets over a leaf stay whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, start, end, c in _buckets(batches):
+            keep = np.zeros(t.num_rows, bool)
+            small = end - start <= LEAF
+            for i, j in zip(start[~small].tolist(), end[~small].tolist(), strict=True):
+                keep[i:j] = True
+            for a, b in _small_pairs(start[small], end[small]):
+                ok = _may_meet(c, a, b, num, den)
+                keep[a[ok]] = keep[b[ok]] = True
+            if keep.any():
+                yield from t.filter(pa.array(keep)).to_batches()
+
+    return run
+
+
 def _tree_pairs(num: int, den: int):
     """Pairs of classes of a task's buckets that may link; for a bucket with more than PAIRS for each class only its token, with a null pair. Rows come sorted by token.
 
@@ -284,50 +332,30 @@ def _tree_pairs(num: int, den: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for last, b in _with_last(batches):
-            held.append(b)
-            t = pa.Table.from_batches(held).combine_chunks()
-            if not t.num_rows:
-                held = []
-                continue
-            token, key, n, pos, label = (t.column(c).to_numpy().astype(np.int64) for c in ("token", "key", "n", "pos", "label"))
+        for t, start, end, c in _buckets(batches):
+            key, n = c["key"], c["n"]
             bits = Bitmaps(t.column("sig"))
-            sig = bits.at(np.arange(len(token)), 0)
-            start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-            end = np.append(start[1:], len(token))
-            held = t.slice(int(start[-1])).to_batches()
-            if not last:
-                start, end = start[:-1], end[:-1]
-            if not len(start):
-                continue
-            whole = int(end[-1])
-            mixed = np.minimum.reduceat(label[:whole], start) < np.maximum.reduceat(label[:whole], start)
-            start, end = start[mixed], end[mixed]
+            sig = bits.at(np.arange(t.num_rows), 0)
             found, dense = [], []
 
-            def checked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                # the first shingle that both have in their prefixes: all before it are in one of them only
-                need = _needed(n[a], n[b], num, den)
-                ok = (pos[a] + need <= n[a]) & (pos[b] + need <= n[b])
+            def checked(a: np.ndarray, b: np.ndarray, c=c, bits=bits, key=key, n=n) -> tuple[np.ndarray, np.ndarray]:
+                ok = _may_meet(c, a, b, num, den)
                 a, b = a[ok], b[ok]
                 ok = bits.could_link(bits, a, b, n[a], n[b], num, den)
                 return np.minimum(key[a[ok]], key[b[ok]]), np.maximum(key[a[ok]], key[b[ok]])
 
             small = end - start <= LEAF
             for a, b in _small_pairs(start[small], end[small]):
-                ok = (label[a] != label[b]) & (n[a] * den >= num * n[b]) & (n[b] * den >= num * n[a])
-                a, b = a[ok], b[ok]
                 found.append(checked(a, b))
             for i, j in zip(start[~small].tolist(), end[~small].tolist(), strict=True):
                 at, many, own = i + np.lexsort((key[i:j], n[i:j])), 0, []
-                for a, b in SignatureTree(sig[at], n[at], label[at]).pairs(num, den):
+                for a, b in SignatureTree(sig[at], n[at], c["label"][at]).pairs(num, den):
                     own.append(checked(at[a], at[b]))
                     many += len(own[-1][0])
                     if many > PAIRS * (j - i):
                         break
                 if many > PAIRS * (j - i):
-                    dense.append(int(token[i]))
+                    dense.append(int(c["token"][i]))
                 else:
                     found += own
             if dense:
@@ -363,25 +391,25 @@ def _linkable(num: int, den: int):
     return run
 
 
-def _set_rows(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, at = utf8(b.column("__text"))
-            for i, j in spans(at):
-                value, where = shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], width)
-                yield pa.record_batch([*map(pa.array, class_keys(value, where)), pa.array([value[p:q].tobytes() for p, q in zip(where[:-1], where[1:], strict=True)], pa.binary())], names=["k1", "k2", "set"])
-
-    return run
+def _sets_of(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of texts, back to back, and the places where they begin and end; about a megabyte of text at a time."""
+    data, at = utf8(texts)
+    parts, ends = [], [np.zeros(1, np.int64)]
+    for i, j in spans(at):
+        value, where = shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], width)
+        parts.append(value)
+        ends.append(where[1:] + ends[-1][-1])
+    return np.concatenate([*parts, np.zeros(0, np.uint64)]), np.concatenate(ends)
 
 
-def _exact(num: int, den: int):
+def _exact(width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            (x, at_x), (y, at_y) = (_sets_of(b.column(c), width) for c in ("text_a", "text_b"))
             ok = []
-            for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
-                p, q = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
+            for i in range(b.num_rows):
+                p, q = x[at_x[i] : at_x[i + 1]], y[at_y[i] : at_y[i + 1]]
+                both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
                 ok.append(both * den >= num * (len(p) + len(q) - both))
             keep = pa.array(ok, pa.bool_())
             yield pa.record_batch([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
@@ -412,23 +440,22 @@ def overlaps(x: np.ndarray, at_x: np.ndarray, y: np.ndarray, at_y: np.ndarray) -
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each tile from sets sorted by root and tile."""
-    now, keys, labels, sets = None, [], [], []
+    """One row for each tile, with the texts of its classes, from rows sorted by root and tile."""
+    now, keys, labels, texts = None, [], [], []
 
     def row() -> pa.RecordBatch:
-        sizes = np.array([len(s) // 8 for s in sets], np.int64)
-        packed = [np.array(keys, np.int64).tobytes(), np.array(labels, np.int64).tobytes(), sizes.tobytes(), b"".join(sets)]
-        return pa.record_batch([pa.array([now[0]], pa.int64()), *[pa.array([x], pa.int32()) for x in now[1:]], *[pa.array([x], pa.binary()) for x in packed]], names=["root", "tile", "tiles", "alone", "keys", "labels", "sizes", "sets"])
+        packed = [pa.array([np.array(x, np.int64).tobytes()], pa.binary()) for x in (keys, labels)]
+        return pa.record_batch([pa.array([now[0]], pa.int64()), *[pa.array([x], pa.int32()) for x in now[1:]], *packed, pa.array([texts], pa.list_(pa.string()))], names=["root", "tile", "tiles", "alone", "keys", "labels", "texts"])
 
     for b in batches:
-        for root, tile, tiles, alone, key, label, held in zip(*(b.column(c).to_pylist() for c in ("root", "tile", "tiles", "alone", "key", "label", "set")), strict=True):
+        for root, tile, tiles, alone, key, label, held in zip(*(b.column(c).to_pylist() for c in ("root", "tile", "tiles", "alone", "key", "label", "text")), strict=True):
             if now != (root, tile, tiles, alone):
                 if keys:
                     yield row()
-                now, keys, labels, sets = (root, tile, tiles, alone), [], [], []
+                now, keys, labels, texts = (root, tile, tiles, alone), [], [], []
             keys.append(key)
             labels.append(label)
-            sets.append(held)
+            texts.append(held)
     if keys:
         yield row()
 
@@ -454,21 +481,23 @@ def joining(ok: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.nda
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _tile_pairs(num: int, den: int):
+def _tile_pairs(width: int, num: int, den: int):
     """Both tiles of each pair in a task, with the links between their sets; a pair's rows follow each other."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         mate = None
         for b in batches:
-            for root, lo, hi, *held in zip(*(b.column(c).to_pylist() for c in ("root", "lo", "hi", "keys", "labels", "sizes", "sets")), strict=True):
-                key, label, n, value = (np.frombuffer(x, t) for x, t in zip(held, (np.int64, np.int64, np.int64, np.uint64), strict=True))
-                here = (key, label, n, value, np.concatenate(([0], np.cumsum(n))))
+            for i in range(b.num_rows):
+                root, lo, hi = (b.column(c)[i].as_py() for c in ("root", "lo", "hi"))
+                key, label = (np.frombuffer(b.column(c)[i].as_py(), np.int64) for c in ("keys", "labels"))
+                value, at = _sets_of(b.column("texts")[i].values, width)
+                here = (key, label, np.diff(at), value, at)
                 if lo != hi and (mate is None or mate[0] != (root, lo, hi)):
                     mate = ((root, lo, hi), here)
                     continue
                 other = here if lo == hi else mate[1]
-                both = overlaps(value, here[4], other[3], other[4])
-                ok = both * den >= num * (n[:, None] + other[2] - both)
+                both = overlaps(value, at, other[3], other[4])
+                ok = both * den >= num * (here[2][:, None] + other[2] - both)
                 if lo == hi:
                     np.fill_diagonal(ok, False)
                 yield ok, here, other, lo == hi
@@ -477,12 +506,12 @@ def _tile_pairs(num: int, den: int):
     return each
 
 
-def _tile_links(num: int, den: int):
+def _tile_links(width: int, num: int, den: int):
     """Links of each class in the pairs of tiles of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = {}
-        for ok, here, other, same in _tile_pairs(num, den)(batches):
+        for ok, here, other, same in _tile_pairs(width, num, den)(batches):
             for keys, links in ((here[0], ok.sum(1)), (other[0], ok.sum(0)))[: 2 - same]:
                 for k, c in zip(keys.tolist(), links.tolist(), strict=True):
                     total[k] = total.get(k, 0) + c
@@ -494,11 +523,11 @@ def _tile_links(num: int, den: int):
     return run
 
 
-def _tile_joins(num: int, den: int):
+def _tile_joins(width: int, num: int, den: int):
     """Links of a task's pairs of tiles that join two labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ok, here, other, _ in _tile_pairs(num, den)(batches):
+        for ok, here, other, _ in _tile_pairs(width, num, den)(batches):
             a, b = joining(ok, here[1], other[1])
             if len(a):
                 yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
@@ -506,13 +535,13 @@ def _tile_joins(num: int, den: int):
     return run
 
 
-def _in_tiles(rows: DataFrame, docs: DataFrame, classes: DataFrame, width: int, parts: int, run, out: str, name: str) -> DataFrame:
+def _in_tiles(rows: DataFrame, docs: DataFrame, classes: DataFrame, parts: int, run, out: str, name: str) -> DataFrame:
     """run over all pairs of tiles of each root of rows (root, tile, tiles, alone, key, label); tiles under `alone` aren't compared with each other."""
     where = rows.select("root", "tile", "tiles", "alone", "key", "label")
-    sets = _sets(rows.select("key").distinct(), docs, classes, width).join(where, "key").select("root", "tile", "tiles", "alone", "key", "label", "set")
-    made = sets.repartition(parts, "root", "tile").sortWithinPartitions("root", "tile").mapInArrow(_tiles, "root long, tile int, tiles int, alone int, keys binary, labels binary, sizes binary, sets binary")
+    texts = _texts(rows.select("key").distinct(), docs, classes).join(where, "key").select("root", "tile", "tiles", "alone", "key", "label", "text")
+    made = texts.repartition(parts, "root", "tile").sortWithinPartitions("root", "tile").mapInArrow(_tiles, "root long, tile int, tiles int, alone int, keys binary, labels binary, texts array<string>")
     pairs = cut(made, name).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("tile >= alone OR other >= alone")
-    pairs = pairs.select("root", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "keys", "labels", "sizes", "sets")
+    pairs = pairs.select("root", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "keys", "labels", "texts")
     return pairs.repartition(parts, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(run, out)
 
 
@@ -531,7 +560,7 @@ def _link_counts(root: DataFrame, docs: DataFrame, classes: DataFrame, width: in
     held = cut(root.select(F.col("node").alias("key"), "root").join(classes.select("key", "n"), "key"), "linked-classes")
     tiles = held.groupBy("root").agg(_tile_count(F.count(F.lit(1)), F.sum("n")).alias("tiles"))
     where = _spread_join(held, tiles, "root").select("key", F.col("key").alias("label"), "root", "tiles", F.lit(0).alias("alone"), F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int").alias("tile"))
-    counted = _in_tiles(where, docs, classes, width, parts, _tile_links(num, den), "key long, links long", "tiles")
+    counted = _in_tiles(where, docs, classes, parts, _tile_links(width, num, den), "key long, links long", "tiles")
     return cut(counted.groupBy("key").agg(F.sum("links").alias("class_links")), "link-counts")
 
 
@@ -545,24 +574,23 @@ def _dense_links(rest: DataFrame, tokens: DataFrame, docs: DataFrame, classes: D
     h = F.xxhash64("key")
     tile = F.when(F.col("label") == F.col("main"), F.pmod(h, F.col("alone"))).otherwise(F.col("alone") + F.pmod(h, F.greatest("rest", F.lit(1))))
     where = _spread_join(rows, by, "root").select("key", "label", "root", (F.col("alone") + F.col("rest")).alias("tiles"), "alone", tile.cast("int").alias("tile"))
-    return cut(_in_tiles(where, docs, classes, width, parts, _tile_joins(num, den), "a long, b long", "dense-tiles"), "dense-links")
+    return cut(_in_tiles(where, docs, classes, parts, _tile_joins(width, num, den), "a long, b long", "dense-tiles"), "dense-links")
 
 
-def _sets(keys: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """(key, set) of the classes named, made again from one text of each."""
-    wanted = cut(keys.join(classes.select("key", "k1", "k2", "__rep"), "key"), "wanted")
-    bloom = BlockedBloom(wanted.select(F.col("__rep").alias("h")), bits_per_key=12)
-    texts = docs.where(bloom.column(F.col("__h"))).join(wanted.select(F.col("__rep").alias("__h")).distinct(), "__h", "left_semi")
-    made = texts.select("__text").mapInArrow(_set_rows(width), "k1 long, k2 long, set binary").join(wanted.select("key", "k1", "k2"), ["k1", "k2"])
-    return cut(made.select("key", "set").dropDuplicates(["key"]), "sets")
+def _texts(keys: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, text) of the classes named: one text of each, from which its set is made where it is needed, as texts are smaller than sets."""
+    wanted = cut(keys.join(classes.select("key", F.col("__rep").alias("__h")), "key"), "wanted")
+    bloom = BlockedBloom(wanted.select(F.col("__h.a").alias("h")), bits_per_key=12)
+    found = docs.where(bloom.column(F.col("__h.a"))).join(wanted, "__h").select("key", F.col("__text").alias("text"))
+    return cut(found.dropDuplicates(["key"]), "class-texts")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of class keys whose sets link."""
-    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), docs, classes, width)
-    first = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a")
-    both = first.join(sets.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b")
-    return cut(both.select("a", "b", "set_a", "set_b").mapInArrow(_exact(num, den), "a long, b long"), "linked")
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), docs, classes)
+    first = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
+    both = first.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_exact(width, num, den), "a long, b long"), "linked")
 
 
 def _sent_slots(slots: DataFrame):
@@ -584,9 +612,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     their own, of which a task holds one at a time. Other columns, whatever their names, are not read. An empty table gives an empty result.
     """
     parts = partitions_for(docs)
-    held = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).withColumn("__h", F.xxhash64("__id", "__text"))
+    held = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).withColumn("__h", F.struct(F.xxhash64("__id", "__text").alias("a"), F.hash("__text").alias("b")))
     id_type = held.schema["__id"].dataType.simpleString()
-    one = cut(held.mapInArrow(_pass_one(width), f"id {id_type}, h long, n long, k1 long, k2 long, sig array<long>, slot long, hits long"), "sets-seen")
+    one = cut(held.mapInArrow(_pass_one(width), f"id {id_type}, h struct<a:bigint,b:int>, n long, k1 long, k2 long, sig array<long>, slot long, hits long"), "sets-seen")
     counts = cut(one.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("hits").alias("h")), "slots")
     total = counts.where("slot < 0").agg(F.max("h")).first()[0] or 0
     often = counts.where((F.col("slot") >= 0) & (F.col("h") > FREQUENT + 2 * total // COUNTERS))
@@ -611,7 +639,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     named = classes.select("k1", "k2", "key").join(label.select(F.col("node").alias("key"), F.col("root").alias("label")), "key", "left").withColumn("label", F.coalesce("label", "key"))
     rest = cut(shared.select("token", "salts", "k1", "k2", "n", "pos").join(named, ["k1", "k2"]).select("token", "salts", "key", "n", "pos", "label"), "labelled")
     mixed = cut(rest.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("salts").alias("salts")).where("x <> y").select("token", "salts"), "mixed")
-    some = rest.where("salts = 1").join(mixed.where("salts = 1").select("token"), "token", "left_semi").join(classes.select("key", "sig"), "key")
+    some = rest.where("salts = 1").join(mixed.where("salts = 1").select("token"), "token", "left_semi").select("token", "key", "n", "pos", "label")
+    some = some.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_partnered(num, den), "token long, key long, n int, pos int, label long").join(classes.select("key", "sig"), "key")
     found = some.select("token", "key", "n", "pos", "label", "sig").repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_tree_pairs(num, den), "dense long, a long, b long")
     found = cut(found, "tree-pairs")
     more = cut(found.where("dense IS NULL").select("a", "b").distinct().join(near, ["a", "b"], "left_anti"), "tree-only")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, partitions_for, range_hashes, spans, table, utf8
+from .common import cut, mix, partitions_for, range_hashes, sequence_hashes, spans, table, utf8
 from .url_filter import BlockedBloom
 
 LENGTH, GRAM, SHALLOW = 100, 32, 32
@@ -50,7 +50,7 @@ def runs(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.n
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(p)) - 1
     begin, end, lead = p[first], p[last] + length, who[first]
-    return row[first], begin - at[row[first]], end - begin, lead - begin, h[lead].view(np.int64), range_hashes(data, begin, end).view(np.int64)
+    return row[first], begin - at[row[first]], end - begin, lead - begin, h[lead].view(np.int64), sequence_hashes(h, begin, end - gram + 1).view(np.int64)
 
 
 def merged(rid: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
