@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldmosaic.functions import scalar
-from fieldmosaic.operators import aggregate, clean, estimates, integration, scores, survey
+from fieldmosaic.functions import integrals, projection, scalar
+from fieldmosaic.operators import aggregate, clean, estimates, integration, polygons, predict, recode, scores, spatial, survey
 from fieldmosaic.plans import registry
 from fieldmosaic.sources import tables
 
@@ -90,3 +90,90 @@ def test_running_sum_and_sample(spark):
         total += size
         assert got[k] == pytest.approx(total)
     assert sum(r.times for r in estimates.pps_sample(df, ["g"], F.col("place"), [F.col("id")], "size", 4).collect()) == 4
+
+
+def test_draws_with_gaps(spark):
+    """Nulls inside, all null, no draws, ties with the truth at an endpoint, one draw."""
+    rows = [(0, [0.0, None, 1.0], 0.5), (1, [None, None], 0.5), (2, [], 0.5), (3, [2.0] * 5 + [3.0] * 5, 2.0), (4, [1.0], 4.0), (5, None, 1.0)]
+    df = spark.createDataFrame(rows, "id int, d array<double>, t double")
+    got = {r.id: r for r in scores.scored(df, "d", F.col("t"), F.lit(0.1), (0.8,)).collect()}
+    assert got[0].crps == pytest.approx(0.25) and got[0].error == pytest.approx(0.0) and got[0].score80 == pytest.approx(0.8)
+    assert all(got[k].crps is None and got[k].error is None and got[k].score80 is None for k in (1, 2, 5))
+    # the lower endpoint is 2, at which half of the draws are; the tail of 0.1 lacks 0.1 beyond it
+    assert got[3].cover80 == pytest.approx(0.8) and got[3].width80 == pytest.approx(1 - 0.1 * 0.2) and got[3].score80 == pytest.approx(0.98)
+    assert got[4].score80 == pytest.approx(30.0) and got[4].cover80 == 0.0
+
+
+def test_points_and_polygons(spark):
+    shapes = [(1, 0, ((0, 0), (4, 0), (4, 4), (2, 1), (0, 4))), (2, 0, ((10, 0), (20, 0), (20, 10), (10, 10))), (3, 0, ((0, 10), (2, 10), (2, 12), (0, 12))), (3, 1, ((5, 10), (7, 10), (7, 12), (5, 12)))]
+    edges = spark.createDataFrame([(p, r, *map(float, c[i]), *map(float, c[(i + 1) % len(c)])) for p, r, c in shapes for i in range(len(c))], "poly int, ring int, x1 double, y1 double, x2 double, y2 double")
+    pts = spark.createDataFrame([(1, 2.0, 0.5), (2, 2.0, 3.0), (3, 15.0, 5.0), (4, 1.0, 11.0), (5, 6.0, 11.0), (6, 3.5, 11.0), (7, 30.0, 5.0), (8, 10.0, 5.0)], "pid int, x double, y double")
+    got = {r.pid: r.poly for r in spatial.point_in_polygon(pts, edges, 1.5).collect()}
+    assert [got[k] for k in range(1, 8)] == [1, None, 2, 3, 3, None, None] and got[8] in (2, None)
+    near = {r.pid: (r.poly, r.dist) for r in spatial.polygon_or_nearest(pts, edges, 1.5).collect()}
+    assert near[6] == (3, pytest.approx(1.5)) and near[7] == (2, pytest.approx(10.0)) and near[3] == (2, 0.0) and near[8][1] == pytest.approx(0.0)
+    assert {r.poly: round(r.area, 6) for r in polygons.shapes(edges).collect()}[3] == 4.0
+
+
+def test_nearest_by_brute_force(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.uniform(0, 100, (80, 2)), np.concatenate((rng.uniform(0, 5, (40, 2)), rng.uniform(80, 81, (10, 2))))
+    pts = spark.createDataFrame([(k, *map(float, x), k % 2) for k, x in enumerate(a)], "pid int, px double, py double, side int")
+    grid = spark.createDataFrame([(k, *map(float, x), k % 2) for k, x in enumerate(b)], "gid int, gx double, gy double, side int")
+    got = {r.pid: (r.gid, r.dist) for r in spatial.nearest(pts, grid, 1.0, by=("side",)).collect()}
+    for k, x in enumerate(a):
+        d = [(float(np.hypot(*(x - y))), j) for j, y in enumerate(b) if j % 2 == k % 2]
+        assert got[k][0] == min(d)[1] and got[k][1] == pytest.approx(min(d)[0])
+    none = spatial.nearest(pts.where("pid < 3"), grid.where("side = 9"), 1.0).collect()
+    assert [r.gid for r in none] == [None] * 3
+
+
+def test_neighbours_by_corner_and_edge(spark):
+    squares = {0: (0, 0), 1: (1, 0), 2: (1, 1), 3: (3, 3)}
+    e = [(p, x + a, y + b, x + c, y + d) for p, (x, y) in squares.items() for a, b, c, d in ((0.0, 0.0, 1.0, 0.0), (1.0, 0.0, 1.0, 1.0), (1.0, 1.0, 0.0, 1.0), (0.0, 1.0, 0.0, 0.0))]
+    edges = spark.createDataFrame(e, "poly int, x1 double, y1 double, x2 double, y2 double")
+    assert {(r.src, r.dst) for r in polygons.neighbours(edges).collect()} == {(0, 1), (1, 0), (1, 2), (2, 1), (0, 2), (2, 0)}
+    assert {(r.src, r.dst) for r in polygons.neighbours(edges, queen=False).collect()} == {(0, 1), (1, 0), (1, 2), (2, 1)}
+
+
+def test_integrals_and_projection(spark):
+    r = spark.range(1).select(
+        integrals.logit_normal_moment(F.lit(0.0), F.lit(2.0)).alias("a"), integrals.logit_normal_moment(F.lit(1.0), F.lit(0.0)).alias("b"), integrals.logit_normal_moment(F.lit(None).cast("double"), F.lit(1.0)).alias("c"),
+        integrals.logit_normal_moment(F.lit(3.0), F.lit(10.0)).alias("d"), *[c.alias(n) for c, n in zip(projection.to_km(F.lit(4.5), F.lit(4.0)), ("e", "n"))],
+    ).first()
+    x = np.linspace(-12, 12, 200_001)
+    want = float((1 / (1 + np.exp(-(3 + 10 * x))) * np.exp(-x * x / 2)).sum() * (x[1] - x[0]) / np.sqrt(2 * np.pi))
+    assert r.a == pytest.approx(0.5) and r.b == pytest.approx(1 / (1 + np.exp(-1))) and r.c is None and r.d == pytest.approx(want, abs=1e-6)
+    assert (r.e, r.n) == (pytest.approx(230.738), pytest.approx(0.0))
+
+
+def test_prediction_pieces(spark):
+    px = spark.createDataFrame([("a", 10.0, True, [0.2, 0.4]), ("a", 30.0, False, [0.6, None]), ("b", 0.0, True, [0.1, 0.1])], "area string, pop double, urban boolean, draws array<double>")
+    got = {(r.area, r.draw): (r.p, r.p_urb, r.p_rur) for r in predict.predict_areas(px, "area", "pop", F.col("urban")).collect()}
+    assert got["a", 0] == (pytest.approx(0.5), pytest.approx(0.2), pytest.approx(0.6)) and got["b", 0] == (None, None, None)
+    d = predict.design(spark.createDataFrame([(1, 1.0, 5.0), (2, 3.0, 5.0)], "id int, x double, k double"), plain=("x", "k")).orderBy("id").collect()
+    assert [r.x for r in d] == [pytest.approx(-0.5**0.5), pytest.approx(0.5**0.5)] and [r.k for r in d] == [0.0, 0.0]
+
+
+def test_small_pieces(spark, tmp_path):
+    long = "x" * 3000
+    assert spark.range(1).select(scalar.title_case(F.lit(long)).alias("t")).first().t == "X" + long[1:]
+    w = aggregate.weighted_moments(spark.createDataFrame([("a", 1e9 + 1, 2.0), ("a", 1e9 + 3, 2.0), ("b", None, 1.0)], "k string, x double, w double"), "k", F.col("x"), F.col("w"), "frequency").collect()
+    assert [(r.k, r["mean"], r["var"]) for r in w] == [("a", 1e9 + 2, pytest.approx(4 / 3))]
+    text = clean.gaps_text(spark.createDataFrame([("x", k) for k in (1, 2, 3, 7, 9, 10)], "g string, k int"), ["g"], "k").first().stretches
+    assert text == "[1-3],7,[9-10]"
+    j = recode.ragged_pair(spark.range(0, 12).withColumnRenamed("id", "job"), "job", [3, 0, 5]).orderBy("job").collect()
+    assert [(r.i, r.j) for r in j] == [(None, None), (1, 1), (1, 2), (1, 3), (3, 1), (3, 2), (3, 3), (3, 4), (3, 5), (None, None), (None, None), (None, None)]
+    eta = spark.createDataFrame([(1, 500, 1000, 900.0, 1.0), (2, 1, 2, 0.0, 0.5), (2, 1, 2, 0.0, 0.5)], "o int, y int, n int, eta double, w double")
+    ll = {r.o: r.loglik for r in integration.mixture_likelihood(eta, "o").collect()}
+    assert ll[1] is not None and ll[1] < -4e5 and ll[2] == pytest.approx(np.log(0.5))
+    tables.write_graph(spark.createDataFrame([(1, 2), (2, 2), (2, 3)], "src int, dst int"), str(tmp_path / "graph"))
+    assert {(r.src, r.dst) for r in tables.read_graph(spark, str(tmp_path / "graph")).collect()} == {(1, 2), (2, 1), (2, 3), (3, 2)}
+    spark.createDataFrame([(1, 2)], "src int, dst int").write.parquet(str(tmp_path / "half"))
+    with pytest.raises(ValueError):
+        tables.read_graph(spark, str(tmp_path / "half"))
+    tables.write_cells(spark.createDataFrame([("pop", 0, 0, 1.0), ("elev", 0, 1, None)], "layer string, r int, c int, v double"), str(tmp_path / "cells"))
+    assert spark.read.parquet(str(tmp_path / "cells")).where("layer = 'pop'").count() == 1
+    for fold in (1, 2):
+        tables.write_results(spark.createDataFrame([("m", fold, 0.5)], "model string, fold int, score double"), str(tmp_path / "results"))
+    assert spark.read.parquet(str(tmp_path / "results")).count() == 2
