@@ -63,11 +63,30 @@ def weighted_moments(df: DataFrame, key: str, x: Column, w: Column, kind: str =
     return s.join(squares, key).select(key, "mean", ratio(F.col("s2"), F.col("v1") - off).alias("var"))
 
 
-def threshold_by_share(df: DataFrame, area: str, value: str, share: str) -> DataFrame:
-    """Per area, the smallest value whose cumulative sum, ascending, reaches total * (1 - share)."""
-    w = Window.partitionBy(area).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    held = df.withColumn("__c", F.sum(value).over(w)).withColumn("__t", F.sum(value).over(Window.partitionBy(area)))
-    return held.groupBy(area).agg(F.min(F.when(F.col("__c") >= F.col("__t") * (1 - F.col(share)), F.col(value))).alias("threshold"))
+def threshold_by_share(df: DataFrame, area: str, value: str, share: str, always: tuple = ()) -> DataFrame:
+    """Per area, the smallest value whose cumulative sum, ascending, reaches total * (1 - share); minus infinity for areas that are `always` urban.
+
+    Sums run over buckets of the area's range of values first, so that a large area is spread over many tasks.
+    """
+    ends = df.groupBy(area).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum(value).alias("__t"))
+    held = df.where(F.col(value).isNotNull()).join(ends, area)
+    place = F.when(F.col("__hi") > F.col("__lo"), (F.col(value) - F.col("__lo")) / F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo"))).otherwise(0.0)
+    held = running_sum(held, [area], place, [F.col(value)], value)
+    found = held.groupBy(area).agg(F.min(F.when(F.col("running") >= F.col("__t") * (1 - F.col(share)), F.col(value))).alias("threshold"))
+    return found.withColumn("threshold", F.when(F.col(area).isin(*always), F.lit(float("-inf"))).otherwise(F.col("threshold"))) if always else found
+
+
+def running_sum(df: DataFrame, strata: list[str], place: Column, order: list[Column], value: str, buckets: int = 64) -> DataFrame:
+    """`running`: the sum of value within the strata in the order of (place, *order), place being from 0 to 1.
+
+    Places are cut into buckets, whose totals are summed first, so that a large stratum is spread over many tasks.
+    """
+    held = df.withColumn("__b", F.least(F.floor(place * buckets), F.lit(buckets - 1)))
+    totals = held.groupBy(*strata, "__b").agg(F.sum(value).alias("__t_b"))
+    before = totals.withColumn("__before", F.coalesce(F.sum("__t_b").over(Window.partitionBy(*strata).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    within = Window.partitionBy(*strata, "__b").orderBy(place, *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = held.join(before.drop("__t_b"), [*strata, "__b"])
+    return joined.withColumn("running", F.col("__before") + F.sum(value).over(within)).drop("__b", "__before")
 
 
 def mixed(df: DataFrame, key: str, sums: tuple[str, ...]) -> DataFrame:

@@ -1,31 +1,12 @@
-"""Estimates after they are made: combined, averaged over folds, with intervals; splits, samples and distances between distributions."""
+"""Estimates after they are made: averages over folds, bins, samples by size, and distances between distributions."""
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmosaic.functions.scalar import expit, ratio
-
-
-def combine(surveys: list[DataFrame], key: str) -> DataFrame:
-    """Means of est weighted by 1 / var, over tables (key, est, var); rows without a positive variance are left out."""
-    rows = surveys[0].select(key, "est", "var")
-    for s in surveys[1:]:
-        rows = rows.unionByName(s.select(key, "est", "var"))
-    w = 1 / F.col("var")
-    return rows.where("var > 0").groupBy(key).agg((F.sum(F.col("est") * w) / F.sum(w)).alias("est"), (1 / F.sum(w)).alias("var"))
-
-
-def intervals(df: DataFrame, logit_est: str, logit_var: str, levels: tuple[float, ...]) -> DataFrame:
-    """lower_N and upper_N for each level (N in per cent), normal on the logit scale."""
-    for level in levels:
-        half = F.lit(NormalDist().inv_cdf(0.5 + level / 2)) * F.sqrt(logit_var)
-        name = round(100 * level)
-        df = df.withColumn(f"lower_{name}", expit(F.col(logit_est) - half)).withColumn(f"upper_{name}", expit(F.col(logit_est) + half))
-    return df
+from fieldmosaic.functions.scalar import ratio
+from fieldmosaic.operators.aggregate import running_sum
 
 
 def fold_average(df: DataFrame, keys: list[str], weight: str, scores: tuple[str, ...]) -> DataFrame:
@@ -41,19 +22,6 @@ def bin_by_quantiles(df: DataFrame, value: str, bins: int) -> DataFrame:
     return df.withColumn("bin", sum(above, F.lit(1)))
 
 
-def running_sum(df: DataFrame, strata: list[str], place: Column, order: list[Column], value: str, buckets: int = 64) -> DataFrame:
-    """`running`: the sum of value within the strata in the order of (place, *order), place being from 0 to 1.
-
-    Places are cut into buckets, whose totals are summed first, so that a large stratum is spread over many tasks.
-    """
-    held = df.withColumn("__b", F.least(F.floor(place * buckets), F.lit(buckets - 1)))
-    totals = held.groupBy(*strata, "__b").agg(F.sum(value).alias("__t"))
-    before = totals.withColumn("__before", F.coalesce(F.sum("__t").over(Window.partitionBy(*strata).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    within = Window.partitionBy(*strata, "__b").orderBy(place, *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = held.join(before.drop("__t"), [*strata, "__b"])
-    return joined.withColumn("running", F.col("__before") + F.sum(value).over(within)).drop("__b", "__before")
-
-
 def pps_sample(df: DataFrame, strata: list[str], place: Column, order: list[Column], size: str, n: int) -> DataFrame:
     """Systematic sampling with probability proportional to size: n steps of equal length through each stratum's running sum, from half a step. `times` is how often a row is met, `weight` 1 / its expectation."""
     total = df.groupBy(*strata).agg((F.sum(size) / n).alias("__step"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldmosaic.functions.scalar import ratio
@@ -208,8 +207,9 @@ def topk_inspect(spark, sf_dir):
 
 @query(f"WITH g AS ({GRID}) SELECT pixel, round((ln(1 + pop) - avg(ln(1 + pop)) OVER w) / stddev_samp(ln(1 + pop)) OVER w, 6) z FROM g WINDOW w AS (PARTITION BY area)")
 def zscore_by_area(spark, sf_dir):
-    w, x = Window.partitionBy("area"), F.log1p("pop")
-    return grid(spark, sf_dir).select("pixel", F.round(ratio(x - F.avg(x).over(w), F.stddev_samp(x).over(w)), 6).alias("z"))
+    g = grid(spark, sf_dir).select("pixel", "area", F.log1p("pop").alias("x"))
+    moments = g.groupBy("area").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
+    return g.join(moments, "area").select("pixel", F.round(ratio(F.col("x") - F.col("m"), F.col("s")), 6).alias("z"))
 
 
 @query("SELECT p_partkey, p_partkey // 20 + 1 i, p_partkey % 20 + 1 j FROM part")
