@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Fixed value: multiplier for polynomial hashes (odd, so that it has an inverse modulo 2**64).
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes that Spark hands to Python at once; a longer row stands alone.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Folders of local sessions without spark.checkpoint.dir.
 LOCAL: dict[str, str] = {}
 

@@ -32,7 +32,9 @@ from .shingles import shingle_sets
 from .url_filter import BlockedBloom
 
 #: Words of 64 bits of the shortest signatures and how often they may double; slots of the counts of frequent shingles.
-SIG, LEVELS, COUNTERS = 16, 7, 1 << 23
+SIG, LEVELS, COUNTERS = 16, 7, 1 << 21
+#: A shingle's slot: the highest bits of its hash.
+SLOT_SHIFT = 64 - 21
 ORDERS, LEAF, FAN = 4, 16, 8
 #: Shingles in more documents than this (and than slots hold on average) come last in the order.
 FREQUENT = 50
@@ -91,7 +93,7 @@ class Bitmaps:
                 out[k] |= self.words[self.begin[rows[k]][:, None] + part * wide + np.arange(wide)]
         return out
 
-    def could_link(self, other: Bitmaps, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int, most: int = 1 << 20) -> np.ndarray:
+    def could_link(self, other: Bitmaps, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int, most: int = 1 << 18) -> np.ndarray:
         """Whether rows a of this and b of the other, of sizes n and m, can link."""
         out, level = np.zeros(len(a), bool), np.minimum(self.level[a], other.level[b])
         for x in np.unique(level):
@@ -109,7 +111,7 @@ def _needed(a, b, num: int, den: int):
 
 
 def _slot(value: np.ndarray) -> np.ndarray:
-    return (value >> np.uint64(41)).astype(np.int64)
+    return (value >> np.uint64(SLOT_SHIFT)).astype(np.int64)
 
 
 def could_link(s: np.ndarray, t: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -207,7 +209,7 @@ def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         held.append(b)
         rows += b.num_rows
-        if rows > 1 << 18:  # whole buckets only: what may go on stays
+        if rows > 1 << 16:  # whole buckets only: what may go on stays
             t = pa.Table.from_batches(held).combine_chunks()
             token, salt = t.column("token").to_numpy(), t.column("salt").to_numpy()
             end = int(np.flatnonzero((token != token[-1]) | (salt != salt[-1])).max(initial=-1)) + 1
@@ -231,7 +233,7 @@ class SignatureTree:
             self.levels.append((np.bitwise_or.reduceat(s, cuts), np.minimum.reduceat(lo, cuts), np.maximum.reduceat(hi, cuts), np.maximum.reduceat(sl, cuts), np.minimum.reduceat(la, cuts), np.maximum.reduceat(lb, cuts)))
             width = FAN
 
-    def pairs(self, num: int, den: int, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(self, num: int, den: int, most: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Item pairs (a < b) with different labels whose possible overlap reaches the threshold.
 
         Node pairs wait unopened on the stack and are opened about `most` children at a time, so that it holds a few such pieces for each level.
@@ -263,7 +265,7 @@ class SignatureTree:
                 yield a[ok], b[ok]
 
 
-def _small_pairs(start: np.ndarray, end: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _small_pairs(start: np.ndarray, end: np.ndarray, most: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of rows within each of the small buckets [start, end), about `most` at a time."""
     row = np.concatenate([np.arange(i, j) for i, j in zip(start, end, strict=True)]) if len(start) else start
     after = np.repeat(end, end - start) - row - 1
@@ -619,7 +621,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     total = counts.where("slot < 0").agg(F.max("h")).first()[0] or 0
     often = counts.where((F.col("slot") >= 0) & (F.col("h") > FREQUENT + 2 * total // COUNTERS))
     first = held.select("__text").mapInArrow(_prefix_rows(width, num, den, _sent_slots(often)), PREFIX)
-    hot = first.groupBy("token").agg(F.count(F.lit(1)).alias("h")).where(F.col("h") > FREQUENT).select(F.shiftrightunsigned("token", 41).alias("slot"), "h")
+    hot = first.groupBy("token").agg(F.count(F.lit(1)).alias("h")).where(F.col("h") > FREQUENT).select(F.shiftrightunsigned("token", SLOT_SHIFT).alias("slot"), "h")
     sent = _sent_slots(cut(often.unionByName(hot).groupBy("slot").agg(F.max("h").alias("h")), "frequent"))
     members = one.where("slot IS NULL").select(F.col("id").alias("__id"), "n", "k1", "k2")
     classes = one.where("k1 >= 0").groupBy("k1", "k2", "n").agg(F.min("h").alias("__rep"), F.min("id").alias("__least"), F.any_value("sig").alias("sig"))

@@ -85,7 +85,7 @@ def _span_batch(rid, start, size) -> pa.RecordBatch:
     return _batch(mix(rid.astype(np.uint64) * np.uint64(1 << 20) + start.astype(np.uint64)).view(np.int64), zero, zero, rid, start, size, zero - 1)
 
 
-def _find_runs(length: int, gram: int, most: int = 300_000):
+def _find_runs(length: int, gram: int, most: int = 100_000):
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         rid, start, size, lead, anchor, body = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((start, rid, size, body, anchor))
@@ -94,8 +94,8 @@ def _find_runs(length: int, gram: int, most: int = 300_000):
         if again.any():
             yield _span_batch(rid[again], start[again], size[again])
         k = ~again
-        for i in range(0, int(k.sum()), 1 << 18):
-            some = np.flatnonzero(k)[i : i + (1 << 18)]
+        for i in range(0, int(k.sum()), 1 << 16):
+            some = np.flatnonzero(k)[i : i + (1 << 16)]
             yield _batch(anchor[some], anchor[some], body[some], rid[some], start[some], size[some], lead[some])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,8 +135,8 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     same = a[1:] == a[:-1]
     shared = order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(order) else order
     yield _span_batch(*(np.concatenate(x) for x in zip(*spans_, strict=True)))
-    for i in range(0, len(shared), 1 << 18):
-        s = shared[i : i + (1 << 18)]
+    for i in range(0, len(shared), 1 << 16):
+        s = shared[i : i + (1 << 16)]
         yield _batch(anchor[s], anchor[s], body[s], rid[s], start[s], size[s], lead[s])
 
 
@@ -232,7 +232,7 @@ def _first_difference(text: np.ndarray, a: np.ndarray, b: np.ndarray, guess: np.
     return guess
 
 
-def _sort_anchors(length: int, most: int = 1 << 18):
+def _sort_anchors(length: int, most: int = 1 << 16):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:

@@ -104,9 +104,8 @@ def test_jaccard(docs, empty, width, num):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
-@pytest.mark.parametrize("tile", [1024, 7])
-def test_jaccard_links(docs, monkeypatch, tile):
-    monkeypatch.setattr(jaccard_join, "TILE", tile)
+def test_jaccard_links(docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE", 7)
     sets = [frozenset(shingles(t, 4)) for t in texts()]
     want = {a: sum(1 for b in set(sets) if a != b and a and b and 100 * len(a & b) >= 60 * len(a | b)) for a in set(sets)}
     assert max(want.values()) > 10
@@ -173,11 +172,9 @@ def test_dense_groups_send_few_rows(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "PAIRS", 1)
     monkeypatch.setattr(jaccard_join, "_dense_links", lambda *a: seen.append(joins(*a)) or seen[-1])
     held = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(held, count_links=False).collect()}
-    assert got == dict(enumerate(root)) and len(set(root)) > 20
     monkeypatch.setattr(jaccard_join, "SPREAD", 40)
-    again = jaccard_join.jaccard_components(held, count_links=False)
-    assert {r.doc_id: r.component_id for r in again.collect()} == got and seen[-1].count() < 240 * 16
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(held, count_links=False).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) > 20 and seen[-1].count() < 240 * 16
 
 
 def test_sharding(docs, empty):
