@@ -201,7 +201,7 @@ def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         follows = np.minimum(np.arange(len(token)) + 1, len(token) - 1)
         follows[last] = np.where(size > 2, start, last)  # a ring
         keep = (np.repeat(size, size) > 1) | (salts > 1)
-        yield pa.record_batch({"token": pa.array(token[keep]), "salts": pa.array(salts[keep]), "k1": pa.array(k1[keep]), "k2": pa.array(k2[keep]), "n": pa.array(n[keep]), "pos": pa.array(pos[keep]), "next1": pa.array(k1[follows][keep]), "next2": pa.array(k2[follows][keep])})
+        yield pa.record_batch({"token": pa.array(token[keep]), "salts": pa.array(salts[keep]), "k1": pa.array(k1[keep]), "k2": pa.array(k2[keep]), "n": pa.array(n[keep]), "pos": pa.array(pos[keep]), "next1": pa.array(k1[follows][keep]), "next2": pa.array(k2[follows][keep]), "next_n": pa.array(n[follows][keep])})
 
     rows = 0
     for b in batches:
@@ -537,14 +537,24 @@ def _tile_joins(width: int, num: int, den: int):
     return run
 
 
+def _one_tile(run):
+    """run over roots that are one tile each, without another shuffle."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(pa.record_batch([b.column(c) for c in ("root", "tile", "tile", "keys", "labels", "texts")], names=["root", "lo", "hi", "keys", "labels", "texts"]) for b in _tiles(batches))
+
+    return go
+
+
 def _in_tiles(rows: DataFrame, docs: DataFrame, classes: DataFrame, parts: int, run, out: str, name: str) -> DataFrame:
     """run over all pairs of tiles of each root of rows (root, tile, tiles, alone, key, label); tiles under `alone` aren't compared with each other."""
     where = rows.select("root", "tile", "tiles", "alone", "key", "label")
     texts = _texts(rows.select("key").distinct(), docs, classes).join(where, "key").select("root", "tile", "tiles", "alone", "key", "label", "text")
-    made = texts.repartition(parts, "root", "tile").sortWithinPartitions("root", "tile").mapInArrow(_tiles, "root long, tile int, tiles int, alone int, keys binary, labels binary, texts array<string>")
+    few = texts.where("tiles = 1 AND alone = 0").repartition(parts, "root").sortWithinPartitions("root").mapInArrow(_one_tile(run), out)
+    made = texts.where("tiles > 1").repartition(parts, "root", "tile").sortWithinPartitions("root", "tile").mapInArrow(_tiles, "root long, tile int, tiles int, alone int, keys binary, labels binary, texts array<string>")
     pairs = cut(made, name).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("tile >= alone OR other >= alone")
     pairs = pairs.select("root", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "keys", "labels", "texts")
-    return pairs.repartition(parts, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(run, out)
+    return few.unionByName(pairs.repartition(parts, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(run, out))
 
 
 def _tile_count(rows: Column, shingles: Column) -> Column:
@@ -627,13 +637,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     classes = one.where("k1 >= 0").groupBy("k1", "k2", "n").agg(F.min("h").alias("__rep"), F.min("id").alias("__least"), F.any_value("sig").alias("sig"))
     classes = cut(classes.withColumn("n", F.col("n").cast("int")).withColumn("key", F.monotonically_increasing_id()), "classes")
     rows = held.select("__text").mapInArrow(_prefix_rows(width, num, den, sent), PREFIX)
-    shared = rows.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt").mapInArrow(_shared_rows, "token long, salts int, k1 long, k2 long, n int, pos int, next1 long, next2 long")
+    shared = rows.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt").mapInArrow(_shared_rows, "token long, salts int, k1 long, k2 long, n int, pos int, next1 long, next2 long, next_n int")
     shared = cut(shared, "shared")
 
     side = lambda s, x, y: classes.select(F.col("k1").alias(x), F.col("k2").alias(y), F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
-    near = shared.where("(k1, k2) <> (next1, next2)").select("k1", "k2", "next1", "next2").distinct()
+    close = F.least("n", "next_n") * den >= F.greatest("n", "next_n") * num
+    near = shared.where("(k1, k2) <> (next1, next2)").where(close).select("k1", "k2", "next1", "next2").distinct()
     near = near.join(side("x", "k1", "k2"), ["k1", "k2"]).join(side("y", "next1", "next2"), ["next1", "next2"])
-    near = near.where(F.least("n_x", "n_y") * den >= F.greatest("n_x", "n_y") * num).select("x", "y", "n_x", "n_y", "sig_x", "sig_y")
+    near = near.select("x", "y", "n_x", "n_y", "sig_x", "sig_y")
     near = cut(near.mapInArrow(_linkable(num, den), "a long, b long").distinct(), "near")
     links = _verified(near, held, classes, width, num, den)
     label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
