@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -65,6 +66,19 @@ def crc32_unsigned(text: str = "text"):
     return F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
 
+def trimmed(run):
+    """run, a function over batches, after which what its arrays held goes back to the machine: Python workers live on between tasks, beside each other on one executor."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
+
+    return go
+
+
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string array, back to back, and the n + 1 places where rows begin and end. Nulls are empty."""
     if isinstance(array, pa.ChunkedArray):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, partitions_for, spans, table, utf8
+from .common import cut, mix, partitions_for, spans, table, trimmed, utf8
 from .components import components
 from .shingles import shingle_sets
 from .url_filter import BlockedBloom
@@ -602,7 +602,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
     texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), docs, classes)
     first = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
     both = first.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_exact(width, num, den), "a long, b long"), "linked")
+    return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(_exact(width, num, den)), "a long, b long"), "linked")
 
 
 def _sent_slots(slots: DataFrame):
@@ -626,18 +626,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     parts = partitions_for(docs)
     held = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).withColumn("__h", F.struct(F.xxhash64("__id", "__text").alias("a"), F.hash("__text").alias("b")))
     id_type = held.schema["__id"].dataType.simpleString()
-    one = cut(held.mapInArrow(_pass_one(width), f"id {id_type}, h struct<a:bigint,b:int>, n long, k1 long, k2 long, sig array<long>, slot long, hits long"), "sets-seen")
+    one = cut(held.mapInArrow(trimmed(_pass_one(width)), f"id {id_type}, h struct<a:bigint,b:int>, n long, k1 long, k2 long, sig array<long>, slot long, hits long"), "sets-seen")
     counts = cut(one.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("hits").alias("h")), "slots")
     total = counts.where("slot < 0").agg(F.max("h")).first()[0] or 0
     often = counts.where((F.col("slot") >= 0) & (F.col("h") > FREQUENT + 2 * total // COUNTERS))
-    first = held.select("__text").mapInArrow(_prefix_rows(width, num, den, _sent_slots(often)), PREFIX)
+    first = held.select("__text").mapInArrow(trimmed(_prefix_rows(width, num, den, _sent_slots(often))), PREFIX)
     hot = first.groupBy("token").agg(F.count(F.lit(1)).alias("h")).where(F.col("h") > FREQUENT).select(F.shiftrightunsigned("token", SLOT_SHIFT).alias("slot"), "h")
     sent = _sent_slots(cut(often.unionByName(hot).groupBy("slot").agg(F.max("h").alias("h")), "frequent"))
     members = one.where("slot IS NULL").select(F.col("id").alias("__id"), "n", "k1", "k2")
     classes = one.where("k1 >= 0").groupBy("k1", "k2", "n").agg(F.min("h").alias("__rep"), F.min("id").alias("__least"), F.any_value("sig").alias("sig"))
     classes = cut(classes.withColumn("n", F.col("n").cast("int")).withColumn("key", F.monotonically_increasing_id()), "classes")
-    rows = held.select("__text").mapInArrow(_prefix_rows(width, num, den, sent), PREFIX)
-    shared = rows.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt").mapInArrow(_shared_rows, "token long, salts int, k1 long, k2 long, n int, pos int, next1 long, next2 long, next_n int")
+    rows = held.select("__text").mapInArrow(trimmed(_prefix_rows(width, num, den, sent)), PREFIX)
+    shared = rows.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt").mapInArrow(trimmed(_shared_rows), "token long, salts int, k1 long, k2 long, n int, pos int, next1 long, next2 long, next_n int")
     shared = cut(shared, "shared")
 
     side = lambda s, x, y: classes.select(F.col("k1").alias(x), F.col("k2").alias(y), F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
@@ -645,7 +645,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     near = shared.where("(k1, k2) <> (next1, next2)").where(close).select("k1", "k2", "next1", "next2").distinct()
     near = near.join(side("x", "k1", "k2"), ["k1", "k2"]).join(side("y", "next1", "next2"), ["next1", "next2"])
     near = near.select("x", "y", "n_x", "n_y", "sig_x", "sig_y")
-    near = cut(near.mapInArrow(_linkable(num, den), "a long, b long").distinct(), "near")
+    near = cut(near.mapInArrow(trimmed(_linkable(num, den)), "a long, b long").distinct(), "near")
     links = _verified(near, held, classes, width, num, den)
     label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
@@ -653,8 +653,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     rest = cut(shared.select("token", "salts", "k1", "k2", "n", "pos").join(named, ["k1", "k2"]).select("token", "salts", "key", "n", "pos", "label"), "labelled")
     mixed = cut(rest.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("salts").alias("salts")).where("x <> y").select("token", "salts"), "mixed")
     some = rest.where("salts = 1").join(mixed.where("salts = 1").select("token"), "token", "left_semi").select("token", "key", "n", "pos", "label")
-    some = some.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_partnered(num, den), "token long, key long, n int, pos int, label long").join(classes.select("key", "sig"), "key")
-    found = some.select("token", "key", "n", "pos", "label", "sig").repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_tree_pairs(num, den), "dense long, a long, b long")
+    some = some.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(trimmed(_partnered(num, den)), "token long, key long, n int, pos int, label long").join(classes.select("key", "sig"), "key")
+    found = some.select("token", "key", "n", "pos", "label", "sig").repartition(parts, "token").sortWithinPartitions("token").mapInArrow(trimmed(_tree_pairs(num, den)), "dense long, a long, b long")
     found = cut(found, "tree-pairs")
     more = cut(found.where("dense IS NULL").select("a", "b").distinct().join(near, ["a", "b"], "left_anti"), "tree-only")
     links = links.unionByName(_verified(more, held, classes, width, num, den))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, partitions_for, range_hashes, sequence_hashes, spans, table, utf8
+from .common import cut, mix, partitions_for, range_hashes, sequence_hashes, spans, table, trimmed, utf8
 from .url_filter import BlockedBloom
 
 LENGTH, GRAM, SHALLOW = 100, 32, 32
@@ -286,14 +286,14 @@ def _ranked(held: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Spans (rid, start, size) that cover all bytes of repeated windows; docs has rid and text. Spans can overlap."""
     parts = partitions_for(docs)
-    found = docs.select("rid", "text").where(F.octet_length("text") >= length).mapInArrow(_find_runs(length, gram), RUN)
-    held = cut(found.repartition(parts, "route").mapInArrow(_resolve, RUN), "runs")
+    found = docs.select("rid", "text").where(F.octet_length("text") >= length).mapInArrow(trimmed(_find_runs(length, gram)), RUN)
+    held = cut(found.repartition(parts, "route").mapInArrow(trimmed(_resolve), RUN), "runs")
     whole = held.where("lead < 0").select("rid", "start", "size")
     wanted = held.where("lead >= 0").groupBy("rid").agg(F.collect_list(F.struct("anchor", "start", "size", "lead")).alias("wanted"))
     bloom = BlockedBloom(held.where("lead >= 0").select("rid").distinct().select(F.xxhash64("rid").alias("h")), bits_per_key=12)
     texts = docs.select("rid", "text").where(bloom.column(F.xxhash64("rid"))).join(wanted, "rid")
-    pieces = texts.select("rid", "text", "wanted").mapInArrow(_cut_out, "anchor long, rid long, start long, lead int, bytes binary")
-    part = pieces.repartition(parts, "anchor").mapInArrow(_sort_anchors(length), "rid long, start long, size int")
+    pieces = texts.select("rid", "text", "wanted").mapInArrow(trimmed(_cut_out), "anchor long, rid long, start long, lead int, bytes binary")
+    part = pieces.repartition(parts, "anchor").mapInArrow(trimmed(_sort_anchors(length)), "rid long, start long, size int")
     return whole.unionByName(part)
 
 
