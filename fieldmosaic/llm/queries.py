@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .hard_negatives import OP11_SQL, op11_voronoi_hard_negatives
 from .jaccard_join import op2_jaccard_join
 from .language_id import op3_crf_language
 from .media import op8_mpeg_ts
@@ -13,5 +14,5 @@ from .toxicity import op5_toxicity_chain
 from .url_filter import OP10_SQL, op10_url_filter
 from .vector_search import OP7_SQL, op7_maxscore_topk
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_crf_language, op4_feistel_sharding, op5_toxicity_chain, op6_bm25_packing, op7_maxscore_topk, op8_mpeg_ts, op9_mixing, op10_url_filter)}
-SQL = {"op7_maxscore_topk": OP7_SQL, "op10_url_filter": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_crf_language, op4_feistel_sharding, op5_toxicity_chain, op6_bm25_packing, op7_maxscore_topk, op8_mpeg_ts, op9_mixing, op10_url_filter, op11_voronoi_hard_negatives)}
+SQL = {"op7_maxscore_topk": OP7_SQL, "op10_url_filter": OP10_SQL, "op11_voronoi_hard_negatives": OP11_SQL}
