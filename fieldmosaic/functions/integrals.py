@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from math import exp, log
+from math import log, pi
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fieldmosaic.functions.scalar import expit
 
-#: Nodes of the trapezoid rule at -HALF / STEPS .. HALF / STEPS standard deviations.
-HALF, STEPS = 64, 8
-NORM = sum(exp(-i * i / (2 * STEPS * STEPS)) for i in range(-HALF, HALF + 1))
-
 
 def logit_normal_moment(mu: Column, sigma: Column, power: int = 1) -> Column:
-    """Mean of expit(X) ** power by the trapezoid rule over eight standard deviations; expit(mu) ** power where sigma is 0, null where one is null. The error is under 1e-6 up to a sigma of 10."""
-    at = lambda i: expit(mu + sigma * i / F.lit(float(STEPS)))
-    term = lambda i: F.exp(-(i * i) / F.lit(2.0 * STEPS * STEPS)) * (at(i) if power == 1 else F.pow(at(i), F.lit(power)))
-    total = F.aggregate(F.sequence(F.lit(-HALF), F.lit(HALF)), F.lit(0.0), lambda acc, i: acc + term(i))
-    return F.when(sigma == 0, F.pow(expit(mu), F.lit(float(power)))).otherwise(total / F.lit(NORM))
+    """Mean of expit(X) ** power by the trapezoid rule over 7.5 standard deviations; expit(mu) ** power where sigma is 0, null where one is null.
+
+    The rule's error falls as exp(-2 pi^2 m / sigma) with the number m of nodes for each standard deviation, so m is 2, or 1.6 sigma if that is
+    more: 31 nodes up to a sigma of 1.25. The error is under 1e-12.
+    """
+    m = F.greatest(F.lit(2), F.ceil(F.abs(sigma) * 1.6).cast("int"))
+    half = F.ceil(m * 7.5).cast("int")
+    at = lambda i: expit(mu + sigma * i / m)
+    term = lambda i: F.exp(-(i * i) / (m * m * 2.0)) * (at(i) if power == 1 else F.pow(at(i), F.lit(power)))
+    total = F.aggregate(F.sequence(-half, half), F.lit(0.0), lambda acc, i: acc + term(i))
+    return F.when(sigma == 0, F.pow(expit(mu), F.lit(float(power)))).otherwise(total / (m * F.lit((2 * pi) ** 0.5)))
 
 
 def logit_normal_variance(mu: Column, sigma: Column) -> Column:

@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value evaluated once: an expression that stands in a lambda isn't shared otherwise."""
+    return F.transform(F.array(value), use)[0]
+
+
 def ratio(num: Column, den: Column) -> Column:
     """num / den, null where den is 0 or null."""
     return F.when(den != 0, num / den)

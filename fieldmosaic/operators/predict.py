@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldmosaic.functions import spline
 from fieldmosaic.functions.integrals import logit_normal_moment
 from fieldmosaic.functions.scalar import expit, ratio
+from fieldmosaic.functions.variates import binomial, normal
 from fieldmosaic.operators.scores import mean, quantile
 
 
@@ -35,18 +37,36 @@ def _slope(covariate: str):
     return lambda e, b: e + b * F.col(covariate)
 
 
-def predict_grid(pixels: DataFrame, effects: DataFrame, params: DataFrame, area: str, covariates: tuple[str, ...]) -> DataFrame:
+def draw_splines(params: DataFrame) -> DataFrame | None:
+    """One row with `splines`, that of each draw's sigma in the order of the draws; None where they would take more than may be broadcast."""
+    n = params.select(F.size("sigma")).first()[0]
+    if n * spline.KNOTS * spline.KNOT_BYTES > spline.BROADCAST_BYTES:
+        return None
+    each = params.select(F.posexplode("sigma").alias("draw", "sigma"))
+    held = each.join(spline.spline_table(each), "sigma", "left")  # a sigma of 0 has no spline and needs none
+    return held.groupBy().agg(F.array_sort(F.collect_list(F.struct("draw", "spline"))).alias("s")).select(F.col("s.spline").alias("splines"))
+
+
+def predict_grid(pixels: DataFrame, effects: DataFrame, params: DataFrame, area: str, covariates: tuple[str, ...], offset: str | None = None, exact: bool = False) -> DataFrame:
     """Adds `draws`: each pixel's risk for each draw, the intercept plus covariates and its area's effect, with the nugget integrated out.
 
-    params is one row with arrays alpha, sigma and beta_<covariate>; effects has a row for each area. Areas without an effect have none added.
+    params is one row with arrays alpha, sigma and beta_<covariate>; effects has a row for each area. Areas without an effect have none
+    added. offset names one more array of params that is added, as for one of several surveys. The mean over the nugget comes from each draw's spline; with `exact`, or
+    for more draws than splines may be broadcast for, from the quadrature. Pixels are dealt to all tasks first, as their table may be one small file.
     """
-    held = pixels.join(effects, area, "left").join(F.broadcast(params))  # one row of params
-    size = F.size("alpha")
-    base = F.zip_with("alpha", F.coalesce("effect", F.array_repeat(F.lit(0.0), size)), lambda a, w: a + w)
+    held = pixels.repartition(int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))).join(effects, area, "left").join(F.broadcast(params))  # one row of params
+    base = F.zip_with("alpha", F.coalesce("effect", F.array_repeat(F.lit(0.0), F.size("alpha"))), lambda a, w: a + w)
     for c in covariates:
         base = F.zip_with(base, f"beta_{c}", _slope(c))
-    drawn = F.zip_with(base, "sigma", lambda m, s: logit_normal_moment(m, s))
-    return held.withColumn("draws", drawn).drop("effect", *params.columns)
+    if offset:
+        base = F.zip_with(base, offset, lambda e, o: e + o)
+    splines = None if exact else draw_splines(params)
+    if splines is None:
+        drawn = F.zip_with(base, "sigma", lambda m, s: logit_normal_moment(m, s))
+    else:
+        held = held.join(F.broadcast(splines))  # one row, of a size that is checked
+        drawn = F.transform(F.arrays_zip(base.alias("m"), F.col("sigma").alias("s"), F.col("splines").alias("k")), lambda d: spline.spline_mean(d["m"], d["s"], d["k"]))
+    return held.withColumn("draws", drawn).drop("effect", "splines", *params.columns)
 
 
 def summarised(df: DataFrame, draws: str = "draws", levels: tuple[float, ...] = (0.025, 0.1, 0.9, 0.975)) -> DataFrame:
@@ -62,11 +82,25 @@ def predict_areas(pixels: DataFrame, area: str, population: str, urban: Column,
     return sums.select(area, "draw", *[ratio(F.col(f"z{k}"), F.col(f"n{k}")).alias(k) for k in parts])
 
 
-def predict_clusters(points: DataFrame, cluster: str, weight: str, eta: str, noise: Column) -> DataFrame:
-    """(cluster, draw, p): the weighted mean of expit(eta + noise) over a cluster's points for each draw, within 0 and 1. noise is a column of the draw and the cluster, the same for all points."""
-    held = points.select(cluster, weight, F.posexplode(eta).alias("draw", "e"))
-    sums = held.groupBy(cluster, "draw").agg(F.sum(F.col(weight) * expit(F.col("e") + noise)).alias("s"), F.sum(weight).alias("w"))
-    return sums.select(cluster, "draw", F.least(F.lit(1.0), F.greatest(F.lit(0.0), ratio(F.col("s"), F.col("w")))).alias("p"))
+def predict_clusters(points: DataFrame, cluster: str, weight: str, eta: str, sigma: str, seed: str, size: str | None = None) -> DataFrame:
+    """(cluster, draw, p): the weighted mean of expit(eta + noise) over a cluster's points for each draw, within 0 and 1.
+
+    eta and sigma are arrays, a place for each draw. The noise is normal with the draw's sigma, one number for a cluster and draw, the same for all its points
+    and in any run. size, a column that is the same for a cluster's points, adds binomial noise: y of size, and rate = y / size.
+    """
+    n = [F.col(size).alias("__n")] if size else []
+    held = points.select(cluster, weight, *n, F.posexplode(F.arrays_zip(F.col(eta).alias("e"), F.col(sigma).alias("s"))).alias("draw", "v"))
+    keys = (F.col(cluster), F.col("draw"))
+    # variates are made once for a cluster and draw, not for each point
+    noise = held.select(cluster, "draw", "v.s").distinct().withColumn("noise", F.col("s") * normal(f"{seed}-nugget", *keys)).drop("s")
+    held = held.join(noise, [cluster, "draw"])
+    sums = held.groupBy(cluster, "draw").agg(F.sum(F.col(weight) * expit(F.col("v.e") + F.col("noise"))).alias("s"), F.sum(weight).alias("w"), *([F.max("__n").alias("__n")] if size else []))
+    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ratio(F.col("s"), F.col("w"))))
+    out = sums.select(cluster, "draw", p.alias("p"), *(["__n"] if size else []))
+    if not size:
+        return out
+    out = out.withColumn("y", binomial(F.col("__n"), F.col("p"), f"{seed}-binomial", *keys))
+    return out.select(cluster, "draw", "p", "y", ratio(F.col("y"), F.col("__n")).alias("rate"))
 
 
 def summarise_parameters(draws: DataFrame, names: tuple[str, ...], levels: tuple[float, ...] = (0.025, 0.5, 0.975)) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmosaic.functions.scalar import expit, normal_cdf, normal_pdf, ratio
+from fieldmosaic.functions.variates import normal
 
 
 def kept(draws: str) -> Column:
@@ -111,6 +112,16 @@ def merge_binned(tables: list[DataFrame], bin_: str, count: str, values: list[st
     return both.groupBy(bin_).agg(F.sum(count).alias(count), *[ratio(F.sum(F.col(count) * F.col(v)), F.sum(F.when(F.col(v).isNotNull(), F.col(count)))).alias(v) for v in values])
 
 
-def against_direct(df: DataFrame, draws: str, logit_est: str, logit_sd: str, normals: Column) -> DataFrame:
-    """Adds `difference`: draws less draws of a direct estimate, expit of a normal one, in pairs. normals is an array of standard normal numbers, one for each draw; the difference is scored against 0."""
-    return df.withColumn("difference", F.zip_with(draws, normals, lambda d, z: d - expit(F.col(logit_est) + F.col(logit_sd) * z)))
+def against_direct(df: DataFrame, draws: str, logit_est: str, logit_sd: str, seed: str, *keys: str, levels: tuple[float, ...] = (0.8,)) -> DataFrame:
+    """Scores draws against a direct estimate that is uncertain itself: error, crps and, for each level, score, cover and width of draws less draws of expit of a normal with that mean and deviation, against 0.
+
+    Each draw has a normal number of its own, made from the seed, the keys (which name a row) and its place.
+    """
+    own = F.transform(draws, lambda d, k: d - expit(F.col(logit_est) + F.col(logit_sd) * normal(seed, *[F.col(c) for c in keys], k)))
+    held = df.withColumn("difference", own)
+    out = held.withColumns({"error": mean("difference"), "crps": crps_ensemble("difference", F.lit(0.0))})
+    for level in levels:
+        t, n = (1 - level) / 2, round(100 * level)
+        lo, hi = quantile("difference", t), quantile("difference", 1 - t)
+        out = out.withColumns({f"score{n}": interval_score(lo, hi, F.lit(0.0), level), f"cover{n}": F.when(lo.isNotNull(), ((lo <= 0) & (hi >= 0)).cast("double")), f"width{n}": hi - lo})
+    return out

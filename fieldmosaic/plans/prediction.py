@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from math import exp
 from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
-from fieldmosaic.functions import integrals, projection, scalar
+from fieldmosaic.functions import integrals, projection, scalar, spline
 from fieldmosaic.operators import predict, scores, survey
 from fieldmosaic.plans.catalog import GRID, HASHED, PEOPLE, URBAN, D_SQL, _from, draws, grid, people, query, rounded
+from fieldmosaic.plans.engines import binomial_sql, normal_sql, uniform_sql
 
 #: Draws of parameters: twelve of each.
 N = 12
 PARAMS = f"SELECT CAST(k AS INTEGER) AS draw, -1.0 + ((k * 7) % 11) / CAST(10 AS DOUBLE) AS alpha, ((k * 5) % 7 - 3) / CAST(10 AS DOUBLE) AS beta, 0.2 + ((k * 3) % 5) / CAST(10 AS DOUBLE) AS sigma FROM range(0, {N}) t(k)"
 EFFECTS = f"SELECT n_nationkey AS area, CAST(k AS INTEGER) AS draw, ((n_nationkey * 31 + k * 17) % 23 - 11) / CAST(20 AS DOUBLE) AS w FROM nation CROSS JOIN range(0, {N}) t(k)"
-NODES = f"SELECT CAST(i AS DOUBLE) AS i, exp(-i * i / CAST(128 AS DOUBLE)) / {integrals.NORM!r} AS q FROM range(-64, 65) t(i)"
+#: A finer rule than the library's, of 129 nodes.
+NODES = f"SELECT CAST(i AS DOUBLE) AS i, exp(-i * i / CAST(128 AS DOUBLE)) / {sum(exp(-i * i / 128) for i in range(-64, 65))!r} AS q FROM range(-64, 65) t(i)"
 PIXELS = f"SELECT pixel, area, urban, pop, east / 100 - 0.5 AS x FROM ({GRID}) g"
 RISK = f"""pr AS ({PARAMS}), ef AS ({EFFECTS}), no AS ({NODES}), px AS ({PIXELS}),
 r AS (SELECT px.pixel, px.area, px.urban, px.pop, pr.draw, sum(q / (1 + exp(-(alpha + w + beta * x + sigma * i / 8)))) p FROM px JOIN ef ON px.area = ef.area JOIN pr ON pr.draw = ef.draw CROSS JOIN no GROUP BY 1, 2, 3, 4, 5)"""
@@ -47,13 +50,24 @@ def pred_stratum(spark, sf_dir):
     return rounded(predict.summarised(a, "draws", (0.1, 0.9)), "area")
 
 
-@query(f"""WITH pr AS ({PARAMS}), g AS (SELECT c_custkey % 50 AS cluster, c_custkey, (c_custkey % 7 + 1) / CAST(8 AS DOUBLE) AS w, (c_custkey % 13 - 6) / CAST(4 AS DOUBLE) AS e FROM customer)
-SELECT CAST(cluster AS BIGINT) cluster, draw, round(sum(w / (1 + exp(-(e + alpha + ((cluster * 11 + draw * 3) % 9 - 4) / CAST(10 AS DOUBLE))))) / sum(w), 6) p FROM g CROSS JOIN pr GROUP BY 1, 2""")
+CLUSTERS = "SELECT CAST(c_custkey % 50 AS BIGINT) AS cluster, 5 + c_custkey % 50 % 30 AS size, (c_custkey % 7 + 1) / CAST(8 AS DOUBLE) AS w, (c_custkey % 13 - 6) / CAST(4 AS DOUBLE) AS e FROM customer"
+NOISE = f"""WITH pr AS ({PARAMS}), g AS ({CLUSTERS}), k AS (SELECT DISTINCT cluster, draw, sigma FROM g CROSS JOIN pr), u AS (SELECT *, {uniform_sql("sites-nugget", "cluster", "draw")} u FROM k), z AS (SELECT cluster, draw, sigma * {normal_sql("u")} z FROM u),
+p AS (SELECT g.cluster, pr.draw, max(size) n, sum(w / (1 + exp(-(e + alpha + z)))) / sum(w) p FROM g CROSS JOIN pr JOIN z ON z.cluster = g.cluster AND z.draw = pr.draw GROUP BY 1, 2)"""
+
+
+def noisy_clusters(spark, sf_dir, size=None):
+    pts = _from(spark, sf_dir, CLUSTERS).join(F.broadcast(params(spark)))  # one row of draws
+    return predict.predict_clusters(pts.withColumn("eta", F.transform("alpha", lambda a: a + F.col("e"))), "cluster", "w", "eta", "sigma", "sites", size)
+
+
+@query(f"{NOISE} SELECT cluster, draw, round(p, 6) p FROM p")
 def pred_cluster(spark, sf_dir):
-    pts = _from(spark, sf_dir, "SELECT CAST(c_custkey % 50 AS BIGINT) AS cluster, (c_custkey % 7 + 1) / CAST(8 AS DOUBLE) AS w, (c_custkey % 13 - 6) / CAST(4 AS DOUBLE) AS e FROM customer")
-    pts = pts.join(F.broadcast(params(spark))).withColumn("eta", F.transform("alpha", lambda a: a + F.col("e")))  # one row of draws
-    noise = (F.pmod(F.col("cluster") * 11 + F.col("draw") * 3, F.lit(9)) - 4) / 10.0
-    return rounded(predict.predict_clusters(pts.select("cluster", "w", "eta"), "cluster", "w", "eta", noise), "cluster", "draw")
+    return rounded(noisy_clusters(spark, sf_dir), "cluster", "draw")
+
+
+@query(f"{NOISE}, v AS (SELECT *, {uniform_sql('sites-binomial', 'cluster', 'draw')} u FROM p), c AS (SELECT cluster, draw, n, u, k, sum({binomial_sql('k', 'n', 'p')}) OVER (PARTITION BY cluster, draw ORDER BY k) c FROM v CROSS JOIN range(0, 36) t(k) WHERE k <= n) SELECT cluster, draw, CAST(least(max(n), sum(CASE WHEN c < u THEN 1 ELSE 0 END)) AS INTEGER) y, round(least(max(n), sum(CASE WHEN c < u THEN 1 ELSE 0 END)) / CAST(max(n) AS DOUBLE), 6) rate FROM c GROUP BY 1, 2")
+def pred_cluster_binomial(spark, sf_dir):
+    return noisy_clusters(spark, sf_dir, "size").select("cluster", "draw", "y", F.round("rate", 6).alias("rate"))
 
 
 @query(f"WITH p AS ({PARAMS}), l AS (SELECT 'alpha' AS name, alpha AS x FROM p UNION ALL SELECT 'beta', beta FROM p UNION ALL SELECT 'sigma', sigma FROM p) SELECT name, round(avg(x), 6) mean, round(quantile_cont(x, 0.025), 6) q1, round(quantile_cont(x, 0.5), 6) q2, round(quantile_cont(x, 0.975), 6) q3 FROM l GROUP BY name")
@@ -83,6 +97,12 @@ def logit_normal_exact(spark, sf_dir):
     return grid(spark, sf_dir).select("pixel", F.round(integrals.logit_normal_moment(mu, sigma), 6).alias("m"), F.round(integrals.logit_normal_variance(mu, sigma), 6).alias("v"))
 
 
+@query(f"WITH no AS ({NODES}) SELECT pixel, round(sum(q / (1 + exp(-(east / 8 - 6 + ((pixel % 4) * 0.7) * i / 8)))), 8) p FROM ({GRID}) g CROSS JOIN no GROUP BY pixel")
+def logit_normal_spline(spark, sf_dir):
+    g = grid(spark, sf_dir).select("pixel", (F.col("east") / 8 - 6).alias("mu"), (F.col("pixel") % 4 * 0.7).cast("double").alias("sigma"))
+    return spline.spline_means(g, "mu", "sigma", "p").select("pixel", F.round("p", 8).alias("p"))
+
+
 @query(D_SQL + f", no AS ({NODES}), e AS (SELECT vec_id, unnest(d[1:4]) m, unnest([0.1, 0.5, 1.0, 2.0]) s, unnest([1, 2, 3, 4]) k FROM d), g AS (SELECT vec_id, k, sum(q / (1 + exp(-(m + s * i / 8)))) p FROM e CROSS JOIN no GROUP BY 1, 2) SELECT vec_id, round(sum(p * k), 6) total FROM g GROUP BY vec_id")
 def logit_normal_grouped(spark, sf_dir):
     sigmas = F.array(*[F.lit(x) for x in (0.1, 0.5, 1.0, 2.0)])
@@ -165,14 +185,14 @@ def avg_binned(spark, sf_dir):
     return rounded(scores.merge_binned([*parts, table(F.col("label") % 3, 1)], "bin", "n", ["a"]), "bin", "n")
 
 
-ZS = [round(NormalDist().inv_cdf((k + 0.5) / 8), 9) for k in range(8)]
+TRUTHS = f"e AS (SELECT vec_id, label, truth, unnest(d[1:8]) x, unnest(range(0, 8)) k FROM d), u AS (SELECT *, {uniform_sql('left out', 'vec_id', 'k')} u FROM e), f AS (SELECT vec_id, label, x - 1 / (1 + exp(-(truth - 0.5 + 0.3 * {normal_sql('u')}))) e FROM u)"
 
 
-@query(D_SQL + f", e AS (SELECT vec_id, truth, unnest(d[1:8]) x, unnest({ZS}) z FROM d), f AS (SELECT vec_id, x - 1 / (1 + exp(-(truth - 0.5 + 0.3 * z))) e FROM e) SELECT vec_id, round(avg(e), 6) bias, round(avg(e * e), 6) mse FROM f GROUP BY vec_id")
+@query(f"""{D_SQL}, {TRUTHS}, o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY e) i FROM f), s AS (SELECT vec_id, label, avg(e) m, avg(abs(e)) - sum(e * (2 * i - 9)) / 64 crps, quantile_cont(e, 0.1) lo, quantile_cont(e, 0.9) hi FROM o GROUP BY 1, 2)
+SELECT label, round(avg(m), 6) bias, round(avg(m * m), 6) mse, round(avg(m * m) - avg(m) * avg(m), 6) var, round(sqrt(avg(m * m)), 6) rmse, round(avg(crps), 6) crps, round(avg(hi - lo + 10 * greatest(lo, 0) + 10 * greatest(-hi, 0)), 6) score80, round(avg(CASE WHEN lo <= 0 AND hi >= 0 THEN 1.0 ELSE 0.0 END), 6) cover80, round(avg(hi - lo), 6) width80 FROM s GROUP BY label""")
 def score_vs_direct(spark, sf_dir):
-    d = draws(spark, sf_dir).select("vec_id", F.slice("draws", 1, 8).alias("draws"), (F.col("truth") - 0.5).alias("m"), F.lit(0.3).alias("s"))
-    e = scores.against_direct(d, "draws", "m", "s", F.array(*[F.lit(z) for z in ZS]))
-    return e.select("vec_id", F.round(scores.mean("difference"), 6).alias("bias"), F.round(F.aggregate("difference", F.lit(0.0), lambda a, x: a + x * x) / 8, 6).alias("mse"))
+    d = draws(spark, sf_dir).select("vec_id", "label", F.slice("draws", 1, 8).alias("draws"), (F.col("truth") - 0.5).alias("m"), F.lit(0.3).alias("s"), F.lit(1.0).alias("w"))
+    return rounded(scores.average_scores(scores.against_direct(d, "draws", "m", "s", "left out", "vec_id"), ["label"], "w", (0.8,)), "label")
 
 
 CDF = "CASE WHEN z >= 0 THEN 1 - t ELSE t END"

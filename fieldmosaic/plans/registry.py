@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldmosaic.plans import catalog, estimation, population, prediction, space
+from fieldmosaic.plans import catalog, estimation, models, population, prediction, space
 
-MODULES = (catalog, population, estimation, prediction, space)
+MODULES = (catalog, population, estimation, prediction, space, models)
 QUERIES, SQL = catalog.QUERIES, catalog.SQL
