@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldmosaic.operators import sparse
+
 
 def _undirected(edges: DataFrame) -> DataFrame:
     p, q = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
@@ -29,10 +31,11 @@ def areas(edges: DataFrame) -> DataFrame:
     return edges.groupBy("poly").agg((F.abs(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))) / 2).alias("area"))
 
 
-def precision(links: DataFrame) -> DataFrame:
-    """(i, j, q) of an intrinsic autoregression: the number of neighbours on the diagonal, -1 for each link."""
+def precision(links: DataFrame, scaled: bool = False) -> DataFrame:
+    """(i, j, q) of an intrinsic autoregression: the number of neighbours on the diagonal, -1 for each link. `scaled`: so that the geometric mean of the marginal variances, under a sum of zero, is 1 for each component."""
     diagonal = links.groupBy(F.col("src").alias("i")).agg(F.count(F.lit(1)).alias("q")).select("i", F.col("i").alias("j"), "q")
-    return diagonal.unionByName(links.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(-1).cast("long").alias("q")))
+    q = diagonal.unionByName(links.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(-1).cast("long").alias("q")))
+    return sparse.scaled(q) if scaled else q
 
 
 def shapes(edges: DataFrame) -> DataFrame:

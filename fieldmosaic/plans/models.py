@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldmosaic.functions import variates
-from fieldmosaic.operators import empirical
+from fieldmosaic.operators import empirical, estimates, integration, mesh, polygons
 from fieldmosaic.plans.catalog import GRID, _from, draws, grid, query, rounded
+from fieldmosaic.plans.estimation import AROUND, CELLS, LINKS, squares
 from fieldmosaic.plans.engines import binomial_sql, normal_sql, uniform_sql
 
 
@@ -70,3 +71,66 @@ def merged_draws(spark, sf_dir):
     for p in parts[1:]:
         both = both.unionByName(p)
     return rounded(empirical.merged(both, ["label"], WIDTH, (0.1, 0.5, 0.9)), "label", "n")
+
+
+#: Customers as nodes of a mesh, forty in a row, and two triangles to the right of and above each.
+NODES = "SELECT c_custkey AS node, c_custkey % 40 + ((c_custkey * 7919) % 101) / CAST(330 AS DOUBLE) AS x, floor(c_custkey / CAST(40 AS DOUBLE)) + ((c_custkey * 6007) % 103) / CAST(330 AS DOUBLE) AS y FROM customer"
+TRIANGLES = "SELECT 2 * c_custkey AS tri, c_custkey AS a, c_custkey + 1 AS b, c_custkey + 40 AS c FROM customer WHERE c_custkey % 40 < 39 UNION ALL SELECT 2 * c_custkey + 1, c_custkey + 1, c_custkey + 41, c_custkey + 40 FROM customer WHERE c_custkey % 40 < 39"
+CORNERS = f"no AS ({NODES}), t AS ({TRIANGLES}), g AS (SELECT tri, a, b, c, p.x ax, p.y ay, q.x bx, q.y \"by\", r.x cx, r.y cy, (q.x - p.x) * (r.y - p.y) - (r.x - p.x) * (q.y - p.y) k FROM t JOIN no p ON p.node = a JOIN no q ON q.node = b JOIN no r ON r.node = c)"
+FEM = f"""{CORNERS}, l AS (SELECT tri, a AS n, cx - bx ex, cy - "by" ey, abs(k) k FROM g UNION ALL SELECT tri, b, ax - cx, ay - cy, abs(k) FROM g UNION ALL SELECT tri, c, bx - ax, "by" - ay, abs(k) FROM g),
+m AS (SELECT n, sum(k) / 6 m FROM l GROUP BY n), s AS (SELECT u.n i, v.n j, sum((u.ex * v.ex + u.ey * v.ey) / (2 * u.k)) s FROM l u JOIN l v ON u.tri = v.tri GROUP BY 1, 2)"""
+
+
+def elements(spark, sf_dir):
+    return mesh.finite_elements(_from(spark, sf_dir, NODES), _from(spark, sf_dir, TRIANGLES))
+
+
+@query(f"WITH {FEM} SELECT i, j, round(s, 6) stiffness, round(CASE WHEN i = j THEN m ELSE 0 END, 6) mass FROM s JOIN m ON m.n = i")
+def finite_elements(spark, sf_dir):
+    mass, stiffness = elements(spark, sf_dir)
+    both = stiffness.withColumnRenamed("q", "stiffness").join(mass.withColumnRenamed("q", "mass"), ["i", "j"], "left")
+    return both.select("i", "j", F.round("stiffness", 6).alias("stiffness"), F.round(F.coalesce("mass", F.lit(0.0)), 6).alias("mass"))
+
+
+@query(f"WITH {FEM}, z AS (SELECT u.i, v.j, sum(u.s * v.s / m) q FROM s u JOIN m ON m.n = u.j JOIN s v ON v.i = u.j GROUP BY 1, 2) SELECT z.i, z.j, round(exp(0.6) * (exp(-0.8) * CASE WHEN z.i = z.j THEN m ELSE 0 END + 2 * exp(-0.4) * coalesce(s, 0) + z.q), 4) q FROM z JOIN m ON m.n = z.i LEFT JOIN s ON s.i = z.i AND s.j = z.j")
+def spde_q(spark, sf_dir):
+    return mesh.precision(*elements(spark, sf_dir), -0.2, 0.3).select("i", "j", F.round("q", 4).alias("q"))
+
+
+#: Integration points around clusters, drawn to the mesh.
+ON_MESH = f"{AROUND}, w AS (SELECT pixel * 100 + k pid, 5 + px * 0.25 x, 1 + py * 0.02 y, w FROM q)"
+
+
+@query(f"""WITH {ON_MESH}, {CORNERS}, h AS (SELECT pid, w, tri, a, b, c, ((bx - x) * (cy - y) - (cx - x) * ("by" - y)) / k wa, ((cx - x) * (ay - y) - (ax - x) * (cy - y)) / k wb FROM w JOIN g ON x BETWEEN least(ax, bx, cx) AND greatest(ax, bx, cx) AND y BETWEEN least(ay, "by", cy) AND greatest(ay, "by", cy)),
+z AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY tri) r FROM h WHERE wa >= -1e-9 AND wb >= -1e-9 AND 1 - wa - wb >= -1e-9), f AS (SELECT pid, unnest([a, b, c]) node, unnest([wa, wb, 1 - wa - wb]) v, w FROM z WHERE r = 1) SELECT pid, node, round(v * w, 7) w FROM f""")
+def jitter_data_spde(spark, sf_dir):
+    q = integration.around(grid(spark, sf_dir).select("pixel", "urban", "east", "north"), integration.rings(spark))
+    p = q.select((F.col("pixel") * 100 + F.col("k")).alias("pid"), (5 + F.col("px") * 0.25).alias("x"), (1 + F.col("py") * 0.02).alias("y"), F.col("w").alias("share"))
+    a = mesh.project(p, _from(spark, sf_dir, NODES), _from(spark, sf_dir, TRIANGLES), 1.0)
+    return a.join(p.select("pid", "share"), "pid").select("pid", "node", F.round(F.col("w") * F.col("share"), 7).alias("w"))
+
+
+@query(f"""WITH RECURSIVE {LINKS}, n AS (SELECT list(poly ORDER BY poly) ids FROM c), e AS (SELECT list(v ORDER BY i) a FROM (SELECT x.poly i, list(CASE WHEN x.poly = y.poly THEN d.n WHEN greatest(abs(x.cx - y.cx), abs(x.cy - y.cy)) = 1 THEN -1 ELSE 0 END + 1 / CAST(25 AS DOUBLE) ORDER BY y.poly) v FROM c x CROSS JOIN c y JOIN (SELECT src, count(*) n FROM l GROUP BY 1) d ON d.src = x.poly GROUP BY x.poly) r),
+s AS (SELECT 1 AS k, a FROM e UNION ALL SELECT k + 1, list_transform(a, lambda r, i: list_transform(r, lambda v, j: CASE WHEN i = k AND j = k THEN 1 / a[k][k] WHEN i = k THEN v / a[k][k] WHEN j = k THEN -v / a[k][k] ELSE v - r[k] * a[k][j] / a[k][k] END)) FROM s WHERE k <= 25),
+f AS (SELECT exp(list_avg(list_transform(a, lambda r, i: ln(r[i] - 1 / CAST(25 AS DOUBLE))))) f FROM s WHERE k = 26) SELECT src i, src j, round(count(*) * max(f), 6) q FROM l CROSS JOIN f GROUP BY src UNION ALL SELECT src, dst, round(-f, 6) FROM l CROSS JOIN f""")
+def besag_q_scaled(spark, sf_dir):
+    return polygons.precision(polygons.neighbours(squares(spark, sf_dir)), scaled=True).select("i", "j", F.round("q", 6).alias("q"))
+
+
+@query(f"SELECT region, round(sqrt(1 - sqrt(2 * sqrt(v * u) / (v + u)) * exp(-pow(m - n, 2) / (4 * (v + u)))), 6) distance FROM (SELECT region, avg(CASE WHEN urban THEN pop END) m, avg(CASE WHEN NOT urban THEN pop END) n, var_samp(CASE WHEN urban THEN pop END) v, var_samp(CASE WHEN NOT urban THEN pop END) u FROM ({GRID}) g GROUP BY region) s")
+def hellinger_normal(spark, sf_dir):
+    return rounded(estimates.hellinger_normal(grid(spark, sf_dir), "region", "pop", F.col("urban")), "region")
+
+
+@query(f"""WITH g AS (SELECT region, urban, pop FROM ({GRID}) x), b AS (SELECT region, urban, count(*) n, 0.9 * pow(count(*), -0.2) * least(stddev_samp(pop), (quantile_cont(pop, 0.75) - quantile_cont(pop, 0.25)) / 1.34) h FROM g GROUP BY 1, 2), w AS (SELECT region, min(h) / 8 w FROM b GROUP BY 1),
+c AS (SELECT g.region, g.urban, floor(pop / w + 0.5) bin, count(*) c, max(h) h, max(n) n, max(w) w FROM g JOIN b ON g.region = b.region AND g.urban = b.urban JOIN w ON w.region = g.region GROUP BY 1, 2, 3),
+d AS (SELECT region, bin + o AS spot, max(w) w, sum(CASE WHEN urban THEN c * exp(-pow(o * w / h, 2) / 2) / (n * h) END) d1, sum(CASE WHEN NOT urban THEN c * exp(-pow(o * w / h, 2) / 2) / (n * h) END) d0 FROM c CROSS JOIN range(-400, 401) r(o) WHERE abs(o) <= ceil(5 * h / w) GROUP BY 1, 2)
+SELECT region, round(sqrt(1 - least(1, sum(sqrt(d0 * d1) * w) / sqrt(2 * pi()))), 6) distance FROM d GROUP BY region""")
+def hellinger_kernel(spark, sf_dir):
+    return rounded(estimates.hellinger_kernel(grid(spark, sf_dir), "region", "pop", F.col("urban")), "region")
+
+
+@query(f"SELECT pixel, round(sqrt(greatest(0, 1 - sqrt((1 - prev) / 2) - sqrt(prev / 2))), 6) h, round(greatest(prev, 1 - prev), 4) q FROM ({GRID}) g")
+def hellinger_bernoulli(spark, sf_dir):
+    h = estimates.hellinger_bernoulli(F.col("prev"))
+    return grid(spark, sf_dir).select("pixel", F.round(h, 6).alias("h"), F.round(estimates.bernoulli_at(h), 4).alias("q"))
