@@ -77,8 +77,8 @@ def cell_or_nearest(points: DataFrame, grid: DataFrame, step: float, point_id: s
     return exact.unionByName(rest.withColumn("exact", F.lit(False)))
 
 
-def in_polygons(points: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
-    """(pid, poly) for each polygon one of whose rings holds a point.
+def in_polygons(points: DataFrame, edges: DataFrame, cell: float, holes: bool = False) -> DataFrame:
+    """(pid, poly) for each polygon one of whose rings holds a point; with `holes`, an odd number of them, so that a ring within a ring is a hole.
 
     points: pid, x, y. edges: poly, ring, x1, y1, x2, y2. Points meet rings by the cells of the rings' boxes, then only the ring's edges
     in the point's band of y, and the crossings of a ray along x are counted for each ring.
@@ -90,7 +90,8 @@ def in_polygons(points: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
     bands = edges.where("y1 <> y2").withColumn("__j", F.explode(F.sequence(at(F.least("y1", "y2")), at(F.greatest("y1", "y2")))))
     cross = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / F.when(F.col("y1") != F.col("y2"), F.col("y2") - F.col("y1")) + F.col("x1"))
     hits = met.select("pid", "x", "y", "poly", "ring", "__j").join(bands, ["poly", "ring", "__j"]).where(cross).groupBy("pid", "poly", "ring").agg(F.count(F.lit(1)).alias("n"))
-    return hits.where("n % 2 = 1").select("pid", "poly").distinct()
+    held = hits.where("n % 2 = 1")
+    return held.groupBy("pid", "poly").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select("pid", "poly") if holes else held.select("pid", "poly").distinct()
 
 
 def point_in_polygon(points: DataFrame, edges: DataFrame, cell: float) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldmosaic.functions import variates
-from fieldmosaic.operators import empirical, estimates, integration, mesh, polygons
-from fieldmosaic.plans.catalog import GRID, _from, draws, grid, query, rounded
+from fieldmosaic.operators import empirical, estimates, integration, mesh, overlay, polygons, strata
+from fieldmosaic.plans.catalog import GRID, URBAN, _from, draws, grid, query, rounded
 from fieldmosaic.plans.estimation import AROUND, CELLS, LINKS, squares
 from fieldmosaic.plans.engines import binomial_sql, normal_sql, uniform_sql
 
@@ -134,3 +134,80 @@ def hellinger_kernel(spark, sf_dir):
 def hellinger_bernoulli(spark, sf_dir):
     h = estimates.hellinger_bernoulli(F.col("prev"))
     return grid(spark, sf_dir).select("pixel", F.round(h, 6).alias("h"), F.round(estimates.bernoulli_at(h), 4).alias("q"))
+
+
+MEDOID_POINTS = f"SELECT area AS stratum, urban, pixel AS id, pop AS weight, east / 50 AS a, prev AS b FROM ({GRID}) g WHERE area < 12"
+
+
+def _exchanges_sql(rounds: int) -> str:
+    """From each stratum's best medoid and the best one beside it, the best pair that shares one of them, and so on."""
+    out = ["s0 AS (SELECT c.stratum, c.urban, m, k, cost FROM c JOIN f ON c.stratum = f.stratum AND c.urban = f.urban AND f.o IN (m, k) QUALIFY row_number() OVER (PARTITION BY c.stratum, c.urban ORDER BY cost, m, k) = 1)"]
+    for r in range(rounds):
+        out.append(f"s{r + 1} AS (SELECT c.stratum, c.urban, c.m, c.k, c.cost FROM c JOIN s{r} s ON c.stratum = s.stratum AND c.urban = s.urban AND (c.m IN (s.m, s.k) OR c.k IN (s.m, s.k)) QUALIFY row_number() OVER (PARTITION BY c.stratum, c.urban ORDER BY c.cost, c.m, c.k) = 1)")
+    return ", ".join(out)
+
+
+@query(f"""WITH p AS ({MEDOID_POINTS}), d AS (SELECT x.stratum, x.urban, x.id, y.id o, x.weight w, pow(x.a - y.a, 2) + pow(x.b - y.b, 2) d FROM p x JOIN p y ON x.stratum = y.stratum AND x.urban = y.urban),
+c AS (SELECT u.stratum, u.urban, u.o m, v.o k, sum(u.w * least(u.d, v.d)) cost FROM d u JOIN d v ON u.stratum = v.stratum AND u.urban = v.urban AND u.id = v.id AND u.o < v.o GROUP BY 1, 2, 3, 4),
+f AS (SELECT stratum, urban, o FROM d GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY stratum, urban ORDER BY sum(w * d), o) = 1), {_exchanges_sql(10)}
+SELECT f.stratum, f.urban, round(coalesce(cost, 0), 4) cost, coalesce(m, f.o) low, coalesce(k, f.o) high FROM f LEFT JOIN s10 s ON s.stratum = f.stratum AND s.urban = f.urban""")
+def mics_kmedoids(spark, sf_dir):
+    p = _from(spark, sf_dir, MEDOID_POINTS)
+    both = p.withColumn("stratum", F.struct("stratum", "urban"))
+    m = strata.medoids(both, ("a", "b"), 2)
+    far = both.select(F.col("stratum").alias("s"), F.col("id").alias("m"), F.col("a").alias("ma"), F.col("b").alias("mb"))
+    held = m.join(both.select("stratum", "id", "a", "b"), ["stratum", "id"]).join(far, (F.col("s") == F.col("stratum")) & (far["m"] == m["m"]))
+    d = (F.col("a") - F.col("ma")) ** 2 + (F.col("b") - F.col("mb")) ** 2
+    return held.groupBy("stratum").agg(F.sum(F.col("weight") * d).alias("cost"), F.min(m["m"]).alias("low"), F.max(m["m"]).alias("high")).select("stratum.stratum", "stratum.urban", F.round("cost", 4).alias("cost"), "low", "high")
+
+
+#: Each nation's square in cells of 2.5 by 2.5, those that have customers; one in eleven lacks a covariate.
+CELL = f"SELECT c_nationkey * 16 + c_custkey % 16 AS pixel, c_nationkey AS stratum, c_nationkey * 4 + c_custkey % 4 AS subarea, 2 * sum(CASE WHEN {URBAN} THEN 1 ELSE 0 END) > count(*) AS urban, (c_nationkey % 5) * 10 + (c_custkey % 4) * 2.5 + 1.25 AS east, floor(c_nationkey / CAST(5 AS DOUBLE)) * 10 + floor(c_custkey % 16 / CAST(4 AS DOUBLE)) * 2.5 + 1.25 AS north, sum(CAST(c_acctbal AS DOUBLE) + 1000) AS pop, (c_nationkey + c_custkey % 16 * 7) % 11 <> 0 AS complete FROM customer GROUP BY c_nationkey, c_custkey % 16, c_custkey % 4"
+LEAST, MOST, START = 9, 40, 3.0
+
+
+def _refined_sql(rounds: int) -> str:
+    """The rounds of steps one after the other: a lattice, its points' pixels in their stratum, and the next steps."""
+    out = [f"c AS ({CELLS}), px AS (SELECT pixel, stratum, subarea, urban, CAST(east AS DOUBLE) east, north, pop, complete FROM ({CELL}) q), s0 AS (SELECT DISTINCT stratum, urban, CAST({START} AS DOUBLE) step, true AS \"open\" FROM px WHERE pop > 0 AND complete)"]
+    for r in range(rounds):
+        seen = f'SELECT s.stratum, s.urban, s.step, s."open", i * s.step x, j * s.step y, cx * 10 + i * s.step ax, cy * 10 + j * s.step ay, i, j FROM s{r} s JOIN c ON c.poly = s.stratum CROSS JOIN range(0, 60) a(i) CROSS JOIN range(0, 60) b(j) WHERE i * s.step < 10 AND j * s.step < 10'
+        cell = "abs(l.ax - px.east) < 1.25 OR l.ax = px.east + 1.25"
+        out.append(f"l{r} AS ({seen}), w{r} AS (SELECT l.stratum, l.urban, l.i, l.j, px.pixel, row_number() OVER (PARTITION BY l.stratum, l.urban, l.i, l.j ORDER BY CASE WHEN ({cell}) AND (abs(l.ay - px.north) < 1.25 OR l.ay = px.north + 1.25) THEN 0 ELSE 1 END, pow(l.ax - px.east, 2) + pow(l.ay - px.north, 2), px.pixel) k FROM l{r} l JOIN px ON px.stratum = l.stratum)")
+        out.append(f"g{r} AS (SELECT w.stratum, w.urban, w.i, w.j, px.pixel, px.subarea, px.pop FROM w{r} w JOIN px ON px.pixel = w.pixel WHERE k = 1 AND px.urban = w.urban AND px.complete AND px.pop > 0), n{r} AS (SELECT s.stratum, s.urban, count(g.i) n FROM s{r} s LEFT JOIN g{r} g ON s.stratum = g.stratum AND s.urban = g.urban GROUP BY 1, 2)")
+        out.append(f's{r + 1} AS (SELECT s.stratum, s.urban, CASE WHEN n < {LEAST} THEN step / 2 WHEN n > {MOST} THEN step * 1.1 ELSE step END step, n < {LEAST} OR n > {MOST} AS "open" FROM s{r} s JOIN n{r} n ON s.stratum = n.stratum AND s.urban = n.urban)')
+    return ", ".join(out)
+
+
+#: Rounds after which all strata are within the bounds.
+REFINED = 9
+
+
+@query(f"""WITH {_refined_sql(REFINED)}, t AS (SELECT stratum, subarea, urban, sum(pop) t FROM px GROUP BY 1, 2, 3), h AS (SELECT stratum, urban, subarea, sum(pop) s FROM g{REFINED - 1} GROUP BY 1, 2, 3)
+SELECT g.stratum, g.urban, CAST(count(*) AS BIGINT) n, round(max(s.step), 6) step, round(sum(g.pop * t.t / h.s), 3) pop, CAST(sum(g.pixel) AS BIGINT) pixels FROM g{REFINED - 1} g JOIN s{REFINED} s ON s.stratum = g.stratum AND s.urban = g.urban JOIN t ON t.stratum = g.stratum AND t.urban = g.urban AND t.subarea = g.subarea JOIN h ON h.stratum = g.stratum AND h.urban = g.urban AND h.subarea = g.subarea GROUP BY 1, 2""")
+def mics_fine_grid(spark, sf_dir):
+    pixels = _from(spark, sf_dir, CELL).withColumn("east", F.col("east").cast("double"))
+    edges = squares(spark, sf_dir).select("poly", F.lit(0).alias("ring"), "x1", "y1", "x2", "y2")
+    fine = strata.fine_grid(edges, pixels, 2.5, START, LEAST, MOST)
+    return fine.groupBy("stratum", "urban").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("step"), 6).alias("step"), F.round(F.sum("pop"), 3).alias("pop"), F.sum("pixel").alias("pixels"))
+
+
+@query(f"""WITH p AS ({MEDOID_POINTS}), d AS (SELECT x.stratum, x.urban, y.id o, sum(x.weight * (pow(x.a - y.a, 2) + pow(x.b - y.b, 2))) cost FROM p x JOIN p y ON x.stratum = y.stratum AND x.urban = y.urban GROUP BY 1, 2, 3),
+m AS (SELECT stratum, urban, o FROM d WHERE urban OR stratum <> 3 QUALIFY row_number() OVER (PARTITION BY stratum, urban ORDER BY cost, o) = 1), f AS (SELECT stratum, unnest([true, false]) urban FROM (SELECT DISTINCT stratum FROM p) q), l AS (SELECT stratum, min(o) o FROM m GROUP BY 1)
+SELECT f.stratum, f.urban, coalesce(m.o, l.o) id, CASE WHEN m.o IS NULL THEN 0.0 ELSE 1.0 END w FROM f LEFT JOIN m ON f.stratum = m.stratum AND f.urban = m.urban JOIN l ON l.stratum = f.stratum""")
+def mics_points(spark, sf_dir):
+    p = _from(spark, sf_dir, MEDOID_POINTS).where("urban OR stratum <> 3")  # one stratum without rural points
+    return strata.integration_points(p, ("a", "b"), 1).select("stratum", "urban", "id", "w")
+
+
+#: Each region's rectangle, which lies across nations' squares.
+BORDER = "SELECT r_regionkey AS poly, 3.3 + r_regionkey * 7 AS x, 5.1 + r_regionkey * 3 AS y, 31.0 AS w, 18.0 - r_regionkey AS h FROM region"
+
+
+@query(f"WITH c AS ({CELLS}), b AS ({BORDER}), o AS (SELECT c.poly, b.poly AS other, least(cx * 10 + 10, x + w) - greatest(cx * 10, x) dx, least(cy * 10 + 10, y + h) - greatest(cy * 10, y) dy FROM c CROSS JOIN b) SELECT poly, other, round(CAST(dx * dy AS DOUBLE), 6) area FROM o WHERE dx > 0 AND dy > 0")
+def polygon_intersect(spark, sf_dir):
+    b = _from(spark, sf_dir, BORDER).select("poly", *[F.col(c).cast("double") for c in "xywh"])
+    at = lambda x, y: ((F.col("x") + x * F.col("w")), (F.col("y") + y * F.col("h")))
+    ends = [(0, 0, 1, 0), (1, 0, 1, 1), (1, 1, 0, 1), (0, 1, 0, 0)]
+    rows = [F.struct(*[c.alias(n) for n, c in zip(overlay.ENDS, (*at(*e[:2]), *at(*e[2:])), strict=True)]) for e in ends]
+    border = b.select("poly", F.inline(F.array(*rows)))
+    return overlay.common_areas(squares(spark, sf_dir).drop("parent"), border, 10.0).select("poly", "other", F.round("area", 6).alias("area"))
