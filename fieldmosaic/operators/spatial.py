@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmosaic.functions.scalar import segment_distance
+from fieldmosaic.operators.sparse import settled
 
 
 def cell_join(points: DataFrame, grid: DataFrame, step: float, px: str, py: str, gx: str, gy: str) -> DataFrame:
@@ -20,18 +21,16 @@ def cell_join(points: DataFrame, grid: DataFrame, step: float, px: str, py: str,
     return p.join(g, ["__i", "__j"]).where(held(px, gx) & held(py, gy)).drop("__i", "__j")
 
 
-def _levels(tables: list[tuple[DataFrame, list[str], list[str]]], cell: float) -> int:
-    """How often cells double until one covers all points; eight numbers pass through the driver."""
-    spread = 0.0
-    lows, highs = [[], []], [[], []]
-    for df, xs, ys in tables:
-        r = df.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate((*xs, *ys)) for k, f in (("lo", F.min), ("hi", F.max))]).first()
-        for axis, at in ((0, range(len(xs))), (1, range(len(xs), len(xs) + len(ys)))):
-            lows[axis] += [r[f"lo{i}"] for i in at if r[f"lo{i}"] is not None]
-            highs[axis] += [r[f"hi{i}"] for i in at if r[f"hi{i}"] is not None]
-    for lo, hi in zip(lows, highs, strict=True):
-        spread = max(spread, max(hi, default=0.0) - min(lo, default=0.0))
-    return max(0, ceil(log2(max(spread, cell) / cell))) + 1
+#: Rows of one cell that a task compares with the points that ask for it; a cell with more is dealt into salts.
+CELL_ROWS = 4096
+#: Cells, of some tens of bytes each, up to which their salts are broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def _levels(ends: DataFrame, cell: float) -> int:
+    """How often cells double until one covers all places (x, y); four numbers pass through the driver."""
+    r = ends.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    return max(0, ceil(log2(max(r[0] or 0.0, r[1] or 0.0, cell) / cell))) + 1
 
 
 def _at(c: Column, cell: float, level: Column) -> Column:
@@ -45,6 +44,28 @@ def _around(df: DataFrame, x: str, y: str, cell: float, level: Column) -> DataFr
     return held.withColumn("__j", F.explode(F.transform(near, lambda d: _at(F.col(y), cell, F.col("__l")) + d)))
 
 
+def _level_of(bound: Column, cell: float, levels: int) -> Column:
+    """The smallest size of cell of which nine cover all within a bound."""
+    return F.least(F.lit(levels), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(bound * 1.000001, F.lit(float(cell))) / F.lit(float(cell)))))).cast("int")
+
+
+def _compared(asked: DataFrame, spread, keys: list[str]) -> DataFrame:
+    """asked, points with the cells that they ask for, joined with the rows that spread(levels) puts in cells.
+
+    Rows are only put in cells of the sizes that are asked for, only cells that are asked for are kept, and a cell with many rows is dealt into salts, to which
+    its points go. So no key has more than about CELL_ROWS rows, even where one far point asks for a cell that holds the whole table.
+    """
+    asked = settled(asked)
+    cells = asked.select(*keys).distinct()
+    sizes = sorted(r[0] for r in cells.select("__l").distinct().collect())  # some tens of numbers at most
+    rows = spread(F.array(*[F.lit(x) for x in sizes]).cast("array<int>"))
+    salts = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("__n")).join(cells, keys, "left_semi")
+    salts = settled(salts)
+    known = F.broadcast(salts) if salts.count() <= BROADCAST_ROWS else salts  # else a join that Spark can split where a cell is hot
+    held = rows.join(known, keys).withColumn("__s", F.pmod(F.monotonically_increasing_id(), F.col("__n")).cast("int")).drop("__n")
+    return asked.join(salts, keys).withColumn("__s", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n").join(held, [*keys, "__s"])
+
+
 def nearest(points: DataFrame, others: DataFrame, cell: float, point_id: str = "pid", other_id: str = "gid", by: tuple[str, ...] = ()) -> DataFrame:
     """(point_id, other_id, dist): the nearest of the others, ties to the smaller id; with `by`, of those that agree in these columns. Null where there is none.
 
@@ -52,18 +73,17 @@ def nearest(points: DataFrame, others: DataFrame, cell: float, point_id: str = "
     meets one of the others in each cell around it, at every size, which bounds its distance; then it meets
     all of the others in the nine cells around it of the smallest size that covers that bound. Most points end at small cells.
     """
-    levels = _levels([(points, ["px"], ["py"]), (others, ["gx"], ["gy"])], cell)
-    each = others.withColumn("__l", F.explode(F.sequence(F.lit(0), F.lit(levels))))
-    each = each.withColumn("__i", _at(F.col("gx"), cell, F.col("__l"))).withColumn("__j", _at(F.col("gy"), cell, F.col("__l")))
+    held, others = settled(points.select(point_id, "px", "py", *by)), settled(others.select(other_id, "gx", "gy", *by))
+    levels = _levels(held.select(F.col("px").alias("x"), F.col("py").alias("y")).union(others.select("gx", "gy")), cell)
+    put = lambda sizes: others.withColumn("__l", F.explode(sizes)).withColumn("__i", _at(F.col("gx"), cell, F.col("__l"))).withColumn("__j", _at(F.col("gy"), cell, F.col("__l")))
     keys = [*by, "__l", "__i", "__j"]
     d2 = (F.col("px") - F.col("gx")) ** 2 + (F.col("py") - F.col("gy")) ** 2
-    held = points.select(point_id, "px", "py", *by)
-    one = each.groupBy(*keys).agg(F.min(F.struct(F.col(other_id), "gx", "gy")).alias("o")).select(*keys, "o.gx", "o.gy")
-    first = _around(held, "px", "py", cell, F.explode(F.sequence(F.lit(0), F.lit(levels)))).join(one, keys)
+    every = F.sequence(F.lit(0), F.lit(levels))
+    one = put(every).groupBy(*keys).agg(F.min(F.struct(F.col(other_id), "gx", "gy")).alias("o")).select(*keys, "o.gx", "o.gy")
+    first = _around(held, "px", "py", cell, F.explode(every)).join(one, keys)
     bound = first.groupBy(point_id, "px", "py", *by).agg(F.min(d2).alias("b"))
-    level = F.least(F.lit(levels), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.sqrt("b") * 1.000001, F.lit(float(cell))) / F.lit(float(cell)))))).cast("int")
-    met = _around(bound, "px", "py", cell, level).join(each, keys)
-    found = met.groupBy(point_id).agg(F.min(F.struct(d2.alias("d2"), F.col(other_id).alias("g"))).alias("m"))
+    asked = _around(bound, "px", "py", cell, _level_of(F.sqrt("b"), cell, levels))
+    found = _compared(asked, put, keys).groupBy(point_id).agg(F.min(F.struct(d2.alias("d2"), F.col(other_id).alias("g"))).alias("m"))
     return points.select(point_id).join(found, point_id, "left").select(point_id, F.col("m.g").alias(other_id), F.sqrt("m.d2").alias("dist"))
 
 
@@ -113,17 +133,21 @@ def nearest_edge(points: DataFrame, edges: DataFrame, cell: float, by: tuple[str
     The nearest corner bounds the distance; then a point meets the edges whose boxes touch the nine cells around it of the smallest
     size that covers the bound.
     """
-    levels = _levels([(points, ["x"], ["y"]), (edges, ["x1", "x2"], ["y1", "y2"])], cell)
+    points, edges = settled(points.select("pid", "x", "y", *by)), settled(edges.select("poly", *by, "x1", "y1", "x2", "y2"))
     corners = edges.select("poly", *by, F.col("x1").alias("gx"), F.col("y1").alias("gy")).union(edges.select("poly", *by, F.col("x2"), F.col("y2"))).distinct()
+    levels = _levels(points.select("x", "y").union(corners.select("gx", "gy")), cell)
     p = points.select("pid", F.col("x").alias("px"), F.col("y").alias("py"), *by)
     bound = nearest(p, corners, cell, "pid", "poly", by).where("dist IS NOT NULL").select("pid", "dist")
-    level = F.least(F.lit(levels), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("dist") * 1.000001, F.lit(float(cell))) / F.lit(float(cell)))))).cast("int")
-    held = _around(p.join(bound, "pid"), "px", "py", cell, level)
-    each = edges.withColumn("__l", F.explode(F.sequence(F.lit(0), F.lit(levels))))
-    for name, a, b in (("__i", "x1", "x2"), ("__j", "y1", "y2")):
-        each = each.withColumn(name, F.explode(F.sequence(_at(F.least(a, b), cell, F.col("__l")), _at(F.greatest(a, b), cell, F.col("__l")))))
+    asked = _around(p.join(bound, "pid"), "px", "py", cell, _level_of(F.col("dist"), cell, levels))
+
+    def put(sizes: Column) -> DataFrame:
+        each = edges.withColumn("__l", F.explode(sizes))
+        for name, a, b in (("__i", "x1", "x2"), ("__j", "y1", "y2")):
+            each = each.withColumn(name, F.explode(F.sequence(_at(F.least(a, b), cell, F.col("__l")), _at(F.greatest(a, b), cell, F.col("__l")))))
+        return each
+
     d = segment_distance(*[F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2")])
-    found = held.join(each, [*by, "__l", "__i", "__j"]).groupBy("pid").agg(F.min(F.struct(d.alias("d"), "poly")).alias("m"))
+    found = _compared(asked, put, [*by, "__l", "__i", "__j"]).groupBy("pid").agg(F.min(F.struct(d.alias("d"), "poly")).alias("m"))
     return points.select("pid").join(found, "pid", "left").select("pid", "m.poly", F.col("m.d").alias("dist"))
 
 

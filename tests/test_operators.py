@@ -177,3 +177,26 @@ def test_small_pieces(spark, tmp_path):
     for fold in (1, 2):
         tables.write_results(spark.createDataFrame([("m", fold, 0.5)], "model string, fold int, score double"), str(tmp_path / "results"))
     assert spark.read.parquet(str(tmp_path / "results")).count() == 2
+
+
+def test_nearest_has_no_hot_cell(spark):
+    """A far point asks for cells that hold all of 20,000 others, a third of them in one place; no key of the join has many rows, and none is lost."""
+    rng = np.random.default_rng(7)
+    xy = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(0, 30, (20_000, 2)))]
+    xy = [(k, 3.0, 4.0) if k % 3 == 0 else (k, x, y) for k, x, y in xy]
+    others = spark.createDataFrame(xy, "gid int, gx double, gy double").repartition(4)
+    points = [(0, 900.0, 700.0), (1, 3.0, 4.0), (2, -50.0, 15.0), (3, 15.0, 15.0)] + [(10 + k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(0, 30, (200, 2)))]
+    joined = []
+    compared = spatial._compared
+    try:
+        spatial._compared = lambda asked, spread, keys: joined.append((compared(asked, spread, keys), keys)) or joined[-1][0]
+        got = {r.pid: (r.gid, r.dist) for r in spatial.nearest(spark.createDataFrame(points, "pid int, px double, py double"), others, 1.0).collect()}
+    finally:
+        spatial._compared = compared
+    at = np.array([p[1:] for p in xy])
+    for pid, x, y in points:
+        d = np.hypot(at[:, 0] - x, at[:, 1] - y)
+        assert got[pid][1] == pytest.approx(d.min()) and d[got[pid][0]] == pytest.approx(d.min())
+    df, keys = joined[0]
+    largest = df.groupBy(*keys, "__s").agg(F.countDistinct("gid").alias("n")).agg(F.max("n")).first()[0]
+    assert largest <= 2 * spatial.CELL_ROWS, largest
