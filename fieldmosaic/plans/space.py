@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldmosaic.operators import aggregate, clean, frame, integration, polygons, recode, spatial
 from fieldmosaic.plans.catalog import GRID, HASHED, POINTS, URBAN, _from, draws, grid, query, rounded
-from fieldmosaic.plans.estimation import AROUND, OFFSETS
+from fieldmosaic.plans.estimation import CORNERS
 from fieldmosaic.sources import tables
 
 #: Three polygons of area 1 or 2: one that isn't convex, one with a hole, and one of two parts, as (poly, parent, ring, corners).
@@ -63,35 +63,58 @@ def polygon_shapes(spark, sf_dir):
     return rounded(polygons.shapes(edges(spark)), "poly")
 
 
-@query(f"WITH o(urban, k, dx, dy, w) AS (VALUES {OFFSETS}) SELECT urban, CAST(k AS INTEGER) k, round(dx, 6) dx, round(dy, 6) dy, round(w, 6) w FROM o")
-def dhs_rings(spark, sf_dir):
-    return rounded(integration.rings(spark), "urban", "k")
+#: The rings' sectors from their radii: equal shares of 2 or 5 km for each of 11 points, and a ring from 5 to 10 km around rural clusters.
+SECTORS = """t(urban, j, r1, r2, m) AS (VALUES (true, 1, 0.0, 2 / 11.0, 1), (true, 2, 2 / 11.0, 12 / 11.0, 5), (true, 3, 12 / 11.0, 2.0, 5), (false, 1, 0.0, 5 / 11.0, 1), (false, 2, 5 / 11.0, 30 / 11.0, 5), (false, 3, 30 / 11.0, 5.0, 5), (false, 4, 5.0, 10.0, 5)),
+sec AS (SELECT urban, CASE WHEN j = 1 THEN 0 ELSE 1 + (j - 2) * 5 + i END k, CAST(r1 AS DOUBLE) r1, CAST(r2 AS DOUBLE) r2, (i + CASE WHEN j = 3 THEN 0.5 ELSE 0 END) * 2 * pi() / m a, 2 * pi() / m da, CASE WHEN urban THEN (r2 - r1) / 2 WHEN j < 4 THEN (r2 - r1) * (0.99 / 5 + 0.01 / 10) ELSE (r2 - r1) * 0.01 / 10 END / CAST(m AS DOUBLE) w FROM t CROSS JOIN range(0, 5) g(i) WHERE i < m)"""
 
 
-@query(f"""WITH {AROUND}, s AS (SELECT q.pixel, q.k, q.w * (1 + ((q.pixel + q.k) % 5)) w, (q.pixel + q.k) % 7 <> 0 ok FROM q), t AS (SELECT *, CASE WHEN ok THEN w ELSE 0 END v FROM s) SELECT pixel, k, round(coalesce(v / nullif(sum(v) OVER (PARTITION BY pixel), 0), 0), 6) w FROM t""")
-def dhs_points(spark, sf_dir):
-    q = integration.around(grid(spark, sf_dir).select("pixel", "urban", "east", "north"), integration.rings(spark))
-    at = F.col("pixel") + F.col("k")
-    return rounded(integration.density_weights(q, "pixel", 1 + at % 5, at % 7 != 0).select("pixel", "k", "w"), "pixel", "k")
+def _sub_sql(n: int) -> str:
+    return f"{SECTORS}, u AS (SELECT urban, k, i * {n} + j s, (r1 + (i + 0.5) * (r2 - r1) / {n}) * cos(a + ((j + 0.5) / {n} - 0.5) * da) dx, (r1 + (i + 0.5) * (r2 - r1) / {n}) * sin(a + ((j + 0.5) / {n} - 0.5) * da) dy, w / {n * n} w FROM sec CROSS JOIN range(0, {n}) p(i) CROSS JOIN range(0, {n}) q(j))"
 
 
-SUB = f"""o(urban, k, dx, dy, w) AS (VALUES {OFFSETS}), u AS (SELECT urban, k, i * 4 + j s, dx + 1.5 * sqrt((i + 0.5) / 4) * cos((j + i % 2 * 0.5) * 2 * pi() / 4) dx, dy + 1.5 * sqrt((i + 0.5) / 4) * sin((j + i % 2 * 0.5) * 2 * pi() / 4) dy, w / 16 w FROM o CROSS JOIN range(0, 4) a(i) CROSS JOIN range(0, 4) b(j))"""
+@query(f"WITH {SECTORS}, g AS ({GRID}) SELECT pixel, CAST(k AS INTEGER) k, round(east + CASE WHEN k = 0 THEN 0 ELSE (r1 + r2) / 2 * sqrt(2 * (1 - cos(da))) / da * cos(a) END, 6) px, round(north + CASE WHEN k = 0 THEN 0 ELSE (r1 + r2) / 2 * sqrt(2 * (1 - cos(da))) / da * sin(a) END, 6) py, round(w, 6) w FROM g JOIN sec ON g.urban = sec.urban")
+def dhs_rings(spark, sf_dir):
+    q = integration.around(grid(spark, sf_dir).select("pixel", "urban", "east", "north"), integration.rings(spark))
+    return rounded(q.select("pixel", "k", "px", "py", "w"), "pixel", "k")
 
 
-@query(f"WITH {SUB} SELECT urban, CAST(k AS INTEGER) k, CAST(s AS INTEGER) s, round(dx, 6) dx, round(dy, 6) dy, round(w, 6) w FROM u")
+@query(f"WITH {_sub_sql(4)}, g AS ({GRID}) SELECT pixel, CAST(k AS INTEGER) k, CAST(count(*) AS BIGINT) n, round(avg(east + dx), 6) px, round(avg(north + dy), 6) py, round(min(dx * dx + dy * dy), 6) near, round(max(dx * dx + dy * dy), 6) far, round(sum(w), 6) w FROM g JOIN u ON g.urban = u.urban GROUP BY 1, 2")
 def dhs_subpoints(spark, sf_dir):
-    return rounded(integration.sub_points(integration.rings(spark), 4, 4, 1.5), "urban", "k", "s")
+    q = integration.around(grid(spark, sf_dir).select("pixel", "urban", "east", "north"), integration.sub_points(spark, 4, 4))
+    r = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
+    return rounded(q.groupBy("pixel", "k").agg(F.count(F.lit(1)).alias("n"), F.avg("px").alias("px"), F.avg("py").alias("py"), F.min(r).alias("near"), F.max(r).alias("far"), F.sum("w").alias("w")), "pixel", "k", "n")
+
+
+#: Areas are squares of 20 by 20 that cover the clusters; a cluster's own is the one it lies in.
+BORDERED = f"""{_sub_sql(4)}, g AS (SELECT pixel, urban, east, north, floor(east / 20) ci, floor(north / 20) cj, CASE WHEN least(east % 20, 20 - east % 20, north % 20, 20 - north % 20) < CASE WHEN urban THEN 2 ELSE 10 END THEN 1 ELSE 0 END near FROM ({GRID}) x),
+q AS (SELECT pixel, k, near, w, CASE WHEN floor((east + dx) / 20) = ci AND floor((north + dy) / 20) = cj THEN w ELSE 0 END v FROM g JOIN u ON g.urban = u.urban), d AS (SELECT pixel, k, max(near) near, sum(w) w, sum(v) v FROM q GROUP BY 1, 2),
+adm AS (SELECT pixel, CAST(k AS INTEGER) k, CASE WHEN near = 1 AND sum(v) OVER (PARTITION BY pixel) > 0 THEN v / sum(v) OVER (PARTITION BY pixel) ELSE w END w FROM d)"""
 
 
-@query(f"""WITH {EDGES_SQL}, {SUB}, g AS (SELECT pixel, urban, east, north, area % 3 + 1 poly FROM ({GRID}) x WHERE pixel < 60), q AS (SELECT pixel, k, s, w, east + dx x, north + dy y, g.poly FROM g JOIN u ON g.urban = u.urban),
-n AS (SELECT pixel, k, s, w, ring, sum(CASE WHEN {CROSS} THEN 1 ELSE 0 END) n FROM q JOIN e ON e.poly = q.poly GROUP BY 1, 2, 3, 4, 5), i AS (SELECT pixel, k, s, max(w) w, max(n % 2) inside FROM n GROUP BY 1, 2, 3), t AS (SELECT pixel, k, sum(w * inside) w FROM i GROUP BY 1, 2)
-SELECT pixel, CAST(k AS INTEGER) k, round(coalesce(w / nullif(sum(w) OVER (PARTITION BY pixel), 0), 0), 6) w FROM t""")
+def bordered(spark, sf_dir):
+    at = lambda c, d, name: ((F.col(c) + d) * 20.0).alias(name)
+    squares = F.array(*[F.struct(at("ci", a, "x1"), at("cj", b, "y1"), at("ci", c, "x2"), at("cj", d, "y2")) for a, b, c, d in CORNERS])
+    poly = lambda x, y: (F.floor(F.col(x) / 20) * 5 + F.floor(F.col(y) / 20)).cast("int")
+    clusters = grid(spark, sf_dir).select(F.col("pixel").alias("cluster"), "urban", "east", "north", poly("east", "north").alias("poly"))
+    edges = clusters.select("poly").distinct().withColumns({"ci": F.floor(F.col("poly") / 5), "cj": F.col("poly") % 5, "ring": F.lit(0)}).select("poly", "ring", F.inline(squares))
+    return integration.admin_weights(clusters, edges, 10.0, 4, 4).withColumnRenamed("cluster", "pixel")
+
+
+@query(f"WITH {BORDERED} SELECT pixel, k, round(w, 6) w FROM adm")
 def admin_reweight(spark, sf_dir):
-    g = grid(spark, sf_dir).where("pixel < 60").select("pixel", "urban", "east", "north", (F.col("area") % 3 + 1).cast("int").alias("own"))
-    sub = integration.around(g, integration.sub_points(integration.rings(spark), 4, 4, 1.5)).withColumn("sid", F.struct("pixel", "k", "s"))
-    hits = spatial.in_polygons(sub.select(F.col("sid").alias("pid"), F.col("px").alias("x"), F.col("py").alias("y")), edges(spark), 20.0)
-    inside = hits.withColumnRenamed("pid", "sid").join(sub.select("sid", F.col("own").alias("poly")), ["sid", "poly"])
-    return rounded(integration.reweight_by_area(sub.select("sid", "pixel", "k", "w"), "pixel", inside), "pixel", "k")
+    return rounded(bordered(spark, sf_dir).select("pixel", "k", "w"), "pixel", "k")
+
+
+#: People in blocks of 4 by 4; a block without customers has no density, and every ninth has no covariate.
+DENSITY = f"SELECT CAST(floor(east / 4) AS BIGINT) c, CAST(floor(north / 4) AS BIGINT) r, sum(pop) / 16 density, (floor(east / 4) + 2 * floor(north / 4)) % 9 <> 0 AS usable FROM ({GRID}) y GROUP BY floor(east / 4), floor(north / 4)"
+
+
+@query(f"""WITH {BORDERED}, den AS ({DENSITY}), s AS (SELECT sec.urban, k, CASE WHEN k = 0 THEN 0 ELSE (r1 + r2) / 2 * sqrt(2 * (1 - cos(da))) / da * cos(a) END dx, CASE WHEN k = 0 THEN 0 ELSE (r1 + r2) / 2 * sqrt(2 * (1 - cos(da))) / da * sin(a) END dy FROM sec),
+f AS (SELECT adm.pixel, adm.k, CASE WHEN usable THEN coalesce(adm.w * density, 0) ELSE 0 END v FROM adm JOIN g ON g.pixel = adm.pixel JOIN s ON s.urban = g.urban AND s.k = adm.k LEFT JOIN den ON den.c = floor((east + dx) / 4) AND den.r = floor((north + dy) / 4))
+SELECT pixel, k, round(coalesce(v / nullif(sum(v) OVER (PARTITION BY pixel), 0), 0), 6) w FROM f""")
+def dhs_points(spark, sf_dir):
+    held = bordered(spark, sf_dir).withColumns({"c": F.floor(F.col("px") / 4), "r": F.floor(F.col("py") / 4)}).join(_from(spark, sf_dir, DENSITY), ["c", "r"], "left")
+    return rounded(integration.density_weights(held, "pixel", F.col("density"), F.coalesce("usable", F.lit(False))).select("pixel", "k", "w"), "pixel", "k")
 
 
 MICS = f"SELECT area, urban, CAST(row_number() OVER (PARTITION BY area, urban ORDER BY pixel) - 1 AS INTEGER) AS k, pop / sum(pop) OVER (PARTITION BY area, urban) AS w, east AS x FROM ({GRID}) g"
