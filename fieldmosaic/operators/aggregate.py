@@ -47,6 +47,20 @@ def count_complete(df: DataFrame, a: str, b: str, keys: DataFrame | None = None)
     return cells.join(counts, [a, b], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def misclassified(df: DataFrame, areas: DataFrame, area: str, a: Column, b: Column) -> DataFrame:
+    """(area, rate): the share of rows where a and b differ, for all areas of a table; null for those without rows."""
+    rates = df.groupBy(area).agg(F.avg((a != b).cast("double")).alias("rate"))
+    return areas.select(area).distinct().join(rates, area, "left")
+
+
+def covariate_averages(fine: DataFrame, points: DataFrame, keys: list[str], weight: str, columns: tuple[str, ...]) -> DataFrame:
+    """(keys, name, fine, points): weighted averages of columns over a fine grid and over integration points that stand for it; null on a side without weights."""
+    both = fine.select(*keys, weight, *columns, F.lit(True).alias("__f")).unionByName(points.select(*keys, weight, *columns, F.lit(False).alias("__f")))
+    longer = both.select(*keys, weight, "__f", F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("__x")) for c in columns]))).where("__x IS NOT NULL")
+    mean = lambda c: ratio(F.sum(F.when(c, F.col(weight) * F.col("__x"))), F.sum(F.when(c, F.col(weight))))
+    return longer.groupBy(*keys, "name").agg(mean(F.col("__f")).alias("fine"), mean(~F.col("__f")).alias("points"))
+
+
 def calibrate(df: DataFrame, region: list[str], value: str, target: str) -> DataFrame:
     """Scales value so that each region's sum is its target. A zero sum shares the target equally; a null target leaves values as they are. Sums are grouped before the join."""
     sums = df.groupBy(*region).agg(F.sum(value).alias("__s"), F.count(F.lit(1)).alias("__k"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldmosaic.operators.sparse import settled
+
 
 def fill_down(df: DataFrame, part: list[str], order: str, value: str) -> DataFrame:
     """Carries the last non-empty value forward."""
@@ -41,8 +43,12 @@ def natural_join(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Rows in order with their places, from 1, for listings that are read whole."""
-    return df.orderBy(*order).withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    """Rows with their places in an order, from 1. Ranges of the order go to tasks of their own, where rows are numbered; then each range is shifted by the counts of those before it."""
+    held = settled(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("__p", F.spark_partition_id()))
+    counts = held.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))  # a row for each task
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return held.join(F.broadcast(before), "__p").withColumn(name, (F.col("__before") + place).cast("int")).drop("__p", "__before")
 
 
 def gaps_text(df: DataFrame, part: list[str], key: str) -> DataFrame:

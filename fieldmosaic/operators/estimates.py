@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldmosaic.functions.scalar import ratio
 from fieldmosaic.operators.aggregate import running_sum
+from fieldmosaic.operators.clean import numbered
 
 
 def fold_average(df: DataFrame, keys: list[str], weight: str, scores: tuple[str, ...]) -> DataFrame:
@@ -22,6 +23,30 @@ def bin_by_quantiles(df: DataFrame, value: str, bins: int) -> DataFrame:
     return df.withColumn("bin", sum(above, F.lit(1)))
 
 
+def bin_by_counts(df: DataFrame, value: str, bins: int) -> DataFrame:
+    """Adds `bin` (1..bins) and `center`: bins of equal counts but for the last, an edge being the mean of the values on its two sides, and centres halfway between edges; the first begins at 0. Rows without a value go. The values at the edges, two for each, pass through the driver."""
+    placed = numbered(df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")), [F.col("v")], "place")
+    n = df.where(F.col(value).isNotNull()).count()
+    per = max(1, -(-n // bins))
+    wanted = [k for start in range(per + 1, n + 1, per) for k in (start - 1, start)] + [n]
+    at = {r.place: r.v for r in placed.where(F.col("place").isin(wanted)).collect()}
+    edges = [0.0] + [(at[s - 1] + at[s]) / 2 for s in range(per + 1, n + 1, per)] + [at.get(n, 0.0) + 1e-6]
+    bin_ = F.least(F.lit(len(edges) - 1), sum([(F.col(value) > e).cast("int") for e in edges[1:-1]], F.lit(1)))
+    centers = F.array(*[F.lit((a + b) / 2) for a, b in zip(edges, edges[1:], strict=False)])
+    return df.where(F.col(value).isNotNull()).withColumn("bin", bin_).withColumn("center", F.get(centers, F.col("bin") - 1))
+
+
+def over_folds(df: DataFrame, keys: list[str], fold: str, values: tuple[str, ...]) -> DataFrame:
+    """(keys, <value>_mean, <value>_median): means and medians over folds of the folds' own means; folds without a value don't count."""
+    by = df.groupBy(*keys, fold).agg(*[F.avg(v).alias(v) for v in values])
+    return by.groupBy(*keys).agg(*[x for v in values for x in (F.avg(v).alias(f"{v}_mean"), F.median(v).alias(f"{v}_median"))])
+
+
+def survey_average(df: DataFrame, sizes: DataFrame, keys: list[str], survey: str, scores: tuple[str, ...]) -> DataFrame:
+    """Averages of several surveys' scores by their sizes (survey, size), after `fold_average` within each; a survey without a score leaves its weight to the others."""
+    return fold_average(df.join(sizes, survey), keys, "size", scores)
+
+
 def pps_sample(df: DataFrame, strata: list[str], place: Column, order: list[Column], size: str, n: int) -> DataFrame:
     """Systematic sampling with probability proportional to size: n steps of equal length through each stratum's running sum, from half a step. `times` is how often a row is met, `weight` 1 / its expectation."""
     total = df.groupBy(*strata).agg((F.sum(size) / n).alias("__step"))

@@ -14,6 +14,13 @@ def expected_per_ea(grid: DataFrame, strata: list[str], pop: str) -> DataFrame:
     return grid.join(sums, strata, "left")
 
 
+def frame_of_clusters(clusters: DataFrame, area: str, urban: str, pop: str, households: int = 25) -> DataFrame:
+    """(area, ea_urb, ea_rur, ea_total, hh_urb, ..., pop_urb, ...): an area's units, households (a fixed number for each unit) and people, in one pass of sums. Areas without units of a kind have 0."""
+    parts = {"urb": F.col(urban), "rur": ~F.col(urban), "total": F.lit(True)}
+    sums = [x for k, c in parts.items() for x in (F.count(F.when(c, 1)).alias(f"ea_{k}"), (F.count(F.when(c, 1)) * households).alias(f"hh_{k}"), F.sum(F.when(c, F.col(pop)).otherwise(0.0)).alias(f"pop_{k}"))]
+    return clusters.groupBy(area).agg(*sums)
+
+
 def block_means(grid: DataFrame, x: str, y: str, value: str, step: float) -> DataFrame:
     """Means over square blocks, upper edges in."""
     block = lambda c: F.ceil(F.col(c) / F.lit(step)).cast("long")

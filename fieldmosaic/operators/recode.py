@@ -54,9 +54,9 @@ def apportion(df: DataFrame, part: list[str], row_id: str, total: str, share: st
     return held.drop("__s", "__e", "__f", "__left")
 
 
-def in_order_of(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows in the order of a list of keys (key, ord); rows with other keys go."""
-    return df.join(keys, key).orderBy("ord")
+def in_order_of(df: DataFrame, keys: DataFrame, key: str, *then: Column) -> DataFrame:
+    """Rows in the order of a list of keys (key, ord), and within a key in the order of `then`; rows with other keys go. A key that is listed twice counts where it comes first."""
+    return df.join(keys.groupBy(key).agg(F.min("ord").alias("ord")), key).orderBy("ord", *then)
 
 
 def job_pair(job: Column, most: int) -> tuple[Column, Column]:

@@ -96,6 +96,13 @@ def scored(df: DataFrame, draws: str, truth: Column, step: Column, levels: tuple
     return out.drop("__s")
 
 
+def weighted_errors(df: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """By the keys: bias, mse, var and rmse of `error`, with weights that are scaled to 1 over the rows that have one."""
+    w = F.when(F.col("error").isNotNull(), F.col(weight))
+    got = df.groupBy(*keys).agg(ratio(F.sum(w * F.col("error")), F.sum(w)).alias("bias"), ratio(F.sum(w * F.col("error") * F.col("error")), F.sum(w)).alias("mse"))
+    return got.withColumn("var", F.col("mse") - F.col("bias") * F.col("bias")).withColumn("rmse", F.sqrt("mse"))
+
+
 def average_scores(df: DataFrame, keys: list[str], weight: str, levels: tuple[float, ...] = (0.5, 0.8, 0.9, 0.95)) -> DataFrame:
     """By the keys: bias, mse, var, rmse, crps and the interval scores of `scored` rows, with weights that are scaled to 1 over the rows that have a score."""
     over = lambda c: ratio(F.sum(F.col(weight) * c), F.sum(F.when(c.isNotNull(), F.col(weight))))
@@ -104,6 +111,12 @@ def average_scores(df: DataFrame, keys: list[str], weight: str, levels: tuple[fl
     return got.withColumn("var", F.col("mse") - F.col("bias") * F.col("bias")).withColumn("rmse", F.sqrt("mse"))
 
 
+def score_table(df: DataFrame, keys: list[str], urban: str, weight: str, levels: tuple[float, ...] = (0.5, 0.8, 0.9, 0.95)) -> DataFrame:
+    """`average_scores` of `scored` rows by the keys, as model and fold, for all, urban and rural rows (part)."""
+    part = F.explode(F.array(F.lit("total"), F.when(F.col(urban), "urban").otherwise("rural")))
+    return average_scores(df.withColumn("part", part), [*keys, "part"], weight, levels)
+
+
 def merge_binned(tables: list[DataFrame], bin_: str, count: str, values: list[str]) -> DataFrame:
     """Tables of binned scores as one, weighted by their counts; a bin that a table lacks weighs nothing there."""
     both = tables[0]

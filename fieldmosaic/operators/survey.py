@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldmosaic.functions.integrals import logit_normal_moment, logit_normal_variance
 from fieldmosaic.functions.scalar import expit, ratio
+from fieldmosaic.functions.variates import uniform
 
 
 def expand_binary(df: DataFrame, y: str, n: str, weight: str | None = None) -> DataFrame:
@@ -50,13 +51,14 @@ def contrast(direct: DataFrame, area: str, urban: str) -> DataFrame:
 
 
 def combine_logits(surveys: list[DataFrame], area: str, levels: tuple[float, ...] = (0.8, 0.95)) -> DataFrame:
-    """Inverse-variance means of logit estimates of several surveys, their intervals, and the largest converge code."""
+    """Inverse-variance means of logit estimates of several surveys, est and var on the probability scale, their intervals, and the largest converge code."""
     both = surveys[0].select(area, "logit_est", "logit_var", "converge")
     for s in surveys[1:]:
         both = both.unionByName(s.select(area, "logit_est", "logit_var", "converge"))
     w = F.when(F.col("logit_var") > 0, 1 / F.when(F.col("logit_var") > 0, F.col("logit_var")))
     got = both.groupBy(area).agg(ratio(F.sum(w * F.col("logit_est")), F.sum(w)).alias("logit_est"), ratio(F.lit(1.0), F.sum(w)).alias("logit_var"), F.max("converge").alias("converge"))
     sd = F.sqrt("logit_var")
+    got = got.withColumns({"est": logit_normal_moment(F.col("logit_est"), sd), "var": logit_normal_variance(F.col("logit_est"), sd)})
     for level in levels:
         z, name = NormalDist().inv_cdf((1 + level) / 2), round(100 * level)
         got = got.withColumn(f"lower_{name}", expit(F.col("logit_est") - F.lit(z) * sd)).withColumn(f"upper_{name}", expit(F.col("logit_est") + F.lit(z) * sd))
@@ -87,12 +89,12 @@ def fold_split_areal(df: DataFrame, area: str, held: object, fold: str, above: i
 
 
 def stratified_folds(df: DataFrame, strata: list[str], place: Column, order: list[Column], k: int, buckets: int = 64) -> DataFrame:
-    """Folds 1..k, dealt in the order of (place, *order), place being from 0 to 1; their sizes differ by one row at most within each stratum. Rows are ranked within buckets of places, after the buckets' counts, so a large stratum is spread over many tasks."""
+    """Folds 1..k, dealt in the order of (place, *order), place being from 0 to 1; their sizes differ by one row at most within each stratum, and each stratum starts at a fold of its own, drawn from its name, so that the larger ones aren't the same everywhere. Rows are ranked within buckets of places, after the buckets' counts, so a large stratum is spread over many tasks."""
     held = df.withColumn("__b", F.least(F.floor(place * buckets), F.lit(buckets - 1)))
     counts = held.groupBy(*strata, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select(*strata, "__b", (F.sum("__n").over(Window.partitionBy(*strata).orderBy("__b")) - F.col("__n")).alias("__before"))
     place = F.row_number().over(Window.partitionBy(*strata, "__b").orderBy(place, *order)) - 1
-    return held.join(before, [*strata, "__b"]).withColumn("fold", (F.col("__before") + place) % k + 1).drop("__b", "__before")
+    return held.join(before, [*strata, "__b"]).withColumn("fold", (F.col("__before") + place + F.floor(uniform("folds", *[F.col(c) for c in strata]) * k)) % k + 1).drop("__b", "__before")
 
 
 def srs_sample(df: DataFrame, strata: list[str], order: list[Column], n: int) -> DataFrame:

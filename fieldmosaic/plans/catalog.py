@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmosaic.functions import scalar
-from fieldmosaic.operators import aggregate, clean, integration, scores, spatial, survey
+from fieldmosaic.operators import aggregate, clean, frame, integration, scores, spatial, survey
+from fieldmosaic.plans.engines import uniform_sql
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -31,14 +34,13 @@ def query(sql: str):
     return add
 
 
+TABLES = ("customer", "nation", "region", "lineitem", "orders", "embeddings", "events", "part", "supplier")
+NAMED_TABLES = re.compile(rf"\b(FROM|JOIN)(\s+)({'|'.join(TABLES)})\b(?!\s*\.)", re.IGNORECASE)
+
+
 def _from(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A SELECT over the given tables, which are read where their names follow FROM or JOIN."""
-    for name in ("customer", "nation", "region", "lineitem", "orders", "embeddings", "events", "part", "supplier"):
-        for word in ("FROM", "JOIN"):
-            sql = sql.replace(f"{word} {name} ", f"{word} parquet.`{sf_dir}/{name}.parquet` ").replace(f"{word} {name}\n", f"{word} parquet.`{sf_dir}/{name}.parquet`\n")
-            if sql.endswith(f"{word} {name}"):
-                sql = sql[: -len(name)] + f"parquet.`{sf_dir}/{name}.parquet`"
-    return spark.sql(sql)
+    return spark.sql(NAMED_TABLES.sub(lambda m: f"{m[1]}{m[2]}parquet.`{sf_dir}/{m[3].lower()}.parquet`", sql))
 
 
 def grid(spark, sf_dir):
@@ -75,9 +77,9 @@ def agg_area_to_area(spark, sf_dir):
     return aggregate.roll_up(a, mapping, "area", "region").select("region", F.round("z", 3).alias("z"), F.round("n", 3).alias("n"), F.round("p", 6).alias("p"))
 
 
-@query(f"WITH g AS ({GRID}), k AS (SELECT DISTINCT area FROM g), u AS (SELECT true urban UNION ALL SELECT false) SELECT k.area, u.urban, CAST(count(g.pixel) AS BIGINT) n FROM k CROSS JOIN u LEFT JOIN g ON g.area = k.area AND g.urban = u.urban GROUP BY 1, 2")
+@query(f"WITH g AS ({GRID}), k AS (SELECT n_nationkey area FROM nation), u AS (SELECT true urban UNION ALL SELECT false) SELECT k.area, u.urban, CAST(count(g.pixel) AS BIGINT) n FROM k CROSS JOIN u LEFT JOIN g ON g.area = k.area AND g.urban = u.urban AND g.region <> 2 GROUP BY 1, 2")
 def count_by_strata_complete(spark, sf_dir):
-    return aggregate.count_complete(grid(spark, sf_dir), "area", "urban")
+    return aggregate.count_complete(grid(spark, sf_dir).where("region <> 2"), "area", "urban", _from(spark, sf_dir, "SELECT n_nationkey AS area FROM nation"))
 
 
 @query(f"SELECT cluster, min(area) area, bool_or(urban) urban, CAST(sum(y) AS BIGINT) y, CAST(count(*) AS BIGINT) n, sum(w) w FROM ({PEOPLE}) p GROUP BY cluster")
@@ -85,10 +87,10 @@ def cluster_agg(spark, sf_dir):
     return people(spark, sf_dir).groupBy("cluster").agg(F.min("area").alias("area"), F.bool_or("urban").alias("urban"), F.sum("y").cast("long").alias("y"), F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
 
 
-@query(f"WITH g AS ({GRID}) SELECT area, CAST(sum(CASE WHEN urban THEN 1 ELSE 0 END) AS BIGINT) ea_urb, CAST(sum(CASE WHEN urban THEN 0 ELSE 1 END) AS BIGINT) ea_rur, CAST(count(*) AS BIGINT) ea_total, CAST(count(*) * 25 AS BIGINT) hh_total, round(sum(pop), 3) pop_total FROM g GROUP BY area")
+@query(f"WITH g AS ({GRID}) SELECT area, CAST(sum(CASE WHEN urban THEN 1 ELSE 0 END) AS BIGINT) ea_urb, CAST(sum(CASE WHEN urban THEN 0 ELSE 1 END) AS BIGINT) ea_rur, CAST(count(*) AS BIGINT) ea_total, CAST(sum(CASE WHEN urban THEN 25 ELSE 0 END) AS BIGINT) hh_urb, CAST(sum(CASE WHEN urban THEN 0 ELSE 25 END) AS BIGINT) hh_rur, CAST(count(*) * 25 AS BIGINT) hh_total, round(sum(CASE WHEN urban THEN pop ELSE 0 END), 3) pop_urb, round(sum(CASE WHEN urban THEN 0 ELSE pop END), 3) pop_rur, round(sum(pop), 3) pop_total FROM g GROUP BY area")
 def frame_from_survey(spark, sf_dir):
-    u = F.col("urban").cast("int")
-    return grid(spark, sf_dir).groupBy("area").agg(F.sum(u).alias("ea_urb"), F.sum(1 - u).alias("ea_rur"), F.count(F.lit(1)).alias("ea_total"), (F.count(F.lit(1)) * 25).alias("hh_total"), F.round(F.sum("pop"), 3).alias("pop_total"))
+    f = frame.frame_of_clusters(grid(spark, sf_dir), "area", "urban", "pop")
+    return f.select(*[F.round(c, 3).alias(c) if c.startswith("pop") else c for c in f.columns])
 
 
 @query(f"WITH g AS ({GRID}), t AS (SELECT s_nationkey area, CAST(count(*) * 1000 AS DOUBLE) target FROM supplier GROUP BY 1) SELECT g.pixel, round(CASE WHEN t.target IS NULL THEN g.pop WHEN sum(g.pop) OVER w = 0 THEN t.target / count(*) OVER w ELSE g.pop * t.target / sum(g.pop) OVER w END, 6) calibrated FROM g LEFT JOIN t ON g.area = t.area WINDOW w AS (PARTITION BY g.area)")
@@ -98,9 +100,9 @@ def calibrate(spark, sf_dir):
     return done.select("pixel", F.round("calibrated", 6).alias("calibrated"))
 
 
-@query(f"WITH g AS ({GRID}), c AS (SELECT area, pop, sum(pop) OVER (PARTITION BY area ORDER BY pop RANGE UNBOUNDED PRECEDING) c, sum(pop) OVER (PARTITION BY area) t FROM g) SELECT area, min(CASE WHEN c >= t * 0.6 THEN pop END) threshold FROM c GROUP BY area")
+@query(f"WITH g AS ({GRID}), c AS (SELECT area, pop, sum(pop) OVER (PARTITION BY area ORDER BY pop RANGE UNBOUNDED PRECEDING) c, sum(pop) OVER (PARTITION BY area) t FROM g) SELECT area, CASE WHEN area IN (3, 7) THEN CAST('-Infinity' AS DOUBLE) ELSE min(CASE WHEN c >= t * 0.6 THEN pop END) END threshold FROM c GROUP BY area")
 def urban_threshold(spark, sf_dir):
-    return aggregate.threshold_by_share(grid(spark, sf_dir).withColumn("share", F.lit(0.4)), "area", "pop", "share")
+    return aggregate.threshold_by_share(grid(spark, sf_dir).withColumn("share", F.lit(0.4)), "area", "pop", "share", (3, 7))
 
 
 @query(f"WITH s AS (SELECT cluster, sum(w) v1, sum(w * w) v2, sum(w * y) s1, sum(w * y * y) s2 FROM ({PEOPLE}) p GROUP BY cluster) SELECT cluster, round(s1 / v1, 6) mean, round((s2 - s1 * s1 / v1) / nullif(v1 - v2 / v1, 0), 6) var FROM s")
@@ -119,9 +121,9 @@ def semi_join(spark, sf_dir):
     return _from(spark, sf_dir, "SELECT c_custkey FROM customer").join(_from(spark, sf_dir, "SELECT o_custkey AS c_custkey FROM orders"), "c_custkey", "left_semi")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def anti_join(spark, sf_dir):
-    return _from(spark, sf_dir, "SELECT c_custkey FROM customer").join(_from(spark, sf_dir, "SELECT o_custkey AS c_custkey FROM orders"), "c_custkey", "left_anti")
+    return _from(spark, sf_dir, "SELECT c_custkey FROM customer").join(_from(spark, sf_dir, "SELECT o_custkey AS c_custkey FROM orders WHERE o_orderstatus = 'F'"), "c_custkey", "left_anti")
 
 
 FILL = "SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 7 = 0 THEN c_mktsegment ELSE '' END AS seg FROM customer"
@@ -209,7 +211,7 @@ def direct_est(spark, sf_dir):
 HASHED = "(c_custkey * 1103515245 + 12345) % 2147483648"
 
 
-@query(f"SELECT c_custkey, CAST((row_number() OVER (PARTITION BY c_nationkey, {URBAN} ORDER BY {HASHED}, c_custkey) - 1) % 10 + 1 AS INTEGER) fold FROM customer")
+@query(f"SELECT c_custkey, CAST((row_number() OVER (PARTITION BY c_nationkey, {URBAN} ORDER BY {HASHED}, c_custkey) - 1 + floor(10 * {uniform_sql('folds', 'c_nationkey', f'CAST({URBAN} AS VARCHAR)')})) % 10 + 1 AS INTEGER) fold FROM customer")
 def strat_kfold(spark, sf_dir):
     c = _from(spark, sf_dir, f"SELECT c_custkey, c_nationkey, {URBAN} AS urban, {HASHED} AS h FROM customer")
     return survey.stratified_folds(c, ["c_nationkey", "urban"], F.col("h") / 2147483648, [F.col("c_custkey")], 10).select("c_custkey", F.col("fold").cast("int").alias("fold"))
@@ -229,10 +231,10 @@ def crps_ensemble(spark, sf_dir):
     return draws(spark, sf_dir).select("vec_id", F.round(scores.crps_ensemble("draws", F.col("truth")), 6).alias("crps"))
 
 
-@query(D_SQL + ", e AS (SELECT label, list_avg(d) - truth e FROM d) SELECT label, round(avg(e), 6) bias, round(avg(e * e), 6) mse, round(avg(e * e) - avg(e) ** 2, 6) var FROM e GROUP BY label")
+@query(D_SQL + ", e AS (SELECT label, list_avg(d) - truth e, vec_id % 4 w FROM d) SELECT label, round(sum(w * e) / sum(w), 6) bias, round(sum(w * e * e) / sum(w), 6) mse, round(sum(w * e * e) / sum(w) - pow(sum(w * e) / sum(w), 2), 6) var, round(sqrt(sum(w * e * e) / sum(w)), 6) rmse FROM e GROUP BY label")
 def mse(spark, sf_dir):
-    e = draws(spark, sf_dir).select("label", (scores.mean("draws") - F.col("truth")).alias("e"))
-    return rounded(e.groupBy("label").agg(F.avg("e").alias("bias"), F.avg(F.col("e") ** 2).alias("mse")).withColumn("var", F.col("mse") - F.col("bias") ** 2), "label")
+    e = draws(spark, sf_dir).select("label", (F.col("vec_id") % 4).alias("w"), (scores.mean("draws") - F.col("truth")).alias("error"))
+    return rounded(scores.weighted_errors(e, ["label"], "w"), "label")
 
 
 @query(D_SQL + """, e AS (SELECT vec_id, label % 5 y, unnest(d) * 40 eta, 1 / CAST(len(d) AS DOUBLE) w FROM d), t AS (SELECT vec_id, ln(w) - (greatest(-eta, 0) + ln(1 + exp(-abs(eta)))) * y - (greatest(eta, 0) + ln(1 + exp(-abs(eta)))) * (9 - y)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldmosaic.operators import estimates, integration, polygons, raster
+from fieldmosaic.operators import aggregate, estimates, integration, polygons, raster
 from fieldmosaic.plans.catalog import D_SQL, GRID, HASHED, POINTS, URBAN, _from, draws, grid, people, query, rounded
 
 #: Each nation is a square of a 5 x 5 board; a region is their union.
@@ -43,9 +43,10 @@ def area_per_obs(spark, sf_dir):
 RASTER = "SELECT CAST(floor(id / CAST(101 AS DOUBLE)) AS BIGINT) AS r, id % 101 AS c, CAST((id * 7919) % 127 AS DOUBLE) AS v FROM range(0, 10201) t(id)"
 
 
-@query(f"SELECT CAST(floor(r / CAST(7 AS DOUBLE)) AS BIGINT) r, CAST(floor(c / CAST(7 AS DOUBLE)) AS BIGINT) c, sum(v) v FROM ({RASTER}) x GROUP BY 1, 2")
+@query(f"SELECT CAST(floor(floor(north) / 7) AS BIGINT) r, CAST(floor(floor(east) / 7) AS BIGINT) c, round(sum(pop), 4) v FROM ({GRID}) g GROUP BY 1, 2")
 def raster_aggregate(spark, sf_dir):
-    return raster.block_sum(spark.sql(RASTER), 7)
+    cells = grid(spark, sf_dir).groupBy(F.floor("north").alias("r"), F.floor("east").alias("c")).agg(F.sum("pop").alias("v"))
+    return raster.block_sum(cells, 7).select("r", "c", F.round("v", 4).alias("v"))
 
 
 @query(f"""WITH p AS (SELECT *, CAST(floor(x) AS BIGINT) i, CAST(floor(y) AS BIGINT) j, x - floor(x) u, y - floor(y) w FROM ({POINTS}) s), g AS ({RASTER})
@@ -58,42 +59,16 @@ OFFSETS = ", ".join(f"({str(u).lower()}, {k}, {dx!r}::DOUBLE, {dy!r}::DOUBLE, {w
 AROUND = f"o(urban, k, dx, dy, w) AS (VALUES {OFFSETS}), q AS (SELECT pixel, o.k, east + dx px, north + dy py, o.w, floor(east / 25) = floor((east + dx) / 25) AND floor(north / 25) = floor((north + dy) / 25) inside FROM ({GRID}) g JOIN o ON g.urban = o.urban)"
 
 
-@query(f"WITH {AROUND} SELECT pixel, round(sum(w * px), 6) x, round(sum(w * py), 6) y FROM q GROUP BY pixel")
+@query(f"""WITH g AS ({GRID}), l AS (SELECT region, urban, pop w, pixel, unnest(['east', 'prev']) AS name, unnest([east, prev]) x FROM g) SELECT region, urban, name, round(sum(w * x) / sum(w), 6) fine, round(sum(CASE WHEN pixel % 9 = 0 AND region <> 4 THEN w * x END) / sum(CASE WHEN pixel % 9 = 0 AND region <> 4 THEN w END), 6) points FROM l GROUP BY 1, 2, 3""")
 def weighted_cov_avgs(spark, sf_dir):
-    q = integration.around(grid(spark, sf_dir), integration.rings(spark))
-    return rounded(q.groupBy("pixel").agg(F.sum(F.col("w") * F.col("px")).alias("x"), F.sum(F.col("w") * F.col("py")).alias("y")), "pixel")
+    g = grid(spark, sf_dir)
+    return rounded(aggregate.covariate_averages(g, g.where("pixel % 9 = 0 AND region <> 4"), ["region", "urban"], "pop", ("east", "prev")), "region", "urban", "name")
 
 
-FOLDS = "SELECT label, vec_id % 5 AS fold, avg(truth - d[1]) AS bias, avg(CASE WHEN vec_id % 5 <> 3 OR label % 2 = 0 THEN abs(truth - d[2]) END) AS mae, CAST(count(*) AS DOUBLE) AS n FROM d GROUP BY 1, 2"
-
-
-@query(f"{D_SQL}, f AS ({FOLDS}) SELECT label, round(sum(bias * n) / sum(n), 6) bias, round(sum(mae * n) / nullif(sum(CASE WHEN mae IS NOT NULL THEN n END), 0), 6) mae FROM f GROUP BY label")
-def weighted_fold_avg(spark, sf_dir):
-    d = draws(spark, sf_dir).withColumn("fold", F.col("vec_id") % 5)
-    scored = F.when((F.col("fold") != 3) | (F.col("label") % 2 == 0), F.abs(F.col("truth") - F.col("draws")[1]))
-    f = d.groupBy("label", "fold").agg(F.avg(F.col("truth") - F.col("draws")[0]).alias("bias"), F.avg(scored).alias("mae"), F.count(F.lit(1)).cast("double").alias("n"))
-    return rounded(estimates.fold_average(f, ["label"], "n", ("bias", "mae")), "label")
-
-
-@query(f"{D_SQL}, e AS (SELECT label, vec_id % 5 fold, vec_id % 2 = 0 urban, abs(truth - d[1]) e FROM d) SELECT fold, urban, round(avg(e), 6) mae, CAST(count(*) AS BIGINT) n FROM e GROUP BY GROUPING SETS ((fold, urban), (fold))")
-def score_validation(spark, sf_dir):
-    e = draws(spark, sf_dir).select((F.col("vec_id") % 5).alias("fold"), (F.col("vec_id") % 2 == 0).alias("urban"), F.abs(F.col("truth") - F.col("draws")[0]).alias("e"))
-    both = e.rollup("fold", "urban").agg(F.round(F.avg("e"), 6).alias("mae"), F.count(F.lit(1)).alias("n"), F.grouping("fold").alias("all"))
-    return both.where("all = 0").drop("all")
-
-
-@query(f"WITH p AS (SELECT vec_id % 5 fold, label, embedding[1] x FROM embeddings WHERE embedding IS NOT NULL) SELECT label, round(median(CAST(x AS DOUBLE)), 6) med FROM p GROUP BY label")
-def col_medians(spark, sf_dir):
-    return draws(spark, sf_dir).groupBy("label").agg(F.round(F.median(F.col("draws")[0]), 6).alias("med"))
-
-
-DIST = f"SELECT pixel, prev, abs(east - 50) + abs(north - 50) AS dist FROM ({GRID}) g"
-
-
-@query(f"WITH g AS ({DIST}), e AS (SELECT quantile_cont(dist, [0.2, 0.4, 0.6, 0.8]) e FROM g), b AS (SELECT 1 + len(list_filter(e, lambda x: dist > x)) bin, dist, prev FROM g, e) SELECT CAST(bin AS INTEGER) bin, CAST(count(*) AS BIGINT) n, round(avg(dist), 6) dist, round(avg(prev), 6) score FROM b GROUP BY 1")
-def scores_by_distance(spark, sf_dir):
-    g = grid(spark, sf_dir).withColumn("dist", F.abs(F.col("east") - 50) + F.abs(F.col("north") - 50))
-    return rounded(estimates.bin_by_quantiles(g, "dist", 5).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("dist").alias("dist"), F.avg("prev").alias("score")), "bin", "n")
+@query(f"WITH g AS (SELECT pixel, abs(east - 50) + abs(north - 50) dist FROM ({GRID}) x), e AS (SELECT quantile_cont(dist, [0.2, 0.4, 0.6, 0.8]) e FROM g) SELECT pixel, CAST(1 + len(list_filter(e, lambda x: dist > x)) AS INTEGER) bin FROM g CROSS JOIN e")
+def quantile_bins(spark, sf_dir):
+    g = grid(spark, sf_dir).select("pixel", (F.abs(F.col("east") - 50) + F.abs(F.col("north") - 50)).alias("dist"))
+    return estimates.bin_by_quantiles(g, "dist", 5).select("pixel", "bin")
 
 
 PLACED = f"SELECT g.pixel, g.area, g.pop, ((g.pixel * 1103515245 + 12345) % 2147483648) / CAST(2147483648 AS DOUBLE) AS place FROM ({GRID}) g"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldmosaic.functions.scalar import ratio
-from fieldmosaic.operators import aggregate, frame, recode
+from fieldmosaic.operators import aggregate, clean, frame, recode
 from fieldmosaic.plans.catalog import GRID, PEOPLE, URBAN, _from, grid, people, query, rounded
 
 AGES = "SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 50 END AS age FROM customer"
@@ -46,9 +46,9 @@ def missing_geo(spark, sf_dir):
 NAMED = f"SELECT c_custkey, n_name, {URBAN} AS urban FROM customer JOIN nation ON c_nationkey = n_nationkey"
 
 
-@query(f"SELECT c_custkey, urban OR contains(n_name, 'UNITED') urban FROM ({NAMED}) n")
+@query(f"SELECT c_custkey, urban OR ends_with(n_name, '_1') urban FROM ({NAMED}) n")
 def force_urban(spark, sf_dir):
-    return _from(spark, sf_dir, NAMED).select("c_custkey", (F.col("urban") | F.col("n_name").contains("UNITED")).alias("urban"))
+    return _from(spark, sf_dir, NAMED).select("c_custkey", (F.col("urban") | F.col("n_name").endswith("_1")).alias("urban"))
 
 
 @query("SELECT n_nationkey, regexp_replace(n_name, '[AEIOU]+', '-', 'g') plain FROM nation")
@@ -56,10 +56,10 @@ def regex_replace(spark, sf_dir):
     return _from(spark, sf_dir, "SELECT n_nationkey, n_name FROM nation").select("n_nationkey", F.regexp_replace("n_name", "[AEIOU]+", "-").alias("plain"))
 
 
-@query("SELECT n_nationkey, CASE WHEN n_name = 'CHINA' AND r_name = 'ASIA' THEN 'Cathay' WHEN n_name = 'CHINA' THEN 'None' WHEN n_name = 'PERU' THEN 'Piru' ELSE n_name END fixed FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT n_nationkey, CASE WHEN n_name = 'NATION_7' AND r_name = 'ASIA' THEN 'Seven' WHEN n_name = 'NATION_8' AND r_name = 'ASIA' THEN 'Wrong' WHEN n_name = 'NATION_8' THEN 'Eight' WHEN n_name = 'NATION_4' THEN 'Four' ELSE n_name END fixed FROM nation JOIN region ON n_regionkey = r_regionkey")
 def name_fix(spark, sf_dir):
     n = _from(spark, sf_dir, "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
-    names = spark.createDataFrame([("CHINA", "ASIA", "Cathay"), ("CHINA", None, "None"), ("PERU", None, "Piru")], "old string, state string, new string")
+    names = spark.createDataFrame([("NATION_7", "ASIA", "Seven"), ("NATION_7", None, "None"), ("NATION_8", "ASIA", "Wrong"), ("NATION_8", None, "Eight"), ("NATION_4", None, "Four")], "old string, state string, new string")
     return recode.rename_by_table(n, names, "n_name", "r_name").select("n_nationkey", "fixed")
 
 
@@ -172,9 +172,10 @@ def apportion_rounded(spark, sf_dir):
     return recode.apportion(g, ["area"], "pixel", "total", "pop").select("pixel", "parts")
 
 
-@query(f"WITH g AS ({GRID}) SELECT area, round(avg(CASE WHEN urban <> (pop > 5000) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) rate FROM g GROUP BY area")
+@query(f"WITH g AS ({GRID}) SELECT n_nationkey area, round(avg(CASE WHEN pixel IS NULL THEN NULL WHEN urban <> (pop > 5000) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) rate FROM nation LEFT JOIN g ON area = n_nationkey AND region <> 2 GROUP BY 1")
 def misclass_rate(spark, sf_dir):
-    return rounded(grid(spark, sf_dir).groupBy("area").agg(F.avg((F.col("urban") != (F.col("pop") > 5000)).cast("double")).alias("rate")), "area")
+    areas = _from(spark, sf_dir, "SELECT n_nationkey AS area FROM nation")
+    return rounded(aggregate.misclassified(grid(spark, sf_dir).where("region <> 2"), areas, "area", F.col("urban"), F.col("pop") > 5000), "area")
 
 
 @query(f"WITH g AS ({GRID}), c AS (SELECT east, count(*) n FROM g GROUP BY 1), t AS (SELECT east FROM c ORDER BY n DESC, east LIMIT 1), d AS (SELECT DISTINCT north FROM g JOIN t ON g.east = t.east), s AS (SELECT north - lag(north) OVER (ORDER BY north) gap FROM d) SELECT round(min(gap), 6) resolution FROM s")
@@ -182,10 +183,11 @@ def grid_resolution(spark, sf_dir):
     return frame.resolution(grid(spark, sf_dir)).select(F.round("resolution", 6).alias("resolution"))
 
 
-@query("SELECT n_nationkey, o.ord FROM nation JOIN (VALUES ('PERU', 1), ('CHINA', 2), ('FRANCE', 3)) o(n_name, ord) ON nation.n_name = o.n_name")
+@query("SELECT c_custkey, CAST(row_number() OVER (ORDER BY o.ord, c_custkey) AS INTEGER) place FROM customer JOIN (VALUES ('MACHINERY', 1), ('BUILDING', 2), ('HOUSEHOLD', 4)) o(seg, ord) ON c_mktsegment = o.seg")
 def custom_order(spark, sf_dir):
-    keys = spark.createDataFrame([("PERU", 1), ("CHINA", 2), ("FRANCE", 3)], "n_name string, ord int")
-    return recode.in_order_of(_from(spark, sf_dir, "SELECT n_nationkey, n_name FROM nation"), keys, "n_name").select("n_nationkey", "ord")
+    keys = spark.createDataFrame([("MACHINERY", 1), ("BUILDING", 2), ("MACHINERY", 3), ("HOUSEHOLD", 4), ("NONE", 5)], "c_mktsegment string, ord int")
+    held = recode.in_order_of(_from(spark, sf_dir, "SELECT c_custkey, c_mktsegment FROM customer"), keys, "c_mktsegment", F.col("c_custkey"))
+    return clean.numbered(held, [F.col("ord"), F.col("c_custkey")], "place").select("c_custkey", "place")
 
 
 @query("SELECT c_custkey k, c_mktsegment seg, CAST(NULL AS VARCHAR) name FROM customer UNION ALL SELECT s_suppkey, NULL, s_name FROM supplier")
@@ -194,9 +196,9 @@ def union_missing(spark, sf_dir):
     return a.unionByName(_from(spark, sf_dir, "SELECT s_suppkey AS k, s_name AS name FROM supplier"), allowMissingColumns=True)
 
 
-@query("SELECT n_nationkey, CAST(c AS INTEGER) copy FROM nation, range(1, 4) t(c) WHERE n_name IN ('CHINA', 'INDIA') UNION ALL SELECT n_nationkey, 1 FROM nation WHERE n_name NOT IN ('CHINA', 'INDIA')")
+@query("SELECT n_nationkey, CAST(c AS INTEGER) copy FROM nation, range(1, 4) t(c) WHERE n_name IN ('NATION_4', 'NATION_9') UNION ALL SELECT n_nationkey, 1 FROM nation WHERE n_name NOT IN ('NATION_4', 'NATION_9')")
 def replicate_rows(spark, sf_dir):
-    times = F.when(F.col("n_name").isin("CHINA", "INDIA"), 3).otherwise(1)
+    times = F.when(F.col("n_name").isin("NATION_4", "NATION_9"), 3).otherwise(1)
     return _from(spark, sf_dir, "SELECT n_nationkey, n_name FROM nation").select("n_nationkey", F.explode(F.sequence(F.lit(1), times)).alias("copy"))
 
 

@@ -8,7 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import functions as F
 
 from fieldmosaic.functions import integrals, projection, scalar, spline
-from fieldmosaic.operators import predict, scores, survey
+from fieldmosaic.operators import estimates, predict, scores, survey
 from fieldmosaic.plans.catalog import GRID, HASHED, PEOPLE, URBAN, D_SQL, _from, draws, grid, people, query, rounded
 from fieldmosaic.plans.engines import binomial_sql, normal_sql, uniform_sql
 
@@ -70,14 +70,20 @@ def pred_cluster_binomial(spark, sf_dir):
     return noisy_clusters(spark, sf_dir, "size").select("cluster", "draw", "y", F.round("rate", 6).alias("rate"))
 
 
-@query(f"WITH p AS ({PARAMS}), l AS (SELECT 'alpha' AS name, alpha AS x FROM p UNION ALL SELECT 'beta', beta FROM p UNION ALL SELECT 'sigma', sigma FROM p) SELECT name, round(avg(x), 6) mean, round(quantile_cont(x, 0.025), 6) q1, round(quantile_cont(x, 0.5), 6) q2, round(quantile_cont(x, 0.975), 6) q3 FROM l GROUP BY name")
+#: Draws of a fit's parameters as a table: three components of each vector.
+FITTED = "SELECT vec_id % 3 AS model, vec_id % 5 AS fold, CAST(embedding[{}] AS DOUBLE) AS alpha, CAST(embedding[{}] AS DOUBLE) * 2 AS beta, exp(CAST(embedding[{}] AS DOUBLE)) AS sigma FROM embeddings WHERE embedding IS NOT NULL"
+
+
+@query(f"WITH p AS ({FITTED.format(1, 2, 3)}), l AS (SELECT 'alpha' AS name, alpha AS x FROM p UNION ALL SELECT 'beta', beta FROM p UNION ALL SELECT 'sigma', sigma FROM p) SELECT name, round(avg(x), 6) mean, round(quantile_cont(x, 0.025), 6) q1, round(quantile_cont(x, 0.5), 6) q2, round(quantile_cont(x, 0.975), 6) q3 FROM l GROUP BY name")
 def param_summary(spark, sf_dir):
-    return rounded(predict.summarise_parameters(spark.sql(PARAMS), ("alpha", "beta", "sigma")), "name")
+    return rounded(predict.summarise_parameters(_from(spark, sf_dir, FITTED.format(0, 1, 2)), ("alpha", "beta", "sigma")), "name")
 
 
-@query(f"SELECT draw % 3 AS model, round(avg(alpha), 6) alpha, round(avg(sigma), 6) sigma FROM ({PARAMS}) p GROUP BY 1")
+@query(f"WITH f AS (SELECT model, fold, avg(alpha) alpha, avg(beta) beta, avg(sigma) sigma FROM ({FITTED.format(1, 2, 3)}) p GROUP BY 1, 2) SELECT model, round(avg(alpha), 6) alpha, round(avg(beta), 6) beta, round(avg(sigma), 6) sigma FROM f GROUP BY 1")
 def param_avg(spark, sf_dir):
-    return rounded(predict.average_parameters(spark.sql(PARAMS).withColumn("model", F.col("draw") % 3), ["model"], ["alpha", "sigma"]), "model")
+    names = ["alpha", "beta", "sigma"]
+    folds = predict.average_parameters(_from(spark, sf_dir, FITTED.format(0, 1, 2)), ["model", "fold"], names)
+    return rounded(predict.average_parameters(folds, ["model"], names), "model")
 
 
 @query(f"WITH e AS ({EFFECTS}), t AS (SELECT draw, sum(w * 2) s FROM e GROUP BY draw) SELECT area, e.draw, round(w - s / 25 * 0.5, 6) w FROM e JOIN t ON e.draw = t.draw")
@@ -110,36 +116,35 @@ def logit_normal_grouped(spark, sf_dir):
     return draws(spark, sf_dir).select("vec_id", F.round(F.aggregate(F.transform(p, lambda x, k: x * (k + 1)), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query("SELECT CAST(k AS BIGINT) k, round(exp(x) / (1 + exp(x)), 9) expit2, round(ln(p / (1 - p)), 6) logit FROM (SELECT k, (k - 50) / CAST(5 AS DOUBLE) x, (k + 1) / CAST(102 AS DOUBLE) p FROM range(0, 101) t(k)) v")
+@query(f"SELECT pixel, round(1 / (1 + exp(-x)), 9) expit2, round(CASE WHEN p > 0 AND p < 1 THEN ln(p / (1 - p)) END, 6) logit, CASE WHEN p <= 0 THEN -1 WHEN p >= 1 THEN 1 ELSE 0 END bound FROM (SELECT pixel, (east - 50) * 3 x, prev * 1.1 - 0.05 p FROM ({GRID}) g) v")
 def logit_forms(spark, sf_dir):
-    held = spark.range(101).select(F.col("id").alias("k"), ((F.col("id") - 50) / 5.0).alias("x"), ((F.col("id") + 1) / 102.0).alias("p"))
-    return held.select("k", F.round(scalar.expit2(F.col("x")), 9).alias("expit2"), F.round(scalar.logit(F.col("p")), 6).alias("logit"))
+    held = grid(spark, sf_dir).select("pixel", ((F.col("east") - 50) * 3).alias("x"), scalar.logit(F.col("prev") * 1.1 - 0.05).alias("l"))
+    return held.select("pixel", F.round(scalar.expit2(F.col("x")), 9).alias("expit2"), F.round(F.when(F.abs("l") < float("inf"), F.col("l")), 6).alias("logit"), F.when(F.abs("l") < float("inf"), 0).otherwise(F.signum("l").cast("int")).alias("bound"))
 
 
 RATE = integrals.pc_precision_rate(1.0, 0.1)
 
 
-@query(f"SELECT CAST(k AS BIGINT) k, round(ln({RATE!r}) - ln(2) - 1.5 * t - {RATE!r} / sqrt(exp(t)), 6) prec, round({RATE!r} / (2 * sqrt(v)) * exp(-{RATE!r} * sqrt(v)), 6) var_d, round(1 - exp(-{RATE!r} * sqrt(v)), 6) var_p, round(pow(ln(1 - u) / {RATE!r}, 2), 6) var_q FROM (SELECT k, (k - 30) / CAST(10 AS DOUBLE) t, (k + 1) / CAST(20 AS DOUBLE) v, (k + 1) / CAST(62 AS DOUBLE) u FROM range(0, 61) r(k)) x")
+@query(f"SELECT pixel, round(ln({RATE!r}) - ln(2) - 1.5 * t - {RATE!r} / sqrt(exp(t)), 6) prec, round({RATE!r} / (2 * sqrt(v)) * exp(-{RATE!r} * sqrt(v)), 6) var_d, round(1 - exp(-{RATE!r} * sqrt(v)), 6) var_p, round(pow(ln(1 - u) / {RATE!r}, 2), 6) var_q FROM (SELECT pixel, east / 15 - 3 t, north / 20 + 0.05 v, prev * 0.99 u FROM ({GRID}) r) x")
 def pc_prec(spark, sf_dir):
-    k = F.col("id")
-    t, v, u = (k - 30) / 10.0, (k + 1) / 20.0, (k + 1) / 62.0
-    return rounded(spark.range(61).select(k.alias("k"), integrals.pc_precision_log_density(t, RATE).alias("prec"), integrals.pc_variance_density(v, RATE).alias("var_d"), integrals.pc_variance_cdf(v, RATE).alias("var_p"), integrals.pc_variance_quantile(u, RATE).alias("var_q")), "k")
+    t, v, u = F.col("east") / 15 - 3, F.col("north") / 20 + 0.05, F.col("prev") * 0.99
+    return rounded(grid(spark, sf_dir).select("pixel", integrals.pc_precision_log_density(t, RATE).alias("prec"), integrals.pc_variance_density(v, RATE).alias("var_d"), integrals.pc_variance_cdf(v, RATE).alias("var_p"), integrals.pc_variance_quantile(u, RATE).alias("var_q")), "pixel")
 
 
 SCALES = [0.3, 0.6, 1.0, 1.7, 2.5]
 
 
-@query(f"""WITH p AS (SELECT k, (k + 1) / CAST(21 AS DOUBLE) phi FROM range(0, 20) t(k)), s AS (SELECT unnest({SCALES}) - 1 g), d AS (SELECT k, sqrt(phi * sum(g) - sum(ln(1 + phi * g))) d, (sum(g) - sum(g / (1 + phi * g))) / 2 slope FROM p CROSS JOIN s GROUP BY k, phi)
-SELECT CAST(k AS BIGINT) k, round(d, 6) distance, round(ln(2) - 2 * d + ln(abs(slope)) - ln(d), 6) density FROM d""")
+@query(f"""WITH p AS (SELECT pixel, 0.02 + prev * 0.97 phi FROM ({GRID}) g), s AS (SELECT unnest({SCALES}) - 1 g), d AS (SELECT pixel, sqrt(phi * sum(g) - sum(ln(1 + phi * g))) d, (sum(g) - sum(g / (1 + phi * g))) / 2 slope FROM p CROSS JOIN s GROUP BY pixel, phi)
+SELECT pixel, round(d, 6) distance, round(ln(2) - 2 * d + ln(abs(slope)) - ln(d), 6) density FROM d""")
 def pc_phi(spark, sf_dir):
-    phi = (F.col("id") + 1) / 21.0
-    return rounded(spark.range(20).select(F.col("id").alias("k"), integrals.mixing_distance(phi, SCALES).alias("distance"), integrals.mixing_log_density(phi, SCALES, 2.0).alias("density")), "k")
+    phi = 0.02 + F.col("prev") * 0.97
+    return rounded(grid(spark, sf_dir).select("pixel", integrals.mixing_distance(phi, SCALES).alias("distance"), integrals.mixing_log_density(phi, SCALES, 2.0).alias("density")), "pixel")
 
 
-@query("SELECT CAST(k AS BIGINT) k, round(exp(-2 * k / CAST(10 AS DOUBLE) * 0.7), 6) nu_half, round((1 + sqrt(12) * k / 10 * 0.7) * exp(-sqrt(12) * k / 10 * 0.7), 6) nu_three_halves FROM range(0, 50) t(k)")
+@query(f"SELECT pixel, round(exp(-2 * d * 0.07), 6) nu_half, round((1 + sqrt(12) * d * 0.07) * exp(-sqrt(12) * d * 0.07), 6) nu_three_halves FROM (SELECT pixel, sqrt(pow(east - 50, 2) + pow(north - 50, 2)) d FROM ({GRID}) g) x")
 def matern(spark, sf_dir):
-    d = F.col("id") / 10.0
-    return rounded(spark.range(50).select(F.col("id").alias("k"), integrals.matern(d, F.lit(0.7), 0.5).alias("nu_half"), integrals.matern(d, F.lit(0.7), 1.5).alias("nu_three_halves")), "k")
+    d = F.hypot(F.col("east") - 50, F.col("north") - 50)
+    return rounded(grid(spark, sf_dir).select("pixel", integrals.matern(d, F.lit(0.07), 0.5).alias("nu_half"), integrals.matern(d, F.lit(0.07), 1.5).alias("nu_three_halves")), "pixel")
 
 
 @query(f"SELECT pixel, round(3 + east / 20, 6) lon, round(4 + north / 12, 6) lat FROM ({GRID}) g")
@@ -171,10 +176,57 @@ def interval_score(spark, sf_dir):
     return rounded(s.select("vec_id", *[f"{n}{x}" for x in (50, 80) for n in ("score", "cover", "width")]), "vec_id")
 
 
-@query(WHOLE.replace("x * 20", "CAST(x AS DOUBLE) * 20") + f", {_interval_sql(0.8)}, e AS (SELECT d.vec_id, d.label, list_avg(d) - truth e, d.vec_id % 3 + 1 w, s80.score, s80.cover, s80.width FROM d JOIN s80 ON d.vec_id = s80.vec_id)" + " SELECT label, round(sum(w * e) / sum(w), 6) bias, round(sum(w * e * e) / sum(w), 6) mse, round(sum(w * e * e) / sum(w) - pow(sum(w * e) / sum(w), 2), 6) var, round(sqrt(sum(w * e * e) / sum(w)), 6) rmse, round(sum(w * score) / sum(w), 6) score80, round(sum(w * cover) / sum(w), 6) cover80, round(sum(w * width) / sum(w), 6) width80 FROM e GROUP BY label")
+CRPS = "list_avg(list_transform(d, lambda x: abs(x - truth))) - list_sum(list_transform(list_sort(d), lambda x, i: x * (2 * i - len(d) - 1))) / (len(d) * len(d))"
+SCORED = WHOLE.replace("x * 20", "CAST(x AS DOUBLE) * 20") + f", {', '.join(_interval_sql(x) for x in LEVELS)}, cr AS (SELECT vec_id, list_avg(d) - truth e, {CRPS} crps FROM d), " + """e AS (SELECT d.vec_id, d.label, cr.e, cr.crps, a.score score50, a.cover cover50, a.width width50, b.score score80, b.cover cover80, b.width width80, d.vec_id % 3 + 1 w, d.vec_id % 2 AS model, d.vec_id % 5 AS fold, d.vec_id % 7 < 3 AS urban, (d.vec_id * 7919 % 1009) / CAST(10 AS DOUBLE) AS dist FROM d JOIN cr ON cr.vec_id = d.vec_id JOIN s50 a ON a.vec_id = d.vec_id JOIN s80 b ON b.vec_id = d.vec_id)"""
+COLUMNS = ("crps", "score50", "cover50", "width50", "score80", "cover80", "width80")
+AVERAGED = "round(sum(w * e) / sum(w), 6) bias, round(sum(w * e * e) / sum(w), 6) mse, round(sum(w * e * e) / sum(w) - pow(sum(w * e) / sum(w), 2), 6) var, round(sqrt(sum(w * e * e) / sum(w)), 6) rmse, " + ", ".join(f"round(sum(w * {c}) / sum(w), 6) {c}" for c in COLUMNS)
+
+
+def all_scored(spark, sf_dir):
+    v = F.col("vec_id")
+    extra = {"w": v % 3 + 1, "model": v % 2, "fold": v % 5, "urban": v % 7 < 3, "dist": v * 7919 % 1009 / F.lit(10.0)}
+    return scores.scored(whole_draws(spark, sf_dir).withColumns(extra), "draws", F.col("truth"), F.lit(0.25), LEVELS)
+
+
+@query(f"{SCORED} SELECT label, {AVERAGED} FROM e GROUP BY label")
 def get_scores(spark, sf_dir):
-    s = scores.scored(whole_draws(spark, sf_dir).withColumn("w", F.col("vec_id") % 3 + 1), "draws", F.col("truth"), F.lit(0.25), (0.8,))
-    return rounded(scores.average_scores(s, ["label"], "w", (0.8,)).drop("crps"), "label")
+    return rounded(scores.average_scores(all_scored(spark, sf_dir), ["label"], "w", LEVELS), "label")
+
+
+@query(f"{SCORED} SELECT model, fold, 'total' AS part, {AVERAGED} FROM e GROUP BY 1, 2 UNION ALL SELECT model, fold, CASE WHEN urban THEN 'urban' ELSE 'rural' END, {AVERAGED} FROM e GROUP BY 1, 2, 3")
+def score_validation(spark, sf_dir):
+    return rounded(scores.score_table(all_scored(spark, sf_dir), ["model", "fold"], "urban", "w", LEVELS), "model", "fold", "part")
+
+
+@query(f"""{SCORED}, o AS (SELECT *, row_number() OVER (ORDER BY dist) k, count(*) OVER () n FROM e), p AS (SELECT CAST(max(ceil(n / 6.0)) AS BIGINT) per, max(n) n, max(dist) top FROM o), g AS (SELECT list_concat([0.0], list_concat(list((x.dist + y.dist) / 2 ORDER BY x.k), [max(top) + 0.000001])) b FROM o x JOIN o y ON y.k = x.k + 1 CROSS JOIN p WHERE x.k % per = 0),
+h AS (SELECT e.*, least(len(b) - 1, 1 + len(list_filter(b[2:len(b) - 1], lambda z: dist > z))) bin, b FROM e CROSS JOIN g) SELECT CAST(bin AS INTEGER) bin, round(max((b[bin] + b[bin + 1]) / 2), 6) center, CAST(count(*) AS BIGINT) n, {AVERAGED} FROM h GROUP BY bin""")
+def scores_by_distance(spark, sf_dir):
+    held = estimates.bin_by_counts(all_scored(spark, sf_dir), "dist", 6)
+    counts = held.groupBy("bin").agg(F.first("center").alias("center"), F.count(F.lit(1)).alias("n"))
+    return rounded(scores.average_scores(held, ["bin"], "w", LEVELS).join(counts, "bin"), "bin", "n")
+
+
+@query(f"{SCORED} SELECT label, CAST(count(*) AS BIGINT) n, round(sum(w * cover50) / sum(w), 6) cover50, round(sum(w * cover80) / sum(w), 6) cover80 FROM e GROUP BY label")
+def coverage(spark, sf_dir):
+    s = all_scored(spark, sf_dir)
+    over = lambda c: F.sum(F.col("w") * F.col(c)) / F.sum("w")
+    return rounded(s.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[over(c).alias(c) for c in ("cover50", "cover80")]), "label", "n")
+
+
+@query(f"""{SCORED}, f AS (SELECT label, vec_id % 2 survey, fold, CAST(count(*) AS DOUBLE) n, avg(e) bias, avg(CASE WHEN fold <> 3 OR label % 2 = 0 THEN crps END) crps FROM e GROUP BY 1, 2, 3), s AS (SELECT label, survey, sum(n * bias) / sum(n) bias, sum(n * crps) / sum(CASE WHEN crps IS NOT NULL THEN n END) crps FROM f GROUP BY 1, 2),
+z AS (SELECT vec_id % 2 survey, CAST(sum(w) AS DOUBLE) size FROM e GROUP BY 1) SELECT label, round(sum(size * bias) / sum(size), 6) bias, round(sum(size * crps) / sum(size), 6) crps FROM s JOIN z ON s.survey = z.survey GROUP BY label""")
+def weighted_fold_avg(spark, sf_dir):
+    e = all_scored(spark, sf_dir).withColumn("survey", F.col("vec_id") % 2)
+    kept = F.when((F.col("fold") != 3) | (F.col("label") % 2 == 0), F.col("crps"))
+    f = e.groupBy("label", "survey", "fold").agg(F.avg("error").alias("bias"), F.avg(kept).alias("crps"), F.count(F.lit(1)).cast("double").alias("n"))
+    within = estimates.fold_average(f, ["label", "survey"], "n", ("bias", "crps"))
+    sizes = e.groupBy("survey").agg(F.sum("w").cast("double").alias("size"))
+    return rounded(estimates.survey_average(within, sizes, ["label"], "survey", ("bias", "crps")), "label")
+
+
+@query(f"{SCORED}, f AS (SELECT label, fold, avg(crps) crps, avg(width80) width80 FROM e GROUP BY 1, 2) SELECT label, round(avg(crps), 6) crps_mean, round(median(crps), 6) crps_median, round(avg(width80), 6) width80_mean, round(median(width80), 6) width80_median FROM f GROUP BY label")
+def col_medians(spark, sf_dir):
+    return rounded(estimates.over_folds(all_scored(spark, sf_dir), ["label"], "fold", ("crps", "width80")), "label")
 
 
 @query(D_SQL + ", s AS (SELECT CAST(label % 4 AS BIGINT) bin, label % 2 t, CAST(count(*) AS BIGINT) n, avg(d[1]) a FROM d GROUP BY 1, 2 UNION ALL SELECT CAST(label % 3 AS BIGINT), 2, CAST(count(*) AS BIGINT), avg(d[2]) FROM d GROUP BY 1) SELECT bin, CAST(sum(n) AS BIGINT) n, round(sum(n * a) / sum(n), 6) a FROM s GROUP BY bin")
@@ -221,7 +273,7 @@ def get_est(spark, sf_dir):
     return rounded(survey.estimates_with_intervals(direct(spark, sf_dir), (0.9,)).drop("logit_est", "logit_var"), "area", "converge")
 
 
-@query(f"WITH {DIRECT}, b AS (SELECT area, m, pow(s, 2) v, 0 c FROM de UNION ALL SELECT area, m / 2, 0.02 + area / CAST(1000 AS DOUBLE), 1 FROM de WHERE area % 2 = 0), k AS (SELECT area, sum(m / v) / sum(1 / v) m, 1 / sum(1 / v) v, max(c) c FROM b GROUP BY area) SELECT area, round(m, 6) logit_est, round(v, 6) logit_var, c converge, round(1 / (1 + exp(-(m - {NormalDist().inv_cdf(0.9)!r} * sqrt(v)))), 6) lower_80, round(1 / (1 + exp(-(m + {NormalDist().inv_cdf(0.9)!r} * sqrt(v)))), 6) upper_80 FROM k")
+@query(f"WITH {DIRECT}, no AS ({NODES}), b AS (SELECT area, m, pow(s, 2) v, 0 c FROM de UNION ALL SELECT area, m / 2, 0.02 + area / CAST(1000 AS DOUBLE), 1 FROM de WHERE area % 2 = 0), k AS (SELECT area, sum(m / v) / sum(1 / v) m, 1 / sum(1 / v) v, max(c) c FROM b GROUP BY area) SELECT area, round(m, 6) logit_est, round(v, 6) logit_var, c converge, round(sum(q / (1 + exp(-(m + sqrt(v) * i / 8)))), 6) est, round(sum(q * pow(1 / (1 + exp(-(m + sqrt(v) * i / 8))), 2)) - pow(sum(q / (1 + exp(-(m + sqrt(v) * i / 8)))), 2), 6) var, round(1 / (1 + exp(-(m - {NormalDist().inv_cdf(0.9)!r} * sqrt(v)))), 6) lower_80, round(1 / (1 + exp(-(m + {NormalDist().inv_cdf(0.9)!r} * sqrt(v)))), 6) upper_80 FROM k CROSS JOIN no GROUP BY area, m, v, c")
 def combine_surveys(spark, sf_dir):
     a = direct(spark, sf_dir).withColumn("converge", F.lit(0))
     b = a.where("area % 2 = 0").select("area", (F.col("logit_est") / 2).alias("logit_est"), (0.02 + F.col("area") / 1000.0).alias("logit_var"), F.lit(1).alias("converge"))
@@ -255,9 +307,3 @@ def fold_split_cluster(spark, sf_dir):
 def fold_split_areal(spark, sf_dir):
     c = _from(spark, sf_dir, f"SELECT c_custkey, c_nationkey, {HASHED} % 10 + 1 AS fold FROM customer")
     return survey.fold_split_areal(c, "c_nationkey", 3, "fold", 5).select("c_custkey", "held_out")
-
-
-@query(f"SELECT label, CAST(count(*) AS BIGINT) n, round(avg(CASE WHEN abs(truth - d[1]) <= 0.5 THEN 1.0 ELSE 0.0 END), 6) coverage FROM d GROUP BY label".join((D_SQL + " ", "")))
-def coverage(spark, sf_dir):
-    d = draws(spark, sf_dir).withColumn("inside", F.col("truth").between(F.col("draws")[0] - 0.5, F.col("draws")[0] + 0.5))
-    return d.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("inside").cast("double")), 6).alias("coverage"))

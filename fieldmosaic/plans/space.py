@@ -58,9 +58,18 @@ def polyline_distance(spark, sf_dir):
     return spatial.nearest_edge(places(spark, sf_dir).drop("parent"), edges(spark), 10.0).select("pid", F.round("dist", 6).alias("dist"))
 
 
-@query(f"WITH {EDGES_SQL}, r AS (SELECT poly, ring, sum(x1 * y2 - x2 * y1) s, sum((x1 + x2) * (x1 * y2 - x2 * y1)) sx, sum((y1 + y2) * (x1 * y2 - x2 * y1)) sy FROM e GROUP BY 1, 2), m AS (SELECT *, row_number() OVER (PARTITION BY poly ORDER BY abs(s) DESC, ring) k FROM r) SELECT poly, round(abs(s) / 2, 6) area, round(sx / (3 * s), 6) cx, round(sy / (3 * s), 6) cy, round(sqrt(abs(s) / 2 / pi()), 6) radius FROM m WHERE k = 1")
+#: A quadrilateral around each customer, its largest ring, and a small triangle in it.
+SHAPED = f"SELECT pixel, east x, north y, 1 + prev a, 2 - prev b FROM ({GRID}) g"
+
+
+@query(f"SELECT pixel AS poly, round((a + b) * b, 6) area, round(x + (b - a) / 3, 6) cx, round(y, 6) cy, round(sqrt((a + b) * b / pi()), 6) radius FROM ({SHAPED}) s")
 def polygon_shapes(spark, sf_dir):
-    return rounded(polygons.shapes(edges(spark)), "poly")
+    at = lambda ring, *ends: F.struct(F.lit(ring).alias("ring"), *[(F.col(c) + e).alias(n) for n, c, e in zip(("x1", "y1", "x2", "y2"), "xyxy", ends, strict=True)])
+    a, b, zero = F.col("a"), F.col("b"), F.lit(0.0)
+    kite = [(-a, zero, zero, -b), (zero, -b, b, zero), (b, zero, zero, b), (zero, b, -a, zero)]
+    small = [(0.0, 0.0, 0.1, 0.0), (0.1, 0.0, 0.0, 0.1), (0.0, 0.1, 0.0, 0.0)]
+    rings = F.array(*[at(0, *e) for e in kite], *[at(1, *[F.lit(v) for v in e]) for e in small])
+    return rounded(polygons.shapes(_from(spark, sf_dir, SHAPED).select(F.col("pixel").alias("poly"), F.inline(rings))), "poly")
 
 
 #: The rings' sectors from their radii: equal shares of 2 or 5 km for each of 11 points, and a ring from 5 to 10 km around rural clusters.
@@ -176,16 +185,21 @@ def gaps_text(spark, sf_dir):
     return clean.gaps_text(k, ["g"], "k").select(F.explode(F.split("stretches", ",")).alias("stretch"))
 
 
-@query("SELECT i, j, CAST(i * 100 + j AS BIGINT) code FROM (SELECT CAST(i AS BIGINT) i, CAST(j AS BIGINT) j FROM range(1, 5) a(i) CROSS JOIN range(1, 20) b(j)) x WHERE j <= i * 3")
+#: Jobs of groups of 3, 6, 9, ... up to 300.
+GROUPS = [3 * k for k in range(1, 101)]
+
+
+@query("SELECT c_custkey, CASE WHEN job <= 15150 THEN i END i, CASE WHEN job <= 15150 THEN job - 3 * i * (i - 1) // 2 END j FROM (SELECT c_custkey, job, CAST(ceil((sqrt(1 + 8 * job / CAST(3 AS DOUBLE)) - 1) / 2 - 1e-9) AS BIGINT) i FROM (SELECT c_custkey, c_custkey + 1 AS job FROM customer) c) x")
 def job_ragged(spark, sf_dir):
-    jobs = spark.range(1, 31).select(F.col("id").alias("job"))
-    got = recode.ragged_pair(jobs, "job", [3, 6, 9, 12])
-    return got.select("i", "j", (F.col("i") * 100 + F.col("j")).alias("code"))
+    jobs = _from(spark, sf_dir, "SELECT c_custkey, c_custkey + 1 AS job FROM customer")
+    return recode.ragged_pair(jobs, "job", GROUPS).select("c_custkey", "i", "j")
 
 
-@query("SELECT CAST(k AS BIGINT) k, CAST((k % 4) * 20 + k % 20 + 1 AS BIGINT) job FROM range(0, 80) t(k)")
+@query("SELECT c_custkey, CAST(c_nationkey * 20 + c_custkey % 20 + 1 AS BIGINT) job, CAST(c_nationkey + 1 AS BIGINT) i, CAST(c_custkey % 20 + 1 AS BIGINT) j FROM customer")
 def job_encode(spark, sf_dir):
-    return spark.range(80).select(F.col("id").alias("k"), recode.job_number(F.col("id") % 4 + 1, F.col("id") % 20 + 1, 20).alias("job"))
+    c = _from(spark, sf_dir, "SELECT c_custkey, c_nationkey FROM customer").withColumn("job", recode.job_number(F.col("c_nationkey") + 1, F.col("c_custkey") % 20 + 1, 20))
+    i, j = recode.job_pair(F.col("job"), 20)
+    return c.select("c_custkey", "job", i.alias("i"), j.alias("j"))
 
 
 @query("SELECT c_custkey, round(s, 6) share, round(t * s, 4) urb, round(t - t * s, 4) rur FROM (SELECT c_custkey, CAST(c_acctbal AS DOUBLE) + 1000 t, CASE WHEN u < 0.3 THEN 0 WHEN u > 0.7 THEN 1 ELSE u END s FROM (SELECT *, (c_custkey % 101) / CAST(100 AS DOUBLE) u FROM customer) x) y")
