@@ -22,6 +22,9 @@ BATCH_BYTES = 2 << 20
 #: Folders of local sessions without spark.checkpoint.dir.
 LOCAL: dict[str, str] = {}
 
+#: What an inner product beyond 64 bits counts as.
+LEAST, MOST = -(2**63), 2**63 - 1
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, spark.checkpoint.dir. Where it is unset, a local session (tests, one machine) has a folder of its own; a cluster's session must name one."""
@@ -202,3 +205,17 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+
+
+def floored(vector: str, scale: int = 256):
+    """floor(scale * x) of a vector's components, as doubles: those of 2**53 and more are whole as they are, and floor() gives a long."""
+    return F.transform(vector, lambda x: F.when(F.abs(x.cast("double") * scale) < 2.0**53, F.floor(x.cast("double") * scale).cast("double")).otherwise(x.cast("double") * scale))
+
+
+def products(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of integral doubles, row by row, exact. Where a sum may pass 2**53 it is made of Python's integers; beyond 64 bits it is the nearest long."""
+    peak = float(np.abs(a).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, a.shape[1])
+    if peak < 2.0**53:
+        return (a @ x.T).astype(np.int64)
+    whole = np.frompyfunc(int, 1, 1)
+    return np.clip(np.dot(whole(a), whole(x).T), LEAST, MOST).astype(np.int64)

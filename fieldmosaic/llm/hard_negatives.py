@@ -9,24 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions_for, table, utf8
+from .common import LEAST, MOST, cut, floored, partitions_for, products, table, utf8
 
 #: Bytes that all pivots may take together; they go to every task.
 PIVOT_BYTES = 4 << 20
-#: What a score beyond 64 bits counts as.
-LEAST, MOST = -(2**63), 2**63 - 1
 FOUND = "query long, anchor_id long, row long, vec_id long, score long"
 
 
-def products(a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products of integral doubles, row by row, exact. Where a sum may pass 2**53 it is made of Python's integers; beyond 64 bits it is the nearest long."""
-    peak = float(np.abs(a).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, a.shape[1])
-    if peak < 2.0**53:
-        return (a @ x.T).astype(np.int64)
-    whole = np.frompyfunc(int, 1, 1)
-    return np.clip(np.dot(whole(a), whole(x).T), LEAST, MOST).astype(np.int64)
-
-
 class Space:
     """Vectors with one more component, sqrt(M**2 - |x|**2), which is 0 for a query: the distance to a query then falls as the inner product grows."""
 
@@ -260,10 +249,7 @@ def contract_rows(emb: DataFrame) -> DataFrame:
     good = F.col("embedding").isNotNull() & F.col("label").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     label = F.col("label").cast("long")
     wrong = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
-    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
-    far = F.transform("embedding", lambda x: x.cast("double") * 256)  # doubles of 2**53 and more are whole, and floor() gives a long
-    v = F.zip_with(whole, far, lambda w, x: F.when(F.abs(x) < 2.0**53, w).otherwise(x))
-    return emb.where(good).select("vec_id", wrong.alias("label"), v.alias("v"), (F.col("vec_id") % 100 == 0).alias("anchor"))
+    return emb.where(good).select("vec_id", wrong.alias("label"), floored("embedding").alias("v"), (F.col("vec_id") % 100 == 0).alias("anchor"))
 
 
 def op11_voronoi_hard_negatives(spark, sf_dir: str) -> DataFrame:

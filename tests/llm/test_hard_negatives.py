@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from fieldmosaic.llm import common
 from fieldmosaic.llm import hard_negatives as hn
 
 SCHEMA = "vec_id long, label int, embedding array<float>, row string, cell string, query string, group string"
@@ -13,7 +14,7 @@ SCHEMA = "vec_id long, label int, embedding array<float>, row string, cell strin
 
 def brute(rows, low=80, high=100, k=5):
     """Rows (vec_id, label, whole vector, anchor) in, the operator's rows out; scores are cut to 64 bits."""
-    clip = lambda x: max(hn.LEAST, min(hn.MOST, x))
+    clip = lambda x: max(common.LEAST, min(common.MOST, x))
     dot = lambda a, b: clip(sum(x * y for x, y in zip(a, b, strict=False)))
     first = lambda found: sorted(found, key=lambda f: (-f[0], f[1] is None, f[1] or 0))[:k]
     out = []

@@ -315,25 +315,30 @@ def test_mixing(docs, empty):
 
 
 def test_maxscore(spark):
+    """Against whole numbers in a loop: repeated and null ids, ties, other lengths, and components whose products pass 2**53 and 2**63."""
     rng = np.random.default_rng(8)
     rows = [(k, [float(x) for x in rng.normal(0, 0.2, 12)]) for k in range(300)]
-    rows += [(400 + k, rows[0][1]) for k in range(9)] + [(600, None), (601, [1.0, None]), (602, [float("nan")]), (603, [3e38]), (604, [float("-inf")]), (650, [0.5]), (700, [0.0] * 12)]
-    v = vector_search.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    ints = {r.vec_id: np.pad(np.array(r.v), (0, 12 - len(r.v))) for r in v.collect()}
-    got = {}
-    for r in vector_search.maxscore_topk(v, v.where("vec_id % 50 = 0"), shard_rows=70, query_rows=3, shards_per_part=2).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    assert set(got) == {k for k in ints if k % 50 == 0}
-    for q, found in got.items():
-        want = sorted((-int(x @ ints[q]), k) for k, x in ints.items() if k != q)[:5]
-        assert sorted(found) == [(i + 1, k, -s) for i, (s, k) in enumerate(want)]
+    rows += [(400 + k, rows[0][1]) for k in range(9)] + [(600, None), (601, [1.0, None]), (602, [float("nan")]), (604, [float("-inf")]), (650, [0.5]), (700, [0.0] * 12)]
+    rows += [(0, rows[0][1]), (0, rows[3][1]), (50, rows[50][1]), (None, rows[7][1]), (None, rows[50][1]), (800, [2.0**21, 9.0]), (801, [2.0**21, 8.0, 1.0]), (850, [-(2.0**30), 5.0, 2.0**29]), (900, [3e38, 1.0]), (901, [-3e38, 1.0])]
+    v = vector_search.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3))
+    held = [(r.row, r.vec_id, [int(x) for x in r.v]) for r in v.collect()]
+    assert len(held) == len(rows) - 4
+    clip = lambda x: max(-(2**63), min(2**63 - 1, x))
+    want = []
+    for row, vec_id, q in held:
+        if vec_id is not None and vec_id % 50 == 0:
+            scored = sorted((-clip(sum(a * b for a, b in zip(q, c))), i is None, i or 0, r) for r, i, c in held if r != row)[:5]
+            want += [(vec_id, n + 1, None if null else i, -s) for n, (s, null, i, _) in enumerate(scored)]
+    for kw in ({}, {"shard_rows": 70, "query_rows": 3, "shards_per_part": 2}):
+        got = [tuple(r) for r in vector_search.maxscore_topk(v, v.where("vec_id % 50 = 0"), **kw).select("query_id", "rank", "vec_id", "score").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_maxscore_reads_few_postings():
     rng = np.random.default_rng(4)
     comps = np.where(rng.random((3000, 40)) < 0.1, rng.integers(1, 10, (3000, 40)), 0)
     comps[:, 0] = np.where(rng.random(3000) < 0.02, rng.integers(500, 900, 3000), 0)
-    shard = vector_search.Shard(np.arange(3000), comps)
+    shard = vector_search.Shard(np.stack([np.arange(3000), np.arange(3000), np.zeros(3000, int)]), comps.astype(float))
     for trial in range(40):
         q = comps[np.flatnonzero(comps[:, 0])[trial]] if trial % 2 else rng.integers(-40, 40, 40)
         at, score = shard.top(trial, q, 5)
