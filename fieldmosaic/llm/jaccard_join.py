@@ -673,4 +673,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """The component of each of all `documents`, with its number of shingles; odd input: see jaccard_components."""
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))

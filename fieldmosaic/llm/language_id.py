@@ -206,7 +206,9 @@ def training_windows(docs: DataFrame, most: int, size: int) -> list[tuple[str, s
     held = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     share = (4 * most + 400) / max(1, held[0] / (8 * size) + held[1] / 2)  # about how many windows there are
     rows = _windows(known, size, int(min(1.0, share) * (2**63 - 1))).groupBy("h", "lang").agg(F.min("text").alias("text"))
-    return [(r.text, r.lang) for r in rows.orderBy("h", "lang").limit(most).collect()]
+    # a window's words may be of any length: in the sample, its first 64 characters a word
+    held = rows.orderBy("h", "lang").limit(most).select("lang", F.substring("text", 1, 64 * size).alias("text"))
+    return [(r.text, r.lang) for r in held.collect()]
 
 
 def train(docs: DataFrame, max_windows: int = 3000, size: int = 4 * CHAIN, seed: int = 5) -> Field | None:
@@ -247,7 +249,8 @@ def identify(docs: DataFrame, model: Field | None, keep: tuple[str, ...] = ("doc
     A document has the language with the largest sum of its words' posteriors; score is that sum's share. Texts that are
     null, empty or without a letter, and all texts if there is no model, are `und` with score 0; null texts have no stretches.
     A very long text is labelled in one piece, chain by chain. Ties go to the label first in order; equal texts get equal
-    results, repeated rows stay, and an empty table gives an empty result. Columns of `keep` mustn't have the names of the new ones."""
+    results, repeated rows stay, and an empty table gives an empty result. A column of `keep` with the name of a new one is replaced by it."""
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score") and not (stretches and c == "stretches"))
     runs = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("words", T.LongType())]))
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())] + [T.StructField("stretches", runs)] * stretches)
     names = [f.name for f in schema.fields]

@@ -177,6 +177,8 @@ def _tokens(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        if enc.n_vocab > 1 << 16:
+            raise ValueError("ids of this vocabulary don't fit 16 bits")
         for b in batches:
             tokens = [np.append(enc.encode_to_numpy(t.as_py() or "", allowed_special="all", disallowed_special=()), np.uint32(END)).astype("<u2").tobytes() for t in b.column("__text")]
             yield pa.record_batch([b.column("__id"), b.column("__salt"), pa.array(tokens, pa.binary())], names=["__id", "__salt", "__tokens"])
@@ -319,4 +321,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ranks: str
 
 
 def op6_bm25_packing(spark, sf_dir: str) -> DataFrame:
+    """All `documents` in windows of 2048 tokens; null and empty texts are one mark, and the rest of odd input: see pack."""
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))

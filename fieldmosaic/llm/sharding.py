@@ -79,9 +79,10 @@ def feistel_shards(df: DataFrame, order: list[Column], n_shards: int = 16, key:
 
     Shard sizes differ by one row at most and slots have no gaps. An empty table gives an empty
     result; null ids, empty and very long texts, ties and equal rows are numbered like any other row. Columns named shard or
-    slot are replaced; others, whatever their names (but __h, __b, __n, __before, __row, __place), stay.
+    slot are replaced; others, whatever their names, stay: a row travels as one column.
     """
-    numbered, n = number_rows(df, order, "__row")
+    packed = df.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("held"), *[c.alias(f"o{k}") for k, c in enumerate(order)])
+    numbered, n = number_rows(packed, [F.col(f"o{k}") for k in range(len(order))], "__row")
 
     @F.pandas_udf("long")
     def place(rows: pd.Series) -> pd.Series:
@@ -89,7 +90,7 @@ def feistel_shards(df: DataFrame, order: list[Column], n_shards: int = 16, key:
 
     return (
         numbered.withColumn("__place", place("__row"))
-        .select(*[F.col(c) for c in df.columns if c not in ("shard", "slot")], F.pmod("__place", F.lit(n_shards)).cast("int").alias("shard"), F.floor(F.col("__place") / F.lit(n_shards)).cast("long").alias("slot"))
+        .select(*[F.col("held")[c].alias(c) for c in df.columns if c not in ("shard", "slot")], F.pmod("__place", F.lit(n_shards)).cast("int").alias("shard"), F.floor(F.col("__place") / F.lit(n_shards)).cast("long").alias("slot"))
     )
 
 

@@ -303,7 +303,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     kept is the text that remains; characters of which a removed span took only some bytes are left out of it (not of the digest).
 
     Windows never cross documents; the earliest occurrence (smaller id, then smaller start) stays.
-    Null texts count as empty: nothing is removed. Texts under `length` bytes stay whole. Equal rows are documents of their own.
+    Null texts count as empty: nothing is removed. Texts under `length` bytes stay whole, and very long ones are sorted like others. Equal rows are
+    documents of their own; of equal ids any order counts. An empty table gives an empty result. Columns of `keep` mustn't have the names of the new ones.
     """
     held = _with_ids(docs, id_col, text, keep)
     per_doc = cut(repeated_spans(held, length).groupBy("rid").agg(F.collect_list(F.struct("start", "size")).alias("gone")), "spans")
@@ -341,4 +342,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """What repeats of 100 bytes take out of each of all `documents`; odd input: see remove_repeats."""
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -73,7 +73,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Chain:
-    """Models in order; model k sees the margins of models 0..k-1 as dense columns."""
+    """Models in order; model k sees the probabilities of models 0..k-1 as dense columns."""
 
     def __init__(self, categories: tuple[str, ...], models: list[Linear], thresholds: list[float]) -> None:
         self.categories, self.models, self.thresholds = categories, models, thresholds
@@ -151,9 +151,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | No
 def score(docs: DataFrame, chain: Chain | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """Columns of `keep`, p_<category> for each, and <category> as a verdict against its threshold.
 
-    Null and empty texts have no words; they, and all rows if there is no chain, have probability 0 and are not rejected.
+    Null and empty texts have no words; they, and all rows if there is no chain, have probability 0 and are not rejected. Very long
+    texts are read whole; equal texts have equal results, whatever their ids, and repeated rows stay. A column of `keep` with the name
+    of a new one is replaced by it. An empty table gives an empty result.
     """
     categories = chain.categories if chain else CATEGORIES
+    keep = tuple(c for c in keep if c not in categories and c not in [f"p_{x}" for x in categories])
     schema = T.StructType(docs.select(*keep).schema.fields + [T.StructField(f"p_{c}", T.DoubleType()) for c in categories] + [T.StructField(c, T.BooleanType()) for c in categories])
     sent = docs.sparkSession.sparkContext.broadcast(chain)
 
@@ -174,5 +177,6 @@ def score(docs: DataFrame, chain: Chain | None, keep: tuple[str, ...] = ("doc_id
 
 
 def op5_toxicity_chain(spark, sf_dir: str) -> DataFrame:
+    """Probabilities and verdicts for all `documents`, by a chain trained on those with labels; odd input: see score."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))

@@ -111,7 +111,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise:
     rules has verdict, host, path; a rule fits its host and all subdomains when the url's path starts with the rule's.
     The longest rule wins (host and path together, then the host); of equal rules the smaller verdict. The Bloom filter passes urls of which a
     possible key may be listed, and these alone are joined with the rules exactly; urls that many rows have are
-    dealt to `salts` tasks. Null and empty urls and urls without :// have empty host and path, no rule, and the verdict
+    dealt to `salts` tasks, row by row. Null and empty urls and urls without :// have empty host and path, no rule, and the verdict
     `otherwise`: no list names them. Work on a url grows with its length times the rules' numbers of labels and lengths
     of paths. Repeated rows stay. Empty pages give an empty result, and without rules nothing is blocked.
     """
@@ -135,7 +135,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise:
         .agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict"), weight).alias("__won"))
         .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
-    met = maybe.withColumn("__salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int")).join(won, ["__host", "__path", "__salt"], "left")
+    met = maybe.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(won, ["__host", "__path", "__salt"], "left")
     met = met.select(*names, F.col("__won.rule").alias("rule"), F.coalesce("__won.verdict", F.lit(otherwise)).alias("verdict"))
     return met.unionByName(hashed.where("NOT __maybe").select(*names, F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict")))
 
