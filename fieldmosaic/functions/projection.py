@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -81,3 +81,21 @@ def to_degrees(east: Column, north: Column, z: Zone = Zone()) -> tuple[Column, C
     for j, d in enumerate(z.latitude(), 1):
         lat = lat + F.lit(d) * F.sin(2 * j * chi)
     return F.lit(z.meridian) + F.degrees(F.atan2(F.sinh(y), F.cos(x))), F.degrees(lat)
+
+
+def edges_to_km(edges: DataFrame, z: Zone = Zone(), back: bool = False) -> DataFrame:
+    """Edges (x1, y1, x2, y2) of polygons with both ends projected, or taken back; other columns stay."""
+    ends = {}
+    for k in (1, 2):
+        ends[f"x{k}"], ends[f"y{k}"] = (to_degrees if back else to_km)(F.col(f"x{k}"), F.col(f"y{k}"), z)
+    return edges.withColumns(ends)
+
+
+def box_to_km(boxes: DataFrame, key: str, z: Zone = Zone(), points: int = 100, back: bool = False) -> DataFrame:
+    """(key, x0, x1, y0, y1): the box around each projected box (x0, x1, y0, y1), from points evenly placed along its four sides, as projected sides are curves."""
+    t = F.col("__k") / F.lit(float(points - 1))
+    along = lambda a, b: F.col(a) + t * (F.col(b) - F.col(a))
+    sides = [(along("x0", "x1"), F.col("y0")), (along("x0", "x1"), F.col("y1")), (F.col("x0"), along("y0", "y1")), (F.col("x1"), along("y0", "y1"))]
+    held = boxes.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select(key, F.inline(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in sides])))
+    x, y = (to_degrees if back else to_km)(F.col("x"), F.col("y"), z)
+    return held.select(key, x.alias("x"), y.alias("y")).groupBy(key).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))

@@ -55,9 +55,9 @@ def misclassified(df: DataFrame, areas: DataFrame, area: str, a: Column, b: Colu
 
 def covariate_averages(fine: DataFrame, points: DataFrame, keys: list[str], weight: str, columns: tuple[str, ...]) -> DataFrame:
     """(keys, name, fine, points): weighted averages of columns over a fine grid and over integration points that stand for it; null on a side without weights."""
-    both = fine.select(*keys, weight, *columns, F.lit(True).alias("__f")).unionByName(points.select(*keys, weight, *columns, F.lit(False).alias("__f")))
-    longer = both.select(*keys, weight, "__f", F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("__x")) for c in columns]))).where("__x IS NOT NULL")
-    mean = lambda c: ratio(F.sum(F.when(c, F.col(weight) * F.col("__x"))), F.sum(F.when(c, F.col(weight))))
+    held = lambda df, f: df.select(*keys, F.col(weight).alias("__w"), *columns, F.lit(f).alias("__f"))
+    longer = held(fine, True).unionByName(held(points, False)).select(*keys, "__w", "__f", F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("__x")) for c in columns]))).where("__x IS NOT NULL")
+    mean = lambda c: ratio(F.sum(F.when(c, F.col("__w") * F.col("__x"))), F.sum(F.when(c, F.col("__w"))))
     return longer.groupBy(*keys, "name").agg(mean(F.col("__f")).alias("fine"), mean(~F.col("__f")).alias("points"))
 
 

@@ -4,14 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldmosaic.operators.sparse import settled
 
 
 def fill_down(df: DataFrame, part: list[str], order: str, value: str) -> DataFrame:
-    """Carries the last non-empty value forward."""
-    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("filled", F.last(F.nullif(F.col(value), F.lit("")), ignorenulls=True).over(w))
+    """Adds `filled`: the last value up to a row, in the order, that is neither null nor empty.
+
+    Where the order is a number, a part's range is cut in 64 stretches: each stretch's last value is found first and carried to the next ones, then
+    rows are filled within stretches, so that a large part is spread over many tasks. Rows without an order come first, in one stretch.
+    """
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    held = F.nullif(F.col(value), F.lit(""))
+    if not isinstance(df.schema[order].dataType, T.NumericType):
+        return df.withColumn("filled", last(held, Window.partitionBy(*part).orderBy(order)))
+    ends = df.groupBy(*part).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
+    same = [F.col(f"d.{p}").eqNullSafe(F.col(f"e.{p}")) for p in part]  # null parts are parts too
+    width = F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo"))
+    at = F.coalesce(F.least(F.lit(63), F.floor(64 * (F.col(order) - F.col("__lo")) / width)), F.when(F.col(order).isNull(), -1).otherwise(0)).cast("int")
+    cut = df.alias("d").join(ends.alias("e"), same).select("d.*", "__lo", "__hi").withColumn("__s", at).drop("__lo", "__hi")
+    ended = cut.withColumn("__v", held).where("__v IS NOT NULL").groupBy(*part, "__s").agg(F.max_by("__v", F.struct(F.col(order).isNotNull(), order)).alias("__v"))
+    every = cut.select(*part, "__s").distinct().alias("d").join(ended.alias("e"), [*same, F.col("d.__s") == F.col("e.__s")], "left").select("d.*", "e.__v")
+    before = every.withColumn("__before", F.last("__v", ignorenulls=True).over(Window.partitionBy(*part).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1))).drop("__v")
+    joined = cut.alias("d").join(before.alias("e"), [*same, F.col("d.__s") == F.col("e.__s")]).select("d.*", "e.__before")
+    return joined.withColumn("filled", F.coalesce(last(held, Window.partitionBy(*part, "__s").orderBy(order)), "__before")).drop("__s", "__before")
 
 
 def dedupe_names(df: DataFrame, name: str, state: str) -> DataFrame:

@@ -44,14 +44,18 @@ def grow(total: Column, percent: Column, years: int) -> Column:
 
 
 def apportion(df: DataFrame, part: list[str], row_id: str, total: str, share: str) -> DataFrame:
-    """Adds `parts`: whole numbers in proportion to the shares that sum to each group's total; units left over go to the largest remainders, ties to smaller ids."""
+    """Adds `parts`: whole numbers in proportion to the shares that sum to each group's total; units left over go to the largest remainders, ties to smaller ids. Remainders are ranked in buckets, after the buckets' counts, so a large group is spread over many tasks."""
     held = df.join(df.groupBy(*part).agg(F.sum(share).alias("__s")), part)
     exact = F.coalesce(ratio(F.col(total) * F.col(share), F.col("__s")), F.lit(0.0))
     held = held.withColumn("__e", F.round(exact, 9)).withColumn("__f", F.floor("__e"))
     left = held.groupBy(*part).agg((F.max(total) - F.sum("__f")).alias("__left"))
-    place = F.row_number().over(Window.partitionBy(*part).orderBy((F.col("__e") - F.col("__f")).desc(), row_id))
-    held = held.join(left, part).withColumn("parts", (F.col("__f") + F.when(place <= F.col("__left"), 1).otherwise(0)).cast("long"))
-    return held.drop("__s", "__e", "__f", "__left")
+    rest = F.col("__e") - F.col("__f")
+    held = held.withColumn("__k", F.floor((1 - rest) * 64))
+    counts = held.groupBy(*part, "__k").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select(*part, "__k", (F.sum("__n").over(Window.partitionBy(*part).orderBy("__k")) - F.col("__n")).alias("__before"))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy(*part, "__k").orderBy(rest.desc(), row_id))
+    held = held.join(left, part).join(before, [*part, "__k"]).withColumn("parts", (F.col("__f") + F.when(place <= F.col("__left"), 1).otherwise(0)).cast("long"))
+    return held.drop("__s", "__e", "__f", "__left", "__k", "__before")
 
 
 def in_order_of(df: DataFrame, keys: DataFrame, key: str, *then: Column) -> DataFrame:

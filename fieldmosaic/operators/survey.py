@@ -33,15 +33,17 @@ def direct_estimates(df: DataFrame, area: str, stratum: str, cluster: str, y: Co
     return p.join(var, area).select(area, "est", F.when((F.col("est") > 0) & (F.col("est") < 1), F.log(F.col("est") / F.when(F.col("est") < 1, 1 - F.col("est")))).alias("logit_est"), "logit_var")
 
 
-def estimates_with_intervals(direct: DataFrame, levels: tuple[float, ...] = (0.5, 0.8, 0.9, 0.95)) -> DataFrame:
-    """Direct estimates with est as the mean and var as the variance on the probability scale, intervals (lower_90, upper_90, ...), and converge: 0, or 1 where the logit has no finite estimate or no positive variance."""
+def estimates_with_intervals(direct: DataFrame, levels: tuple[float, ...] = (0.5, 0.8, 0.9, 0.95), areas: DataFrame | None = None, area: str = "area") -> DataFrame:
+    """Direct estimates with est as the mean and var as the variance on the probability scale, intervals (lower_90, upper_90, ...), and converge: 0; 3 where a fit of the logit would run off, as all answers are 0 or all are 1; 1 where there is no estimate or no positive variance. areas: all areas that are asked for; those without people have converge 1."""
+    direct = direct if areas is None else areas.select(area).distinct().join(direct, area, "left")
     ok = F.col("logit_est").isNotNull() & (F.col("logit_var") > 0)
     m, sd = F.col("logit_est"), F.sqrt(F.when(ok, F.col("logit_var")))
-    out = direct.withColumn("est", F.when(ok, logit_normal_moment(m, sd)).otherwise(F.col("est"))).withColumn("var", logit_normal_variance(m, sd))
+    direct_est = F.col("__est")
+    out = direct.withColumn("__est", F.col("est")).withColumn("est", F.when(ok, logit_normal_moment(m, sd)).otherwise(F.col("est"))).withColumn("var", logit_normal_variance(m, sd))
     for level in levels:
         z, name = NormalDist().inv_cdf((1 + level) / 2), round(100 * level)
         out = out.withColumn(f"lower_{name}", expit(m - F.lit(z) * sd)).withColumn(f"upper_{name}", expit(m + F.lit(z) * sd))
-    return out.withColumn("converge", F.when(ok, 0).otherwise(1))
+    return out.withColumn("converge", F.when(ok, 0).when((direct_est <= 0) | (direct_est >= 1), 3).otherwise(1)).drop("__est")
 
 
 def contrast(direct: DataFrame, area: str, urban: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldmosaic.functions.scalar import ratio
-from fieldmosaic.operators import aggregate, clean, frame, recode
+from fieldmosaic.operators import aggregate, clean, frame, recode, survey
 from fieldmosaic.plans.catalog import GRID, PEOPLE, URBAN, _from, grid, people, query, rounded
 
 AGES = "SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 50 END AS age FROM customer"
@@ -218,3 +218,9 @@ def zscore_by_area(spark, sf_dir):
 def job_index_decode(spark, sf_dir):
     i, j = recode.job_pair(F.col("p_partkey") + 1, 20)
     return _from(spark, sf_dir, "SELECT p_partkey FROM part").select("p_partkey", i.alias("i"), j.alias("j"))
+
+
+@query(f"SELECT pixel, round(area_km, 3) weight, CAST(k AS INTEGER) hh FROM (SELECT pixel, pop / 6 area_km FROM ({GRID}) g WHERE pixel % 6 = 5) s CROSS JOIN range(1, 7) t(k)")
+def expand_weighted(spark, sf_dir):
+    g = grid(spark, sf_dir).where("pixel % 6 = 5").select("pixel", "pop", F.lit(2).alias("y"), F.lit(6).alias("n"))
+    return survey.expand_binary(g, "y", "n", "pop").select("pixel", F.round("pop", 3).alias("weight"), "hh")

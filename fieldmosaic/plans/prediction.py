@@ -154,6 +154,29 @@ def projection_round_trip(spark, sf_dir):
     return g.select("pixel", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
+#: The projection's series in SQL, for the library's own zone.
+ZONE = projection.Zone()
+E_OF = 2 * ZONE.n**0.5 / (1 + ZONE.n)
+
+
+def _km_sql(lon: str, lat: str, src: str) -> str:
+    north = " + ".join(f"{a!r} * sin(2 * {j} * xi) * cosh(2 * {j} * eta)" for j, a in enumerate(ZONE.forward(), 1))
+    east = " + ".join(f"{a!r} * cos(2 * {j} * xi) * sinh(2 * {j} * eta)" for j, a in enumerate(ZONE.forward(), 1))
+    k = ZONE.scale * ZONE.unit
+    return f"(SELECT *, {ZONE.east_km!r} + {k!r} * (eta + {east}) x, {ZONE.north_km!r} + {k!r} * (xi + {north}) y FROM (SELECT *, atan2(t, cos(lam)) xi, atanh(sin(lam) / sqrt(1 + t * t)) eta FROM (SELECT *, sinh(atanh(sin(radians({lat}))) - {E_OF!r} * atanh({E_OF!r} * sin(radians({lat})))) t, radians({lon} - {ZONE.meridian!r}) lam FROM {src}) a) b)"
+
+
+ORIGIN = _km_sql("lon", "lat", f"(SELECT {ZONE.meridian!r} lon, {ZONE.parallel!r} lat) o")
+
+
+@query(f"WITH g AS (SELECT area, 3 + east / 20 lon, 4 + north / 12 lat FROM ({GRID}) g), b AS (SELECT area, min(lon) x0, max(lon) x1, min(lat) y0, max(lat) y1 FROM g GROUP BY area), s AS (SELECT area, unnest([x0 + k / 19.0 * (x1 - x0), x0 + k / 19.0 * (x1 - x0), x0, x1]) lon, unnest([y0, y1, y0 + k / 19.0 * (y1 - y0), y0 + k / 19.0 * (y1 - y0)]) lat FROM b CROSS JOIN range(0, 20) r(k)), p AS {_km_sql('lon', 'lat', 's')}, o AS {ORIGIN} SELECT area, round(min(p.x), 5) x0, round(max(p.x), 5) x1, round(min(p.y) - max(o.y), 5) y0, round(max(p.y) - max(o.y), 5) y1 FROM p CROSS JOIN o GROUP BY area")
+def projected_boxes(spark, sf_dir):
+    g = _from(spark, sf_dir, f"SELECT area, 3 + east / 20 AS lon, 4 + north / 12 AS lat FROM ({GRID}) g")
+    boxes = g.groupBy("area").agg(F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1"))
+    got = projection.box_to_km(boxes, "area", points=20)
+    return got.select("area", *[F.round(c, 5).alias(c) for c in ("x0", "x1", "y0", "y1")])
+
+
 WHOLE = "WITH d AS (SELECT vec_id, label, label - 5 AS truth, list_transform(embedding, lambda x: CAST(floor(x * 20) AS DOUBLE)) d FROM embeddings WHERE embedding IS NOT NULL)"
 LEVELS = (0.5, 0.8)
 
@@ -268,9 +291,16 @@ def direct(spark, sf_dir):
     return survey.direct_estimates(people(spark, sf_dir), "area", "urban", "cluster", F.col("y"), F.col("w"))
 
 
-@query(f"WITH {DIRECT}, no AS ({NODES}) SELECT area, round(sum(q / (1 + exp(-(m + s * i / 8)))), 6) est, round(sum(q * pow(1 / (1 + exp(-(m + s * i / 8))), 2)) - pow(sum(q / (1 + exp(-(m + s * i / 8)))), 2), 6) var, round(1 / (1 + exp(-(m - {NormalDist().inv_cdf(0.95)!r} * s))), 6) lower_90, round(1 / (1 + exp(-(m + {NormalDist().inv_cdf(0.95)!r} * s))), 6) upper_90, 0 converge FROM de CROSS JOIN no GROUP BY area, m, s")
+#: One area without people, and two where all answers are alike.
+EDGE_PEOPLE = f"SELECT area, urban, cluster, CASE WHEN area = 4 THEN 0 WHEN area = 9 THEN 1 ELSE y END AS y, w FROM ({PEOPLE}) x WHERE area <> 13"
+
+
+@query(f"WITH {DIRECT.replace(PEOPLE, EDGE_PEOPLE)}, no AS ({NODES}), k AS (SELECT area, CASE WHEN est > 0 AND est < 1 AND s > 0 THEN m END m, CASE WHEN est > 0 AND est < 1 AND s > 0 THEN s END s, est FROM (SELECT e.area, est, CASE WHEN est > 0 AND est < 1 THEN ln(est / (1 - est)) END m, sqrt(v) s FROM e LEFT JOIN v ON e.area = v.area) z), f AS (SELECT n_nationkey area, m, s, est FROM nation LEFT JOIN k ON k.area = n_nationkey) SELECT area, round(CASE WHEN m IS NULL THEN max(est) ELSE sum(q / (1 + exp(-(m + s * i / 8)))) END, 6) est, round(sum(q * pow(1 / (1 + exp(-(m + s * i / 8))), 2)) - pow(sum(q / (1 + exp(-(m + s * i / 8)))), 2), 6) var, round(1 / (1 + exp(-(m - {NormalDist().inv_cdf(0.95)!r} * s))), 6) lower_90, round(1 / (1 + exp(-(m + {NormalDist().inv_cdf(0.95)!r} * s))), 6) upper_90, CASE WHEN m IS NOT NULL THEN 0 WHEN max(est) IN (0, 1) THEN 3 ELSE 1 END converge FROM f CROSS JOIN no GROUP BY area, m, s")
 def get_est(spark, sf_dir):
-    return rounded(survey.estimates_with_intervals(direct(spark, sf_dir), (0.9,)).drop("logit_est", "logit_var"), "area", "converge")
+    p = _from(spark, sf_dir, EDGE_PEOPLE)
+    d = survey.direct_estimates(p, "area", "urban", "cluster", F.col("y"), F.col("w"))
+    got = survey.estimates_with_intervals(d, (0.9,), _from(spark, sf_dir, "SELECT n_nationkey AS area FROM nation"))
+    return rounded(got.drop("logit_est", "logit_var"), "area", "converge")
 
 
 @query(f"WITH {DIRECT}, no AS ({NODES}), b AS (SELECT area, m, pow(s, 2) v, 0 c FROM de UNION ALL SELECT area, m / 2, 0.02 + area / CAST(1000 AS DOUBLE), 1 FROM de WHERE area % 2 = 0), k AS (SELECT area, sum(m / v) / sum(1 / v) m, 1 / sum(1 / v) v, max(c) c FROM b GROUP BY area) SELECT area, round(m, 6) logit_est, round(v, 6) logit_var, c converge, round(sum(q / (1 + exp(-(m + sqrt(v) * i / 8)))), 6) est, round(sum(q * pow(1 / (1 + exp(-(m + sqrt(v) * i / 8))), 2)) - pow(sum(q / (1 + exp(-(m + sqrt(v) * i / 8)))), 2), 6) var, round(1 / (1 + exp(-(m - {NormalDist().inv_cdf(0.9)!r} * sqrt(v)))), 6) lower_80, round(1 / (1 + exp(-(m + {NormalDist().inv_cdf(0.9)!r} * sqrt(v)))), 6) upper_80 FROM k CROSS JOIN no GROUP BY area, m, v, c")

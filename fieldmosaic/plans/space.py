@@ -126,6 +126,20 @@ def dhs_points(spark, sf_dir):
     return rounded(integration.density_weights(held, "pixel", F.col("density"), F.coalesce("usable", F.lit(False))).select("pixel", "k", "w"), "pixel", "k")
 
 
+MIXED = f"""{SECTORS}, g AS ({GRID}), p AS (SELECT pixel, k, w, g.area, g.region, pixel % 7 y, 7 + pixel % 5 n, (east + CASE WHEN k = 0 THEN 0 ELSE (r1 + r2) / 2 * sqrt(2 * (1 - cos(da))) / da * cos(a) END) / 100 x FROM g JOIN sec ON g.urban = sec.urban),
+f AS (SELECT n_nationkey area, (n_nationkey % 7 - 3) / CAST(5 AS DOUBLE) u FROM nation WHERE n_nationkey % 6 <> 1), e AS (SELECT *, -0.4 + 1.2 * x + coalesce(u, 0) eta FROM p LEFT JOIN f ON f.area = p.area),
+l AS (SELECT pixel, max(region) region, ln(sum(w * exp(lgamma(n + 1) - lgamma(y + 1) - lgamma(n - y + 1) - y * ln(1 + exp(-eta)) - (n - y) * ln(1 + exp(eta))))) loglik FROM e GROUP BY pixel)"""
+
+
+@query(f"WITH {MIXED} SELECT region, CAST(count(*) AS BIGINT) n, round(sum(loglik), 5) loglik FROM l GROUP BY region")
+def mix_loglik_total(spark, sf_dir):
+    q = integration.around(grid(spark, sf_dir), integration.rings(spark)).select("pixel", "k", "w", "area", (F.col("pixel") % 7).alias("y"), (7 + F.col("pixel") % 5).alias("n"), (F.col("px") / 100).alias("x"))
+    effects = _from(spark, sf_dir, "SELECT n_nationkey AS area, (n_nationkey % 7 - 3) / CAST(5 AS DOUBLE) AS effect FROM nation WHERE n_nationkey % 6 <> 1")
+    each = integration.mixture_likelihood(integration.predictor(q, -0.4, {"x": 1.2}, effects), "pixel")
+    total = integration.total_likelihood(each.join(grid(spark, sf_dir).select("pixel", "region"), "pixel"), ["region"])
+    return total.select("region", "n", F.round("loglik", 5).alias("loglik"))
+
+
 MICS = f"SELECT area, urban, CAST(row_number() OVER (PARTITION BY area, urban ORDER BY pixel) - 1 AS INTEGER) AS k, pop / sum(pop) OVER (PARTITION BY area, urban) AS w, east AS x FROM ({GRID}) g"
 
 
