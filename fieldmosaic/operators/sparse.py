@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -13,19 +13,21 @@ from pyspark.sql import functions as F
 LOCAL: dict[str, str] = {}
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back, so that rounds don't grow its plan, nothing is computed twice, and no later step depends on executors that may be lost. Its size is known from then on, so small tables are broadcast.
-
-    The folder is the cluster's spark.checkpoint.dir; a local session without one has a folder of its own, a cluster's must name one.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; a local session without one has a folder of its own, a cluster's must name one."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or LOCAL.get(sc.applicationId)
     if not folder:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="fieldmosaic-")
-    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written once as Parquet in the shared folder and read back, so that rounds don't grow its plan, nothing is computed twice, and no later step depends on executors that may be lost. Its size is known from then on, so small tables are broadcast."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

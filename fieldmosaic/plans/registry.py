@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldmosaic.plans import catalog, estimation, models, population, prediction, space
+from fieldmosaic.plans import catalog, estimation, models, population, prediction, space, stored
 
-MODULES = (catalog, population, estimation, prediction, space, models)
+MODULES = (catalog, population, estimation, prediction, space, models, stored)
 QUERIES, SQL = catalog.QUERIES, catalog.SQL

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 
 def read_csv2(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Semicolons between fields, commas in numbers. Fields that aren't numbers are null where schema asks for numbers."""
+    """Semicolons between fields, commas in numbers. Fields that aren't numbers, those with separators of thousands ("1.234,5") too, are null where schema asks for numbers."""
     want = T._parse_datatype_string(schema)
     text = spark.read.csv(path, sep=";", header=True, schema=T.StructType([T.StructField(f.name, T.StringType()) for f in want]))
     number = lambda f: F.expr(f"try_cast(replace(`{f.name}`, ',', '.') AS {f.dataType.simpleString()})").alias(f.name)
@@ -36,14 +37,26 @@ def read_int16_grid(spark: SparkSession, path: str, columns: int) -> DataFrame:
 
 
 def cache_or_compute(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The Parquet table at path; made and written first where there is none."""
+    """The Parquet table at path; made and written first where there is none.
+
+    It is written beside the path and then renamed, so a reader never sees half of it; of two callers at the same time both make it, the first one's stays and is
+    what both return.
+    """
     try:
         return spark.read.parquet(path)
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
     df = make()
-    df.write.mode("overwrite").parquet(path)
+    own = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    df.write.parquet(own)
+    to, at = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, own))
+    store = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(to) or not store.rename(at, to):
+        store.delete(at, True)
+    inner = spark._jvm.org.apache.hadoop.fs.Path(to, at.getName())  # where the path came to be just before the rename
+    if store.exists(inner):
+        store.delete(inner, True)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldmosaic.functions import projection, scalar
 from fieldmosaic.operators import aggregate, clean, estimates, frame, integration, recode, scores, spatial, survey
+from fieldmosaic.sources import tables
 
 
 def test_fill_down_equals_a_loop(spark):
@@ -179,3 +180,21 @@ def test_holes(spark):
     edges = spark.createDataFrame(ring(0, [(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0)]) + ring(1, [(3.0, 3.0), (6.0, 3.0), (6.0, 6.0), (3.0, 6.0)]), "poly int, ring int, x1 double, y1 double, x2 double, y2 double")
     pts = spark.createDataFrame([(1, 1.0, 1.0), (2, 4.0, 4.0), (3, 10.0, 1.0)], "pid int, x double, y double")
     assert {r.pid for r in spatial.in_polygons(pts, edges, 2.0, holes=True).collect()} == {1}
+
+
+def test_kept_tables_of_two_callers(spark, tmp_path):
+    """While one caller makes the table another keeps its own: the first one stays, nothing is left beside it."""
+    path = str(tmp_path / "kept")
+
+    def slow():
+        assert tables.cache_or_compute(spark, path, lambda: spark.range(5)).count() == 5
+        return spark.range(3)
+
+    assert tables.cache_or_compute(spark, path, slow).count() == 5
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["kept"]
+
+
+def test_short_last_record_of_a_grid(spark, tmp_path):
+    (tmp_path / "g.bin").write_bytes(np.arange(10, dtype="<i2").tobytes())
+    with pytest.raises(Exception, match="EOF|end of|record"):
+        tables.read_int16_grid(spark, str(tmp_path / "g.bin"), 4).collect()
