@@ -87,14 +87,14 @@ def nearest(points: DataFrame, others: DataFrame, cell: float, point_id: str = "
     return points.select(point_id).join(found, point_id, "left").select(point_id, F.col("m.g").alias(other_id), F.sqrt("m.d2").alias("dist"))
 
 
-def cell_or_nearest(points: DataFrame, grid: DataFrame, step: float, point_id: str = "pid", grid_id: str = "gid") -> DataFrame:
-    """(point_id, grid_id, dist, exact): the one grid centre whose cell holds a point, or, where there isn't exactly one, the nearest centre."""
+def cell_or_nearest(points: DataFrame, grid: DataFrame, step: float, point_id: str = "pid", grid_id: str = "gid", far: float = 10.0) -> DataFrame:
+    """(point_id, grid_id, dist, exact, far): the one grid centre whose cell holds a point, or, where there isn't exactly one, the nearest centre; and whether it is further than `far`."""
     met = cell_join(points, grid, step, "px", "py", "gx", "gy")
     d = F.hypot(F.col("px") - F.col("gx"), F.col("py") - F.col("gy"))
     one = met.groupBy(point_id).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col(grid_id).alias("g"), d.alias("d"))).alias("m")).where("n = 1")
     exact = one.select(point_id, F.col("m.g").alias(grid_id), F.col("m.d").alias("dist"), F.lit(True).alias("exact"))
     rest = nearest(points.join(one, point_id, "left_anti"), grid, step, point_id, grid_id)
-    return exact.unionByName(rest.withColumn("exact", F.lit(False)))
+    return exact.unionByName(rest.withColumn("exact", F.lit(False))).withColumn("far", F.coalesce(F.col("dist") > far, F.lit(False)))
 
 
 def in_polygons(points: DataFrame, edges: DataFrame, cell: float, holes: bool = False) -> DataFrame:

@@ -165,12 +165,12 @@ POINTS = "SELECT s_suppkey AS pid, s_nationkey AS area, ((s_suppkey * 53) % 997)
 D2 = "(x - east) * (x - east) + (y - north) * (y - north)"
 
 
-@query(f"""WITH p AS ({POINTS}), g AS ({GRID}), m AS (SELECT pid, min(pixel) pixel, count(*) n FROM p JOIN g ON east - 2.5 < x AND x <= east + 2.5 AND north - 2.5 < y AND y <= north + 2.5 GROUP BY pid),
-d AS (SELECT pid, pixel, row_number() OVER (PARTITION BY pid ORDER BY {D2}, pixel) k FROM p CROSS JOIN g) SELECT d.pid, CASE WHEN m.n = 1 THEN m.pixel ELSE d.pixel END pixel, coalesce(m.n = 1, FALSE) exact FROM d LEFT JOIN m ON d.pid = m.pid WHERE k = 1""")
+@query(f"""WITH p AS ({POINTS}), g AS ({GRID}), m AS (SELECT pid, min(pixel) pixel, count(*) n, min({D2}) d2 FROM p JOIN g ON east - 2.5 < x AND x <= east + 2.5 AND north - 2.5 < y AND y <= north + 2.5 GROUP BY pid),
+d AS (SELECT pid, pixel, {D2} d2, row_number() OVER (PARTITION BY pid ORDER BY {D2}, pixel) k FROM p CROSS JOIN g) SELECT d.pid, CASE WHEN m.n = 1 THEN m.pixel ELSE d.pixel END pixel, coalesce(m.n = 1, FALSE) exact, sqrt(CASE WHEN m.n = 1 THEN m.d2 ELSE d.d2 END) > 1.5 far FROM d LEFT JOIN m ON d.pid = m.pid WHERE k = 1""")
 def cell_range_join(spark, sf_dir):
     p = _from(spark, sf_dir, POINTS).select("pid", F.col("x").alias("px"), F.col("y").alias("py"))
     g = grid(spark, sf_dir).select("pixel", F.col("east").alias("gx"), F.col("north").alias("gy"))
-    return spatial.cell_or_nearest(p, g, 5.0, "pid", "pixel").select("pid", "pixel", "exact")
+    return spatial.cell_or_nearest(p, g, 5.0, "pid", "pixel", 1.5).select("pid", "pixel", "exact", "far")
 
 
 @query(f"WITH p AS ({POINTS}), g AS ({GRID}), d AS (SELECT pid, pixel, {D2} d2, row_number() OVER (PARTITION BY pid ORDER BY {D2}, pixel) k FROM p JOIN g ON p.area = g.area) SELECT p.pid, pixel, round(sqrt(d2), 6) dist FROM p LEFT JOIN d ON p.pid = d.pid AND k = 1")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from fieldmosaic.functions.scalar import HART
 from fieldmosaic.functions.variates import CENTRE, FAR, TAIL
 
 
@@ -29,3 +32,10 @@ def normal_sql(u: str) -> str:
 def binomial_sql(k: str, n: str, p: str) -> str:
     """The probability of k of n by log gamma functions."""
     return f"exp(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1) + {k} * ln({p}) + ({n} - {k}) * ln(1 - {p}))"
+
+
+def normal_cdf_sql(x: str) -> str:
+    """The normal distribution function of a column up to seven deviations from the middle."""
+    over, under = (reduce(lambda acc, c: f"({acc} * abs({x}) + CAST({c!r} AS DOUBLE))", p[1:], f"CAST({p[0]!r} AS DOUBLE)") for p in HART)
+    tail = f"exp(-{x} * {x} / 2) * {over} / {under}"
+    return f"(CASE WHEN {x} > 0 THEN 1 - {tail} ELSE {tail} END)"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldmosaic.functions import integrals, projection, scalar, spline
 from fieldmosaic.operators import estimates, predict, scores, survey
 from fieldmosaic.plans.catalog import GRID, HASHED, PEOPLE, URBAN, D_SQL, _from, draws, grid, people, query, rounded
-from fieldmosaic.plans.engines import binomial_sql, normal_sql, uniform_sql
+from fieldmosaic.plans.engines import binomial_sql, normal_cdf_sql, normal_sql, uniform_sql
 
 #: Draws of parameters: twelve of each.
 N = 12
@@ -270,15 +270,12 @@ def score_vs_direct(spark, sf_dir):
     return rounded(scores.average_scores(scores.against_direct(d, "draws", "m", "s", "left out", "vec_id"), ["label"], "w", (0.8,)), "label")
 
 
-CDF = "CASE WHEN z >= 0 THEN 1 - t ELSE t END"
-
-
-@query(f"""WITH g AS (SELECT pixel, (prev - 0.5) / sqrt(0.04 + prev / 10) z, sqrt(0.04 + prev / 10) sd FROM ({GRID}) x), k AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) k, exp(-z * z / 2) / sqrt(2 * pi()) f FROM g), c AS (SELECT *, f * ((((1.330274429 * k - 1.821255978) * k + 1.781477937) * k - 0.356563782) * k + 0.319381530) * k t FROM k)
-SELECT pixel, round({CDF}, 6) "cdf", round(f, 6) pdf, round(sd * (z * (2 * ({CDF}) - 1) + 2 * f - 1 / sqrt(pi())), 6) crps FROM c""")
+@query(f"""WITH g AS (SELECT pixel, (prev - 0.5) / sqrt(0.04 + prev / 10) z, sqrt(0.04 + prev / 10) sd FROM ({GRID}) x), c AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) f, {normal_cdf_sql('z')} c, {normal_cdf_sql('(z * 4)')} far FROM g)
+SELECT pixel, round(c, 9) "cdf", round(f, 6) pdf, round(far, 9) far, round(sd * (z * (2 * c - 1) + 2 * f - 1 / sqrt(pi())), 6) crps FROM c""")
 def crps_gauss(spark, sf_dir):
     var = 0.04 + F.col("prev") / 10
     z = (F.col("prev") - 0.5) / F.sqrt(var)
-    return grid(spark, sf_dir).select("pixel", F.round(scalar.normal_cdf(z), 6).alias("cdf"), F.round(scalar.normal_pdf(z), 6).alias("pdf"), F.round(scores.crps_gauss(F.col("prev"), F.lit(0.5), var), 6).alias("crps"))
+    return grid(spark, sf_dir).select("pixel", F.round(scalar.normal_cdf(z), 9).alias("cdf"), F.round(scalar.normal_cdf(z * 4), 9).alias("far"), F.round(scalar.normal_pdf(z), 6).alias("pdf"), F.round(scores.crps_gauss(F.col("prev"), F.lit(0.5), var), 6).alias("crps"))
 
 
 DIRECT = f"""p AS ({PEOPLE}), c AS (SELECT area, urban, cluster, sum(w * y) wy, sum(w) w FROM p GROUP BY 1, 2, 3), e AS (SELECT area, sum(wy) / sum(w) est, sum(w) sw FROM c GROUP BY area),

@@ -1,7 +1,7 @@
 """Ordered operators spread over stretches, projections at known points, and scores and frames against loops."""
 
 import random
-from math import lgamma
+from math import erfc, lgamma
 
 import numpy as np
 import pytest
@@ -73,6 +73,13 @@ def test_log_gamma(spark):
     assert all(r.c == pytest.approx(lgamma(r.n + 1) - lgamma(r.y + 1) - lgamma(r.n - r.y + 1), abs=1e-8) for r in c)
 
 
+def test_normal_cdf(spark):
+    xs = [k / 7 for k in range(-260, 261)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", scalar.normal_cdf(F.col("x")).alias("c")).collect()
+    assert all(r.c == pytest.approx(erfc(-r.x / 2**0.5) / 2, abs=1e-15, rel=1e-7) for r in got)
+    assert spark.range(1).select(scalar.normal_cdf(F.lit(None).cast("double")).alias("c")).first().c is None
+
+
 def test_codes_of_estimates_that_fail(spark):
     rows = [("a", s, c, int(c % 3 == 0), 1.0) for s in (0, 1) for c in range(6)] + [("b", 0, c, 0, 1.0) for c in range(6, 9)] + [("c", 1, c, 1, 2.0) for c in range(9, 12)]
     d = survey.direct_estimates(spark.createDataFrame(rows, "area string, s int, c int, y int, w double"), "area", "s", "c", F.col("y"), F.col("w"))
