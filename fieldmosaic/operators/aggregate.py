@@ -103,6 +103,15 @@ def running_sum(df: DataFrame, strata: list[str], place: Column, order: list[Col
     return joined.withColumn("running", F.col("__before") + F.sum(value).over(within)).drop("__b", "__before")
 
 
+def ring_shares(df: DataFrame, keys: list[str], ring: str, value: str) -> DataFrame:
+    """(keys, ring, share, up_to): each ring's share of its keys' total, and that of all rings up to it. Rings are summed first."""
+    sums = df.where(F.col(ring).isNotNull()).groupBy(*keys, ring).agg(F.sum(value).alias("__v"))
+    w = Window.partitionBy(*keys)  # as many rows as there are rings
+    up = F.sum("__v").over(w.orderBy(ring).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    total = F.sum("__v").over(w)
+    return sums.select(*keys, ring, ratio(F.col("__v"), total).alias("share"), ratio(up, total).alias("up_to"))
+
+
 def mixed(df: DataFrame, key: str, sums: tuple[str, ...]) -> DataFrame:
     """Per key: sums of the columns named, means of the other numbers, and the smallest of all else."""
     numbers = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}

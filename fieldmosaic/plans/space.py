@@ -62,14 +62,29 @@ def polyline_distance(spark, sf_dir):
 SHAPED = f"SELECT pixel, east x, north y, 1 + prev a, 2 - prev b FROM ({GRID}) g"
 
 
-@query(f"SELECT pixel AS poly, round((a + b) * b, 6) area, round(x + (b - a) / 3, 6) cx, round(y, 6) cy, round(sqrt((a + b) * b / pi()), 6) radius FROM ({SHAPED}) s")
-def polygon_shapes(spark, sf_dir):
+def kites(spark, sf_dir):
     at = lambda ring, *ends: F.struct(F.lit(ring).alias("ring"), *[(F.col(c) + e).alias(n) for n, c, e in zip(("x1", "y1", "x2", "y2"), "xyxy", ends, strict=True)])
     a, b, zero = F.col("a"), F.col("b"), F.lit(0.0)
     kite = [(-a, zero, zero, -b), (zero, -b, b, zero), (b, zero, zero, b), (zero, b, -a, zero)]
     small = [(0.0, 0.0, 0.1, 0.0), (0.1, 0.0, 0.0, 0.1), (0.0, 0.1, 0.0, 0.0)]
     rings = F.array(*[at(0, *e) for e in kite], *[at(1, *[F.lit(v) for v in e]) for e in small])
-    return rounded(polygons.shapes(_from(spark, sf_dir, SHAPED).select(F.col("pixel").alias("poly"), F.inline(rings))), "poly")
+    return _from(spark, sf_dir, SHAPED).select(F.col("pixel").alias("poly"), F.inline(rings))
+
+
+@query(f"SELECT pixel AS poly, round((a + b) * b, 6) area, round(x + (b - a) / 3, 6) cx, round(y, 6) cy, round(sqrt((a + b) * b / pi()), 6) radius FROM ({SHAPED}) s")
+def polygon_shapes(spark, sf_dir):
+    return rounded(polygons.shapes(kites(spark, sf_dir)), "poly")
+
+
+@query(f"SELECT pixel AS poly, round(greatest(2 * b, a + b, sqrt(a * a + b * b)) / 2, 6) radius, round((abs(-a - m) + abs(b - m) + 2 * sqrt(b * b + m * m)) / 4, 6) mean_radius FROM (SELECT *, (b - a) / 3 m FROM ({SHAPED}) t) s")
+def polygon_radii(spark, sf_dir):
+    return rounded(polygons.radii(kites(spark, sf_dir)), "poly")
+
+
+@query(f"WITH r AS (SELECT region, CAST(floor(sqrt(pow(east - 50, 2) + pow(north - 50, 2)) / 10) AS BIGINT) ring, sum(pop) v FROM ({GRID}) g GROUP BY 1, 2) SELECT region, ring, round(v / sum(v) OVER (PARTITION BY region), 6) share, round(sum(v) OVER (PARTITION BY region ORDER BY ring) / sum(v) OVER (PARTITION BY region), 6) up_to FROM r")
+def ring_cumsum(spark, sf_dir):
+    g = grid(spark, sf_dir).withColumn("ring", F.floor(F.hypot(F.col("east") - 50, F.col("north") - 50) / 10))
+    return rounded(aggregate.ring_shares(g, ["region"], "ring", "pop"), "region", "ring")
 
 
 #: The rings' sectors from their radii: equal shares of 2 or 5 km for each of 11 points, and a ring from 5 to 10 km around rural clusters.

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldmosaic.functions import projection, scalar
-from fieldmosaic.operators import aggregate, clean, estimates, frame, integration, recode, scores, spatial, survey
+from fieldmosaic.operators import aggregate, clean, estimates, frame, integration, polygons, recode, scores, spatial, survey
 from fieldmosaic.sources import tables
 
 
@@ -205,3 +205,24 @@ def test_short_last_record_of_a_grid(spark, tmp_path):
     (tmp_path / "g.bin").write_bytes(np.arange(10, dtype="<i2").tobytes())
     with pytest.raises(Exception, match="EOF|end of|record"):
         tables.read_int16_grid(spark, str(tmp_path / "g.bin"), 4).collect()
+
+
+def test_radii(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for p in range(30):
+        n = int(rng.integers(3, 60))
+        t = np.sort(rng.uniform(0, 2 * np.pi, n))
+        r = rng.uniform(0.2, 1, n) if p % 3 else np.ones(n)  # every third one has all corners on a circle
+        c = np.stack((5 * p + r * np.cos(t) * (1 + p % 4), r * np.sin(t)), axis=1)
+        rows += [(p, 0, *map(float, c[i]), *map(float, c[(i + 1) % n])) for i in range(n)] + [(p, 1, 0.0, 0.0, 0.01, 0.0), (p, 1, 0.01, 0.0, 0.0, 0.01), (p, 1, 0.0, 0.01, 0.0, 0.0)]
+        d = np.hypot(*(c[:, None] - c[None]).transpose(2, 0, 1))
+        nxt = np.roll(c, -1, axis=0)
+        cross = c[:, 0] * nxt[:, 1] - nxt[:, 0] * c[:, 1]
+        if abs(cross.sum()) < 0.05:
+            rows = [x for x in rows if x[0] != p]
+            continue
+        centre = ((c + nxt) * cross[:, None]).sum(0) / (3 * cross.sum())
+        want[p] = (d.max() / 2, np.hypot(*(c - centre).T).mean())
+    got = {r.poly: (r.radius, r.mean_radius) for r in polygons.radii(spark.createDataFrame(rows, "poly int, ring int, x1 double, y1 double, x2 double, y2 double")).collect()}
+    assert got.keys() == want.keys() and len(want) > 20 and all(got[p] == pytest.approx(want[p]) for p in want)
