@@ -42,6 +42,8 @@ FREQUENT = 50
 SPREAD, PAIRS = 2048, 4
 #: Classes and shingles of a tile, on average; shingles multiplied at once.
 TILE, TILE_SHINGLES, WIDE = 1024, 1 << 17, 4096
+#: Tiles that a task holds at once.
+BLOCK = 4
 PREFIX = "token long, salt int, salts int, k1 long, k2 long, n int, pos int"
 
 
@@ -484,26 +486,28 @@ def joining(ok: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.nda
 
 
 def _tile_pairs(width: int, num: int, den: int):
-    """Both tiles of each pair in a task, with the links between their sets; a pair's rows follow each other."""
+    """The pairs of tiles of each block in a task, with the links between their sets. A block (root, block) is held: its own tiles, BLOCK at most, and compared with those that follow, one at a time, in the order of their numbers."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        mate = None
+        now, held = None, []
         for b in batches:
             for i in range(b.num_rows):
-                root, lo, hi = (b.column(c)[i].as_py() for c in ("root", "lo", "hi"))
+                root, block, tile, alone = (b.column(c)[i].as_py() for c in ("root", "block", "tile", "alone"))
+                if now != (root, block):
+                    now, held = (root, block), []
                 key, label = (np.frombuffer(b.column(c)[i].as_py(), np.int64) for c in ("keys", "labels"))
                 value, at = _sets_of(b.column("texts")[i].values, width)
                 here = (key, label, np.diff(at), value, at)
-                if lo != hi and (mate is None or mate[0] != (root, lo, hi)):
-                    mate = ((root, lo, hi), here)
-                    continue
-                other = here if lo == hi else mate[1]
-                both = overlaps(value, at, other[3], other[4])
-                ok = both * den >= num * (here[2][:, None] + other[2] - both)
-                if lo == hi:
-                    np.fill_diagonal(ok, False)
-                yield ok, here, other, lo == hi
-                mate = None
+                own = tile // BLOCK == block
+                if tile >= alone:  # else it and all before it are tiles that aren't compared with each other
+                    for other, same in [(x, False) for x in held] + [(here, True)] * own:
+                        both = overlaps(value, at, other[3], other[4])
+                        ok = both * den >= num * (here[2][:, None] + other[2] - both)
+                        if same:
+                            np.fill_diagonal(ok, False)
+                        yield ok, here, other, same
+                if own:
+                    held.append(here)
 
     return each
 
@@ -541,20 +545,24 @@ def _one_tile(run):
     """run over roots that are one tile each, without another shuffle."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return run(pa.record_batch([b.column(c) for c in ("root", "tile", "tile", "keys", "labels", "texts")], names=["root", "lo", "hi", "keys", "labels", "texts"]) for b in _tiles(batches))
+        return run(pa.record_batch([b.column(c) for c in ("root", "tile", "tile", "alone", "keys", "labels", "texts")], names=["root", "block", "tile", "alone", "keys", "labels", "texts"]) for b in _tiles(batches))
 
     return go
 
 
 def _in_tiles(rows: DataFrame, docs: DataFrame, classes: DataFrame, parts: int, run, out: str, name: str) -> DataFrame:
-    """run over all pairs of tiles of each root of rows (root, tile, tiles, alone, key, label); tiles under `alone` aren't compared with each other."""
+    """run over all pairs of tiles of each root of rows (root, tile, tiles, alone, key, label); tiles under `alone` aren't compared with each other.
+
+    A tile's texts go to its own block of BLOCK tiles and to the blocks before it, not to each pair: once for a root of up to BLOCK tiles.
+    """
     where = rows.select("root", "tile", "tiles", "alone", "key", "label")
     texts = _texts(rows.select("key").distinct(), docs, classes).join(where, "key").select("root", "tile", "tiles", "alone", "key", "label", "text")
     few = texts.where("tiles = 1 AND alone = 0").repartition(parts, "root").sortWithinPartitions("root").mapInArrow(_one_tile(run), out)
     made = texts.where("tiles > 1").repartition(parts, "root", "tile").sortWithinPartitions("root", "tile").mapInArrow(_tiles, "root long, tile int, tiles int, alone int, keys binary, labels binary, texts array<string>")
-    pairs = cut(made, name).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("tile >= alone OR other >= alone")
-    pairs = pairs.select("root", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "keys", "labels", "texts")
-    return few.unionByName(pairs.repartition(parts, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(run, out))
+    mine = F.floor(F.col("tile") / BLOCK).cast("int")
+    sent = cut(made, name).withColumn("block", F.explode(F.sequence(F.lit(0), mine))).where((F.col("block") == mine) | (F.col("tile") >= F.col("alone")))
+    sent = sent.select("root", "block", "tile", "alone", "keys", "labels", "texts").repartition(parts, "root", "block").sortWithinPartitions("root", "block", "tile")
+    return few.unionByName(sent.mapInArrow(run, out))
 
 
 def _tile_count(rows: Column, shingles: Column) -> Column:
