@@ -82,6 +82,25 @@ def trimmed(run):
     return go
 
 
+def whole_keys(batches: Iterator[pa.RecordBatch], key: str, most: int = 32 << 20) -> Iterator[pa.Table]:
+    """Rows sorted by a whole-number key in tables of about `most` bytes or of one key; a key's rows are never in two of them."""
+    held, size, last = [], 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held and size >= most:
+            keys = b.column(key).to_numpy(zero_copy_only=False)
+            same = int(np.searchsorted(keys, last, side="right"))
+            if same < b.num_rows:
+                yield pa.Table.from_batches([*held, b.slice(0, same)]) if same else pa.Table.from_batches(held)
+                held, size, b = [], 0, b.slice(same)
+        held.append(b)
+        size += b.nbytes
+        last = b.column(key)[b.num_rows - 1].as_py()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string array, back to back, and the n + 1 places where rows begin and end. Nulls are empty."""
     if isinstance(array, pa.ChunkedArray):

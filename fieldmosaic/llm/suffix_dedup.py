@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, partitions_for, range_hashes, sequence_hashes, spans, table, trimmed, utf8
+from .common import cut, mix, partitions_for, range_hashes, sequence_hashes, spans, table, trimmed, utf8, whole_keys
 from .url_filter import BlockedBloom
 
 LENGTH, GRAM, SHALLOW = 100, 32, 32
@@ -117,24 +117,33 @@ def _find_runs(length: int, gram: int, most: int = 100_000):
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Collapses equal runs of a task's anchors; keeps the earliest runs of anchors that have different ones (lead >= 0), and removed spans."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
+    """Collapses equal runs of a task's anchors, some whole anchors at a time; keeps the earliest runs of anchors that have different ones (lead >= 0), and removed spans. Rows come sorted by anchor."""
+    spans_: list[pa.RecordBatch] = []
+
+    def runs_of() -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = b.column("lead").to_numpy(zero_copy_only=False) < 0
+            if done.any():
+                spans_.append(_span_batch(*(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[done] for c in ("rid", "start", "size"))))
+            yield b.filter(pa.array(~done))
+
+    for t in whole_keys(runs_of(), "anchor"):
+        yield from spans_
+        spans_.clear()
+        yield from _resolve_some(t)
+    yield from spans_
+
+
+def _resolve_some(t: pa.Table) -> Iterator[pa.RecordBatch]:
     anchor, body, rid, start, size, lead = (t.column(c).to_numpy().astype(np.int64) for c in ("anchor", "body", "rid", "start", "size", "lead"))
-    del t, got
-    done = lead < 0
-    spans_ = [(rid[done], start[done], size[done])]
-    k = np.flatnonzero(~done)
-    order = k[np.lexsort((start[k], rid[k], size[k], body[k], anchor[k]))]
+    order = np.lexsort((start, rid, size, body, anchor))
     again = _repeat_flags(anchor[order], body[order], size[order])
-    spans_.append(tuple(x[order[again]] for x in (rid, start, size)))
+    if again.any():
+        yield _span_batch(*(x[order[again]] for x in (rid, start, size)))
     order = order[~again]
     a = anchor[order]
     same = a[1:] == a[:-1]
     shared = order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(order) else order
-    yield _span_batch(*(np.concatenate(x) for x in zip(*spans_, strict=True)))
     for i in range(0, len(shared), 1 << 16):
         s = shared[i : i + (1 << 16)]
         yield _batch(anchor[s], anchor[s], body[s], rid[s], start[s], size[s], lead[s])
@@ -234,10 +243,10 @@ def _first_difference(text: np.ndarray, a: np.ndarray, b: np.ndarray, guess: np.
 
 def _sort_anchors(length: int, most: int = 1 << 16):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got).combine_chunks()
+        for t in whole_keys(batches, "anchor"):
+            yield from some(t.combine_chunks())
+
+    def some(t: pa.Table) -> Iterator[pa.RecordBatch]:
         anchor, rid, start, lead = (t.column(c).to_numpy().astype(np.int64) for c in ("anchor", "rid", "start", "lead"))
         data, at = utf8(t.column("bytes"))
         text = np.concatenate((data, np.zeros(8, np.uint8)))
@@ -287,13 +296,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """Spans (rid, start, size) that cover all bytes of repeated windows; docs has rid and text. Spans can overlap."""
     parts = partitions_for(docs)
     found = docs.select("rid", "text").where(F.octet_length("text") >= length).mapInArrow(trimmed(_find_runs(length, gram)), RUN)
-    held = cut(found.repartition(parts, "route").mapInArrow(trimmed(_resolve), RUN), "runs")
+    held = cut(found.repartition(parts, "route").sortWithinPartitions("anchor").mapInArrow(trimmed(_resolve), RUN), "runs")
     whole = held.where("lead < 0").select("rid", "start", "size")
     wanted = held.where("lead >= 0").groupBy("rid").agg(F.collect_list(F.struct("anchor", "start", "size", "lead")).alias("wanted"))
     bloom = BlockedBloom(held.where("lead >= 0").select("rid").distinct().select(F.xxhash64("rid").alias("h")), bits_per_key=12)
     texts = docs.select("rid", "text").where(bloom.column(F.xxhash64("rid"))).join(wanted, "rid")
     pieces = texts.select("rid", "text", "wanted").mapInArrow(trimmed(_cut_out), "anchor long, rid long, start long, lead int, bytes binary")
-    part = pieces.repartition(parts, "anchor").mapInArrow(trimmed(_sort_anchors(length)), "rid long, start long, size int")
+    part = pieces.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(_sort_anchors(length)), "rid long, start long, size int")
     return whole.unionByName(part)
 
 
