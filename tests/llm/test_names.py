@@ -1,8 +1,12 @@
-"""Columns whose names clash with those that operators add or use."""
+"""Columns whose names clash with those that operators add or use, and helpers that several of them share."""
 
+import random
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from fieldmosaic.llm import language_id, sharding, toxicity, url_filter
+from fieldmosaic.llm.common import whole_keys
 
 
 def test_sharding_keeps_columns_of_any_name(spark):
@@ -33,3 +37,20 @@ def test_training_windows_are_bounded_in_length(spark):
     docs = spark.createDataFrame([(k, chr(97 + k % 26) * (90_000 + k), "de") for k in range(60)], "doc_id long, text string, lang string")
     held = language_id.training_windows(docs, 10, 128)
     assert held and max(len(t) for t, _ in held) <= 64 * 128
+
+
+def test_whole_keys():
+    """Tables of sorted batches hold whole keys, about as many bytes as asked for, and all rows in order."""
+    rng = random.Random(3)
+    keys = sorted(rng.choices(range(-20, 20), k=500) + [7] * 300)
+    batches, at = [], 0
+    while at < len(keys):
+        n = rng.randint(0, 9)
+        batches.append(pa.record_batch({"k": pa.array(keys[at : at + n], pa.int64()), "v": pa.array(range(at, min(at + n, len(keys))), pa.int64())}))
+        at += n
+    for most in (1, 400, 3000, 10**9):
+        got = list(whole_keys(iter(batches), "k", most))
+        assert [v for t in got for v in t.column("v").to_pylist()] == list(range(len(keys)))
+        ends = [(t.column("k")[0].as_py(), t.column("k")[-1].as_py()) for t in got]
+        assert all(a[1] < b[0] for a, b in zip(ends, ends[1:], strict=False)) and (len(got) == 1) == (most == 10**9)
+    assert list(whole_keys(iter([]), "k")) == [] and list(whole_keys(iter([batches[0].slice(0, 0)]), "k")) == []
