@@ -55,7 +55,7 @@ def gaps_islands(df: DataFrame, part: list[str], x: str) -> DataFrame:
 
 
 def natural_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows that agree in all columns that both have."""
+    """Rows that agree in all columns that both have; a null agrees with nothing."""
     return left.join(right, [c for c in left.columns if c in right.columns])
 
 

@@ -32,6 +32,17 @@ def rename_by_table(df: DataFrame, names: DataFrame, name: str, state: str) -> D
     return held.withColumn("fixed", F.coalesce("__here", "__any", name)).drop("__here", "__any")
 
 
+def strata_of(df: DataFrame, area: str, subarea: str, districts: DataFrame, wanted: tuple[str, ...], renamed: DataFrame | None = None) -> DataFrame:
+    """Adds `stratum`: the district of a row's subarea, if it is one of those wanted, else the row's area.
+
+    districts: subarea, state, district. renamed (old, state, new) is applied to the districts' subareas first, as in rename_by_table, where two tables spell
+    names differently. A subarea that is listed twice has the smallest of its wanted districts; one that isn't listed, or null, has its area.
+    """
+    listed = districts if renamed is None else rename_by_table(districts, renamed, "subarea", "state").withColumn("subarea", F.col("fixed")).drop("fixed")
+    held = listed.where(F.col("district").isin(*wanted)).groupBy(F.col("subarea").alias(subarea)).agg(F.min("district").alias("__district"))
+    return df.join(held, subarea, "left").withColumn("stratum", F.coalesce("__district", area)).drop("__district")
+
+
 def split_totals(df: DataFrame, name: str, mark: str = "Total") -> tuple[DataFrame, DataFrame]:
     """Rows whose name holds the mark, and all others, those without name included."""
     total = F.coalesce(F.col(name).contains(mark), F.lit(False))

@@ -110,6 +110,21 @@ def row_match_join(spark, sf_dir):
     return a.join(b, ["n_name", "n_regionkey"]).select("row_a", "row_b")
 
 
+#: Districts of some nations' suppliers, a nation being spelt otherwise there.
+DISTRICTS = "SELECT concat(CASE WHEN n_nationkey = 7 THEN 'Seventh' ELSE n_name END, '/', CAST(k AS VARCHAR(3))) AS subarea, r_name AS state, concat(r_name, ' ', CAST(n_nationkey % 3 AS VARCHAR(3)), CAST(k AS VARCHAR(3))) AS district FROM nation JOIN region ON n_regionkey = r_regionkey {cross} range(0, 3) t(k)"
+SITES = "SELECT c_custkey, r_name AS area, concat(n_name, '/', CAST(c_custkey % 4 AS VARCHAR(3))) AS subarea FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+WANTED = ("ASIA 00", "ASIA 11", "ASIA 12", "AFRICA 20", "AFRICA 01")
+
+
+@query(f"WITH d AS (SELECT CASE WHEN state = 'ASIA' AND starts_with(subarea, 'Seventh') THEN replace(subarea, 'Seventh', 'NATION_7') ELSE subarea END subarea, district FROM ({DISTRICTS.format(cross='CROSS JOIN')}) x), w AS (SELECT subarea, min(district) district FROM d WHERE district IN {WANTED!r} GROUP BY 1) SELECT c_custkey, coalesce(district, area) stratum FROM ({SITES}) s LEFT JOIN w ON w.subarea = s.subarea")
+def strata_lookup(spark, sf_dir):
+    names = spark.createDataFrame([(f"Seventh/{k}", "ASIA", f"NATION_7/{k}") for k in range(3)], "old string, state string, new string")
+    each = _from(spark, sf_dir, "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey").withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(3)])))
+    spelt = F.when(F.col("n_nationkey") == 7, "Seventh").otherwise(F.col("n_name"))
+    districts = each.select(F.concat(spelt, F.lit("/"), "k").alias("subarea"), F.col("r_name").alias("state"), F.concat("r_name", F.lit(" "), F.col("n_nationkey") % 3, "k").alias("district"))
+    return recode.strata_of(_from(spark, sf_dir, SITES), "area", "subarea", districts, WANTED, names).select("c_custkey", "stratum")
+
+
 @query("SELECT n_nationkey, CASE WHEN r_name IN ('ASIA', 'AFRICA') THEN n_name ELSE r_name END stratum FROM nation JOIN region ON n_regionkey = r_regionkey")
 def hierarchy_map(spark, sf_dir):
     n = _from(spark, sf_dir, "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")

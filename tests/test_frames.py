@@ -226,3 +226,11 @@ def test_radii(spark):
         want[p] = (d.max() / 2, np.hypot(*(c - centre).T).mean())
     got = {r.poly: (r.radius, r.mean_radius) for r in polygons.radii(spark.createDataFrame(rows, "poly int, ring int, x1 double, y1 double, x2 double, y2 double")).collect()}
     assert got.keys() == want.keys() and len(want) > 20 and all(got[p] == pytest.approx(want[p]) for p in want)
+
+
+def test_strata_of_districts(spark):
+    df = spark.createDataFrame([(1, "A", "x"), (2, "A", "y"), (3, "B", "z"), (4, "B", None), (5, "B", "twice"), (6, "C", "other")], "id int, area string, sub string")
+    d = spark.createDataFrame([("x!", "A", "north"), ("y", "A", "elsewhere"), ("z", "B", "south"), ("twice", "B", "south"), ("twice", "B", "north"), ("x!", "B", "south")], "subarea string, state string, district string")
+    names = spark.createDataFrame([("x!", "A", "x")], "old string, state string, new string")
+    got = {r.id: r.stratum for r in recode.strata_of(df, "area", "sub", d, ("north", "south"), names).collect()}
+    assert got == {1: "north", 2: "A", 3: "south", 4: "B", 5: "north", 6: "C"}
