@@ -50,6 +50,23 @@ def test_cost_never_rises(spark):
     assert strata.medoids(df.limit(0), ("a", "b"), 4).count() == 0
 
 
+def test_medoids_meet_few_pairs(spark):
+    """Many places, searched by cells: the end is one that no exchange lowers, and far fewer pairs are met than all with all."""
+    rng = np.random.default_rng(5)
+    rows = [("s", i, float(rng.uniform(0.5, 2)), float(rng.uniform()), float(rng.uniform())) for i in range(600)]
+    rows += [("s", 600 + i, 1.0, *rows[i][3:]) for i in range(60)]  # copies of places
+    df = spark.createDataFrame(rows, POINTS)
+    xy, w = np.array([r[3:] for r in rows]), np.array([r[2] for r in rows])
+    d = ((xy[:, None, :] - xy[None, :, :]) ** 2).sum(2)
+    one = {r.m for r in strata.medoids(df, ("a", "b"), 1, block_rows=16).collect()}
+    assert one == {int(np.argmin(w @ d))}
+    two = sorted({r.m for r in strata.medoids(df, ("a", "b"), 2, block_rows=16).collect()})
+    best = w @ np.minimum(d[:, two[0]], d[:, two[1]])
+    assert len(two) == 2 and all((w @ np.minimum(d[:, [m]], d)).min() >= best * (1 - 1e-9) for m in two)
+    open_ = df.select(F.struct("stratum", F.lit(1).alias("start")).alias("stratum"), "id", "a", "b")
+    assert strata._cells(open_, ("a", "b"), 3, 16).select("cell").distinct().count() <= 64
+
+
 def test_strata_without_a_kind_are_filled(spark):
     rows = [("x", True, 1, 2.0, 0.1, 0.2), ("x", True, 2, 6.0, 0.9, 0.2), ("y", True, 3, 1.0, 0.5, 0.5), ("y", False, 4, 1.0, 0.3, 0.3), ("y", False, 5, 3.0, 0.4, 0.9), ("y", False, 6, 1.0, 0.8, 0.9)]
     df = spark.createDataFrame(rows, "stratum string, urban boolean, id int, weight double, a double, b double")
