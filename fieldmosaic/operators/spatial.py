@@ -66,14 +66,22 @@ def _compared(asked: DataFrame, spread, keys: list[str]) -> DataFrame:
     return asked.join(salts, keys).withColumn("__s", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n").join(held, [*keys, "__s"])
 
 
+def _finer(others: DataFrame, cell: float) -> float:
+    """The size of cells of which there are as many over the others' box as others, or `cell`, if that is less: so that a cell doesn't fill as tables grow; three numbers pass through the driver."""
+    r = others.agg(F.max("gx") - F.min("gx"), F.max("gy") - F.min("gy"), F.count(F.lit(1))).first()
+    side = max(r[0] or 0.0, r[1] or 0.0)
+    return min(float(cell), side / r[2] ** 0.5) if side > 0 else float(cell)
+
+
 def nearest(points: DataFrame, others: DataFrame, cell: float, point_id: str = "pid", other_id: str = "gid", by: tuple[str, ...] = ()) -> DataFrame:
     """(point_id, other_id, dist): the nearest of the others, ties to the smaller id; with `by`, of those that agree in these columns. Null where there is none.
 
-    points has px, py, the others gx, gy. Cells double in size until one covers all. A point first
+    points has px, py, the others gx, gy; others in one place go as one. Cells of about one place each, of `cell` at most, double in size until one covers all. A point first
     meets one of the others in each cell around it, at every size, which bounds its distance; then it meets
     all of the others in the nine cells around it of the smallest size that covers that bound. Most points end at small cells.
     """
-    held, others = settled(points.select(point_id, "px", "py", *by)), settled(others.select(other_id, "gx", "gy", *by))
+    held, others = settled(points.select(point_id, "px", "py", *by)), settled(others.groupBy("gx", "gy", *by).agg(F.min(other_id).alias(other_id)))
+    cell = _finer(others, cell)
     levels = _levels(held.select(F.col("px").alias("x"), F.col("py").alias("y")).union(others.select("gx", "gy")), cell)
     put = lambda sizes: others.withColumn("__l", F.explode(sizes)).withColumn("__i", _at(F.col("gx"), cell, F.col("__l"))).withColumn("__j", _at(F.col("gy"), cell, F.col("__l")))
     keys = [*by, "__l", "__i", "__j"]
@@ -87,12 +95,22 @@ def nearest(points: DataFrame, others: DataFrame, cell: float, point_id: str = "
     return points.select(point_id).join(found, point_id, "left").select(point_id, F.col("m.g").alias(other_id), F.sqrt("m.d2").alias("dist"))
 
 
+def crowded(points: DataFrame, places: DataFrame, step: float, point_id: str = "pid") -> DataFrame:
+    """Points that several centres' cells hold for sure: their block of a fifth of a step and the eight around it, which lie within half a step, have two centres or more (gx, gy, n of each place). Others may have several too."""
+    at = lambda c: F.floor(F.col(c) / F.lit(step / 5))
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    blocks = places.groupBy(at("gx").alias("__i"), at("gy").alias("__j")).agg(F.sum("n").alias("n"))
+    p = points.select(point_id, F.explode(F.transform(around, lambda d: at("px") + d)).alias("__i"), "py").select(point_id, "__i", F.explode(F.transform(around, lambda d: at("py") + d)).alias("__j"))
+    return p.join(blocks, ["__i", "__j"]).groupBy(point_id).agg(F.sum("n").alias("n")).where("n > 1").select(point_id)
+
+
 def cell_or_nearest(points: DataFrame, grid: DataFrame, step: float, point_id: str = "pid", grid_id: str = "gid", far: float = 10.0) -> DataFrame:
     """(point_id, grid_id, dist, exact, far): the one grid centre whose cell holds a point, or, where there isn't exactly one, the nearest centre; and whether it is further than `far`."""
-    met = cell_join(points, grid, step, "px", "py", "gx", "gy")
-    d = F.hypot(F.col("px") - F.col("gx"), F.col("py") - F.col("gy"))
-    one = met.groupBy(point_id).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col(grid_id).alias("g"), d.alias("d"))).alias("m")).where("n = 1")
-    exact = one.select(point_id, F.col("m.g").alias(grid_id), F.col("m.d").alias("dist"), F.lit(True).alias("exact"))
+    places = settled(grid.groupBy("gx", "gy").agg(F.min(grid_id).alias(grid_id), F.count(F.lit(1)).alias("n")))
+    alone = points.join(crowded(points, places, step, point_id), point_id, "left_anti")
+    met = cell_join(alone, places, step, "px", "py", "gx", "gy").withColumn("d", F.hypot(F.col("px") - F.col("gx"), F.col("py") - F.col("gy")))
+    one = settled(met.groupBy(point_id).agg(F.sum("n").alias("n"), F.min(grid_id).alias("g"), F.min("d").alias("d")).where("n = 1"))
+    exact = one.select(point_id, F.col("g").alias(grid_id), F.col("d").alias("dist"), F.lit(True).alias("exact"))
     rest = nearest(points.join(one, point_id, "left_anti"), grid, step, point_id, grid_id)
     return exact.unionByName(rest.withColumn("exact", F.lit(False))).withColumn("far", F.coalesce(F.col("dist") > far, F.lit(False)))
 

@@ -200,3 +200,20 @@ def test_nearest_has_no_hot_cell(spark):
     df, keys = joined[0]
     largest = df.groupBy(*keys, "__s").agg(F.countDistinct("gid").alias("n")).agg(F.max("n")).first()[0]
     assert largest <= 2 * spatial.CELL_ROWS, largest
+
+
+def test_dense_centres_are_not_met_by_all_points(spark):
+    """Cells get smaller as centres get closer, and points between many centres don't meet them all."""
+    rng = np.random.default_rng(8)
+    centres = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 10, (900, 2)))]
+    centres += [(900, 30.0, 30.0), (901, *centres[0][1:]), (902, 34.0, 30.0)]
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-1, 11, (60, 2)))] + [(60, 30.5, 30.5), (61, 32.0, 30.0)]
+    p, g = spark.createDataFrame(points, "pid int, px double, py double"), spark.createDataFrame(centres, "gid int, gx double, gy double")
+    assert spatial._finer(g.where("gid < 900"), 5.0) < 0.4 and spatial._finer(g.limit(0), 5.0) == 5.0
+    assert spatial.crowded(p.where("px BETWEEN 2 AND 8 AND py BETWEEN 2 AND 8"), g.withColumn("n", F.lit(1)), 4.0).count() == sum(2 <= x <= 8 and 2 <= y <= 8 for _, x, y in points)
+    got = {r.pid: r for r in spatial.cell_or_nearest(p, g, 4.0).collect()}
+    for i, x, y in points:
+        held = [c for c, u, v in centres if u - 2 < x <= u + 2 and v - 2 < y <= v + 2]
+        best = held[0] if len(held) == 1 else min(centres, key=lambda c: ((c[1] - x) ** 2 + (c[2] - y) ** 2, c[0]))[0]
+        assert (got[i].gid, got[i].exact) == (best, len(held) == 1)
+    assert len(got) == len(points)
