@@ -100,7 +100,8 @@ def design_mat(spark, sf_dir):
 @query(f"WITH no AS ({NODES}) SELECT pixel, round(sum(q / (1 + exp(-(prev * 4 - 2 + (pixel % 5) * 0.5 * i / 8)))), 6) m, round(sum(q * pow(1 / (1 + exp(-(prev * 4 - 2 + (pixel % 5) * 0.5 * i / 8))), 2)) - pow(sum(q / (1 + exp(-(prev * 4 - 2 + (pixel % 5) * 0.5 * i / 8)))), 2), 6) v FROM ({GRID}) g CROSS JOIN no GROUP BY pixel")
 def logit_normal_exact(spark, sf_dir):
     mu, sigma = F.col("prev") * 4 - 2, (F.col("pixel") % 5) * 0.5
-    return grid(spark, sf_dir).select("pixel", F.round(integrals.logit_normal_moment(mu, sigma), 6).alias("m"), F.round(integrals.logit_normal_variance(mu, sigma), 6).alias("v"))
+    held = grid(spark, sf_dir).select("pixel", integrals.logit_normal_moments(mu, sigma).alias("z"))
+    return held.select("pixel", F.round("z.m", 6).alias("m"), F.round("z.v", 6).alias("v"))
 
 
 @query(f"WITH no AS ({NODES}) SELECT pixel, round(sum(q / (1 + exp(-(east / 8 - 6 + ((pixel % 4) * 0.7) * i / 8)))), 8) p FROM ({GRID}) g CROSS JOIN no GROUP BY pixel")

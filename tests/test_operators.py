@@ -217,3 +217,18 @@ def test_dense_centres_are_not_met_by_all_points(spark):
         best = held[0] if len(held) == 1 else min(centres, key=lambda c: ((c[1] - x) ** 2 + (c[2] - y) ** 2, c[0]))[0]
         assert (got[i].gid, got[i].exact) == (best, len(held) == 1)
     assert len(got) == len(points)
+
+
+def test_moments_of_many_rows(spark):
+    """Both moments in one pass agree with the rule for one row."""
+    rows = [(m, s) for m in (-40.0, -2.0, 0.3, 800.0) for s in (0.0, 0.5, 1.5, 4.0)] + [(None, 1.0), (1.0, None)]
+    df = spark.createDataFrame(rows, "mu double, sigma double")
+    mu, sigma = F.col("mu"), F.col("sigma")
+    for r in df.select(integrals.logit_normal_moments(mu, sigma).alias("z"), integrals.logit_normal_moment(mu, sigma).alias("m"), integrals.logit_normal_variance(mu, sigma).alias("v")).collect():
+        assert r.z is None if r.m is None else (r.z.m, r.z.v) == pytest.approx((r.m, r.v), abs=1e-12)
+
+
+def test_inputs_are_joined_once(spark):
+    """The result has a row for each pair of a stratum, so it isn't joined with itself."""
+    plan = registry.QUERIES["make_inputs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2  # customers with nations, and points with clusters
