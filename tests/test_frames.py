@@ -234,3 +234,29 @@ def test_strata_of_districts(spark):
     names = spark.createDataFrame([("x!", "A", "x")], "old string, state string, new string")
     got = {r.id: r.stratum for r in recode.strata_of(df, "area", "sub", d, ("north", "south"), names).collect()}
     assert got == {1: "north", 2: "A", 3: "south", 4: "B", 5: "north", 6: "C"}
+
+
+def test_sub_point_sums(spark):
+    """27 rows of sums, so that clusters' sub-points needn't be made and grouped."""
+    each = integration.sub_points(spark, 4, 3).collect()
+    got = integration.sub_point_sums(spark, 4, 3).collect()
+    assert len(got) == 27
+    for r in got:
+        mine = [x for x in each if (x.urban, x.k) == (r.urban, r.k)]
+        d2 = [x.dx**2 + x.dy**2 for x in mine]
+        assert r.n == 12 and (r.dx, r.dy, r.w) == pytest.approx((np.mean([x.dx for x in mine]), np.mean([x.dy for x in mine]), sum(x.w for x in mine)), abs=1e-12)
+        assert (r.near, r.far) == pytest.approx((min(d2), max(d2)))
+
+
+def test_clusters_in_one_place_are_weighed_once(spark, monkeypatch):
+    """Copies of a place add no sub-points to look up; clusters without a polygon keep their rings' weights."""
+    edges = spark.createDataFrame([(0, 0, *e) for e in ((0.0, 0.0, 40.0, 0.0), (40.0, 0.0, 40.0, 40.0), (40.0, 40.0, 0.0, 40.0), (0.0, 40.0, 0.0, 0.0))], "poly int, ring int, x1 double, y1 double, x2 double, y2 double")
+    looked = []
+    plain = integration.in_polygons
+    monkeypatch.setattr(integration, "in_polygons", lambda points, *rest: looked.append(points.count()) or plain(points, *rest))
+    rows = [(i, True, 39.0, 20.0, 0) for i in range(9)] + [(9, True, 39.0, 20.0, None)]
+    got = {}
+    for r in integration.admin_weights(spark.createDataFrame(rows, "cluster int, urban boolean, east double, north double, poly int"), edges, 10.0, 4, 4).collect():
+        got.setdefault(r.cluster, {})[r.k] = r.w
+    assert looked == [11 * 16] and len(got) == 10 and all(got[i] == got[0] for i in range(9))
+    assert got[9] == pytest.approx({k: w for _, k, _, _, _, _, w in integration.sectors(True)}) and got[9] != pytest.approx(got[0])
