@@ -26,7 +26,8 @@ def finite_elements(nodes: DataFrame, triangles: DataFrame) -> tuple[DataFrame,
     opposite = {"a": ("b", "c"), "b": ("c", "a"), "c": ("a", "b")}
     edge = {k: tuple(F.col(f"{v}{s}") - F.col(f"{u}{s}") for s in "xy") for k, (u, v) in opposite.items()}
     entries = [F.struct(F.col(m).alias("i"), F.col(n).alias("j"), ((edge[m][0] * edge[n][0] + edge[m][1] * edge[n][1]) / (2 * F.abs("cross"))).alias("q")) for m in "abc" for n in "abc"]
-    stiffness = t.select(F.inline(F.array(*entries))).groupBy("i", "j").agg(F.sum("q").alias("q"))
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows of the matrix are dealt before they are summed: a task never holds many sums
+    stiffness = t.select(F.inline(F.array(*entries))).repartition(tasks, "i").groupBy("i", "j").agg(F.sum("q").alias("q"))
     return mass, stiffness
 
 

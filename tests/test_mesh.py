@@ -138,3 +138,8 @@ def test_hellinger(spark):
         assert kernel[g] == pytest.approx(np.sqrt(1 - np.sqrt(d[0] * d[1]).sum() * (at[1] - at[0])), abs=0.003)
     q = spark.createDataFrame([(0.0,), (0.5,), (0.8,), (1.0,)], "q double").select("q", estimates.bernoulli_at(estimates.hellinger_bernoulli(F.col("q"))).alias("r"), estimates.hellinger_bernoulli(F.col("q")).alias("h")).collect()
     assert all(r.r == pytest.approx(max(r.q, 1 - r.q), abs=1e-7) for r in q) and q[0].h == pytest.approx(0.541196, abs=1e-6)
+
+
+def test_stiffness_is_summed_in_all_tasks(spark, square):
+    nodes, tri = square[:2]
+    assert mesh.finite_elements(nodes, tri)[1].rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
