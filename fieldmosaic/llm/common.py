@@ -69,15 +69,20 @@ def crc32_unsigned(text: str = "text"):
     return F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
 
+def trim() -> None:
+    """What this process's freed arrays held goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if give:
+        give(0)
+
+
 def trimmed(run):
     """run, a function over batches, after which what its arrays held goes back to the machine: Python workers live on between tasks, beside each other on one executor."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-        if trim:
-            trim(0)
+        trim()
 
     return go
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, mix, partitions_for, table
+from .common import cut, mix, partitions_for, table, trim, trimmed
 
 WINDOW, END = 2048, 1
 K1, B = 1.2, 0.75
@@ -60,6 +60,15 @@ class Stats:
     def weight(self, term: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
         return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / self.mean))
 
+    def weights(self, docs: list[np.ndarray], kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each document's terms in order and their weights, document by document, and where each document begins. Tokens are counted for one document at a time, so only its distinct terms are held."""
+        terms, weights = [np.zeros(0, np.uint16)], [np.zeros(0, kind)]
+        for d in docs:
+            term, tf = np.unique(d, return_counts=True)
+            terms.append(term)
+            weights.append(self.weight(term, tf, np.int64(len(d))).astype(kind))
+        return np.concatenate(terms), np.concatenate(weights), np.cumsum([len(t) for t in terms])
+
     def race(self) -> np.ndarray:
         """Two exponential times for each term, from its hash."""
         if self._race is None:
@@ -69,20 +78,14 @@ class Stats:
 
     def places(self, docs: list[np.ndarray]) -> np.ndarray:
         """Two terms of each document (which has one at least), each the first in a race in which a term's chance is its weight; terms that no other document has run only alone."""
-        size = np.array([len(d) for d in docs], np.int64)
-        held = np.concatenate(docs).astype(np.int64) | np.repeat(np.arange(len(docs)) << 16, size)
-        held.sort()
-        first = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
-        tf, held = np.diff(np.append(first, len(held))), held[first]
-        term, doc = held & 0xFFFF, held >> 16
-        weight = self.weight(term, tf, size[doc])
+        term, weight, start = self.weights(docs, np.float64)
+        start, doc = start[:-1], np.repeat(np.arange(len(docs)), np.diff(start))
         weight = np.where(self.df[term] > 1, weight, weight * 1e-9)
-        start = np.searchsorted(doc, np.arange(len(docs)))
         out = []
         for race in self.race():
             time = race[term] / weight
             best = np.flatnonzero(time == np.minimum.reduceat(time, start)[doc])
-            out.append(term[best[np.searchsorted(doc[best], np.arange(len(docs)))]])
+            out.append(term[best[np.searchsorted(doc[best], np.arange(len(docs)))]].astype(np.int64))
         return np.stack(out)
 
 
@@ -91,25 +94,25 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray], stats: Stats | None = None) -> None:
         stats = stats or Stats.of(docs)
-        n, sizes = len(docs), np.array([len(d) for d in docs], np.int64)
-        doc = np.repeat(np.arange(n), sizes)
-        flat = np.concatenate(docs).astype(np.int64) if n else np.zeros(0, np.int64)
-        pairs, tf = np.unique(flat * n + doc, return_counts=True) if n else (flat, flat)
-        term, found = pairs // max(n, 1), pairs % max(n, 1)
-        self.terms, begin, df = np.unique(term, return_index=True, return_counts=True)
-        slot = np.repeat(np.arange(len(self.terms)), df)
-        weights = stats.weight(term, tf, sizes[found])
+        n = len(docs)
+        term, weights, self.first = stats.weights(docs, np.float32)
+        count = np.bincount(term)
+        self.terms = np.flatnonzero(count)
+        df, slot = count[self.terms], np.zeros(len(count), np.int32)
+        slot[self.terms] = np.arange(len(self.terms))
+        self.by_doc = slot[term]  # each document's terms
+        found = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.first))
         self.idf = stats.idf[self.terms]
         common = df * COMMON > n
         self.place = np.where(common, np.cumsum(common) - 1, -1)  # rows of the dense part
         self.dense = np.zeros((int(common.sum()), n), np.float32)
-        k = common[slot]
-        self.dense[self.place[slot[k]], found[k]] = weights[k]
-        self.docs, self.weights = found[~k], weights[~k].astype(np.float32)
+        k = common[self.by_doc]
+        self.dense[self.place[self.by_doc[k]], found[k]] = weights[k]
+        k = np.flatnonzero(~k)
+        k = k[np.argsort(term[k], kind="stable")]
+        self.docs, self.weights = found[k], weights[k]
         self.df = np.where(common, 0, df)
         self.begin = np.cumsum(self.df) - self.df
-        order = np.argsort(found, kind="stable")  # each document's terms
-        self.by_doc, self.first = slot[order], np.searchsorted(found[order], np.arange(n + 1))
         self.n, self._all = n, None
 
     def _dense_scores(self, seed: int, own: np.ndarray) -> np.ndarray:
@@ -118,8 +121,9 @@ class Index:
             return self.dense[self.place[own[self.place[own] >= 0]]].sum(0)
         if self._all is None:
             held = np.zeros((self.n, len(self.dense)), np.float32)
-            row, at = np.repeat(np.arange(self.n), np.diff(self.first)), self.place[self.by_doc]
-            held[row[at >= 0], at[at >= 0]] = 1
+            for row, i, j in zip(held, self.first[:-1], self.first[1:], strict=True):
+                at = self.place[self.by_doc[i:j]]
+                row[at[at >= 0]] = 1
             self._all = held @ self.dense
         return self._all[seed]
 
@@ -192,6 +196,7 @@ def _ids(t) -> np.ndarray:
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's documents (term -1), tokens (term -2) and documents of each term."""
+    encoder.cache_clear()  # a worker that has made tokens needs it no more
     df, rows, total = np.zeros(1 << 16, np.int64), 0, 0
     for b in batches:
         for t in b.column("__tokens"):
@@ -204,7 +209,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def corpus_stats(tokens: DataFrame) -> tuple[Stats, int]:
     """The corpus's statistics and its number of tokens."""
-    got = tokens.select("__tokens").mapInArrow(_term_counts, "term long, c long").groupBy("term").agg(F.sum("c").alias("c")).toArrow()  # a row for each term of the vocabulary
+    got = tokens.select("__tokens").mapInArrow(trimmed(_term_counts), "term long, c long").groupBy("term").agg(F.sum("c").alias("c")).toArrow()  # a row for each term of the vocabulary
     term, c = (got.column(x).to_numpy() for x in ("term", "c"))
     n, total = int(c[term == -1].sum()), int(c[term == -2].sum())
     df = np.zeros(max(int(term.max(initial=0)) + 1, END + 1), np.int64)
@@ -236,7 +241,7 @@ def shard_map(tokens: DataFrame, sent, per: int, most: int) -> tuple[np.ndarray,
     Places with one first term stand together, a second term counts where one shard can't hold the first, and only
     places that one shard can't hold either are dealt to several. There are at most vocabulary * GROUPS places.
     """
-    places = tokens.select("__tokens").mapInArrow(_place_rows(sent), "place long, size long").groupBy("place").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("t")).toArrow()
+    places = tokens.select("__tokens").mapInArrow(trimmed(_place_rows(sent)), "place long, size long").groupBy("place").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("t")).toArrow()
     place = places.column("place").to_numpy()
     load = np.maximum(places.column("c").to_numpy() / per, places.column("t").to_numpy() / most)
     order = np.argsort(place)
@@ -285,7 +290,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ranks: str
     names = [f.name for f in schema.fields]
     id_type = schema.fields[0].dataType.simpleString()
     held = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).withColumn("__salt", F.xxhash64("__id", F.crc32(F.coalesce("__text", F.lit("")).cast("binary"))))
-    tokens = cut(held.mapInArrow(_tokens(path), f"__id {id_type}, __salt long, __tokens binary"), "tokens")
+    tokens = cut(held.mapInArrow(trimmed(_tokens(path)), f"__id {id_type}, __salt long, __tokens binary"), "tokens")
     context = docs.sparkSession.sparkContext
     stats, total = corpus_stats(tokens)
     sent = context.broadcast(stats)
@@ -302,6 +307,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ranks: str
         return pa.record_batch([pa.array([ids[d] for d in doc], kind), *[pa.array(c, pa.int64()) for c in (start, length, crc, sizes[doc], sequence + (shard << 32), offset)]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()
         now, ids, tokens, kind = None, [], [], None
         for b in batches:  # sorted by shard
             kind = b.column("__id").type
@@ -310,14 +316,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ranks: str
                     if ids:
                         yield packed(now, ids, tokens, kind)
                     now, ids, tokens = shard, [], []
+                    trim()
                 ids.append(i)
                 tokens.append(np.frombuffer(t.as_py(), "<u2"))
         if ids:
             yield packed(now, ids, tokens, kind)
 
-    placed = tokens.mapInArrow(_sharded(sent, where), f"__id {id_type}, __tokens binary, __shard long")
+    placed = tokens.mapInArrow(trimmed(_sharded(sent, where)), f"__id {id_type}, __tokens binary, __shard long")
     tasks = min(shards, max(partitions_for(docs), total * 2 >> 28))  # a quarter of a gigabyte of tokens for each at most, on average
-    return placed.repartition(tasks, "__shard").sortWithinPartitions("__shard").mapInArrow(run, schema)
+    return placed.repartition(tasks, "__shard").sortWithinPartitions("__shard").mapInArrow(trimmed(run), schema)
 
 
 def op6_bm25_packing(spark, sf_dir: str) -> DataFrame:
