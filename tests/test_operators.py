@@ -232,3 +232,25 @@ def test_inputs_are_joined_once(spark):
     """The result has a row for each pair of a stratum, so it isn't joined with itself."""
     plan = registry.QUERIES["make_inputs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 2  # customers with nations, and points with clusters
+
+
+def test_inputs_by_lists(spark):
+    """Lists of clusters give each pair of a stratum once, however they are dealt; null clusters and repeated rows count, null strata don't."""
+    c = [(i, i % 3, i % 2 == 0, i / 2) for i in range(40)] + [(7, 1, False, 3.5), (None, 0, True, None), (99, None, True, 1.0)]
+    p = [(a, u, k, 0.1 * k) for a in range(4) for u in (True, False) for k in range(5)] + [(None, True, 0, 0.5)]
+    clusters, points = spark.createDataFrame(c, "cluster long, area int, urban boolean, y double"), spark.createDataFrame(p, "area int, urban boolean, k int, w double")
+    want = sorted(((a, u, k, w, i, y) for a, u, k, w in p for i, b, v, y in c if a is not None and (a, u) == (b, v)), key=repr)
+    for size in (1, 3, 1000):
+        got = integration.make_inputs(clusters, points, ["area", "urban"], size)
+        assert got.columns == ["area", "urban", "k", "w", "cluster", "y"] and sorted(map(tuple, got.collect()), key=repr) == want
+    bare = integration.make_inputs(clusters.select("area"), points.select("area", "k").where("area = 1 AND k = 2"), ["area"], 4)
+    assert bare.columns == ["area", "k"] and bare.count() == 2 * sum(b == 1 for _, b, _, _ in c)
+    for none in (clusters.limit(0), clusters.where("area = 9")):
+        assert integration.make_inputs(none, points, ["area", "urban"]).isEmpty()
+
+
+def test_inputs_are_rounded_before_they_are_paired(spark):
+    """A point's numbers are rounded once, not for each cluster of its stratum, and lists of clusters are met by points, not clusters one by one."""
+    plan = registry.QUERIES["make_inputs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    pairs, _, rest = plan.partition("Join ")
+    assert "round(" not in pairs and "inline(" in pairs and rest.count("round(") == 2
