@@ -3,14 +3,18 @@
 import random
 from math import erfc, lgamma
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fieldmosaic.functions import projection, scalar
 from fieldmosaic.operators import aggregate, clean, estimates, frame, integration, polygons, recode, scores, spatial, survey
+from fieldmosaic.plans import catalog, registry
 from fieldmosaic.sources import tables
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_fill_down_equals_a_loop(spark):
     rng = random.Random(1)
@@ -248,6 +252,25 @@ def test_sub_point_sums(spark):
         assert (r.near, r.far) == pytest.approx((min(d2), max(d2)))
 
 
+def test_all_sub_points_of_a_sector(spark):
+    """The query sums up 10 by 10 sub-points of each sector, as the reference makes them, in code and SQL."""
+    def sums(r1, r2, angle, width, w):
+        at = [(r1 + (i + 0.5) * (r2 - r1) / 10, angle + ((j + 0.5) / 10 - 0.5) * width) for i in range(10) for j in range(10)]
+        return 100, np.mean([r * np.cos(a) for r, a in at]), np.mean([r * np.sin(a) for r, a in at]), min(r for r, _ in at) ** 2, max(r for r, _ in at) ** 2, w
+
+    want = {s[:2]: sums(*s[2:]) for u in (True, False) for s in integration.sectors(u)}
+    g = {r.pixel: r for r in catalog.grid(spark, SF).collect()}
+    got = registry.QUERIES["dhs_subpoints"](spark, SF).collect()
+    assert len(got) == sum(11 if r.urban else 16 for r in g.values()) > 0
+    for r in got:
+        c = g[r.pixel]
+        assert (r.n, r.px - c.east, r.py - c.north, r.near, r.far, r.w) == pytest.approx(want[c.urban, r.k], abs=1e-6)
+    con = duckdb.connect()
+    for t in ("customer", "nation"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    assert con.execute(f"SELECT min(n), max(n), count(*) FROM ({registry.SQL['dhs_subpoints']}) q").fetchone() == (100, 100, len(got))
+
+
 def test_clusters_in_one_place_are_weighed_once(spark, monkeypatch):
     """Copies of a place add no sub-points to look up; clusters without a polygon keep their rings' weights."""
     edges = spark.createDataFrame([(0, 0, *e) for e in ((0.0, 0.0, 40.0, 0.0), (40.0, 0.0, 40.0, 40.0), (40.0, 40.0, 0.0, 40.0), (0.0, 40.0, 0.0, 0.0))], "poly int, ring int, x1 double, y1 double, x2 double, y2 double")
